@@ -130,3 +130,43 @@ def ari_strength_sql(ari: str) -> str:
 def expr(sql_text: str) -> Column:
     """Spark column from one of the SQL texts above."""
     return F.expr(sql_text)
+
+
+def chi2_sf(x: Column, k: Column) -> Column:
+    """Upper χ² tail for integer degrees of freedom given as a column.
+
+    Same finite series as :func:`chi2_sf_sql`, summed with ``aggregate`` over
+    ``sequence`` so the expression stays small for any ``k``.
+    even k = 2m:   e^{-x/2} Σ_{j<m} (x/2)^j / j!
+    odd  k = 2m+1: erfc(√(x/2)) + e^{-x/2} Σ_{j=1..m} (x/2)^{j-1/2} / Γ(j+1/2)
+    """
+    half = x / 2.0
+    m_even = F.floor(k / 2).cast("int")
+    m_odd = F.floor((k - 1) / 2).cast("int")
+
+    def upto(n):  # 1..n, empty when n < 1
+        return F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda j: j <= n)
+
+    even_sum = F.aggregate(
+        upto(m_even - 1),
+        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+        lambda acc, j: F.struct((acc["t"] * half / j).alias("t"), (acc["s"] + acc["t"] * half / j).alias("s")),
+        lambda acc: acc["s"])
+    t1 = F.sqrt(half) * (2.0 / math.sqrt(math.pi))
+    odd_sum = F.aggregate(
+        upto(m_odd),
+        F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("s"), F.lit(0).alias("i")),
+        lambda acc, j: F.struct(
+            F.when(j == 1, t1).otherwise(acc["t"] * half / (j - 0.5)).alias("t"),
+            (acc["s"] + F.when(j == 1, t1).otherwise(acc["t"] * half / (j - 0.5))).alias("s"),
+            j.alias("i")),
+        lambda acc: acc["s"])
+    z = F.sqrt(half)
+    tt = 1.0 / (1.0 + 0.5 * z)
+    poly = F.lit(ERFC_COEF[-1])
+    for c in reversed(ERFC_COEF[:-1]):
+        poly = poly * tt + F.lit(c)
+    erfc = tt * F.exp(-z * z + poly)
+    return (F.when(x.isNull() | k.isNull() | (k < 1), F.lit(None).cast("double"))
+            .when(k % 2 == 0, F.exp(-half) * even_sum)
+            .otherwise(erfc + F.exp(-half) * odd_sum))

@@ -29,10 +29,10 @@ def null_fractions(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     one = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count_if(_q(c).isNull()).alias(f"_c{i}") for i, c in enumerate(cols)])
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("n_null"))
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_c{i}").alias("n_null"))
                                 for i, c in enumerate(cols)]))
     return (one.select("_n", stack.alias("s"))
-            .select(F.col("s.column").alias("column"), F.col("s.n_null").alias("n_null"),
+            .select(F.col("s.column_name").alias("column_name"), F.col("s.n_null").alias("n_null"),
                     (F.col("s.n_null") / F.col("_n")).alias("null_frac")))
 
 
@@ -42,7 +42,7 @@ def sparse_columns(df: DataFrame, threshold: float, cols: list[str] | None = Non
     One aggregation; the result (one number per column) is collected.
     """
     prof = null_fractions(df, cols).where(F.col("null_frac") > threshold)
-    return [r["column"] for r in prof.select("column").collect()]
+    return [r["column_name"] for r in prof.select("column_name").collect()]
 
 
 def drop_sparse_columns(df: DataFrame, threshold: float, protect: list[str] | tuple = ("row_id",)):
@@ -92,15 +92,15 @@ def range_validate(df: DataFrame, cols: list[str], lo: float, hi: float) -> Data
 def _issue_table(df: DataFrame, cols: list[str], bad: dict[str, Column], check: str) -> DataFrame:
     """``(check, column, n_invalid, bad_values)`` — one unpivot + one aggregation."""
     if not cols:
-        return df.sparkSession.createDataFrame([], "check string, column string, n_invalid bigint, bad_values string")
+        return df.sparkSession.createDataFrame([], "check string, column_name string, n_invalid bigint, bad_values string")
     stack = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), bad[c].alias("is_bad"), _q(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("column_name"), bad[c].alias("is_bad"), _q(c).cast("string").alias("value"))
         for c in cols]))
     long = df.select(stack.alias("s")).select("s.*").where("is_bad")
-    return (long.groupBy("column")
+    return (long.groupBy("column_name")
             .agg(F.count(F.lit(1)).alias("n_invalid"),
                  F.array_join(F.array_sort(F.collect_set("value")), "|").alias("bad_values"))
-            .select(F.lit(check).alias("check"), "column", "n_invalid", "bad_values"))
+            .select(F.lit(check).alias("check"), "column_name", "n_invalid", "bad_values"))
 
 
 def range_issues(df: DataFrame, cols: list[str], lo: float, hi: float,
@@ -136,7 +136,7 @@ def token_counts(df: DataFrame, cols: list[str], token: str) -> DataFrame:
     """``(column, n_token)`` — occurrences of the token per column, one pass."""
     present = [c for c in cols if c in df.columns]
     one = df.agg(*[F.count_if(_q(c) == token).alias(f"_t{i}") for i, c in enumerate(present)])
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_t{i}").alias("n_token"))
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_t{i}").alias("n_token"))
                                 for i, c in enumerate(present)]))
     return one.select(stack.alias("s")).select("s.*")
 
@@ -190,10 +190,10 @@ def distinct_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     Distinct (column, value) pairs first, then a count per column: both stages
     combine map-side.
     """
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("value"))
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), _q(c).cast("string").alias("value"))
                                 for c in cols]))
     pairs = df.select(stack.alias("s")).select("s.*").where(F.col("value").isNotNull()).distinct()
-    return pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def append_rows(df: DataFrame, other: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.stats import chi2_sf_by_df_sql, stars_sql, inv_normal_sql, QT_BOUND
+from tessera.functions.stats import chi2_sf, stars_sql, inv_normal_sql, QT_BOUND
 
 DEFAULT_BUCKETS = 64
 
@@ -210,7 +210,7 @@ def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
     return out.select("var", F.col("n").cast("long").alias("n"),
                       F.col("n_groups").cast("long").alias("n_groups"), "h",
                       F.col("df").cast("long").alias("df"),
-                      F.expr(chi2_sf_by_df_sql("h", "df")).alias("p_value"))
+                      chi2_sf(F.col("h"), F.col("df")).alias("p_value"))
 
 
 def with_stars(df: DataFrame, p_col: str = "p_value", out: str = "stars",
