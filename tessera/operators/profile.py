@@ -134,7 +134,7 @@ def sign_classes(df: DataFrame, col: str, group_col: str) -> DataFrame:
     """
     x = _q(col)
     base = df.where(x.isNotNull())
-    return (base.rollup(_q(group_col).alias(group_col)).agg(
+    return (base.rollup(_q(group_col)).agg(
         F.count(F.lit(1)).alias("n"),
         (100.0 * F.count_if(x > 0) / F.count(F.lit(1))).alias("pct_up"),
         (100.0 * F.count_if(x == 0) / F.count(F.lit(1))).alias("pct_same"),
