@@ -196,7 +196,7 @@ def prefix_sums(df: DataFrame, prefix: str) -> DataFrame:
     """Sum of every column named ``prefix*`` (one-hot counts), long form."""
     cols = [c for c in df.columns if c.startswith(prefix)]
     one = df.agg(*[F.sum(_q(c)).alias(f"_s{i}") for i, c in enumerate(cols)])
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_s{i}").alias("total"))
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_s{i}").alias("total"))
                                 for i, c in enumerate(cols)]))
     return one.select(stack.alias("s")).select("s.*")
 
