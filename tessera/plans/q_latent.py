@@ -1 +1,254 @@
-"""placeholder"""
+"""Latent-dimension queries."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessera.functions.stats import chi2_sf_sql, inv_normal_sql, kmo_label_sql
+from tessera.operators import latent, ranks
+from tessera.plans.catalog import register, r6, sql_long
+from tessera.plans.proxies import (DOC_COLS, DOC_METRICS_SQL, SURVEY_SQL, doc_metrics, embed_points,
+                                   embed_points_sql, survey)
+from tessera.sources.tables import load
+
+_MED_COLS = ["q1", "q2", "q4"]
+
+
+@register("median_impute", f"""WITH {SURVEY_SQL}
+SELECT row_id, {', '.join(f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM survey)) AS {c}'
+                          for c in _MED_COLS)} FROM survey""")
+def median_impute(spark, sf_dir):
+    """Nulls → exact column median."""
+    s = survey(spark, sf_dir).select("row_id", *_MED_COLS)
+    return latent.median_impute(s, _MED_COLS)
+
+
+@register("mode_impute", f"""WITH {SURVEY_SQL},
+m AS (SELECT var, arg_min(val, (-cnt, val)) AS mode FROM (
+        SELECT 'b2' AS var, b2 AS val, count(*) AS cnt FROM survey WHERE b2 IS NOT NULL GROUP BY b2
+        UNION ALL SELECT 't1', t1, count(*) FROM survey WHERE t1 IS NOT NULL GROUP BY t1) GROUP BY var)
+SELECT row_id, coalesce(b2, (SELECT mode FROM m WHERE var = 'b2')) AS b2,
+       coalesce(t1, (SELECT mode FROM m WHERE var = 't1')) AS t1 FROM survey""")
+def mode_impute(spark, sf_dir):
+    """Nulls → most frequent answer (ties → smallest)."""
+    s = survey(spark, sf_dir).select("row_id", "b2", "t1")
+    return latent.mode_impute(s, ["b2", "t1"])
+
+
+@register("zscore", """SELECT o_orderkey,
+  round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS z FROM orders""")
+def zscore(spark, sf_dir):
+    """Z-score with the population standard deviation."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    z = latent.zscore(o, ["o_totalprice"], "_z")
+    return z.select("o_orderkey", r6("o_totalprice_z").alias("z"))
+
+
+def _spearman_cte():
+    rk = ",\n  ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0E0 AS {c}"
+                      for c in DOC_COLS)
+    return f"""{DOC_METRICS_SQL},
+rk AS (SELECT {rk} FROM docm),
+rr AS (SELECT count(*) AS n, corr(n_chars, n_words) AS a, corr(n_chars, n_lines) AS b,
+              corr(n_words, n_lines) AS c FROM rk)"""
+
+
+_KMO_SQL = f"""WITH {_spearman_cte()},
+pq AS (SELECT n, a, b, c,
+              (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS qa,
+              (b - a * c) / sqrt((1 - a * a) * (1 - c * c)) AS qb,
+              (c - a * b) / sqrt((1 - a * a) * (1 - b * b)) AS qc,
+              1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM rr),
+k AS (SELECT n, (a * a + b * b + c * c) / (a * a + b * b + c * c + qa * qa + qb * qb + qc * qc) AS kmo,
+             -(n - 1 - (2 * 3 + 5) / 6.0E0) * ln(det) AS chi2 FROM pq)
+SELECT 'docs' AS block, CAST(n AS BIGINT) AS n, round(kmo, 6) AS kmo, {kmo_label_sql('kmo')} AS kmo_label,
+       round(chi2, 6) AS chi2, CAST(3 AS BIGINT) AS df, round({chi2_sf_sql('chi2', 3)}, 6) AS p_value FROM k"""
+
+
+@register("kmo_bartlett", _KMO_SQL)
+def kmo_bartlett(spark, sf_dir):
+    """M4–M7: Spearman matrix of the document-metrics block → KMO and Bartlett."""
+    d = doc_metrics(spark, sf_dir)
+    r, n = latent.spearman_matrix(d, DOC_COLS)
+    k, _ = latent.kmo(r)
+    chi2, dof, p = latent.bartlett_sphericity(r, n)
+    row = [("docs", n, round(k, 6), latent.kmo_label(k), round(chi2, 6), dof, round(p, 6))]
+    return spark.createDataFrame(row, "block string, n long, kmo double, kmo_label string, chi2 double, "
+                                      "df long, p_value double")
+
+
+def _doc_factor(spark, sf_dir):
+    d = doc_metrics(spark, sf_dir)
+    rk = ranks.rank_columns(latent.median_impute(d, DOC_COLS), DOC_COLS, "row_id")
+    return rk, latent.fit_factor_block(rk, DOC_COLS, 1, "docs")
+
+
+@register("factor_scores")
+def factor_scores(spark, sf_dir):
+    """M8: one-factor principal extraction on ranks, regression scores per row."""
+    rk, m = _doc_factor(spark, sf_dir)
+    return rk.select("row_id", *m.score_columns())
+
+
+@register("factor_scores_2f")
+def factor_scores_2f(spark, sf_dir):
+    """M8 with two oblimin-rotated factors over a 4-item survey block."""
+    s = survey(spark, sf_dir)
+    items = ["q1", "q2", "q3", "q4"]
+    v = latent.median_impute(s.select("row_id", *items), items)
+    rk = ranks.rank_columns(v, items, "row_id")
+    m = latent.fit_factor_block(rk, items, 2, "survey")
+    return rk.select("row_id", *m.score_columns())
+
+
+@register("strong_loadings")
+def strong_loadings(spark, sf_dir):
+    """M9: loadings above 0.5 in absolute value, top 3 per factor."""
+    _, m = _doc_factor(spark, sf_dir)
+    return latent.strong_loadings([m], spark)
+
+
+@register("factor_summary")
+def factor_summary(spark, sf_dir):
+    """M8 report: KMO, label, Bartlett p, factors, % variance per block."""
+    _, m = _doc_factor(spark, sf_dir)
+    row = [(m.block, m.n, m.kmo, latent.kmo_label(m.kmo), m.bartlett_p, m.n_factors, round(m.variance_pct, 2),
+            len(m.cols))]
+    return spark.createDataFrame(row, "block string, n long, kmo double, kmo_label string, bartlett_p double, "
+                                      "n_factors int, variance_pct double, n_vars int")
+
+
+_MCA_COLS = ["seg", "cat_program", "t1"]
+
+
+def _burt_sql():
+    parts = []
+    for a in _MCA_COLS:
+        for b in _MCA_COLS:
+            parts.append(f"SELECT '{a}' AS var_a, {a} AS cat_a, '{b}' AS var_b, {b} AS cat_b, "
+                         f"CAST(count(*) AS BIGINT) AS n FROM survey GROUP BY {a}, {b}")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("mca_burt_counts", f"WITH {SURVEY_SQL}\n{_burt_sql()}")
+def mca_burt_counts(spark, sf_dir):
+    """M10 input: category-pair counts (Burt table) of three nominal answers."""
+    return latent.burt_counts(survey(spark, sf_dir), _MCA_COLS)
+
+
+@register("mca_coords")
+def mca_coords(spark, sf_dir):
+    """MCA row coordinates (3 dims) of mode-imputed nominal answers."""
+    s = latent.mode_impute(survey(spark, sf_dir).select("row_id", *_MCA_COLS), _MCA_COLS)
+    m = latent.fit_mca(s, _MCA_COLS, 3)
+    return s.select("row_id", *m.coord_columns())
+
+
+@register("mca_inertia")
+def mca_inertia(spark, sf_dir):
+    """Eigenvalues and inertia % of the first 3 MCA dimensions."""
+    s = latent.mode_impute(survey(spark, sf_dir).select("row_id", *_MCA_COLS), _MCA_COLS)
+    m = latent.fit_mca(s, _MCA_COLS, 3)
+    rows = [(i + 1, float(m.eigenvalues[i]), float(m.inertia_pct[i])) for i in range(len(m.inertia_pct))]
+    return spark.createDataFrame(rows, "dim int, eigenvalue double, inertia_pct double")
+
+
+_QN_SQL = f"""WITH src AS (SELECT o_orderkey, o_totalprice AS price,
+                          CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio FROM orders),
+long AS ({sql_long("src", ["price", "prio"], ["o_orderkey"])}),
+cnt AS (SELECT var, count(*) AS n, least(count(*), 1000) AS m FROM long GROUP BY var),
+probs AS (SELECT var, n, i AS j, CASE WHEN m > 1 THEN CAST(i AS DOUBLE) / (m - 1) ELSE 0.0E0 END AS p
+          FROM cnt, range(0, 1000) t(i) WHERE i < m),
+ord AS (SELECT var, val, row_number() OVER (PARTITION BY var ORDER BY val) - 1 AS idx FROM long),
+pos AS (SELECT var, j, p, (n - 1) * p AS ps, floor((n - 1) * p) AS lo, ceil((n - 1) * p) AS hi FROM probs),
+q AS (SELECT pos.var, pos.p, a.val + (pos.ps - pos.lo) * (b.val - a.val) AS q
+      FROM pos JOIN ord a ON a.var = pos.var AND a.idx = pos.lo JOIN ord b ON b.var = pos.var AND b.idx = pos.hi),
+kn AS (SELECT var, q AS u, min(p) AS r_lo, max(p) AS r_hi FROM q GROUP BY var, q),
+kn2 AS (SELECT *, lead(u) OVER (PARTITION BY var ORDER BY u) AS nu, lead(r_lo) OVER (PARTITION BY var ORDER BY u) AS nlo,
+               min(u) OVER (PARTITION BY var) AS umin, max(u) OVER (PARTITION BY var) AS umax FROM kn),
+vals AS (SELECT DISTINCT var, val FROM long),
+mt AS (SELECT v.var, v.val, k.u, k.r_lo, k.r_hi, k.nu, k.nlo, k.umin, k.umax
+       FROM vals v ASOF LEFT JOIN kn2 k ON v.var = k.var AND v.val >= k.u),
+pr AS (SELECT var, val,
+              CASE WHEN val - 1e-7 < (SELECT min(u) FROM kn2 WHERE kn2.var = mt.var) THEN 0.0E0
+                   WHEN val + 1e-7 > (SELECT max(u) FROM kn2 WHERE kn2.var = mt.var) THEN 1.0E0
+                   WHEN val = u THEN (r_lo + r_hi) / 2.0E0
+                   ELSE r_hi + (val - u) * (nlo - r_hi) / (nu - u) END AS p0 FROM mt),
+pc AS (SELECT var, val, least(greatest(p0, 1e-7), 1.0E0 - 1e-7) AS pp FROM pr),
+z AS (SELECT var, val, {inv_normal_sql('pp')} AS z FROM pc)
+SELECT s.o_orderkey, round(a.z, 6) AS price_qn, round(b.z, 6) AS prio_qn
+FROM src s JOIN z a ON a.var = 'price' AND a.val = s.price JOIN z b ON b.var = 'prio' AND b.val = s.prio"""
+
+
+@register("quantile_normal", _QN_SQL)
+def quantile_normal(spark, sf_dir):
+    """1000-point quantile grid → interpolate → inverse normal (clipped)."""
+    o = load(spark, sf_dir, "orders")
+    src = o.select("o_orderkey", F.col("o_totalprice").alias("price"),
+                   F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"))
+    grid = ranks.quantile_grid(src, ["price", "prio"], 1000)
+    t = ranks.quantile_normal_transform(src, grid, ["price", "prio"], suffix="_qn")
+    return t.select("o_orderkey", r6("price_qn").alias("price_qn"), r6("prio_qn").alias("prio_qn"))
+
+
+_PCA2_CTE = f"""{embed_points_sql(2)},
+cv AS (SELECT covar_samp(x0, x0) AS a, covar_samp(x0, x1) AS b, covar_samp(x1, x1) AS d,
+              avg(x0) AS m0, avg(x1) AS m1 FROM pts),
+ev AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS l1,
+                 (a + d) / 2 - sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS l2 FROM cv)"""
+
+
+@register("pca_variance", f"""WITH {_PCA2_CTE}
+SELECT 1 AS comp, round(l1, 6) AS eigenvalue, round(l1 / (a + d), 6) AS ratio FROM ev
+UNION ALL SELECT 2, round(l2, 6), round(l2 / (a + d), 6) FROM ev""")
+def pca_variance(spark, sf_dir):
+    """Eigenvalues and explained-variance ratio (2-d case: closed-form oracle)."""
+    p = embed_points(spark, sf_dir, 2)
+    m = latent.fit_pca(p, ["x0", "x1"], 2)
+    rows = [(k + 1, round(float(m.explained_variance[k]), 6), round(float(m.explained_ratio[k]), 6))
+            for k in range(2)]
+    return spark.createDataFrame(rows, "comp int, eigenvalue double, ratio double")
+
+
+@register("pca_scores", f"""WITH {_PCA2_CTE},
+v AS (SELECT *, b AS v0r, l1 - a AS v1r FROM ev),
+nv AS (SELECT *, v0r / sqrt(v0r * v0r + v1r * v1r) AS u0, v1r / sqrt(v0r * v0r + v1r * v1r) AS u1 FROM v),
+sg AS (SELECT *, CASE WHEN (CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) < 0 THEN -1 ELSE 1 END AS s FROM nv)
+SELECT row_id, round(s * (u0 * (x0 - m0) + u1 * (x1 - m1)), 6) AS pc1 FROM pts, sg""")
+def pca_scores(spark, sf_dir):
+    """Centred scores on the first component (2-d closed-form oracle)."""
+    p = embed_points(spark, sf_dir, 2)
+    m = latent.fit_pca(p, ["x0", "x1"], 1)
+    return p.select("row_id", *[r6(c).alias("pc1") for c in m.score_columns()])
+
+
+@register("pca_full")
+def pca_full(spark, sf_dir):
+    """8-d PCA variance table, cumulative %, Kaiser line, n for 85 %."""
+    p = embed_points(spark, sf_dir, 8)
+    cols = [f"x{i}" for i in range(8)]
+    m = latent.fit_pca(p, cols)
+    cum = np.cumsum(m.explained_ratio) * 100
+    n85 = int(np.argmax(cum >= 85.0) + 1) if (cum >= 85.0).any() else len(cols)
+    rows = [(k + 1, float(m.explained_ratio[k] * 100), float(cum[k]), 100.0 / len(cols), n85)
+            for k in range(len(cols))]
+    return spark.createDataFrame(rows, "comp int, pct double, cum_pct double, kaiser_pct double, n_for_85 int")
+
+
+@register("latent_space")
+def latent_space(spark, sf_dir):
+    """Factor scores + MCA coordinates → quantile-normal → PCA(3) per respondent."""
+    s = survey(spark, sf_dir)
+    items = ["q1", "q2", "q3", "q4"]
+    v = latent.median_impute(s.select("row_id", *items), items)
+    rk = ranks.rank_columns(v, items, "row_id")
+    fm = latent.fit_factor_block(rk, items, 2, "B")
+    fs = rk.select("row_id", *fm.score_columns())
+    nom = latent.mode_impute(s.select("row_id", *_MCA_COLS), _MCA_COLS)
+    mca = latent.fit_mca(nom, _MCA_COLS, 3)
+    mc = nom.select("row_id", *mca.coord_columns())
+    lat = fs.join(mc, "row_id")
+    cols = [c for c in lat.columns if c != "row_id"]
+    scores, _, _ = latent.latent_space(lat, cols, "row_id", 3)
+    return scores
