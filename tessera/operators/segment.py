@@ -43,7 +43,7 @@ def kmeans_fit(df: DataFrame, cols: list[str], k: int, n_init: int = 10, max_ite
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df)
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df).select("_features").persist()
     best = None
     for i in range(n_init):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
@@ -51,6 +51,7 @@ def kmeans_fit(df: DataFrame, cols: list[str], k: int, n_init: int = 10, max_ite
         cost = model.summary.trainingCost
         if best is None or cost < best[1]:
             best = (model, cost)
+    vec.unpersist()
     return best
 
 
@@ -253,11 +254,14 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, id_col: str
     core = pts.where("_core")
     core_cells = core.select("_cell").distinct()
     # edges between core cells
-    fo = F.array(*[F.array(*[F.lit(x) for x in o]) for o in full if any(o)])
-    e_full = (core_cells.select(F.col("_cell").alias("_a"), F.explode(fo).alias("_o"))
-              .select("_a", F.zip_with("_a", "_o", lambda a, b: a + b).alias("_b"))
-              .join(core_cells.select(F.col("_cell").alias("_b")), "_b"))
-    edges = e_full.select("_a", "_b")
+    nz_full = [o for o in full if any(o)]
+    edges = core_cells.select(F.col("_cell").alias("_a"), F.col("_cell").alias("_b")).limit(0)
+    if nz_full:
+        fo = F.array(*[F.array(*[F.lit(x) for x in o]) for o in nz_full])
+        e_full = (core_cells.select(F.col("_cell").alias("_a"), F.explode(fo).alias("_o"))
+                  .select("_a", F.zip_with("_a", "_o", lambda a, b: a + b).alias("_b"))
+                  .join(core_cells.select(F.col("_cell").alias("_b")), "_b"))
+        edges = e_full.select("_a", "_b")
     cu = core.groupBy("_cell", *cols).agg(F.min(id_col).alias("_id"))
     if partial:
         po = F.array(*[F.array(*[F.lit(x) for x in o]) for o in partial])

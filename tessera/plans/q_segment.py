@@ -1 +1,114 @@
-"""placeholder"""
+"""Segmentation queries (M16–M19) on the embedding points."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tessera.operators import latent, segment, validate
+from tessera.plans.catalog import register
+from tessera.plans.proxies import embed_points, embed_points_sql, survey
+
+_X = ["x0", "x1", "x2"]
+_PTS = embed_points_sql(3)
+_D = "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))"
+
+
+@register("kmeans_sweep")
+def kmeans_sweep(spark, sf_dir):
+    """K-means for k = 2..7 (10 seeded inits each): inertia, balance, metrics."""
+    p = embed_points(spark, sf_dir, 3)
+    labels, inertia = segment.kmeans_sweep(p, _X, range(2, 8), n_init=10)
+    labels = labels.checkpoint()
+    rows = []
+    for k, cost in inertia:
+        lab = labels.where(F.col("k") == k).join(p, "row_id")
+        m = validate.metrics_row(lab, _X, "cluster", "row_id")
+        rows.append(("kmeans", k, cost, m["sil"], m["db"], m["dunn"], m["cv"], m["min_pct"], m["score"]))
+    return spark.createDataFrame(rows, "method string, k int, inertia double, sil double, db double, dunn double, "
+                                       "cv double, min_pct double, score double")
+
+
+@register("kmeans_labels")
+def kmeans_labels(spark, sf_dir):
+    """Cluster of every point for every k (long table)."""
+    p = embed_points(spark, sf_dir, 3)
+    labels, _ = segment.kmeans_sweep(p, _X, range(2, 8), n_init=3)
+    return labels
+
+
+@register("ward_micro")
+def ward_micro(spark, sf_dir):
+    """Ward sweep on weighted micro-clusters (exact when few distinct points)."""
+    p = embed_points(spark, sf_dir, 3)
+    labels, merges, exact = segment.ward_micro(p, _X, range(2, 8), max_micro=512)
+    b = validate.balance(labels, "cluster", ["k"])
+    return b.withColumn("exact", F.lit(exact))
+
+
+@register("ward_merges")
+def ward_merges(spark, sf_dir):
+    """The merge table (step, a, b, height, size) — dendrogram data."""
+    p = embed_points(spark, sf_dir, 3)
+    _, merges, _ = segment.ward_micro(p, _X, range(2, 3), max_micro=512)
+    return merges
+
+
+_EPS, _MINPTS = 0.12, 5
+
+
+@register("dbscan_core_flags", f"""WITH {_PTS},
+n AS (SELECT a.row_id, count(*) AS nn FROM pts a JOIN pts b ON {_D} <= {_EPS} GROUP BY a.row_id)
+SELECT row_id, nn >= {_MINPTS} AS is_core FROM n""")
+def dbscan_core_flags(spark, sf_dir):
+    """Core points (≥ 5 neighbours within ε, self included)."""
+    p = embed_points(spark, sf_dir, 3)
+    c = segment.eps_neighbor_counts(p, _X, _EPS, "row_id")
+    return c.select("row_id", (F.col("n_neighbors") >= _MINPTS).alias("is_core"))
+
+
+@register("dbscan_labels")
+def dbscan_labels(spark, sf_dir):
+    """DBSCAN labels (noise −1) for ε = 0.12, minPts = 5."""
+    p = embed_points(spark, sf_dir, 3)
+    return segment.dbscan(p, _X, _EPS, _MINPTS, "row_id")
+
+
+@register("dbscan_grid")
+def dbscan_grid(spark, sf_dir):
+    """M19 sweep: ε × minPts; keep ≥ 2 clusters and < 20 % noise; silhouette and balance on non-noise."""
+    p = embed_points(spark, sf_dir, 3)
+    rows = []
+    for eps in (0.08, 0.12, 0.16):
+        for mp in (3, 5):
+            lab = segment.dbscan(p, _X, eps, mp, "row_id").checkpoint()
+            st = lab.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
+                         (100.0 * F.avg((F.col("cluster") == -1).cast("double"))).alias("noise")).first()
+            k, noise = int(st["k"]), float(st["noise"])
+            keep = k >= 2 and noise < 20.0
+            sil = min_pct = None
+            if keep:
+                nn = lab.where(F.col("cluster") >= 0).join(p, "row_id")
+                sil = round(validate.silhouette(nn, _X, "cluster", "row_id"), 4)
+                min_pct = validate.balance(nn, "cluster").first()["min_pct"]
+            rows.append((float(eps), mp, k, round(noise, 1), keep, sil, min_pct))
+    return spark.createDataFrame(rows, "eps double, min_pts int, n_clusters int, noise_pct double, viable boolean, "
+                                       "sil double, min_pct double")
+
+
+@register("kprototypes")
+def kprototypes(spark, sf_dir):
+    """K-prototypes on survey items (median-imputed) + nominal answers (mode-imputed)."""
+    s = survey(spark, sf_dir)
+    num = ["q1", "q2", "q4"]
+    cat = ["cat_program", "t1"]
+    v = latent.median_impute(s.select("row_id", *num, *cat), num)
+    v = latent.mode_impute(v, cat)
+    rows = []
+    for k in (2, 3, 4):
+        lab, cost = segment.kprototypes(v, num, cat, k, "row_id", n_init=2, max_iter=10)
+        b = validate.balance(lab, "cluster").first()
+        rows.append((k, cost, int(b["k"]), b["cv"], b["min_pct"], b["max_pct"]))
+    return spark.createDataFrame(rows, "k int, cost double, n_clusters int, cv double, min_pct double, "
+                                       "max_pct double")
