@@ -11,6 +11,16 @@ Sub-packages:
 * ``streaming`` – applying the row-local operators to streaming DataFrames
 """
 
+import sys as _sys
+
 from tessera.session import get_session, ensure_checkpoint_dir
 
+# Python tasks (pandas UDFs, mapInPandas) carry the few library functions they
+# call by value, so executors do not need this package installed.
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 __all__ = ["get_session", "ensure_checkpoint_dir"]

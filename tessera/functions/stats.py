@@ -170,3 +170,32 @@ def chi2_sf(x: Column, k: Column) -> Column:
     return (F.when(x.isNull() | k.isNull() | (k < 1), F.lit(None).cast("double"))
             .when(k % 2 == 0, F.exp(-half) * even_sum)
             .otherwise(erfc + F.exp(-half) * odd_sum))
+
+
+def _horner_np(coefs: tuple, r):
+    s = coefs[0]
+    for c in coefs[1:]:
+        s = s * r + c
+    return s
+
+
+def inv_normal_np(p):
+    """Vectorised Φ⁻¹(p) for 0 < p < 1 (AS241, same coefficients as the SQL text)."""
+    import numpy as np
+
+    p = np.asarray(p, dtype=float)
+    q = p - 0.5
+    out = np.empty_like(p)
+    central = np.abs(q) <= 0.425
+    r1 = 0.180625 - q[central] * q[central]
+    out[central] = q[central] * _horner_np(PPND16_A, r1) / _horner_np(PPND16_B, r1)
+    tail = ~central & ~np.isnan(p)
+    pt = p[tail]
+    r = np.sqrt(-np.log(np.where(pt < 0.5, pt, 1.0 - pt)))
+    near = r <= 5.0
+    val = np.where(near,
+                   _horner_np(PPND16_C, r - 1.6) / _horner_np(PPND16_D, r - 1.6),
+                   _horner_np(PPND16_E, r - 5.0) / _horner_np(PPND16_F, r - 5.0))
+    out[tail] = np.where(pt < 0.5, -val, val)
+    out[np.isnan(p)] = np.nan
+    return out

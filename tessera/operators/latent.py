@@ -439,6 +439,6 @@ def latent_space(df: DataFrame, cols: list[str], id_col: str = "row_id", n_compo
     Returns ``(scores_df(id, pc1..pcd), pca_model, grid)``.
     """
     grid = ranks.quantile_grid(df, cols, n_quantiles)
-    qt = ranks.quantile_normal_transform(df.select(id_col, *cols), grid, cols)
+    qt = ranks.quantile_normal_transform(df.select(id_col, *cols), grid, cols).checkpoint()
     model = fit_pca(qt, cols, n_components)
     return qt.select(id_col, *model.score_columns()), model, grid

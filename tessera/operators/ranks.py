@@ -19,6 +19,8 @@ high-cardinality column lands in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,6 +46,8 @@ def histogram(long: DataFrame, keys: list[str], val: str = "val") -> DataFrame:
 
 
 def _bucketed(hist: DataFrame, keys: list[str], val: str, buckets: int) -> DataFrame:
+    if buckets <= 1:
+        return hist.withColumn("bucket", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = hist.groupBy(*keys).agg(
         F.percentile_approx(val, probs, 10000).alias("_cuts"))
@@ -263,48 +267,39 @@ def quantile_normal_transform(df: DataFrame, grid: DataFrame, cols: list[str],
     probability is clipped to ``[1e-7, 1-1e-7]`` and passed through the
     inverse normal (AS241).
 
-    The grid (bounded: ``n_quantiles`` knots per column) is collected once;
-    the knot of every value is found by ``Bucketizer`` (binary search in the
-    JVM), so the transform is a pure projection: no shuffle, no join.
+    The grid (bounded: ``n_quantiles`` knots per column) is collected once and
+    shipped with the task; each column is mapped by an Arrow-batched pandas
+    UDF (binary search + vectorised AS241), so the transform is a projection:
+    no shuffle, no join, and no giant generated expression per column.
     """
-    from pyspark.ml.feature import Bucketizer
+    from tessera.functions.stats import inv_normal_np
 
     rows = grid.orderBy("var", "k").collect()
     knots: dict[str, list] = {}
     for r in rows:
         knots.setdefault(r["var"], []).append((r["u"], r["r_lo"], r["r_hi"]))
-    inf = float("inf")
-    tmp_in = [f"_qt_in_{i}" for i in range(len(cols))]
-    tmp_b = [f"_qt_b_{i}" for i in range(len(cols))]
-    staged = df.select("*", *[F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(float("nan"))).alias(t)
-                              for c, t in zip(cols, tmp_in)])
-    splits = [[-inf] + [k[0] for k in knots[c]] + [inf] for c in cols]
-    bk = Bucketizer(splitsArray=splits, inputCols=tmp_in, outputCols=tmp_b, handleInvalid="keep")
-    staged = bk.transform(staged)
-    out = []
-    for c, ti, tb in zip(cols, tmp_in, tmp_b):
-        kn = knots[c]
-        us = F.lit([k[0] for k in kn])
-        rlo = F.lit([k[1] for k in kn])
-        rhi = F.lit([k[2] for k in kn])
-        x = F.col(f"`{c}`").try_cast("double")
-        b = F.col(tb).cast("int")           # 1-based knot index of the last knot <= x
-        u_k, lo_k, hi_k = F.element_at(us, b), F.element_at(rlo, b), F.element_at(rhi, b)
-        nb = F.least(b + 1, F.lit(len(kn)))
-        u_n, lo_n = F.element_at(us, nb), F.element_at(rlo, nb)
-        inside = F.when(x == u_k, (lo_k + hi_k) / 2.0).otherwise(
-            hi_k + (x - u_k) * (lo_n - hi_k) / (u_n - u_k))
-        prob = (F.when(x - QT_BOUND < F.lit(kn[0][0]), F.lit(0.0))
-                .when(x + QT_BOUND > F.lit(kn[-1][0]), F.lit(1.0))
-                .otherwise(inside))
-        p_name = f"_qt_p_{c}"
-        out.append((c, p_name, F.least(F.greatest(prob, F.lit(QT_BOUND)), F.lit(1.0 - QT_BOUND))))
-    staged = staged.select("*", *[F.when(F.col(f"`{c}`").isNotNull(), e).alias(pn) for c, pn, e in out])
-    result = staged.select(*[F.col(f"`{c}`") for c in df.columns],
-                           *[F.expr(inv_normal_sql(f"`{pn}`")).alias(c + suffix) for c, pn, _ in out])
-    if not suffix:
-        # replace in place: keep the transformed copy under the original name
-        keep = [c for c in df.columns if c not in cols]
-        result = staged.select(*[F.col(f"`{c}`") for c in keep],
-                               *[F.expr(inv_normal_sql(f"`{pn}`")).alias(c) for c, pn, _ in out])
-    return result
+
+    def make_udf(kn):
+        u = np.array([k[0] for k in kn], dtype=float)
+        rlo = np.array([k[1] for k in kn], dtype=float)
+        rhi = np.array([k[2] for k in kn], dtype=float)
+
+        @F.pandas_udf("double")
+        def qn(x: pd.Series) -> pd.Series:
+            v = x.to_numpy(dtype=float, na_value=np.nan)
+            b = np.searchsorted(u, v, side="right")          # knots <= x
+            k = np.clip(b - 1, 0, len(u) - 1)
+            nk = np.clip(b, 0, len(u) - 1)
+            du = u[nk] - u[k]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                inside = np.where(v == u[k], (rlo[k] + rhi[k]) / 2.0,
+                                  rhi[k] + (v - u[k]) * (rlo[nk] - rhi[k]) / du)
+            prob = np.where(v - QT_BOUND < u[0], 0.0, np.where(v + QT_BOUND > u[-1], 1.0, inside))
+            prob = np.minimum(np.maximum(prob, QT_BOUND), 1.0 - QT_BOUND)
+            z = inv_normal_np(prob)
+            z[np.isnan(v)] = np.nan
+            return pd.Series(z)
+        return qn
+
+    mapped = {c + suffix: make_udf(knots[c])(F.col(f"`{c}`").try_cast("double")) for c in cols}
+    return df.withColumns(mapped)
