@@ -45,37 +45,97 @@ def histogram(long: DataFrame, keys: list[str], val: str = "val") -> DataFrame:
             .groupBy(*keys, val).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _bucketed(hist: DataFrame, keys: list[str], val: str, buckets: int) -> DataFrame:
-    if buckets <= 1:
-        return hist.withColumn("bucket", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = hist.groupBy(*keys).agg(
-        F.percentile_approx(val, probs, 10000).alias("_cuts"))
-    return (hist.join(cuts, keys)
-            .withColumn("bucket", F.size(F.filter("_cuts", lambda s: s < F.col(val))))
-            .drop("_cuts"))
+def _sorted_histogram(hist: DataFrame, keys: list[str], val: str, cnt: str, partitions: int | None):
+    """Range-partition the histogram on (keys, val), sort inside partitions,
+    persist, and return it with the partition id plus the per-(partition,
+    key) counts (a table of at most ``partitions × groups`` rows)."""
+    from pyspark import StorageLevel
+
+    spark = hist.sparkSession
+    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    srt = (hist.select(*keys, val, F.col(cnt).cast("long").alias("cnt"))
+           .repartitionByRange(n_part, *keys, val).sortWithinPartitions(*keys, val)
+           .withColumn("_pid", F.spark_partition_id())
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    pc = srt.groupBy("_pid", *keys).agg(F.sum("cnt").alias("c")).collect()
+    pcs = pd.DataFrame([r.asDict() for r in pc], columns=["_pid", *keys, "c"])
+    pcs = pcs.sort_values(["_pid"], kind="stable")
+    if len(pcs):
+        grp = pcs.groupby(keys, sort=False, dropna=False)["c"]
+        pcs["off"] = grp.cumsum() - pcs["c"]
+        pcs["n"] = grp.transform("sum")
+    else:
+        pcs["off"] = pd.Series(dtype="int64")
+        pcs["n"] = pd.Series(dtype="int64")
+    return srt, pcs
 
 
 def rank_histogram(hist: DataFrame, keys: list[str], val: str = "val",
-                   cnt: str = "cnt", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   cnt: str = "cnt", partitions: int | None = None, buckets: int | None = None,
+                   _with_offsets: bool = False):
     """Rank a value histogram.
 
-    Returns ``(keys..., bucket, val, cnt, before, n)`` where ``before`` is the
-    number of rows with a smaller value in the key group and ``n`` the group
-    size.  The average rank (ties share the mean) is ``before + (cnt+1)/2``.
+    Returns ``(keys..., val, cnt, before, n)`` where ``before`` is the number
+    of rows with a smaller value in the key group and ``n`` the group size.
+    The average rank (ties share the mean) is ``before + (cnt+1)/2``.
+
+    Distributed rank: the histogram (one row per distinct value, so a hot
+    value is one row) is range-partitioned on ``(keys, val)`` and sorted
+    within partitions; the small per-(partition, key) count table gives every
+    partition its starting offset; an Arrow-batched cumulative sum finishes
+    the job inside each partition.  No window spans a whole variable and no
+    task holds more than its range of distinct values.
+    ``buckets`` is accepted for compatibility and means the partition count.
     """
-    if cnt != "cnt":
-        hist = hist.withColumnRenamed(cnt, "cnt")
-    hb = _bucketed(hist, keys, val, buckets)
-    bsum = hb.groupBy(*keys, "bucket").agg(F.sum("cnt").alias("bcnt"))
-    boff = bsum.select(
-        *keys, "bucket", "bcnt",
-        (F.sum("bcnt").over(W.partitionBy(*keys).orderBy("bucket")) - F.col("bcnt")).alias("boff"),
-        F.sum("bcnt").over(W.partitionBy(*keys)).alias("n"))
-    wb = W.partitionBy(*keys, "bucket").orderBy(val)
-    return (hb.join(boff.drop("bcnt"), [*keys, "bucket"])
-            .select(*keys, "bucket", val, "cnt", "n",
-                    (F.col("boff") + F.sum("cnt").over(wb) - F.col("cnt")).alias("before")))
+    srt, pcs = _sorted_histogram(hist, keys, val, cnt, partitions or buckets)
+    spark = hist.sparkSession
+    offs = {}
+    for d in pcs.to_dict("records"):
+        key = tuple((d[k].item() if hasattr(d[k], "item") else d[k]) for k in keys)
+        offs[(int(d["_pid"]), key)] = (int(d["off"]), int(d["n"]))
+    b = spark.sparkContext.broadcast(offs)
+    schema = hist.select(*keys, val).schema
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
+                           + ["cnt long", "before long", "n long"])
+    key_list = list(keys)
+
+    def fn(it):
+        table = b.value
+        carry = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            pid = int(pdf["_pid"].iloc[0])
+            c = pdf["cnt"].to_numpy(dtype=np.int64)
+            if key_list:
+                kt = list(zip(*[pdf[k].tolist() for k in key_list]))
+            else:
+                kt = [()] * len(pdf)
+            before = np.empty(len(pdf), dtype=np.int64)
+            nn = np.empty(len(pdf), dtype=np.int64)
+            # rows of one key are contiguous (sorted by keys, val)
+            start = 0
+            while start < len(kt):
+                k = kt[start]
+                end = start
+                while end < len(kt) and kt[end] == k:
+                    end += 1
+                off, ntot = table[(pid, k)]
+                run = carry.get(k, 0)
+                cs = np.cumsum(c[start:end])
+                before[start:end] = off + run + cs - c[start:end]
+                nn[start:end] = ntot
+                carry[k] = run + int(cs[-1])
+                start = end
+            out = pdf.drop(columns=["_pid"]).copy()
+            out["before"] = before
+            out["n"] = nn
+            yield out
+
+    ranked = srt.mapInPandas(fn, out_schema)
+    if _with_offsets:
+        return ranked, srt, pcs
+    return ranked
 
 
 def average_ranks(long: DataFrame, keys: list[str], val: str = "val",
@@ -105,15 +165,17 @@ def rank_columns(df: DataFrame, cols: list[str], id_col: str = "row_id",
 
 
 def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None = None,
-                    val: str = "val", buckets: int = DEFAULT_BUCKETS,
-                    grid_points: int | None = None) -> DataFrame:
+                    val: str = "val", buckets: int | None = None,
+                    grid_points: int | None = None, partitions: int | None = None) -> DataFrame:
     """Exact linearly-interpolated quantiles per key group.
 
     Same definition as numpy ``percentile`` / SQL ``percentile_cont``:
     position ``(n-1)·p``, interpolate between the order statistics at its
-    floor and ceiling.  The order statistics are found with an as-of lookup
-    *inside* each (group, bucket) window, so memory never depends on the
-    number of rows or distinct values of a group.
+    floor and ceiling.  The histogram is range-partitioned and sorted (see
+    :func:`rank_histogram`); the driver knows from the small offset table which
+    partition holds each wanted order statistic, and each task resolves its
+    own targets by binary search over its sorted range.  Memory never depends
+    on the size of a group.
 
     Either ``probs`` (a fixed list) or ``grid_points`` (``m = min(n,
     grid_points)`` evenly spaced references ``j/(m-1)`` per group, as a
@@ -121,52 +183,82 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None
 
     Returns ``(keys..., j, p, q)`` with ``j`` the index of the probability.
     """
-    r = rank_histogram(histogram(long, keys, val), keys, val, buckets=buckets)
-    # bucket directory: per group, sorted (offset, bucket) pairs — at most
-    # ``buckets`` entries per group.
-    bdir = (r.groupBy(*keys, "bucket").agg(F.min("before").alias("boff"),
-                                          F.first("n").alias("n"))
-            .groupBy(*keys).agg(F.first("n").alias("n"),
-                                F.array_sort(F.collect_list(F.struct("boff", "bucket"))).alias("dir")))
-    if grid_points is None:
-        plist = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"))
-                          for j, p in enumerate(probs)])
-        tgt = (bdir.select(*keys, "n", "dir", F.explode(plist).alias("_jp"))
-               .select(*keys, "n", "dir", F.col("_jp.j").alias("j"), F.col("_jp.p").alias("p")))
-    else:
-        m = F.least(F.col("n"), F.lit(grid_points))
-        tgt = (bdir.withColumn("m", m)
-               .select(*keys, "n", "dir", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-               .withColumn("p", F.when(F.col("m") > 1, F.col("j") / (F.col("m") - 1)).otherwise(F.lit(0.0)))
-               .drop("m"))
-    tgt = (tgt.withColumn("pos", (F.col("n") - 1) * F.col("p"))
-           .withColumn("lo", F.floor("pos"))
-           .withColumn("frac", F.col("pos") - F.col("lo"))
-           .withColumn("hi", F.ceil("pos"))
-           .select(*keys, "dir", F.col("j").cast("int").alias("j"), "p", "frac",
-                   F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("lo").alias("idx")),
-                                     F.struct(F.lit(1).alias("which"), F.col("hi").alias("idx")))).alias("_t"))
-           .select(*keys, "dir", "j", "p", "frac", F.col("_t.which").alias("which"),
-                   F.col("_t.idx").alias("pos")))
-    tgt = tgt.withColumn(
-        "bucket", F.element_at(F.filter("dir", lambda s: s["boff"] <= F.col("pos")), -1)["bucket"]
-    ).drop("dir")
-    marks = r.select(*keys, "bucket", F.col("before").alias("pos"), F.lit(0).alias("kind"),
-                     F.col(val).alias("_v"), F.lit(None).cast("int").alias("j"),
-                     F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("frac"),
-                     F.lit(None).cast("int").alias("which"))
-    asks = tgt.select(*keys, "bucket", "pos", F.lit(1).alias("kind"),
-                      F.lit(None).cast("double").alias("_v"), "j", "p", "frac", "which")
-    w = (W.partitionBy(*keys, "bucket").orderBy("pos", "kind")
-         .rowsBetween(W.unboundedPreceding, W.currentRow))
-    found = (marks.unionByName(asks)
-             .withColumn("_v", F.last("_v", ignorenulls=True).over(w))
-             .where(F.col("kind") == 1))
-    out = found.groupBy(*keys, "j").agg(
-        F.first("p").alias("p"), F.first("frac").alias("frac"),
-        F.max(F.when(F.col("which") == 0, F.col("_v"))).alias("v_lo"),
-        F.max(F.when(F.col("which") == 1, F.col("_v"))).alias("v_hi"))
-    return out.select(*keys, "j", "p",
+    import math as _m
+
+    hist = histogram(long, keys, val)
+    srt, pcs = _sorted_histogram(hist, keys, val, "cnt", partitions or buckets)
+    spark = long.sparkSession
+    targets: dict = {}
+    meta = []
+    if len(pcs):
+        for key, g in pcs.groupby(keys, sort=False, dropna=False):
+            key = key if isinstance(key, tuple) else (key,)
+            key = tuple(x.item() if hasattr(x, "item") else x for x in key)
+            g = g.sort_values("_pid")
+            n = int(g["n"].iloc[0])
+            if grid_points is None:
+                plist = list(probs)
+            else:
+                m = min(n, grid_points)
+                plist = [j / (m - 1) if m > 1 else 0.0 for j in range(m)]
+            offs = g["off"].to_numpy()
+            pids = g["_pid"].to_numpy()
+            for j, p in enumerate(plist):
+                pos = (n - 1) * p
+                lo, hi = _m.floor(pos), _m.ceil(pos)
+                meta.append((*key, j, float(p), pos - lo))
+                for which, idx in ((0, lo), (1, hi)):
+                    pid = int(pids[np.searchsorted(offs, idx, side="right") - 1])
+                    targets.setdefault((pid, key), []).append((j, which, idx))
+    tb = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in targets.items()})
+    key_list = list(keys)
+    kschema = hist.select(*keys).schema
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kschema.fields]
+                           + ["j long", "which long", "v double"])
+    offsets = {(int(r["_pid"]), tuple((r[k].item() if hasattr(r[k], "item") else r[k]) for k in keys)):
+               int(r["off"]) for _, r in pcs.iterrows()}
+    ob = spark.sparkContext.broadcast(offsets)
+
+    def fn(it):
+        tab, offt = tb.value, ob.value
+        carry = {}
+        for pdf in it:
+            if pdf.empty:
+                continue
+            pid = int(pdf["_pid"].iloc[0])
+            c = pdf["cnt"].to_numpy(dtype=np.int64)
+            vals = pdf[val].to_numpy(dtype=float)
+            kt = list(zip(*[pdf[k].tolist() for k in key_list])) if key_list else [()] * len(pdf)
+            rows = []
+            start = 0
+            while start < len(kt):
+                k = kt[start]
+                end = start
+                while end < len(kt) and kt[end] == k:
+                    end += 1
+                run = carry.get(k, 0)
+                cs = np.cumsum(c[start:end])
+                before = offt[(pid, k)] + run + cs - c[start:end]
+                carry[k] = run + int(cs[-1])
+                t = tab.get((pid, k))
+                if t is not None:
+                    pos = np.searchsorted(before, t[:, 2], side="right") - 1
+                    ok = (pos >= 0) & (t[:, 2] < before[np.clip(pos, 0, None)] + c[start:end][np.clip(pos, 0, None)])
+                    for (jj, ww, _), pp in zip(t[ok], pos[ok]):
+                        rows.append((*k, int(jj), int(ww), float(vals[start:end][pp])))
+                start = end
+            if rows:
+                yield pd.DataFrame(rows, columns=[*key_list, "j", "which", "v"])
+
+    found = srt.mapInPandas(fn, out_schema)
+    got = found.groupBy(*keys, "j").agg(
+        F.max(F.when(F.col("which") == 0, F.col("v"))).alias("v_lo"),
+        F.max(F.when(F.col("which") == 1, F.col("v"))).alias("v_hi"))
+    mschema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kschema.fields]
+                        + ["j long", "p double", "frac double"])
+    md = spark.createDataFrame(meta, mschema)
+    out = md.join(got, [*keys, "j"])
+    return out.select(*keys, F.col("j").cast("int").alias("j"), "p",
                       (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
 
 
