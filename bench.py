@@ -55,7 +55,10 @@ def main():
 
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
     qs = all_queries()
-    qs["null_profile"](spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
+    # warm-up (not timed): JVM code paths and the Python workers used by Arrow tasks
+    qs["null_profile"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(0, 1000, numPartitions=int(cpus)).mapInPandas(lambda it: it, "id long") \
+        .write.format("noop").mode("overwrite").save()
     times = {}
     for name in HEADLINE:
         t0 = time.perf_counter()

@@ -53,11 +53,14 @@ def _sorted_histogram(hist: DataFrame, keys: list[str], val: str, cnt: str, part
 
     spark = hist.sparkSession
     n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the range-bound sampling job and the sort read the histogram: compute it once
+    hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
     srt = (hist.select(*keys, val, F.col(cnt).cast("long").alias("cnt"))
            .repartitionByRange(n_part, *keys, val).sortWithinPartitions(*keys, val)
            .withColumn("_pid", F.spark_partition_id())
            .persist(StorageLevel.MEMORY_AND_DISK))
     pc = srt.groupBy("_pid", *keys).agg(F.sum("cnt").alias("c")).collect()
+    hist.unpersist()
     pcs = pd.DataFrame([r.asDict() for r in pc], columns=["_pid", *keys, "c"])
     pcs = pcs.sort_values(["_pid"], kind="stable")
     if len(pcs):
@@ -283,7 +286,9 @@ def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
     """
     long = (to_long(df, cols, [group_col])
             .where(F.col(group_col).isNotNull()))
-    gh = long.groupBy("var", group_col, "val").agg(F.count(F.lit(1)).alias("cg"))
+    # per-group value histogram: read twice (pooled ranks, rank sums), so it is
+    # checkpointed once instead of rescanning the source
+    gh = long.groupBy("var", group_col, "val").agg(F.count(F.lit(1)).alias("cg")).checkpoint()
     pooled = gh.groupBy("var", "val").agg(F.sum("cg").alias("cnt"))
     r = rank_histogram(pooled, ["var"], "val", buckets=buckets)
     rk = r.select("var", "val", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
