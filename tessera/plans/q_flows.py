@@ -233,3 +233,20 @@ def segment_flow(spark, sf_dir):
     assign, _, _ = flows.segment_respondents(f, blocks, ["cat_program", "site"], "row_id", range(2, 6), k_min=3,
                                              n_init=3, names={0: "Base", 1: "Intermedio", 2: "Alto"})
     return assign
+
+
+@register("enrich_by_id", f"""WITH {_INGEST_CTE}
+SELECT c.row_id, c.seg,
+       round(CASE WHEN datediff('day', CAST(o.o_orderdate AS DATE), DATE '2026-01-01') / 365.25E0 BETWEEN 18 AND 80
+                  THEN datediff('day', CAST(o.o_orderdate AS DATE), DATE '2026-01-01') / 365.25E0 END, 6) AS age,
+       o.o_orderpriority AS priority
+FROM clean c LEFT JOIN orders o ON c.row_id = o.o_orderkey""")
+def enrich_by_id(spark, sf_dir):
+    """A second scan of the source enriches the cleaned table by id (left join)."""
+    from tessera.operators import schema
+    from tessera.sources.tables import load
+    clean, _ = _clean(spark, sf_dir)
+    src = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        r6(encode.age_years("o_orderdate")).alias("age"), F.col("o_orderpriority").alias("priority"))
+    return schema.align(clean.select("row_id", "seg"), src, "row_id", "left")
