@@ -27,7 +27,8 @@ from pyspark.sql import Window as W
 
 from tessera.functions.stats import chi2_sf, stars_sql, inv_normal_sql, QT_BOUND
 
-DEFAULT_BUCKETS = 64
+# partitions of the range-sorted histogram; None lets AQE size them
+DEFAULT_BUCKETS = None
 
 
 def to_long(df: DataFrame, cols: list[str], id_cols: list[str] | tuple = (),
@@ -51,16 +52,22 @@ def _sorted_histogram(hist: DataFrame, keys: list[str], val: str, cnt: str, part
     key) counts (a table of at most ``partitions × groups`` rows)."""
     from pyspark import StorageLevel
 
-    spark = hist.sparkSession
-    n_part = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the range-bound sampling job and the sort read the histogram: compute it once
     hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-    srt = (hist.select(*keys, val, F.col(cnt).cast("long").alias("cnt"))
-           .repartitionByRange(n_part, *keys, val).sortWithinPartitions(*keys, val)
+    h = hist.select(*keys, val, F.col(cnt).cast("long").alias("cnt"))
+    # without an explicit count AQE may coalesce the (contiguous, ordered)
+    # ranges of a small histogram into fewer tasks
+    h = h.repartitionByRange(partitions, *keys, val) if partitions else h.repartitionByRange(*keys, val)
+    # checkpointed, not cached: the second pass must see exactly the partitions
+    # the offsets were computed from, and a recomputed range shuffle could cut
+    # the ranges differently (sampled bounds, AQE sizing)
+    from tessera.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(hist.sparkSession)
+    srt = (h.sortWithinPartitions(*keys, val)
            .withColumn("_pid", F.spark_partition_id())
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    pc = srt.groupBy("_pid", *keys).agg(F.sum("cnt").alias("c")).collect()
+           .checkpoint(eager=True))
     hist.unpersist()
+    pc = srt.groupBy("_pid", *keys).agg(F.sum("cnt").alias("c")).collect()
     pcs = pd.DataFrame([r.asDict() for r in pc], columns=["_pid", *keys, "c"])
     pcs = pcs.sort_values(["_pid"], kind="stable")
     if len(pcs):
@@ -109,6 +116,8 @@ def rank_histogram(hist: DataFrame, keys: list[str], val: str = "val",
             if pdf.empty:
                 continue
             pid = int(pdf["_pid"].iloc[0])
+            if (pdf["_pid"] != pid).any():
+                raise RuntimeError("sorted histogram partition mixes partition ids")
             c = pdf["cnt"].to_numpy(dtype=np.int64)
             if key_list:
                 kt = list(zip(*[pdf[k].tolist() for k in key_list]))
@@ -142,7 +151,7 @@ def rank_histogram(hist: DataFrame, keys: list[str], val: str = "val",
 
 
 def average_ranks(long: DataFrame, keys: list[str], val: str = "val",
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Average rank of every distinct value per key group.
 
     ``(keys..., val, cnt, n, avg_rank)``.  Equals ``rank() + (ties-1)/2``.
@@ -153,7 +162,7 @@ def average_ranks(long: DataFrame, keys: list[str], val: str = "val",
 
 
 def rank_columns(df: DataFrame, cols: list[str], id_col: str = "row_id",
-                 suffix: str = "", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 suffix: str = "", buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Replace each column by its average rank (M3), keyed by ``id_col``.
 
     Long form → rank table join (histogram-sized, auto-broadcast when small)
@@ -266,7 +275,7 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None
 
 
 def exact_median(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Exact median per column (and group): ``(group..., var, median)``."""
     long = to_long(df, cols, list(group_cols))
     q = exact_quantiles(long, [*group_cols, "var"], [0.5], buckets=buckets)
@@ -274,7 +283,7 @@ def exact_median(df: DataFrame, cols: list[str], group_cols: list[str] | tuple =
 
 
 def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
-                   buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                   buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Tie-corrected Kruskal–Wallis H test of each column across groups.
 
     Pooled average ranks come from the ranked histogram; rank sums per group
@@ -340,7 +349,7 @@ def hypothesis_verdict(df: DataFrame, col: str, group_col: str,
 # ---------------------------------------------------------------------------
 
 def quantile_grid(df: DataFrame, cols: list[str], n_quantiles: int = 1000,
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Fit a quantile transform: ``(var, k, u, r_lo, r_hi)``.
 
     ``m = min(n, n_quantiles)`` evenly spaced references give exact

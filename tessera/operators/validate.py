@@ -115,7 +115,7 @@ def nearest_centroid(df: DataFrame, cols: list[str], centers: list[dict], key: s
 # ---------------------------------------------------------------------------
 
 def _anchor_sums(points: DataFrame, cols: list[str], cluster_col: str, anchors: np.ndarray,
-                 chunk: int = 2048) -> DataFrame:
+                 max_cells: int = 4_000_000) -> DataFrame:
     """Σ distance and count from every anchor to the points of each cluster.
 
     ``mapInPandas``: each task reduces its points against the broadcast
@@ -125,6 +125,8 @@ def _anchor_sums(points: DataFrame, cols: list[str], cluster_col: str, anchors:
     sc = points.sparkSession.sparkContext
     b_anchors = sc.broadcast(anchors)
     cols = list(cols)
+    # points per block so that a block × anchors × dims stays ~32 MB of doubles
+    chunk = max(1, max_cells // max(1, anchors.shape[0] * anchors.shape[1]))
 
     def fn(it):
         a = b_anchors.value
