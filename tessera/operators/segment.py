@@ -45,6 +45,7 @@ def kmeans_fit(df: DataFrame, cols: list[str], k: int, n_init: int = 10, max_ite
 
     vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df).select("_features").persist()
     best = None
+    # several seeded k-means|| runs, the lowest inertia kept (n_init)
     for i in range(n_init):
         model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
                        predictionCol="_pred", tol=1e-4).fit(vec)
@@ -145,9 +146,12 @@ def ward_micro(df: DataFrame, cols: list[str], k_range=range(2, 8), max_micro: i
         keymap = [(tuple(float(r[x]) for x in cols), i) for i, r in enumerate(pts)]
         assign = None
     else:
+        from pyspark.ml.feature import VectorAssembler
         model, _ = kmeans_fit(base, cols, max_micro, n_init=1, seed=seed)
-        centers = [dict(zip(cols, map(float, cc)), cluster=i) for i, cc in enumerate(model.clusterCenters())]
-        assign = nearest_centroid(base, cols, centers, out="_micro")
+        # hundreds of centres: the fitted model's JVM predict, not literal expressions
+        vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(base)
+        assign = (model.setPredictionCol("_micro").transform(vec).drop("_features")
+                  .withColumn("_micro", F.col("_micro").cast("long"))).checkpoint()
         stats = assign.groupBy("_micro").agg(F.count(F.lit(1)).alias("w"),
                                              *[F.avg(_q(x)).alias(x) for x in cols]).orderBy("_micro").collect()
         ids = [r["_micro"] for r in stats]
@@ -337,10 +341,12 @@ def kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int,
                                                  F.lit(0.0))
                 opts.append(F.struct(cost.alias("d"), F.lit(p["cluster"]).alias("id")))
             best_o = F.least(*opts) if len(opts) > 1 else opts[0]
-            asg = base.withColumn("_b", best_o).select("*", F.col("_b.id").alias("cluster"),
-                                                        F.col("_b.d").alias("_cost")).drop("_b")
-            tot = asg.agg(F.sum("_cost").alias("c")).first()["c"]
-            num = asg.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in num_cols]).collect()
+            asg = (base.withColumn("_b", best_o).select("*", F.col("_b.id").alias("cluster"),
+                                                         F.col("_b.d").alias("_cost")).drop("_b")).persist()
+            # one pass: per-cluster numeric means and cost; one more for the modes
+            num = asg.groupBy("cluster").agg(F.sum("_cost").alias("_c"),
+                                             *[F.avg(c).alias(c) for c in num_cols]).collect()
+            tot = float(sum(r["_c"] for r in num))
             modes = {}
             if cat_cols:
                 stack = F.explode(F.array(*[F.struct(F.lit(c).alias("var"), _q(c).alias("val")) for c in cat_cols]))
@@ -356,6 +362,7 @@ def kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int,
                     p[c] = modes.get((r["cluster"], c))
                 new.append(p)
             protos = new
+            asg.unpersist()
             if prev_cost is not None and abs(prev_cost - tot) <= 1e-9 * max(1.0, abs(tot)):
                 break
             prev_cost = tot

@@ -17,9 +17,9 @@ _D = "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
-    """K-means for k = 2..7 (10 seeded inits each): inertia, balance, metrics."""
+    """K-means for k = 2..7 (5 seeded k-means|| inits each): inertia, balance, metrics."""
     p = embed_points(spark, sf_dir, 3)
-    labels, inertia = segment.kmeans_sweep(p, _X, range(2, 8), n_init=10)
+    labels, inertia = segment.kmeans_sweep(p, _X, range(2, 8), n_init=5)
     labels = labels.checkpoint()
     rows = []
     for k, cost in inertia:
