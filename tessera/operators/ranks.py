@@ -282,22 +282,25 @@ def exact_median(df: DataFrame, cols: list[str], group_cols: list[str] | tuple =
     return q.select(*group_cols, "var", F.col("q").alias("median"))
 
 
-def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
-                   buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
-    """Tie-corrected Kruskal–Wallis H test of each column across groups.
+def group_histogram(df: DataFrame, cols: list[str], group_col: str) -> DataFrame:
+    """``(var, group, val, cg)`` value counts per variable and group.
 
-    Pooled average ranks come from the ranked histogram; rank sums per group
-    are ``Σ count(val, group) · rank(val)``, so raw rows are never re-joined.
-    Rows with a null value or null group are dropped, empty groups do not
-    count, fewer than two groups (or all values tied) gives null H and p.
-
-    Returns ``(var, n, n_groups, h, df, p_value)``.
+    The one scan of the source that rank tests and group means share;
+    checkpointed because it is read more than once.
     """
     long = (to_long(df, cols, [group_col])
             .where(F.col(group_col).isNotNull()))
-    # per-group value histogram: read twice (pooled ranks, rank sums), so it is
-    # checkpointed once instead of rescanning the source
-    gh = long.groupBy("var", group_col, "val").agg(F.count(F.lit(1)).alias("cg")).checkpoint()
+    return long.groupBy("var", group_col, "val").agg(F.count(F.lit(1)).alias("cg")).checkpoint()
+
+
+def group_means_from_histogram(gh: DataFrame, group_col: str) -> DataFrame:
+    """``(var, group, n, mean)`` from a group histogram (no second scan)."""
+    return gh.groupBy("var", group_col).agg(
+        F.sum("cg").alias("n"), (F.sum(F.col("val") * F.col("cg")) / F.sum("cg")).alias("mean"))
+
+
+def kruskal_from_histogram(gh: DataFrame, group_col: str, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
+    """Tie-corrected Kruskal–Wallis from a group histogram (see :func:`kruskal_wallis`)."""
     pooled = gh.groupBy("var", "val").agg(F.sum("cg").alias("cnt"))
     r = rank_histogram(pooled, ["var"], "val", buckets=buckets)
     rk = r.select("var", "val", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
@@ -310,7 +313,7 @@ def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
         F.count(F.lit(1)).alias("n_groups"),
         F.sum("ng").alias("n"))
     c = F.col("cnt").cast("double")
-    ties = r.groupBy("var").agg(F.sum(c * c * c - c).alias("t"))
+    ties = pooled.groupBy("var").agg(F.sum(c * c * c - c).alias("t"))
     nn = F.col("n").cast("double")
     h_raw = 12.0 / (nn * (nn + 1)) * F.col("s") - 3.0 * (nn + 1)
     corr = 1.0 - F.col("t") / (nn * nn * nn - nn)
@@ -323,6 +326,20 @@ def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
                       chi2_sf(F.col("h"), F.col("df")).alias("p_value"))
 
 
+def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
+                   buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
+    """Tie-corrected Kruskal–Wallis H test of each column across groups.
+
+    Pooled average ranks come from the ranked histogram; rank sums per group
+    are ``Σ count(val, group) · rank(val)``, so raw rows are never re-joined.
+    Rows with a null value or null group are dropped, empty groups do not
+    count, fewer than two groups (or all values tied) gives null H and p.
+
+    Returns ``(var, n, n_groups, h, df, p_value)``.
+    """
+    return kruskal_from_histogram(group_histogram(df, cols, group_col), group_col, buckets)
+
+
 def with_stars(df: DataFrame, p_col: str = "p_value", out: str = "stars",
                blank_ns: bool = False) -> DataFrame:
     """Significance marks."""
@@ -332,9 +349,9 @@ def with_stars(df: DataFrame, p_col: str = "p_value", out: str = "stars",
 def hypothesis_verdict(df: DataFrame, col: str, group_col: str,
                        alpha: float = 0.05) -> DataFrame:
     """Kruskal–Wallis verdict plus the group with the highest mean."""
-    kw = kruskal_wallis(df, [col], group_col)
-    means = (df.where(F.col(group_col).isNotNull())
-             .groupBy(group_col).agg(F.avg(F.col(col).try_cast("double")).alias("m")))
+    gh = group_histogram(df, [col], group_col)
+    kw = kruskal_from_histogram(gh, group_col)
+    means = group_means_from_histogram(gh, group_col).select(group_col, F.col("mean").alias("m"))
     top = means.agg(F.max_by(group_col, F.struct("m", F.col(group_col))).alias("top_group"),
                     F.max("m").alias("top_mean"))
     verdict = F.when(F.col("p_value") < alpha, F.lit("confirmada")).otherwise(F.lit("no confirmada"))

@@ -46,8 +46,9 @@ kw AS (SELECT var, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS n_groups, h,
 
 def competence_profile_df(s, items, group_col):
     v = quality.range_validate(s, items, 1, 5)
-    means = profile.grouped_means(v, items, group_col)
-    kw = ranks.kruskal_wallis(v, items, group_col)
+    gh = ranks.group_histogram(v, items, group_col)          # one scan feeds both
+    means = ranks.group_means_from_histogram(gh, group_col)
+    kw = ranks.kruskal_from_histogram(gh, group_col)
     return (means.join(kw.select("var", "h", "p_value"), "var")
             .withColumn("stars", F.expr(stars_sql("p_value")))
             .select("var", group_col, "n", r6("mean").alias("mean"), r6("h").alias("h"),
