@@ -364,7 +364,7 @@ class MCAModel:
         return out
 
 
-def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3) -> MCAModel:
+def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3, max_categories: int = 5000) -> MCAModel:
     """MCA from the Burt table.
 
     With Z the n×J indicator matrix, K answers per row and column masses
@@ -374,7 +374,11 @@ def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3) -> MCAModel:
     Inertia % divides by the total inertia (J − K)/K (S-12).
     Input columns must be complete (mode-impute first).
     """
-    b = burt_counts(df, cols).collect()
+    burt = burt_counts(df, cols)
+    n_cat = burt.select("var_a", "cat_a").distinct().count()
+    if n_cat > max_categories:
+        raise ValueError(f"{n_cat} categories exceed max_categories={max_categories}; lump rare ones first")
+    b = burt.collect()
     cats = sorted({(r["var_a"], r["cat_a"]) for r in b}, key=lambda t: (cols.index(t[0]), t[1]))
     ix = {c: i for i, c in enumerate(cats)}
     jn = len(cats)

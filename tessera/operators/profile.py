@@ -78,19 +78,26 @@ def top_n(df: DataFrame, col: str, n: int) -> DataFrame:
             .orderBy(F.desc("n"), F.asc("value")).limit(n))
 
 
-def top_n_per_group(df: DataFrame, col: str, group_col: str, n: int) -> DataFrame:
+def top_n_per_group(df: DataFrame, col: str, group_col: str, n: int, salt: int = 16) -> DataFrame:
     """Top ``n`` values per group with share of the group and share of the value.
 
-    ``(seg, rank, value, n, pct_group, pct_value)``.  Windows run over the
-    (group, value) count table.
+    ``(seg, rank, value, n, pct_group, pct_value)``.  Two-level top-n over
+    the (group, value) count table: first within (group, hash(value) mod
+    ``salt``), then within the group over at most ``salt × n`` survivors — a
+    group with millions of distinct values is never sorted in one task.
+    Exact: with the tie order (count desc, value asc) every member of a
+    group's top n is in the top n of its own salt bucket.
     """
     base = df.where(_q(col).isNotNull() & _q(group_col).isNotNull())
     pair = base.groupBy(_q(group_col).alias(group_col), _q(col).alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
     gt = pair.groupBy(group_col).agg(F.sum("n").alias("_g"))
     vt = pair.groupBy("value").agg(F.sum("n").alias("_v"))
-    w = W.partitionBy(group_col).orderBy(F.desc("n"), F.asc("value"))
-    ranked = pair.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    order = [F.desc("n"), F.asc("value")]
+    w1 = W.partitionBy(group_col, F.pmod(F.xxhash64("value"), F.lit(salt))).orderBy(*order)
+    cand = pair.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= n).drop("_r1")
+    w = W.partitionBy(group_col).orderBy(*order)
+    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return (ranked.join(gt, group_col).join(vt, "value")
             .select(group_col, F.col("rank").cast("long").alias("rank"), "value", "n",
                     (100.0 * F.col("n") / F.col("_g")).alias("pct_group"),

@@ -29,6 +29,9 @@ from tessera.functions.stats import chi2_sf, stars_sql, inv_normal_sql, QT_BOUND
 
 # partitions of the range-sorted histogram; None lets AQE size them
 DEFAULT_BUCKETS = None
+# rank / quantile groups (e.g. variables × segments) whose per-partition
+# offsets may be collected to the driver
+MAX_RANK_GROUPS = 100_000
 
 
 def to_long(df: DataFrame, cols: list[str], id_cols: list[str] | tuple = (),
@@ -67,6 +70,12 @@ def _sorted_histogram(hist: DataFrame, keys: list[str], val: str, cnt: str, part
            .withColumn("_pid", F.spark_partition_id())
            .checkpoint(eager=True))
     hist.unpersist()
+    # the offset table has (partitions × groups) rows: bounded for the
+    # intended uses (variables, variables × segments); refuse unbounded keys
+    n_groups = srt.select(*keys).distinct().limit(MAX_RANK_GROUPS + 1).count() if keys else 1
+    if n_groups > MAX_RANK_GROUPS:
+        raise ValueError(f"{n_groups} rank groups exceed MAX_RANK_GROUPS={MAX_RANK_GROUPS}; "
+                         "rank within fewer groups")
     pc = srt.groupBy("_pid", *keys).agg(F.sum("cnt").alias("c")).collect()
     pcs = pd.DataFrame([r.asDict() for r in pc], columns=["_pid", *keys, "c"])
     pcs = pcs.sort_values(["_pid"], kind="stable")

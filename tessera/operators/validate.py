@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 SEED = 42
+# all-row (exact) silhouette is only allowed up to this many rows
+MAX_EXACT_ANCHORS = 50_000
 
 
 def _q(c: str) -> Column:
@@ -167,7 +169,13 @@ def silhouette(df: DataFrame, cols: list[str], cluster_col: str = "cluster", id_
     cluster scores 0.
     """
     base = df.select(id_col, cluster_col, *cols)
-    anchors_df = base if sample_size is None else md5_sample(base, id_col, sample_size, seed)
+    if sample_size is None:
+        n = base.count()
+        if n > MAX_EXACT_ANCHORS:
+            raise ValueError(f"{n} rows: all-row silhouette is O(n²); give sample_size")
+        anchors_df = base
+    else:
+        anchors_df = md5_sample(base, id_col, sample_size, seed)
     arows = anchors_df.collect()
     if not arows:
         return float("nan")
