@@ -250,3 +250,19 @@ def enrich_by_id(spark, sf_dir):
         F.col("o_orderkey").alias("row_id"),
         r6(encode.age_years("o_orderdate")).alias("age"), F.col("o_orderpriority").alias("priority"))
     return schema.align(clean.select("row_id", "seg"), src, "row_id", "left")
+
+
+@register("shape_report", f"""WITH {_INGEST_CTE}
+SELECT CAST((SELECT count(*) FROM survey) AS BIGINT) AS n_rows_before, CAST(14 AS BIGINT) AS n_cols_before,
+       CAST((SELECT count(*) FROM clean) AS BIGINT) AS n_rows_after, CAST(12 AS BIGINT) AS n_cols_after,
+       CAST((SELECT count(*) FROM survey) - (SELECT count(*) FROM clean) AS BIGINT) AS n_rows_removed""")
+def shape_report(spark, sf_dir):
+    """P10: rows × columns before and after the ingest stage, rows removed."""
+    from tessera.operators import schema
+    raw = _raw(spark, sf_dir)
+    clean, _ = _clean(spark, sf_dir)
+    rb, cb = schema.shape(raw)
+    ra, ca = schema.shape(clean)
+    return spark.createDataFrame([(rb, cb, ra, ca, rb - ra)],
+                                 "n_rows_before long, n_cols_before long, n_rows_after long, n_cols_after long, "
+                                 "n_rows_removed long")

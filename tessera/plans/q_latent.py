@@ -252,3 +252,23 @@ def latent_space(spark, sf_dir):
     cols = [c for c in lat.columns if c != "row_id"]
     scores, _, _ = latent.latent_space(lat, cols, "row_id", 3)
     return scores
+
+
+_FS2 = ["n_chars", "n_words"]
+_FS2_SQL = f"""WITH {DOC_METRICS_SQL},
+rk AS (SELECT row_id,
+              rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0E0 AS a,
+              rank() OVER (ORDER BY n_words) + (count(*) OVER (PARTITION BY n_words) - 1) / 2.0E0 AS b FROM docm),
+st AS (SELECT corr(a, b) AS r, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM rk)
+SELECT row_id, round(sqrt((1 + r) / 2) / (1 + r) * ((a - ma) / sa + (b - mb) / sb), 6) AS docs2_F1
+FROM rk, st"""
+
+
+@register("factor_scores_2v", _FS2_SQL)
+def factor_scores_2v(spark, sf_dir):
+    """M8 on a two-item block: closed-form one-factor solution checked by SQL
+    (loading √((1+r)/2), regression weights R⁻¹·loading = loading/(1+r))."""
+    d = doc_metrics(spark, sf_dir)
+    rk = ranks.rank_columns(latent.median_impute(d, _FS2), _FS2, "row_id")
+    m = latent.fit_factor_block(rk, _FS2, 1, "docs2")
+    return rk.select("row_id", *[r6(c).alias("docs2_F1") for c in m.score_columns()])
