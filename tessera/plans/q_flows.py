@@ -266,3 +266,18 @@ def shape_report(spark, sf_dir):
     return spark.createDataFrame([(rb, cb, ra, ca, rb - ra)],
                                  "n_rows_before long, n_cols_before long, n_rows_after long, n_cols_after long, "
                                  "n_rows_removed long")
+
+
+@register("save_load_params", f"""WITH {SURVEY_SQL}
+SELECT row_id, coalesce(q1, (SELECT quantile_cont(q1, 0.5) FROM survey)) AS q1,
+       coalesce(q2, (SELECT quantile_cont(q2, 0.5) FROM survey)) AS q2 FROM survey""")
+def save_load_params(spark, sf_dir):
+    """Fitted parameters (column medians) saved as a Parquet table, loaded back and applied."""
+    from tessera.operators import latent
+    s = survey(spark, sf_dir).select("row_id", "q1", "q2")
+    med = ranks.exact_median(s, ["q1", "q2"])
+    path = scratch_path(spark, f"params-{uuid.uuid4().hex}")
+    stage.save_params(spark, {"medians": med}, path)
+    loaded = stage.load_params(spark, path, ["medians"])["medians"]
+    fitted = {r["var"]: r["median"] for r in loaded.collect()}
+    return latent.median_impute(s, ["q1", "q2"], fitted)
