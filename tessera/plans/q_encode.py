@@ -190,7 +190,7 @@ FROM orders""")
 def date_features(spark, sf_dir):
     """Age in years to 2026-01-01, year, years since (bounded)."""
     o = load(spark, sf_dir, "orders")
-    yr = encode.year_of("o_orderdate")
+    yr = encode.year_of("o_orderdate").cast("long")
     return o.select("o_orderkey", r6(encode.age_years("o_orderdate")).alias("age"),
                     yr.alias("yr"), (F.lit(2026) - yr).alias("years_since"))
 

@@ -122,7 +122,7 @@ _FEAT_COLS = ["row_id", "seg", "cat_program", "q1", "q2", "q3", "q4", "b1", "b2"
 def features_flow(spark, sf_dir):
     """Rename → binaries → scale → change score → keyword rules → additive score → rare lumping."""
     f = _features(spark, sf_dir)
-    return f.select(*[F.col(c).cast("long").alias(c) if c in ("b1", "b2", "sat_t1", "site_level") else F.col(c)
+    return f.select(*[F.col(c).cast("int").alias(c) if c in ("b1", "b2", "sat_t1", "site_level") else F.col(c)
                       for c in _FEAT_COLS])
 
 
