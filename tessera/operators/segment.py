@@ -234,71 +234,130 @@ def eps_neighbor_counts(df: DataFrame, cols: list[str], eps: float, id_col: str
     return pts.join(res, ["_cell", *cols]).select(id_col, "n_neighbors")
 
 
+def _propagate(edges: DataFrame, lab: DataFrame, max_rounds: int) -> DataFrame:
+    """Min-label propagation over an undirected cell graph, checkpointed each round."""
+    for _ in range(max_rounds):
+        prop = (edges.join(lab.select(F.col("_cell").alias("_a"), "_lab"), "_a")
+                .groupBy(F.col("_b").alias("_cell")).agg(F.min("_lab").alias("_nl")))
+        new = (lab.join(prop, "_cell", "left")
+               .select("_cell", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"))).checkpoint()
+        changed = (new.join(lab.withColumnRenamed("_lab", "_old"), "_cell")
+                   .where(F.col("_lab") != F.col("_old")).limit(1).count())
+        lab = new
+        if changed == 0:
+            break
+    return lab
+
+
+def _offset_array(offsets):
+    return F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
+
+
+def _shift(col: str, offs_col: str):
+    return F.zip_with(col, offs_col, lambda a, b: a + b)
+
+
 def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, id_col: str = "row_id",
            max_rounds: int = 100) -> DataFrame:
     """DBSCAN labels ``(id, cluster)`` with noise = −1.
 
-    Core points: ≥ ``min_pts`` neighbours (self included).  Core points in
-    one cell are always connected (cell diameter ≤ ε); cells are linked when
-    they are 'full' neighbours holding core points, or when a core pair of a
-    'partial' neighbour pair is within ε.  Components come from min-label
-    propagation over the cell graph (checkpointed each round).  Border points
-    take the smallest label of a core point within ε.  Clusters are numbered
-    by their smallest core id (discovery order of a scan by id).
+    * Core test on a grid of side ε/√d: a point whose own cell plus the fully
+      covered neighbour cells already hold ``min_pts`` points is core from
+      cell counts alone; only the remaining (sparse-region) points compare
+      against boundary cells.
+    * Connectivity on a finer grid of side ε/(2√d), where face- and
+      edge-adjacent cells are wholly within ε: core cells linked through such
+      'full' offsets form components without any pair test; point pairs are
+      compared only across boundary-offset cell pairs whose components still
+      differ, then components are recomputed.
+    * Border points take the smallest label of a core point within ε (cell
+      label for fully covered cells, pair test for boundary cells).
+    Clusters are numbered by their smallest core id (discovery order of a
+    scan by id).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     d = len(cols)
+    base = df.select(id_col, *[_q(c).cast("double").alias(c) for c in cols])
+    ac = [F.col(f"_a{i}") for i in range(d)]
+    bc = [F.col(f"_b{i}") for i in range(d)]
+    dist_ok = F.sqrt(sum(((a - b) ** 2 for a, b in zip(ac, bc)), F.lit(0.0))) <= eps
+
+    # ---- core test on the counting grid ------------------------------------
     side = eps / math.sqrt(d)
     full, partial = _offsets(d, eps, side)
-    base = df.select(id_col, *[_q(c).cast("double").alias(c) for c in cols])
-    cnt = eps_neighbor_counts(base, cols, eps, id_col)
-    pts = _cells(base.join(cnt, id_col), cols, side).withColumn("_core", F.col("n_neighbors") >= min_pts)
-    pts = pts.checkpoint()
-    core = pts.where("_core")
-    core_cells = core.select("_cell").distinct()
-    # edges between core cells
-    nz_full = [o for o in full if any(o)]
-    edges = core_cells.select(F.col("_cell").alias("_a"), F.col("_cell").alias("_b")).limit(0)
-    if nz_full:
-        fo = F.array(*[F.array(*[F.lit(x) for x in o]) for o in nz_full])
-        e_full = (core_cells.select(F.col("_cell").alias("_a"), F.explode(fo).alias("_o"))
-                  .select("_a", F.zip_with("_a", "_o", lambda a, b: a + b).alias("_b"))
-                  .join(core_cells.select(F.col("_cell").alias("_b")), "_b"))
-        edges = e_full.select("_a", "_b")
-    cu = core.groupBy("_cell", *cols).agg(F.min(id_col).alias("_id"))
+    pts = _cells(base, cols, side)
+    uniq = pts.groupBy("_cell", *cols).agg(F.count(F.lit(1)).alias("_m"))
+    cell_n = uniq.groupBy("_cell").agg(F.sum("_m").alias("_cn"))
+    nb = (cell_n.select(F.col("_cell").alias("_src"), "_cn", F.explode(_offset_array(full)).alias("_o"))
+          .select(F.zip_with("_src", "_o", lambda a, b: a - b).alias("_cell"), "_cn"))
+    full_cnt = nb.groupBy("_cell").agg(F.sum("_cn").alias("_full"))
+    u = uniq.join(full_cnt, "_cell", "left").withColumn("_full", F.coalesce("_full", F.lit(0))).checkpoint()
+    unsure = u.where(F.col("_full") < min_pts)
     if partial:
-        po = F.array(*[F.array(*[F.lit(x) for x in o]) for o in partial])
-        pa = cu.select(F.col("_cell").alias("_a"), *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)],
-                       F.explode(po).alias("_o")).withColumn("_b", F.zip_with("_a", "_o", lambda a, b: a + b))
-        pb = cu.select(F.col("_cell").alias("_b"), *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)])
-        d2 = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) ** 2 for i in range(d)), F.lit(0.0))
-        e_part = pa.join(pb, "_b").where(F.sqrt(d2) <= eps).select("_a", "_b").distinct()
-        edges = edges.unionByName(e_part)
-    edges = edges.unionByName(edges.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"))).distinct()
+        probe = (unsure.select(F.col("_cell").alias("_home"), *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)],
+                               F.explode(_offset_array(partial)).alias("_o"))
+                 .withColumn("_cell", _shift("_home", "_o")).drop("_o"))
+        other = u.select("_cell", *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)], F.col("_m").alias("_mb"))
+        extra = (probe.join(other, "_cell").where(dist_ok)
+                 .groupBy(F.col("_home").alias("_cell"), *[F.col(f"_a{i}").alias(c) for i, c in enumerate(cols)])
+                 .agg(F.sum("_mb").alias("_part")))
+        u = u.join(extra, ["_cell", *cols], "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+    else:
+        u = u.withColumn("_part", F.lit(0))
+    coords = u.select(*cols, ((F.col("_full") + F.col("_part")) >= min_pts).alias("_core")).checkpoint()
+
+    # ---- connectivity of core points on the fine grid ----------------------
+    fside = eps / (2.0 * math.sqrt(d))
+    ffull, fpart = _offsets(d, eps, fside)
+    core_pts = _cells(coords.where("_core").drop("_core"), cols, fside)
+    core_ids = (base.join(coords.where("_core").drop("_core"), list(cols))
+                .select(id_col, *cols))
+    core_ids = _cells(core_ids, cols, fside).checkpoint()
+    cells = core_ids.groupBy("_cell").agg(F.min(id_col).alias("_lab")).checkpoint()
+    nz = [o for o in ffull if any(o)]
+    edges = cells.select(F.col("_cell").alias("_a"), F.col("_cell").alias("_b")).limit(0)
+    if nz:
+        edges = (cells.select(F.col("_cell").alias("_a"), F.explode(_offset_array(nz)).alias("_o"))
+                 .select("_a", _shift("_a", "_o").alias("_b"))
+                 .join(cells.select(F.col("_cell").alias("_b")), "_b").select("_a", "_b"))
     edges = edges.checkpoint()
-    # min-label propagation over cells; label = smallest core id in the component
-    lab = core.groupBy("_cell").agg(F.min(id_col).alias("_lab")).checkpoint()
-    for _ in range(max_rounds):
-        prop = (edges.join(lab.select(F.col("_cell").alias("_a"), "_lab"), "_a")
-                .groupBy(F.col("_b").alias("_cell")).agg(F.min("_lab").alias("_nl")))
-        new = (lab.join(prop, "_cell", "left")
-               .select("_cell", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"))).checkpoint()
-        changed = new.join(lab.withColumnRenamed("_lab", "_old"), "_cell").where(F.col("_lab") != F.col("_old")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
-    core_lab = core.join(lab, "_cell").select(id_col, "_lab")
-    # border points: smallest label among core points within ε
-    border = pts.where(~F.col("_core"))
-    allo = F.array(*[F.array(*[F.lit(x) for x in o]) for o in full + partial])
-    bp = (border.select(id_col, *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)], F.col("_cell").alias("_h"),
-                        F.explode(allo).alias("_o"))
-          .withColumn("_cell", F.zip_with("_h", "_o", lambda a, b: a + b)).drop("_o", "_h"))
-    cl = (cu.join(lab, "_cell").select("_cell", *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)], "_lab"))
-    d2 = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) ** 2 for i in range(d)), F.lit(0.0))
-    border_lab = (bp.join(cl, "_cell").where(F.sqrt(d2) <= eps)
-                  .groupBy(id_col).agg(F.min("_lab").alias("_lab")))
+    lab = _propagate(edges, cells, max_rounds)
+    if fpart:
+        # boundary cell pairs still in different components: compare their core points
+        cand = (lab.select(F.col("_cell").alias("_a"), F.col("_lab").alias("_la"),
+                           F.explode(_offset_array(fpart)).alias("_o"))
+                .select("_a", "_la", _shift("_a", "_o").alias("_b"))
+                .join(lab.select(F.col("_cell").alias("_b"), F.col("_lab").alias("_lb")), "_b")
+                .where(F.col("_la") != F.col("_lb")).select("_a", "_b"))
+        pa = core_pts.select(F.col("_cell").alias("_a"), *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)])
+        pb = core_pts.select(F.col("_cell").alias("_b"), *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)])
+        linked = (cand.join(pa, "_a").join(pb, "_b").where(dist_ok).select("_a", "_b").distinct())
+        extra_edges = linked.unionByName(linked.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+        extra_edges = extra_edges.checkpoint()
+        if extra_edges.limit(1).count() > 0:
+            lab = _propagate(edges.unionByName(extra_edges).distinct().checkpoint(), lab, max_rounds)
+    core_lab = core_ids.join(lab, "_cell").select(id_col, "_lab")
+
+    # ---- border points ------------------------------------------------------
+    border = base.join(coords.where(~F.col("_core")).drop("_core"), list(cols))
+    border = _cells(border, cols, fside)
+    core_cell_lab = lab.select("_cell", F.col("_lab").alias("_cl"))
+    b_full = (border.select(id_col, F.col("_cell").alias("_h"), F.explode(_offset_array(ffull)).alias("_o"))
+              .select(id_col, _shift("_h", "_o").alias("_cell"))
+              .join(core_cell_lab, "_cell").groupBy(id_col).agg(F.min("_cl").alias("_lab")))
+    labs = [b_full]
+    if fpart:
+        cl = core_pts.join(core_cell_lab, "_cell").select(
+            "_cell", *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)], "_cl")
+        bp = (border.select(id_col, *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)],
+                            F.col("_cell").alias("_h"), F.explode(_offset_array(fpart)).alias("_o"))
+              .withColumn("_cell", _shift("_h", "_o")).drop("_o", "_h"))
+        labs.append(bp.join(cl, "_cell").where(dist_ok).groupBy(id_col).agg(F.min("_cl").alias("_lab")))
+    border_lab = labs[0]
+    for extra_l in labs[1:]:
+        border_lab = border_lab.unionByName(extra_l)
+    border_lab = border_lab.groupBy(id_col).agg(F.min("_lab").alias("_lab"))
     labeled = core_lab.unionByName(border_lab)
     # one row per cluster: numbering them is a window over k rows
     names = labeled.select("_lab").distinct().select(

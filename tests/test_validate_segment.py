@@ -156,3 +156,18 @@ def test_kmeans_and_kprototypes_give_k_labels(spark):
     mixed = df.selectExpr("row_id", "x0", "x1", "CASE WHEN x2 > 1.5 THEN 'hi' ELSE 'lo' END AS c")
     lab, cost = segment.kprototypes(mixed, ["x0", "x1"], ["c"], 3, n_init=1, max_iter=5)
     assert lab.select("cluster").distinct().count() == 3 and cost > 0
+
+
+@pytest.mark.parametrize("eps,min_pts", [(0.3, 2), (0.3, 3), (0.45, 4)])
+def test_dbscan_chain_duplicates_and_noise(spark, eps, min_pts):
+    rng = np.random.default_rng(21)
+    t = np.arange(40) * 0.28                       # spacing just under ε: a chain of boundary links
+    chain = np.column_stack([t, np.sin(t) * 0.5, np.zeros_like(t)])
+    hot = np.repeat([[5.0, 5.0, 5.0]], 30, axis=0)   # one coordinate held by many rows
+    noise = rng.uniform(-3, 12, size=(40, 3))
+    blob = rng.normal(loc=[8, 0, 2], scale=0.15, size=(60, 3))
+    x = np.vstack([chain, hot, noise, blob])
+    df = _points(spark, x)
+    got = segment.dbscan(df, ["x0", "x1", "x2"], eps, min_pts).orderBy("row_id").toPandas().cluster.to_numpy()
+    ref, _ = _dbscan_brute(x, eps, min_pts)
+    assert np.array_equal(got, ref)
