@@ -1,10 +1,13 @@
-"""Statistical column expressions written as portable SQL text.
+"""Statistical expressions: χ² upper tail, erfc, inverse normal, labels.
 
 Spark has no ``erf``, ``erfc`` or inverse-normal function, and neither has
-DuckDB.  The expressions below use only ``exp``, ``ln``, ``sqrt``, ``abs`` and
-``CASE``, so the same text runs inside Spark (``F.expr``, whole-stage codegen)
-and in the SQL oracle.  Callers give the name of an already computed column
-(or a short expression) as argument.
+DuckDB.  Three forms share the same fixed coefficients:
+
+* ``*_sql`` — portable SQL text (``exp``, ``ln``, ``sqrt``, ``abs``, ``CASE``)
+  used by the SQL oracle and by ``F.expr`` where the expression stays small;
+* ``chi2_sf`` — a compact Spark column (``aggregate`` over ``sequence``) for
+  any integer degrees of freedom;
+* ``inv_normal_np`` — the vectorised form used inside Arrow batches.
 """
 
 from __future__ import annotations

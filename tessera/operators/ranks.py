@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions.stats import chi2_sf, stars_sql, inv_normal_sql, QT_BOUND
+from tessera.functions.stats import chi2_sf, stars_sql, QT_BOUND
 
 # partitions of the range-sorted histogram; None lets AQE size them
 DEFAULT_BUCKETS = None

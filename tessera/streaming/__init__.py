@@ -11,7 +11,6 @@ columns, ranks, clustering) stay batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.operators import encode, quality
 
@@ -41,4 +40,4 @@ def stream_to_stage(df: DataFrame, path: str, checkpoint: str, trigger_once: boo
     return w.start()
 
 
-__all__ = ["clean_rows", "stream_to_stage", "F"]
+__all__ = ["clean_rows", "stream_to_stage"]
