@@ -359,10 +359,14 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, id_col: str
         border_lab = border_lab.unionByName(extra_l)
     border_lab = border_lab.groupBy(id_col).agg(F.min("_lab").alias("_lab"))
     labeled = core_lab.unionByName(border_lab)
-    # one row per cluster: numbering them is a window over k rows
-    names = labeled.select("_lab").distinct().select(
-        "_lab", (F.dense_rank().over(W.orderBy("_lab")) - 1).alias("cluster"))
-    out = base.select(id_col).join(labeled, id_col, "left").join(F.broadcast(names), "_lab", "left")
+    # number the clusters 0..k-1 by their smallest core id with the distributed
+    # rank (the number of clusters grows with the data: no single-task window)
+    from tessera.operators.ranks import rank_histogram
+    distinct_labs = core_lab.select("_lab").distinct().select(
+        F.lit(0).alias("_k"), F.col("_lab").cast("double").alias("_lv"), F.lit(1).cast("long").alias("cnt"))
+    names = rank_histogram(distinct_labs, ["_k"], "_lv").select(
+        F.col("_lv").cast("long").alias("_lab"), F.col("before").alias("cluster"))
+    out = base.select(id_col).join(labeled, id_col, "left").join(names, "_lab", "left")
     return out.select(id_col, F.coalesce(F.col("cluster"), F.lit(-1)).cast("long").alias("cluster"))
 
 
