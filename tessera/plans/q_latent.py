@@ -84,11 +84,32 @@ def _doc_factor(spark, sf_dir):
     return rk, latent.fit_factor_block(rk, DOC_COLS, 1, "docs")
 
 
-@register("factor_scores")
+def _factor_scores_sql():
+    rk = ",\n  ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0E0 AS {c}"
+                       for c in DOC_COLS)
+    return f"""WITH {DOC_METRICS_SQL},
+rk AS (SELECT row_id, {rk} FROM docm),
+rr AS (SELECT corr(n_chars, n_words) AS a, corr(n_chars, n_lines) AS b, corr(n_words, n_lines) AS c,
+              avg(n_chars) AS m1, stddev_pop(n_chars) AS s1, avg(n_words) AS m2, stddev_pop(n_words) AS s2,
+              avg(n_lines) AS m3, stddev_pop(n_lines) AS s3 FROM rk),
+ev AS (SELECT *, sqrt((a * a + b * b + c * c) / 3.0E0) AS pp FROM rr),
+ev3 AS (SELECT *, 1.0E0 + 2 * pp * cos(acos(greatest(-1.0E0, least(1.0E0, a * b * c / (pp * pp * pp)))) / 3.0E0)
+                 AS lam FROM ev),
+v AS (SELECT *, a * c - b * (1 - lam) AS v1, b * a - (1 - lam) * c AS v2, (1 - lam) * (1 - lam) - a * a AS v3
+      FROM ev3),
+nv AS (SELECT *, sqrt(v1 * v1 + v2 * v2 + v3 * v3) AS nrm FROM v),
+sg AS (SELECT *, CASE WHEN v1 + v2 + v3 < 0 THEN -1 ELSE 1 END AS sgn FROM nv)
+SELECT row_id, round(sgn / nrm / sqrt(lam) * (v1 * (n_chars - m1) / s1 + v2 * (n_words - m2) / s2
+                                              + v3 * (n_lines - m3) / s3), 6) AS docs_F1
+FROM rk, sg"""
+
+
+@register("factor_scores", _factor_scores_sql())
 def factor_scores(spark, sf_dir):
-    """M8: one-factor principal extraction on ranks, regression scores per row."""
+    """M8: one-factor principal extraction on ranks, regression scores per row
+    (oracle: weights R⁻¹·√λ·u = u/√λ with the 3×3 closed-form eigenpair)."""
     rk, m = _doc_factor(spark, sf_dir)
-    return rk.select("row_id", *m.score_columns())
+    return rk.select("row_id", *[r6(c).alias("docs_F1") for c in m.score_columns()])
 
 
 @register("factor_scores_2f")
@@ -102,19 +123,54 @@ def factor_scores_2f(spark, sf_dir):
     return rk.select("row_id", *m.score_columns())
 
 
-@register("strong_loadings")
+_LOADINGS_SQL = f"""WITH {_spearman_cte()},
+ev AS (SELECT *, sqrt((a * a + b * b + c * c) / 3.0E0) AS pp FROM rr),
+ev3 AS (SELECT *, 1.0E0 + 2 * pp * cos(acos(greatest(-1.0E0, least(1.0E0, a * b * c / (pp * pp * pp)))) / 3.0E0)
+                 AS lam FROM ev),
+v AS (SELECT lam, a * c - b * (1 - lam) AS v1, b * a - (1 - lam) * c AS v2, (1 - lam) * (1 - lam) - a * a AS v3
+      FROM ev3),
+nv AS (SELECT lam, v1 / sqrt(v1 * v1 + v2 * v2 + v3 * v3) AS u1, v2 / sqrt(v1 * v1 + v2 * v2 + v3 * v3) AS u2,
+              v3 / sqrt(v1 * v1 + v2 * v2 + v3 * v3) AS u3 FROM v),
+sg AS (SELECT lam, u1, u2, u3, CASE WHEN u1 + u2 + u3 < 0 THEN -1 ELSE 1 END AS s FROM nv),
+l AS (SELECT 'n_chars' AS var, round(s * u1 * sqrt(lam), 3) AS loading FROM sg
+      UNION ALL SELECT 'n_words', round(s * u2 * sqrt(lam), 3) FROM sg
+      UNION ALL SELECT 'n_lines', round(s * u3 * sqrt(lam), 3) FROM sg)
+SELECT 'docs' AS block, var, 1 AS factor, loading, rank FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY abs(loading) DESC, var) AS INTEGER) AS rank FROM l
+  WHERE abs(loading) > 0.5) WHERE rank <= 3"""
+
+
+@register("strong_loadings", _LOADINGS_SQL)
 def strong_loadings(spark, sf_dir):
     """M9: loadings above 0.5 in absolute value, top 3 per factor."""
     _, m = _doc_factor(spark, sf_dir)
     return latent.strong_loadings([m], spark)
 
 
-@register("factor_summary")
+# largest eigenvalue of the symmetric 3×3 rank-correlation matrix (trigonometric
+# closed form) → % variance of the single principal factor = λ₁ / 3
+_FACTOR_SUMMARY_SQL = f"""WITH {_spearman_cte()},
+pq AS (SELECT n, a, b, c,
+              (a - b * c) / sqrt((1 - b * b) * (1 - c * c)) AS qa,
+              (b - a * c) / sqrt((1 - a * a) * (1 - c * c)) AS qb,
+              (c - a * b) / sqrt((1 - a * a) * (1 - b * b)) AS qc,
+              1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM rr),
+ev AS (SELECT *, sqrt((a * a + b * b + c * c) / 3.0E0) AS pp FROM pq),
+ev2 AS (SELECT *, (2 * a * b * c) / (pp * pp * pp) / 2.0E0 AS rr2 FROM ev),
+ev3 AS (SELECT *, 1.0E0 + 2 * pp * cos(acos(greatest(-1.0E0, least(1.0E0, rr2))) / 3.0E0) AS lam FROM ev2),
+k AS (SELECT n, lam, (a * a + b * b + c * c) / (a * a + b * b + c * c + qa * qa + qb * qb + qc * qc) AS kmo,
+             -(n - 1 - (2 * 3 + 5) / 6.0E0) * ln(det) AS chi2 FROM ev3)
+SELECT 'docs' AS block, CAST(n AS BIGINT) AS n, round(kmo, 6) AS kmo, {kmo_label_sql('kmo')} AS kmo_label,
+       round({chi2_sf_sql('chi2', 3)}, 6) AS bartlett_p, 1 AS n_factors, round(lam / 3.0E0 * 100, 2) AS variance_pct,
+       3 AS n_vars FROM k"""
+
+
+@register("factor_summary", _FACTOR_SUMMARY_SQL)
 def factor_summary(spark, sf_dir):
     """M8 report: KMO, label, Bartlett p, factors, % variance per block."""
     _, m = _doc_factor(spark, sf_dir)
-    row = [(m.block, m.n, m.kmo, latent.kmo_label(m.kmo), m.bartlett_p, m.n_factors, round(m.variance_pct, 2),
-            len(m.cols))]
+    row = [(m.block, m.n, round(m.kmo, 6), latent.kmo_label(m.kmo), round(m.bartlett_p, 6), m.n_factors,
+            round(m.variance_pct, 2), len(m.cols))]
     return spark.createDataFrame(row, "block string, n long, kmo double, kmo_label string, bartlett_p double, "
                                       "n_factors int, variance_pct double, n_vars int")
 
