@@ -67,7 +67,22 @@ def dbscan_core_flags(spark, sf_dir):
     return c.select("row_id", (F.col("n_neighbors") >= _MINPTS).alias("is_core"))
 
 
-@register("dbscan_labels")
+_DBSCAN_SQL = f"""WITH RECURSIVE {_PTS},
+nb AS (SELECT a.row_id AS a, b.row_id AS b FROM pts a JOIN pts b ON {_D} <= {_EPS}),
+core AS (SELECT a AS row_id FROM nb GROUP BY a HAVING count(*) >= {_MINPTS}),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.row_id JOIN core c2 ON nb.b = c2.row_id),
+reach(src, dst) AS (SELECT row_id, row_id FROM core
+                    UNION SELECT r.src, ce.b FROM reach r JOIN ce ON r.dst = ce.a),
+comp AS (SELECT dst AS row_id, min(src) AS lab FROM reach GROUP BY dst),
+border AS (SELECT nb.a AS row_id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = comp.row_id
+           WHERE nb.a NOT IN (SELECT row_id FROM core) GROUP BY nb.a),
+labeled AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+names AS (SELECT lab, dense_rank() OVER (ORDER BY lab) - 1 AS cluster FROM (SELECT DISTINCT lab FROM comp))
+SELECT p.row_id, CAST(coalesce(n.cluster, -1) AS BIGINT) AS cluster
+FROM pts p LEFT JOIN labeled l ON p.row_id = l.row_id LEFT JOIN names n ON l.lab = n.lab"""
+
+
+@register("dbscan_labels", _DBSCAN_SQL)
 def dbscan_labels(spark, sf_dir):
     """DBSCAN labels (noise −1) for ε = 0.12, minPts = 5."""
     p = embed_points(spark, sf_dir, 3)
@@ -111,3 +126,13 @@ def kprototypes(spark, sf_dir):
         rows.append((k, cost, int(b["k"]), b["cv"], b["min_pct"], b["max_pct"]))
     return spark.createDataFrame(rows, "k int, cost double, n_clusters int, cv double, min_pct double, "
                                        "max_pct double")
+
+
+_EPS_FINE = 0.05
+
+
+@register("dbscan_labels_fine", _DBSCAN_SQL.replace(f"<= {_EPS}", f"<= {_EPS_FINE}"))
+def dbscan_labels_fine(spark, sf_dir):
+    """DBSCAN at ε = 0.05, minPts = 5 — several clusters, borders and noise."""
+    p = embed_points(spark, sf_dir, 3)
+    return segment.dbscan(p, _X, _EPS_FINE, _MINPTS, "row_id")
