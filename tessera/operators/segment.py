@@ -9,8 +9,10 @@
 * DBSCAN: ε-neighbourhoods on a grid of side ε/√d; a cell's own points and
   the neighbour cells lying wholly within ε are counted from cell counts, so
   only boundary cells compare points (deduplicated with multiplicities).
-  Clusters are connected components over cells by iterative min-label
-  propagation, checkpointed every round.
+  Connectivity runs on a grid of side ε/(2√d): adjacent core cells link
+  without pair tests, boundary pairs are checked only between components
+  that are still apart; components come from min-label propagation,
+  checkpointed every round.
 * k-prototypes: Lloyd iterations on DataFrames; prototypes (k rows) are
   literals in the assignment expression.
 """

@@ -328,3 +328,23 @@ def factor_scores_2v(spark, sf_dir):
     rk = ranks.rank_columns(latent.median_impute(d, _FS2), _FS2, "row_id")
     m = latent.fit_factor_block(rk, _FS2, 1, "docs2")
     return rk.select("row_id", *[r6(c).alias("docs2_F1") for c in m.score_columns()])
+
+
+@register("pca_projection", f"""WITH {_PCA2_CTE},
+v AS (SELECT *, b AS v0r, l1 - a AS v1r FROM ev),
+nv AS (SELECT *, v0r / sqrt(v0r * v0r + v1r * v1r) AS u0, v1r / sqrt(v0r * v0r + v1r * v1r) AS u1 FROM v),
+sg AS (SELECT *, CASE WHEN (CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) < 0 THEN -1 ELSE 1 END AS s FROM nv),
+c2 AS (SELECT *, s * u0 AS a0, s * u1 AS a1, -s * u1 AS b0, s * u0 AS b1 FROM sg),
+c3 AS (SELECT *, CASE WHEN (CASE WHEN abs(b0) >= abs(b1) THEN b0 ELSE b1 END) < 0 THEN -1 ELSE 1 END AS t FROM c2),
+sc AS (SELECT p.label, a0 * (x0 - m0) + a1 * (x1 - m1) AS pc1, t * (b0 * (x0 - m0) + b1 * (x1 - m1)) AS pc2
+       FROM pts p, c3)
+SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(pc1), 6) AS pc1, round(avg(pc2), 6) AS pc2
+FROM sc GROUP BY label""")
+def pca_projection(spark, sf_dir):
+    """2-D principal projection and the centroid of every segment in it."""
+    from tessera.operators import validate
+    p = embed_points(spark, sf_dir, 2)
+    m = latent.fit_pca(p, ["x0", "x1"], 2)
+    proj = p.select("label", *m.score_columns())
+    c = validate.centroids(proj, ["pc1", "pc2"], "label")
+    return c.select("label", F.col("n").cast("long").alias("n"), r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
