@@ -349,3 +349,140 @@ def metrics_row(df: DataFrame, cols: list[str], cluster_col: str, id_col: str =
     r4 = (lambda v: round(v, 4) if v is not None and not math.isnan(v) else v)
     return {"k": int(bal["k"]), "sil": r4(sil), "db": r4(db), "dunn": r4(du), "cv": bal["cv"],
             "min_pct": bal["min_pct"], "max_pct": bal["max_pct"], "score": r4(score)}
+
+
+# ---------------------------------------------------------------------------
+# all labelings at once (the k / method sweep of R21)
+# ---------------------------------------------------------------------------
+
+def metrics_table(points: DataFrame, cols: list[str], labels: DataFrame, id_col: str = "row_id",
+                  label_keys: tuple = ("method", "k"), sample_size: int = 5000, dunn_sample: int = 1000,
+                  seed: int = SEED) -> DataFrame:
+    """sil, db, dunn, cv, min_pct, max_pct and score for every labeling in one sweep.
+
+    ``labels`` is long: ``(label_keys..., id, cluster)``.  Instead of ~5 passes
+    per labeling: cluster sizes and centroids in one aggregation, centroid
+    dispersions in one more, and one Arrow pass in which each point's
+    distances to the shared anchor sample are computed once and summed per
+    (labeling, anchor, cluster) for every labeling.  Dunn uses the shared
+    seeded sample.  Rounded as :func:`metrics_row`.
+    """
+    spark = points.sparkSession
+    keys = list(label_keys)
+    lab = labels.select(*keys, id_col, F.col("cluster").cast("long").alias("cluster"))
+    lp = lab.join(points.select(id_col, *cols), id_col)
+    # sizes + centroids: one aggregation over all labelings
+    cen = lp.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("sz"),
+                                           *[F.avg(_q(c)).alias(c) for c in cols]).collect()
+    labelings = sorted({tuple(r[k] for k in keys) for r in cen})
+    li = {l: i for i, l in enumerate(labelings)}
+    # dispersion around own centroid (centres as a k-per-labeling broadcast table)
+    cdf = spark.createDataFrame([(*[r[k] for k in keys], r["cluster"], *[float(r[c]) for c in cols]) for r in cen],
+                                lab.select(*keys, "cluster").schema.simpleString()[7:-1] + ", "
+                                + ", ".join(f"_c_{c} double" for c in cols))
+    dist = F.sqrt(sum(((_q(c) - F.col(f"_c_{c}")) ** 2 for c in cols), F.lit(0.0)))
+    disp = {(tuple(r[k] for k in keys), r["cluster"]): r["s"] for r in
+            lp.join(F.broadcast(cdf), [*keys, "cluster"]).groupBy(*keys, "cluster")
+            .agg(F.avg(dist).alias("s")).collect()}
+    # wide labels per point for the shared-distance passes
+    wide_cols = [f"_l{i}" for i in range(len(labelings))]
+    def is_labeling(l):
+        c = F.lit(True)
+        for k, v in zip(keys, l):
+            c = c & (F.col(k) == F.lit(v))
+        return c
+
+    cond = [F.max(F.when(is_labeling(l), F.col("cluster"))).alias(w) for l, w in zip(labelings, wide_cols)]
+    wide = lab.groupBy(id_col).agg(*cond).join(points.select(id_col, *cols), id_col)
+    anchors = md5_sample(wide, id_col, sample_size, seed).collect()
+    a = np.array([[r[c] for c in cols] for r in anchors], dtype=float)
+    alab = np.array([[r[w] if r[w] is not None else -1 for w in wide_cols] for r in anchors], dtype=np.int64)
+    b = spark.sparkContext.broadcast(a)
+    nl = len(wide_cols)
+    chunk = max(1, 4_000_000 // max(1, a.shape[0] * a.shape[1]))
+
+    def fn(it):
+        aa = b.value
+        for pdf in it:
+            if pdf.empty:
+                continue
+            x = pdf[cols].to_numpy(dtype=float)
+            labs = pdf[wide_cols].fillna(-1).to_numpy(dtype=np.int64)
+            acc = {}
+            for s0 in range(0, x.shape[0], chunk):
+                d = np.sqrt(((x[s0:s0 + chunk, None, :] - aa[None, :, :]) ** 2).sum(-1))   # rows × anchors
+                for li_ in range(nl):
+                    lv = labs[s0:s0 + chunk, li_]
+                    for cl in np.unique(lv):
+                        if cl < 0:
+                            continue
+                        m = lv == cl
+                        key = (li_, int(cl))
+                        ds, ct = acc.get(key, (0.0, 0))
+                        acc[key] = (ds + d[m].sum(0), ct + int(m.sum()))
+            rows = []
+            for (li_, cl), (ds, ct) in acc.items():
+                rows.append(pd.DataFrame({"lab": np.int64(li_), "cluster": np.int64(cl),
+                                          "anchor": np.arange(aa.shape[0], dtype=np.int64),
+                                          "dsum": ds, "cnt": np.int64(ct)}))
+            if rows:
+                yield pd.concat(rows, ignore_index=True)
+
+    sums = (wide.select(*[_q(c).cast("double").alias(c) for c in cols], *wide_cols)
+            .mapInPandas(fn, "lab long, cluster long, anchor long, dsum double, cnt long")
+            .groupBy("lab", "cluster", "anchor").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
+            .collect())
+    per = {}
+    for r in sums:
+        per.setdefault(r["lab"], {}).setdefault(r["cluster"], {})[r["anchor"]] = (r["dsum"], r["cnt"])
+    # Dunn on the shared seeded sample (bounded by dunn_sample)
+    ds = wide.orderBy(sample_key(id_col, seed), id_col).limit(dunn_sample).collect()
+    dx = np.array([[r[c] for c in cols] for r in ds], dtype=float)
+    dd = np.sqrt(((dx[:, None, :] - dx[None, :, :]) ** 2).sum(-1)) if len(ds) else np.zeros((0, 0))
+    out = []
+    for i, l in enumerate(labelings):
+        sizes = {r["cluster"]: r["sz"] for r in cen if tuple(r[k] for k in keys) == l}
+        cents = {r["cluster"]: np.array([r[c] for c in cols], dtype=float)
+                 for r in cen if tuple(r[k] for k in keys) == l}
+        szv = np.array(list(sizes.values()), dtype=float)
+        tot = szv.sum()
+        cv = round(float(szv.std(ddof=1) / szv.mean()), 4) if len(szv) > 1 else None
+        # silhouette
+        cl_sums = per.get(i, {})
+        s_vals = []
+        for j in range(a.shape[0]):
+            own = alab[j, i]
+            if own < 0 or own not in sizes:
+                continue
+            n_own = sizes[own] - 1
+            if n_own <= 0:
+                s_vals.append(0.0)
+                continue
+            ai = cl_sums[own][j][0] / n_own
+            bi = min(cl_sums[c][j][0] / sizes[c] for c in sizes if c != own)
+            s_vals.append((bi - ai) / max(ai, bi) if max(ai, bi) > 0 else 0.0)
+        sil = float(np.mean(s_vals)) if s_vals and len(sizes) > 1 else float("nan")
+        # Davies–Bouldin
+        ks = sorted(cents)
+        if len(ks) > 1:
+            cm = np.array([cents[k] for k in ks])
+            sv = np.array([disp[(l, k)] for k in ks])
+            dm = np.sqrt(((cm[:, None] - cm[None]) ** 2).sum(-1))
+            dm[dm == 0] = np.inf
+            db = float(np.mean(((sv[:, None] + sv[None, :]) / dm).max(1)))
+        else:
+            db = float("nan")
+        # Dunn
+        dl = np.array([r[wide_cols[i]] if r[wide_cols[i]] is not None else -1 for r in ds])
+        same = (dl[:, None] == dl[None, :]) & (dl[:, None] >= 0)
+        diff = (dl[:, None] != dl[None, :]) & (dl[:, None] >= 0) & (dl[None, :] >= 0)
+        intra = dd[same].max() if same.any() else 0.0
+        du = float(dd[diff].min() / intra) if intra > 0 and diff.any() else 0.0
+        cvv = cv if cv is not None else 0.0
+        score = 0.35 * sil + 0.25 * du + 0.25 / (1 + db) + 0.15 / (1 + cvv)
+        r4 = (lambda v: round(v, 4) if v is not None and not math.isnan(v) else v)
+        out.append((*l, r4(sil), r4(db), r4(du), cv, round(float(szv.min() / tot * 100), 2),
+                    round(float(szv.max() / tot * 100), 2), r4(score)))
+    schema = (lab.select(*keys).schema.simpleString()[7:-1]
+              + ", sil double, db double, dunn double, cv double, min_pct double, max_pct double, score double")
+    return spark.createDataFrame(out, schema)

@@ -170,16 +170,9 @@ def segment_respondents(df: DataFrame, factor_blocks: dict, nominal_cols: list[s
     wd_labels, _, _ = segment.ward_micro(space, pcs, k_range, id_col=id_col)
     all_labels = (km_labels.withColumn("method", F.lit("kmeans"))
                   .unionByName(wd_labels.withColumn("method", F.lit("ward"))).checkpoint())
-    rows = []
-    for method in ("kmeans", "ward"):
-        for k in k_range:
-            lab = all_labels.where((F.col("method") == method) & (F.col("k") == k)).join(space, id_col)
-            if lab.limit(1).count() == 0:
-                continue
-            m = validate.metrics_row(lab, pcs, "cluster", id_col)
-            rows.append((method, k, m["sil"], m["db"], m["dunn"], m["cv"], m["min_pct"], m["score"]))
-    metrics = spark.createDataFrame(rows, "method string, k int, sil double, db double, dunn double, cv double, "
-                                          "min_pct double, score double")
+    # every (method, k) labeling scored in one sweep over the latent table
+    metrics = validate.metrics_table(space, pcs, all_labels, id_col, ("method", "k")).select(
+        "method", F.col("k").cast("int").alias("k"), "sil", "db", "dunn", "cv", "min_pct", "score")
     choice = validate.select_k(metrics, k_min=k_min)
     chosen = all_labels.join(choice.select("method", F.col("k_opt").alias("k")), ["method", "k"])
     score_src = score_col or pcs[0]

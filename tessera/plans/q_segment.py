@@ -20,13 +20,10 @@ def kmeans_sweep(spark, sf_dir):
     p = embed_points(spark, sf_dir, 3)
     labels, inertia = segment.kmeans_sweep(p, _X, range(2, 8), n_init=5)
     labels = labels.checkpoint()
-    rows = []
-    for k, cost in inertia:
-        lab = labels.where(F.col("k") == k).join(p, "row_id")
-        m = validate.metrics_row(lab, _X, "cluster", "row_id")
-        rows.append(("kmeans", k, cost, m["sil"], m["db"], m["dunn"], m["cv"], m["min_pct"], m["score"]))
-    return spark.createDataFrame(rows, "method string, k int, inertia double, sil double, db double, dunn double, "
-                                       "cv double, min_pct double, score double")
+    met = validate.metrics_table(p.select("row_id", *_X), _X, labels, "row_id", ("k",))
+    cost = spark.createDataFrame([(int(k), float(c)) for k, c in inertia], "k int, inertia double")
+    return (met.withColumn("k", F.col("k").cast("int")).join(cost, "k")
+            .select(F.lit("kmeans").alias("method"), "k", "inertia", "sil", "db", "dunn", "cv", "min_pct", "score"))
 
 
 @register("kmeans_labels")

@@ -126,12 +126,13 @@ def _labelings(spark, sf_dir):
 
 
 def _metrics_df(spark, sf_dir):
-    rows = []
+    p = embed_points(spark, sf_dir, 3)
+    labels = None
     for method, k, df in _labelings(spark, sf_dir):
-        m = validate.metrics_row(df, _X, "cluster", "row_id")
-        rows.append((method, k, m["sil"], m["db"], m["dunn"], m["cv"], m["min_pct"], m["score"]))
-    return spark.createDataFrame(rows, "method string, k int, sil double, db double, dunn double, cv double, "
-                                       "min_pct double, score double")
+        part = df.select(F.lit(method).alias("method"), F.lit(k).alias("k"), "row_id", "cluster")
+        labels = part if labels is None else labels.unionByName(part)
+    m = validate.metrics_table(p.select("row_id", *_X), _X, labels, "row_id", ("method", "k"))
+    return m.select("method", F.col("k").cast("int").alias("k"), "sil", "db", "dunn", "cv", "min_pct", "score")
 
 
 _LABS_SQL = f"""{_PTS},

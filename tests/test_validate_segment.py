@@ -171,3 +171,20 @@ def test_dbscan_chain_duplicates_and_noise(spark, eps, min_pts):
     got = segment.dbscan(df, ["x0", "x1", "x2"], eps, min_pts).orderBy("row_id").toPandas().cluster.to_numpy()
     ref, _ = _dbscan_brute(x, eps, min_pts)
     assert np.array_equal(got, ref)
+
+
+def test_metrics_table_matches_per_labeling(spark):
+    from pyspark.sql import functions as F
+    x, lab = _blobs(150, seed=12)
+    pts = _points(spark, x, lab).drop("cluster")
+    labs = None
+    for k in (2, 3):
+        part = _points(spark, x, lab % k).select(F.lit("m").alias("method"), F.lit(k).alias("k"), "row_id",
+                                                 "cluster")
+        labs = part if labs is None else labs.unionByName(part)
+    tab = {r.k: r for r in validate.metrics_table(pts, ["x0", "x1", "x2"], labs).collect()}
+    for k in (2, 3):
+        one = validate.metrics_row(_points(spark, x, lab % k), ["x0", "x1", "x2"], "cluster")
+        r = tab[k]
+        assert (r.sil, r.db, r.dunn, r.cv, r.min_pct, r.score) == (one["sil"], one["db"], one["dunn"], one["cv"],
+                                                                    one["min_pct"], one["score"])
