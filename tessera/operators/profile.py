@@ -65,9 +65,10 @@ def freq_share(df: DataFrame, col: str, group_col: str | None = None) -> DataFra
         tot = counts.groupBy(*keys).agg(F.sum("n").alias("_tot"))
         out = counts.join(tot, keys)
     else:
-        # grand total: a one-row aggregate, broadcast on a constant key
-        tot = counts.agg(F.sum("n").alias("_tot")).withColumn("_k", F.lit(0))
-        out = counts.withColumn("_k", F.lit(0)).join(F.broadcast(tot), "_k")
+        # grand total: one number, read back as a literal (no join, no
+        # single-partition window over the counts table)
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        out = counts.withColumn("_tot", F.lit(total))
     return out.select(*keys, "value", "n", (F.col("n") / F.col("_tot")).alias("share"))
 
 

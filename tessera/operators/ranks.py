@@ -362,9 +362,10 @@ def hypothesis_verdict(df: DataFrame, col: str, group_col: str,
     kw = kruskal_from_histogram(gh, group_col)
     means = group_means_from_histogram(gh, group_col).select(group_col, F.col("mean").alias("m"))
     top = means.agg(F.max_by(group_col, F.struct("m", F.col(group_col))).alias("top_group"),
-                    F.max("m").alias("top_mean"))
+                    F.max("m").alias("top_mean")).first()      # one row: read back as literals
     verdict = F.when(F.col("p_value") < alpha, F.lit("confirmada")).otherwise(F.lit("no confirmada"))
-    return (kw.join(top.withColumn("var", F.lit(col)), "var")
+    return (kw.withColumn("top_group", F.lit(top["top_group"]))
+            .withColumn("top_mean", F.lit(top["top_mean"]).cast("double"))
             .withColumn("verdict", F.when(F.col("p_value").isNotNull(), verdict)))
 
 

@@ -271,11 +271,15 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
         return x * (x - 1) / 2.0
     cont = df.where(_q(a).isNotNull() & _q(b).isNotNull()).groupBy(_q(a).alias("a"), _q(b).alias("b")).agg(
         F.count(F.lit(1)).cast("double").alias("nij"))
-    ra = cont.groupBy("a").agg(F.sum("nij").alias("ai")).agg(F.sum(c2(F.col("ai"))).alias("sa"))
-    cb = cont.groupBy("b").agg(F.sum("nij").alias("bj")).agg(F.sum(c2(F.col("bj"))).alias("sb"))
+    ra = cont.groupBy("a").agg(F.sum("nij").alias("ai")).agg(F.sum(c2(F.col("ai"))).alias("v"))
+    cb = cont.groupBy("b").agg(F.sum("nij").alias("bj")).agg(F.sum(c2(F.col("bj"))).alias("v"))
     tot = cont.agg(F.sum(c2(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
-    one = (tot.withColumn("_k", F.lit(0)).join(F.broadcast(ra.withColumn("_k", F.lit(0))), "_k")
-           .join(F.broadcast(cb.withColumn("_k", F.lit(0))), "_k"))
+    # the four one-row terms side by side without a join: union, then pivot
+    terms = (ra.select(F.lit("sa").alias("t"), "v")
+             .unionByName(cb.select(F.lit("sb").alias("t"), "v"))
+             .unionByName(tot.select(F.lit("sij").alias("t"), F.col("sij").alias("v")))
+             .unionByName(tot.select(F.lit("n").alias("t"), F.col("n").alias("v"))))
+    one = terms.groupBy().pivot("t", ["sa", "sb", "sij", "n"]).agg(F.first("v"))
     exp = F.col("sa") * F.col("sb") / c2(F.col("n"))
     mx = 0.5 * (F.col("sa") + F.col("sb"))
     ari = F.when(mx == exp, F.lit(1.0)).otherwise((F.col("sij") - exp) / (mx - exp))
