@@ -382,8 +382,10 @@ def kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int,
 
     cost(x, c) = Σ (x_num − c_num)² + γ·#(x_cat ≠ c_cat); γ defaults to half
     the mean numeric standard deviation.  Initial prototypes: ``k`` rows of a
-    seeded md5 order (one order per init).  Each iteration: assignment as a
-    literal-prototype expression, update by ``avg`` and deterministic mode.
+    seeded md5 order (one order per init).  All initialisations iterate
+    together: each Lloyd step is one scan that assigns every row under every
+    still-running init (prototypes are literals), then one aggregation per
+    (init, cluster) for costs and numeric means and one for categorical modes.
     Numeric columns must be complete (median-impute first), categorical
     columns complete (mode-impute / 'Otro').
     """
@@ -392,53 +394,58 @@ def kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int,
     if gamma is None:
         st = base.agg(*[F.stddev_samp(c).alias(c) for c in num_cols]).first()
         gamma = 0.5 * float(np.mean([st[c] or 0.0 for c in num_cols])) if num_cols else 1.0
-    best = None
+
+    def assign(protos):
+        opts = []
+        for p in protos:
+            cost = sum(((_q(c) - F.lit(float(p[c]))) ** 2 for c in num_cols), F.lit(0.0))
+            cost = cost + F.lit(gamma) * sum(((_q(c) != F.lit(p[c])).cast("double") for c in cat_cols),
+                                             F.lit(0.0))
+            opts.append(F.struct(cost.alias("d"), F.lit(p["cluster"]).alias("id")))
+        return F.least(*opts) if len(opts) > 1 else opts[0]
+
+    protos = {}
     for init in range(n_init):
-        protos = [r.asDict() for r in md5_sample(base, id_col, k, seed + init).collect()]
-        for i, p in enumerate(protos):
+        ps = [r.asDict() for r in md5_sample(base, id_col, k, seed + init).collect()]
+        for i, p in enumerate(ps):
             p["cluster"] = i
-        prev_cost = None
-        for _ in range(max_iter):
-            opts = []
-            for p in protos:
-                cost = sum(((_q(c) - F.lit(float(p[c]))) ** 2 for c in num_cols), F.lit(0.0))
-                cost = cost + F.lit(gamma) * sum(((_q(c) != F.lit(p[c])).cast("double") for c in cat_cols),
-                                                 F.lit(0.0))
-                opts.append(F.struct(cost.alias("d"), F.lit(p["cluster"]).alias("id")))
-            best_o = F.least(*opts) if len(opts) > 1 else opts[0]
-            asg = (base.withColumn("_b", best_o).select("*", F.col("_b.id").alias("cluster"),
-                                                         F.col("_b.d").alias("_cost")).drop("_b")).persist()
-            # one pass: per-cluster numeric means and cost; one more for the modes
-            num = asg.groupBy("cluster").agg(F.sum("_cost").alias("_c"),
-                                             *[F.avg(c).alias(c) for c in num_cols]).collect()
-            tot = float(sum(r["_c"] for r in num))
-            modes = {}
-            if cat_cols:
-                stack = F.explode(F.array(*[F.struct(F.lit(c).alias("var"), _q(c).alias("val")) for c in cat_cols]))
-                h = (asg.select("cluster", stack.alias("s")).select("cluster", "s.*")
-                     .groupBy("cluster", "var", "val").agg(F.count(F.lit(1)).alias("n")))
-                for r in h.groupBy("cluster", "var").agg(
-                        F.min_by("val", F.struct(-F.col("n"), F.col("val"))).alias("mode")).collect():
-                    modes[(r["cluster"], r["var"])] = r["mode"]
+        protos[init] = ps
+    cost, prev, active = {}, {}, list(range(n_init))
+    for _ in range(max_iter):
+        if not active:
+            break
+        stack = F.explode(F.array(*[F.struct(F.lit(i).alias("_init"), assign(protos[i]).alias("_b"))
+                                    for i in active]))
+        long = (base.select(*num_cols, *cat_cols, stack.alias("_s"))
+                .select(*num_cols, *cat_cols, F.col("_s._init").alias("_init"),
+                        F.col("_s._b.id").alias("cluster"), F.col("_s._b.d").alias("_cost")).persist())
+        num = long.groupBy("_init", "cluster").agg(F.sum("_cost").alias("_c"),
+                                                    *[F.avg(c).alias(c) for c in num_cols]).collect()
+        modes = {}
+        if cat_cols:
+            cs = F.explode(F.array(*[F.struct(F.lit(c).alias("var"), _q(c).alias("val")) for c in cat_cols]))
+            h = (long.select("_init", "cluster", cs.alias("s")).select("_init", "cluster", "s.*")
+                 .groupBy("_init", "cluster", "var", "val").agg(F.count(F.lit(1)).alias("n")))
+            for r in h.groupBy("_init", "cluster", "var").agg(
+                    F.min_by("val", F.struct(-F.col("n"), F.col("val"))).alias("mode")).collect():
+                modes[(r["_init"], r["cluster"], r["var"])] = r["mode"]
+        long.unpersist()
+        still = []
+        for i in active:
+            rows = [r for r in num if r["_init"] == i]
+            tot = float(sum(r["_c"] for r in rows))
             new = []
-            for r in num:
+            for r in sorted(rows, key=lambda r: r["cluster"]):
                 p = {"cluster": r["cluster"], **{c: r[c] for c in num_cols}}
                 for c in cat_cols:
-                    p[c] = modes.get((r["cluster"], c))
+                    p[c] = modes.get((i, r["cluster"], c))
                 new.append(p)
-            protos = new
-            asg.unpersist()
-            if prev_cost is not None and abs(prev_cost - tot) <= 1e-9 * max(1.0, abs(tot)):
-                break
-            prev_cost = tot
-        if best is None or tot < best[1]:
-            best = (protos, tot)
-    protos, cost = best
-    opts = []
-    for p in protos:
-        cc = sum(((_q(c) - F.lit(float(p[c]))) ** 2 for c in num_cols), F.lit(0.0))
-        cc = cc + F.lit(gamma) * sum(((_q(c) != F.lit(p[c])).cast("double") for c in cat_cols), F.lit(0.0))
-        opts.append(F.struct(cc.alias("d"), F.lit(p["cluster"]).alias("id")))
-    best_o = F.least(*opts) if len(opts) > 1 else opts[0]
-    labels = base.select(id_col, best_o["id"].cast("long").alias("cluster"))
-    return labels, float(cost)
+            protos[i] = new
+            cost[i] = tot
+            if not (i in prev and abs(prev[i] - tot) <= 1e-9 * max(1.0, abs(tot))):
+                still.append(i)
+            prev[i] = tot
+        active = still
+    best = min(range(n_init), key=lambda i: (cost[i], i))
+    labels = base.select(id_col, assign(protos[best])["id"].cast("long").alias("cluster"))
+    return labels, float(cost[best])

@@ -188,3 +188,56 @@ def test_metrics_table_matches_per_labeling(spark):
         r = tab[k]
         assert (r.sil, r.db, r.dunn, r.cv, r.min_pct, r.score) == (one["sil"], one["db"], one["dunn"], one["cv"],
                                                                     one["min_pct"], one["score"])
+
+
+def _kproto_brute(ids, xn, xc, k, n_init, max_iter, seed=42):
+    import hashlib
+    gamma = 0.5 * float(np.mean(xn.std(axis=0, ddof=1)))
+    order = {}
+    best = None
+    for init in range(n_init):
+        keyed = sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{seed + init}{ids[i]}".encode()).hexdigest(),
+                                                        ids[i]))
+        pn = [xn[i].copy() for i in keyed[:k]]
+        pc = [list(xc[i]) for i in keyed[:k]]
+        cl_ids = list(range(k))
+        prev = None
+        for _ in range(max_iter):
+            cost = np.stack([((xn - pn[j]) ** 2).sum(1) + gamma * (xc != np.array(pc[j], dtype=object)).sum(1)
+                             for j in range(len(cl_ids))], axis=1)
+            # ties → smaller cluster id (struct order)
+            a = np.array([cl_ids[int(np.lexsort((np.array(cl_ids), c))[0])] for c in cost])
+            tot = float(cost[np.arange(len(ids)), [cl_ids.index(v) for v in a]].sum())
+            new_ids = sorted(set(a))
+            pn = [xn[a == c].mean(0) for c in new_ids]
+            pc = []
+            for c in new_ids:
+                m = []
+                for j in range(xc.shape[1]):
+                    vals, cnts = np.unique(xc[a == c, j].astype(str), return_counts=True)
+                    m.append(sorted(zip(-cnts, vals))[0][1])
+                pc.append(m)
+            cl_ids = new_ids
+            if prev is not None and abs(prev - tot) <= 1e-9 * max(1.0, abs(tot)):
+                break
+            prev = tot
+        if best is None or tot < best[0]:
+            best = (tot, pn, pc, cl_ids)
+    tot, pn, pc, cl_ids = best
+    cost = np.stack([((xn - pn[j]) ** 2).sum(1) + gamma * (xc != np.array(pc[j], dtype=object)).sum(1)
+                     for j in range(len(cl_ids))], axis=1)
+    return np.array([cl_ids[int(np.lexsort((np.array(cl_ids), c))[0])] for c in cost]), tot
+
+
+def test_kprototypes_matches_brute_force(spark):
+    rng = np.random.default_rng(31)
+    n = 120
+    xn = np.round(rng.normal(size=(n, 2)) + np.repeat([[0, 0], [3, 3], [0, 4]], 40, axis=0), 3)
+    xc = np.array([[rng.choice(["a", "b"]), rng.choice(["u", "v", "w"])] for _ in range(n)], dtype=object)
+    rows = [(i, float(xn[i, 0]), float(xn[i, 1]), str(xc[i, 0]), str(xc[i, 1])) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, n0 double, n1 double, c0 string, c1 string")
+    lab, cost = segment.kprototypes(df, ["n0", "n1"], ["c0", "c1"], 3, n_init=2, max_iter=8)
+    got = lab.orderBy("row_id").toPandas().cluster.to_numpy()
+    ref, ref_cost = _kproto_brute(list(range(n)), xn, xc, 3, 2, 8)
+    assert np.array_equal(got, ref)
+    assert abs(cost - ref_cost) < 1e-6 * max(1.0, ref_cost)
