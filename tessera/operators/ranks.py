@@ -218,14 +218,20 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None
             g = g.sort_values("_pid")
             n = int(g["n"].iloc[0])
             if grid_points is None:
-                plist = list(probs)
+                plist = [(float(p), float(p)) for p in probs]
             else:
+                # the grid of a quantile transformer, with NumPy's arithmetic:
+                # references = linspace(0, 1, m) = j·(1/(m-1)) (last exactly 1),
+                # percentiles are given in % and divided back by 100
                 m = min(n, grid_points)
-                plist = [j / (m - 1) if m > 1 else 0.0 for j in range(m)]
+                step = 1.0 / (m - 1) if m > 1 else 0.0
+                refs = [j * step for j in range(m)]
+                refs[-1] = 1.0 if m > 1 else 0.0
+                plist = [(r, (r * 100.0) / 100.0) for r in refs]
             offs = g["off"].to_numpy()
             pids = g["_pid"].to_numpy()
-            for j, p in enumerate(plist):
-                pos = (n - 1) * p
+            for j, (p, qf) in enumerate(plist):
+                pos = (n - 1) * qf
                 lo, hi = _m.floor(pos), _m.ceil(pos)
                 meta.append((*key, j, float(p), pos - lo))
                 for which, idx in ((0, lo), (1, hi)):
@@ -279,8 +285,10 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None
                         + ["j long", "p double", "frac double"])
     md = spark.createDataFrame(meta, mschema)
     out = md.join(got, [*keys, "j"])
-    return out.select(*keys, F.col("j").cast("int").alias("j"), "p",
-                      (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
+    # linear interpolation written as NumPy's lerp (from the upper end when t >= 0.5)
+    lo, hi, t = F.col("v_lo"), F.col("v_hi"), F.col("frac")
+    lerp = F.when(t >= 0.5, hi - (hi - lo) * (1.0 - t)).otherwise(lo + (hi - lo) * t)
+    return out.select(*keys, F.col("j").cast("int").alias("j"), "p", lerp.alias("q"))
 
 
 def exact_median(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),

@@ -214,12 +214,15 @@ _QN_SQL = f"""WITH src AS (SELECT o_orderkey, o_totalprice AS price,
                           CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prio FROM orders),
 long AS ({sql_long("src", ["price", "prio"], ["o_orderkey"])}),
 cnt AS (SELECT var, count(*) AS n, least(count(*), 1000) AS m FROM long GROUP BY var),
-probs AS (SELECT var, n, i AS j, CASE WHEN m > 1 THEN CAST(i AS DOUBLE) / (m - 1) ELSE 0.0E0 END AS p
+probs AS (SELECT var, n, i AS j,
+                 CASE WHEN m <= 1 THEN 0.0E0 WHEN i = m - 1 THEN 1.0E0 ELSE i * (1.0E0 / (m - 1)) END AS p
           FROM cnt, range(0, 1000) t(i) WHERE i < m),
 ord AS (SELECT var, val, row_number() OVER (PARTITION BY var ORDER BY val) - 1 AS idx FROM long),
-pos AS (SELECT var, j, p, (n - 1) * p AS ps, floor((n - 1) * p) AS lo, ceil((n - 1) * p) AS hi FROM probs),
-q AS (SELECT pos.var, pos.p, a.val + (pos.ps - pos.lo) * (b.val - a.val) AS q
-      FROM pos JOIN ord a ON a.var = pos.var AND a.idx = pos.lo JOIN ord b ON b.var = pos.var AND b.idx = pos.hi),
+pos AS (SELECT var, j, p, (n - 1) * (p * 100.0E0 / 100.0E0) AS ps FROM probs),
+pos2 AS (SELECT *, floor(ps) AS lo, ceil(ps) AS hi, ps - floor(ps) AS t FROM pos),
+q AS (SELECT pos2.var, pos2.p,
+             CASE WHEN t >= 0.5 THEN b.val - (b.val - a.val) * (1.0E0 - t) ELSE a.val + (b.val - a.val) * t END AS q
+      FROM pos2 JOIN ord a ON a.var = pos2.var AND a.idx = pos2.lo JOIN ord b ON b.var = pos2.var AND b.idx = pos2.hi),
 kn AS (SELECT var, q AS u, min(p) AS r_lo, max(p) AS r_hi FROM q GROUP BY var, q),
 kn2 AS (SELECT *, lead(u) OVER (PARTITION BY var ORDER BY u) AS nu, lead(r_lo) OVER (PARTITION BY var ORDER BY u) AS nlo,
                min(u) OVER (PARTITION BY var) AS umin, max(u) OVER (PARTITION BY var) AS umax FROM kn),

@@ -241,3 +241,46 @@ def test_kprototypes_matches_brute_force(spark):
     ref, ref_cost = _kproto_brute(list(range(n)), xn, xc, 3, 2, 8)
     assert np.array_equal(got, ref)
     assert abs(cost - ref_cost) < 1e-6 * max(1.0, ref_cost)
+
+
+def test_ward_heights_match_lance_williams(spark):
+    # independent Ward recurrence on squared distances (Lance–Williams update)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(25, 3))
+    merges = segment.ward_merges(x, np.ones(len(x)))
+    n = len(x)
+    d = {(i, j): float(((x[i] - x[j]) ** 2).sum()) for i in range(n) for j in range(i + 1, n)}
+    size = {i: 1 for i in range(n)}
+    active = set(range(n))
+    heights = []
+    nxt = n
+    while len(active) > 1:
+        (a, b), dab = min(((p, v) for p, v in d.items() if p[0] in active and p[1] in active), key=lambda t: t[1])
+        heights.append(np.sqrt(dab))
+        for c in active - {a, b}:
+            dac = d[tuple(sorted((a, c)))]
+            dbc = d[tuple(sorted((b, c)))]
+            na, nb, nc = size[a], size[b], size[c]
+            d[(c, nxt)] = ((na + nc) * dac + (nb + nc) * dbc - nc * dab) / (na + nb + nc)
+        size[nxt] = size[a] + size[b]
+        active = (active - {a, b}) | {nxt}
+        nxt += 1
+    assert np.allclose([m[3] for m in merges], heights, atol=1e-9)
+
+
+def test_quantile_grid_shorter_than_column_count(spark):
+    from tessera.operators import ranks
+    import statistics
+    x = np.array([3.0, 1.0, 2.0, 2.0, 5.0, 8.0, 13.0])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "row_id long, x double")
+    g = ranks.quantile_grid(df, ["x"], 1000)                   # m = min(n, 1000) = 7 references
+    out = ranks.quantile_normal_transform(df, g, ["x"]).orderBy("row_id").toPandas().x.to_numpy()
+    refs = np.linspace(0, 1, len(x))
+    qs = np.percentile(x, refs * 100)
+    # per value: NumPy's vectorised interp seeds its search with the previous
+    # element, which makes values sitting on a repeated knot order-dependent
+    p = np.array([0.5 * (np.interp(v, qs, refs) - np.interp(-v, -qs[::-1], -refs[::-1])) for v in x])
+    p[x - 1e-7 < qs[0]] = 0
+    p[x + 1e-7 > qs[-1]] = 1
+    p = np.clip(p, 1e-7, 1 - 1e-7)
+    assert np.allclose(out, [statistics.NormalDist().inv_cdf(v) for v in p], atol=1e-9)
