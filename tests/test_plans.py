@@ -10,7 +10,8 @@ BAD = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 @pytest.mark.parametrize("name", ["freq_share", "ari", "hypothesis_verdict", "report_flow", "competence_profile",
                                   "top_n_per_group", "inverse_marginal", "lump_rare", "eps_neighbors",
-                                  "quantile_normal", "nearest_centroid"])
+                                  "quantile_normal", "nearest_centroid", "dbscan_labels_fine", "kprototypes",
+                                  "compare_methods", "segment_flow"])
 def test_plan_has_no_cross_join(spark, name):
     df = all_queries()[name](spark, SF)
     txt = df._jdf.queryExecution().executedPlan().toString()
