@@ -1,0 +1,30 @@
+"""Intermediate tables in the shared folder that the session names."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.session import scratch_path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again.
+
+    Later reads neither recompute it nor depend on the executors that made it.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a broadcast side may have; a wider one is joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a saved table of a few narrow columns, with a broadcast hint if it
+    has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
