@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tessera.llm import _text
 from tessera.llm._lineage import saved
@@ -39,7 +40,7 @@ MAX_COPIES = 2
 BUCKET_DIGITS = 3
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in each whole text; null: 0."""
     data, offsets = _text.text_buffers(text)

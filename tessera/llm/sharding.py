@@ -109,17 +109,23 @@ def assign_shards(docs: DataFrame, n_shards: int = 24, seed: int = 0, id_col: st
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, seed: int = 0,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
-    """``docs`` as Parquet, a folder per shard, rows in slot order."""
-    place = assign_shards(docs, n_shards, seed, id_col, text_col).select(
-        F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    """``docs`` as Parquet, a folder ``_shard=n`` per shard, rows in slot order.
+
+    Rows with equal id and text are dealt to their places in any order.
+    """
+    def numbered(df: DataFrame, order: str) -> DataFrame:
+        return df.withColumn("k", F.row_number().over(Window.partitionBy("i", "c").orderBy(order)))
+
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    n = Window.partitionBy("_id", "_crc").orderBy("slot")
-    m = Window.partitionBy("_id", "_crc").orderBy(F.lit(0))
-    keyed = docs.withColumn("_id", F.col(id_col)).withColumn("_crc", F.crc32(text.cast("binary")))
-    left = keyed.withColumn("_k", F.row_number().over(m))
-    right = (place.withColumn("_k2", F.row_number().over(n))
-             .withColumnRenamed("_id", "_id2").withColumnRenamed("_crc", "_crc2"))
-    out = left.join(right, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_crc") == F.col("_crc2"))
-                    & (F.col("_k") == F.col("_k2"))).drop("_id", "_crc", "_k", "_id2", "_crc2", "_k2")
-    (out.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    left = numbered(docs.select(row.alias("row"), F.col(id_col).alias("i"),
+                                F.crc32(text.cast("binary")).alias("c")), "i")
+    place = assign_shards(docs, n_shards, seed, id_col, text_col)
+    right = numbered(place.select(F.col("doc_id").alias("i"), F.col("text_crc32").alias("c"),
+                                  F.col("shard").alias("_shard"), F.col("slot").alias("at")), "at")
+    out = left.join(right.select(F.col("i").alias("i2"), F.col("c").alias("c2"), F.col("k").alias("k2"),
+                                 "_shard", "at"),
+                    F.col("i").eqNullSafe(F.col("i2")) & (F.col("c") == F.col("c2"))
+                    & (F.col("k") == F.col("k2")))
+    (out.repartition(n_shards, "_shard").sortWithinPartitions("_shard", "at")
+     .select("row.*", "_shard").write.partitionBy("_shard").parquet(path))
