@@ -8,12 +8,20 @@
    posting among any ``k - m + 1`` of their coordinates (the prefix).  Prefixes
    are taken rarest first: coordinates that many texts share, from passages or
    licences, are skipped unless they make up most of a text.
-3. Within a posting list every class is tested against the list's most central
-   class only (a star, never all pairs).  A candidate must agree in ``m``
-   coordinates over the whole signatures and is then confirmed on full sets.
-4. Confirmed links give components.  Lists that still hold several components
-   are joined once more, only between different components, and confirmed alike,
-   so no link that could join two components is skipped.
+3. Within a posting list every class is compared with the list's most central
+   class only (its leader): a star, never all pairs, with the exact size of the
+   intersection.  Pairs that reach the similarity are links; links give
+   components.
+4. Two classes x, y of one list and different components are left over.  With
+   a leader L known to both, they can only be similar if
+   a) they share a shingle that L lacks: the sets without L's shingles are
+      posted under (L, shingle), again only a rarest-first prefix, or
+   b) what they share lies in L, so that both intersections with L reach the
+      overlap that their sizes ask for: a join on L and the sizes.
+   Variants of one text that differ by own edits meet neither, so a large family
+   stays linear.  L is the most central leader of both (their home) if that is
+   the same one, else the leader of their list.  Candidates must agree in ``m``
+   coordinates over the whole signatures and are then confirmed on full sets.
 5. Components of all links name the groups.
 
 ``m`` is far below the wanted similarity: with k = 64, m = 32 a pair of
@@ -34,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tessera.llm import _text
 from tessera.llm._lineage import saved, small
@@ -116,7 +125,7 @@ def prefix_postings(reps: DataFrame, k: int, matches: int) -> DataFrame:
             .select("rep", "weight", F.col("x.token").alias("token")))
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(IntegerType())
 def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     """Equal coordinates of two signatures."""
     if len(a) == 0:
@@ -145,6 +154,112 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, w
     return named
 
 
+def star_overlaps(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rep, leader, n, n_leader, inner, rest``: sizes, the intersection's size
+    and the shingles of ``rep`` that its leader lacks."""
+    own = sets.select("rep", F.col("shingles").alias("own"))
+    lead = sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("lead"))
+    return (stars.join(own, "rep").join(lead, "leader")
+            .select("rep", "leader", F.size("own").alias("n"), F.size("lead").alias("n_leader"),
+                    F.array_except("own", "lead").alias("rest"))
+            .withColumn("inner", F.col("n") - F.size("rest")))
+
+
+def _cross_pairs(lists: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Pairs ``a, b`` within the groups of ``keys`` whose ``c`` and ``g`` differ.
+
+    ``by`` is ``c`` or ``g``.  One of a pair is not of the group's most frequent
+    ``by``, so only those rows are joined to all; groups with one value of it
+    end here.
+    """
+    counts = lists.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("k"))
+    top = (counts.groupBy(*keys).agg(F.max_by(by, F.struct("k", by)).alias("top"),
+                                     F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    rows = saved(lists.join(top.drop("kinds"), keys), "lists")
+    x = rows.where(F.col(by) != F.col("top")).select(
+        *keys, F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("g").alias("gx"))
+    y = rows.select(*keys, F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("g").alias("gy"))
+    return _unordered(x.join(y, keys).where("cx <> cy and gx <> gy"))
+
+
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def pairs_outside_leader(family: DataFrame, similarity_pct: int, by: str) -> DataFrame:
+    """Pairs that differ in ``c`` and ``g`` and share a shingle their leader lacks."""
+    posted = family.select("leader", "rep", F.explode("rest").alias("s"))
+    shared = posted.groupBy("leader", "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    per_rep = (posted.join(shared, ["leader", "s"]).groupBy("leader", "rep")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("t")))
+    # at least this many of the ``rest`` must be shared: similar sets share
+    # similarity * n, and at most ``inner`` of those lie in the leader
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * similarity_pct / 100).cast("int") - F.col("inner"))
+    prefix = F.slice("t", 1, F.greatest(F.size("t") - least + 1, F.lit(0)))
+    lists = (per_rep.join(family.select("leader", "rep", "c", "g", "n", "inner"), ["leader", "rep"])
+             .select("leader", "rep", "c", "g", F.explode(prefix).alias("x"))
+             .select("leader", "rep", "c", "g", F.col("x.s").alias("s")))
+    return _cross_pairs(lists, ["leader", "s"], by)
+
+
+def pairs_inside_leader(family: DataFrame, similarity_pct: int) -> DataFrame:
+    """Pairs that differ in ``c`` and ``g`` and whose overlap may lie within
+    their leader.
+
+    Their overlap is at most either intersection with the leader, so the sizes
+    of a pair add up to at most ``inner * (100 + pct) / pct`` on both sides.
+    """
+    pct = similarity_pct
+    near = (family.where(100 * F.col("inner") >= pct * F.col("n"))
+            .withColumn("most", F.col("inner") * (100 + pct) / pct - F.col("n")).drop("rest"))
+
+    def step(size):
+        return F.floor(F.log(size) / F.log(F.lit(1.05))).cast("int")
+
+    x = (near.where("c <> c_leader")
+         .select("leader", F.col("rep").alias("x"), F.col("c").alias("cx"), F.col("g").alias("gx"),
+                 F.col("n").alias("nx"), F.col("most").alias("mx"),
+                 F.explode(F.sequence(step(F.col("n") * pct / 100) - 1,
+                                      F.greatest(step(F.col("most")), step(F.col("n") * pct / 100))))
+                 .alias("step")))
+    y = near.select("leader", F.col("rep").alias("y"), F.col("c").alias("cy"), F.col("g").alias("gy"),
+                    F.col("n").alias("ny"), F.col("most").alias("my"), step(F.col("n")).alias("step"))
+    return _unordered(x.join(y, ["leader", "step"])
+                      .where("cx <> cy and gx <> gy and ny <= mx and nx <= my"))
+
+
+def open_pairs(posts: DataFrame, leaders: DataFrame, stars: DataFrame, component: DataFrame,
+               similarity_pct: int) -> DataFrame:
+    """Pairs of different components that no star has compared and that can still
+    be similar (step 4 above)."""
+    central = posts.select(F.col("rep").alias("leader"), F.col("weight").alias("w")).distinct()
+    rank = F.struct((2 * F.col("inner") >= F.col("n")).alias("near"), "w", -F.col("leader"))
+    home = (stars.select("rep", "leader", "inner", "n").join(central, "leader")
+            .groupBy("rep").agg(F.max_by("leader", rank).alias("h")))
+    of = (posts.select("rep").distinct().join(home, "rep", "left").join(component, "rep", "left")
+          .select("rep", F.coalesce("h", "rep").alias("h"), F.coalesce("component", "rep").alias("c")))
+    of = saved(of, "homes")
+    lead = of.select(F.col("rep").alias("leader"), F.col("c").alias("c_leader"))
+    overlap = stars.select("rep", "leader", "n", "inner", "rest")
+
+    at_home = (of.where("rep <> h").select("rep", F.col("h").alias("leader"), "c", F.col("rep").alias("g"))
+               .join(overlap, ["rep", "leader"]).join(lead, "leader"))
+    at_home = saved(at_home, "family")
+    led = (posts.select("rep", "token").join(leaders, "token").where("rep <> leader").join(of, "rep"))
+    several = (led.groupBy("token").agg(F.min("h").alias("h0"), F.max("h").alias("h1"),
+                                        F.min("c").alias("c0"), F.max("c").alias("c1"))
+               .where("h0 <> h1 and c0 <> c1").select("token"))
+    abroad = (led.join(several, "token").select("leader", "rep", "c", F.col("h").alias("g")).distinct()
+              .join(overlap, ["rep", "leader"]).join(lead, "leader"))
+    abroad = saved(abroad, "family")
+    pairs = pairs_outside_leader(at_home, similarity_pct, "c")
+    for more in (pairs_outside_leader(abroad, similarity_pct, "g"),
+                 pairs_inside_leader(at_home, similarity_pct),
+                 pairs_inside_leader(abroad, similarity_pct)):
+        pairs = pairs.unionByName(more)
+    return pairs.distinct()
+
+
 def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
             similarity_pct: int) -> DataFrame:
     """The pairs (``a, b``) that agree in ``matches`` coordinates and whose full
@@ -180,22 +295,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     leaders = posts.groupBy("token").agg(
         F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
-    stars = (posts.join(leaders, "token").where("rep <> leader")
-             .select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-             .distinct())
-    stars = saved(stars, "stars")
-    links = saved(confirm(stars, reps, sets, matches, similarity_pct), "links")
-
-    first = components(links)
-    labelled = posts.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "token", F.coalesce("component", "rep").alias("c"))
-    mixed = (labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-             .where("lo <> hi").select("token"))
-    open_ = saved(labelled.join(mixed, "token"), "open")
-    left = open_.select("token", F.col("rep").alias("a"), F.col("c").alias("ca"))
-    right = open_.select("token", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    rest = (left.join(right, "token").where("a < b and ca <> cb").select("a", "b").distinct()
-            .join(stars, ["a", "b"], "left_anti"))
+    led = posts.select("rep", "token").join(leaders, "token").where("rep <> leader")
+    stars = saved(star_overlaps(led.select("rep", "leader").distinct(), sets), "stars")
+    similar = 100 * F.col("inner") >= similarity_pct * (F.col("n") + F.col("n_leader") - F.col("inner"))
+    links = saved(stars.where(similar).select(F.col("rep").alias("a"), F.col("leader").alias("b")),
+                  "links")
+
+    first = saved(components(links).withColumnRenamed("node", "rep"), "first")
+    rest = open_pairs(posts, leaders, stars, first, similarity_pct)
     more = saved(confirm(rest, reps, sets, matches, similarity_pct), "links")
     groups = components(links.unionByName(more))
 
