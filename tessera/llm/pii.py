@@ -179,11 +179,13 @@ def _replaced(kind: str, text: Column, matches: Column) -> Column:
 def redact(text: Column) -> Column:
     """``text`` with every confirmed span replaced by its kind, kind after kind."""
     def one(kind):
-        return lambda v: _replaced(kind, v["t"], v["m"])
+        def replaced(t):
+            found = F.regexp_extract_all(t, F.lit(KINDS[kind][0]), F.lit(0))
+            return _let(found, lambda m: _replaced(kind, t, m))
+        return replaced
 
-    for kind, (pattern, *_) in KINDS.items():
-        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        text = _let(F.struct(text.alias("t"), matches.alias("m")), one(kind))
+    for kind in KINDS:
+        text = _let(text, one(kind))
     return text
 
 
