@@ -82,10 +82,24 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def code_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code points of each text: bytes that are not UTF-8 continuations."""
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return lead[offsets[1:]] - lead[offsets[:-1]]
+def per_text(data: np.ndarray, offsets: np.ndarray, flags) -> np.ndarray:
+    """Per text, the bytes for which ``flags(part, starts)`` is true.
+
+    Texts are taken a group at a time; ``starts`` are the offsets of the texts
+    within the part.
+    """
+    out = np.zeros(len(offsets) - 1, np.int64)
+    row = 0
+    while row < len(out):
+        stop = int(np.searchsorted(offsets, offsets[row] + GROUP_BYTES, side="right")) - 1
+        stop = min(max(stop, row + 1), len(out))
+        rel = offsets[row:stop + 1] - offsets[row]
+        part = data[offsets[row]:offsets[stop]]
+        total = np.zeros(len(part) + 1, np.int64)
+        np.cumsum(flags(part, rel), out=total[1:])
+        out[row:stop] = total[rel[1:]] - total[rel[:-1]]
+        row = stop
+    return out
 
 
 class Words:

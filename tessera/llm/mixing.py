@@ -22,7 +22,6 @@ they occur; extra columns pass through ``mix`` untouched.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tessera.llm import _text
-from tessera.llm._lineage import saved
-from tessera.llm.components import components
+from tessera.operators.graph import components
+from tessera.sources.scratch import saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -44,13 +43,16 @@ BUCKET_DIGITS = 3
 def word_count(text: pa.Array) -> pa.Array:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in each whole text; null: 0."""
     data, offsets = _text.text_buffers(text)
-    is_word = _text._IS_WORD[data]
-    starts = is_word.copy()
-    starts[1:] &= ~is_word[:-1]
-    edges = offsets[offsets < len(data)]
-    starts[edges] = is_word[edges]
-    total = np.concatenate([[0], np.cumsum(starts)])
-    return pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64())
+
+    def starts(part, rel):
+        is_word = _text._IS_WORD[part]
+        first = is_word.copy()
+        first[1:] &= ~is_word[:-1]
+        edges = rel[rel < len(part)]
+        first[edges] = is_word[edges]
+        return first
+
+    return pa.array(_text.per_text(data, offsets, starts), pa.int64())
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,

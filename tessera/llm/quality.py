@@ -48,11 +48,6 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return total[offsets[1:]] - total[offsets[:-1]]
-
-
 def repeat_words(hashes: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.ndarray:
     """Per text, the words that lie in a ``width``-word window found twice or more."""
     n, counts = len(hashes), np.diff(offsets)
@@ -74,7 +69,8 @@ def repeat_words(hashes: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.
         hit = whole[twice]
         for j in range(width):
             covered[hit + j] = True
-    return _per_text(covered, offsets)
+    total = np.concatenate([[0], np.cumsum(covered)])
+    return total[offsets[1:]] - total[offsets[:-1]]
 
 
 def duplicate_lines(raw: bytes) -> int:
@@ -115,10 +111,9 @@ def _ratios(data, offsets, bands: Bands):
 def measure(col: pa.Array, bands: Bands = Bands()) -> pa.StructArray:
     """All measures and the verdict for a column of whole texts."""
     data, offsets = _text.text_buffers(col)
-    is_word = _text._IS_WORD[data]
     n_words, n_repeat = _word_counts(col)
-    word_chars = _per_text(is_word & ((data & 0xC0) != 0x80), offsets)
-    n_symbols = _per_text(_SYMBOL[data], offsets)
+    word_chars = _text.per_text(data, offsets, lambda d, _: _text._IS_WORD[d] & ((d & 0xC0) != 0x80))
+    n_symbols = _text.per_text(data, offsets, lambda d, _: _SYMBOL[d])
     view = memoryview(data)
     n_dup = np.array([duplicate_lines(bytes(view[offsets[i]:offsets[i + 1]]))
                       for i in range(len(offsets) - 1)], np.int64)
