@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
+from tessera.sources.scratch import saved
 
 BLOCK = 1024
 
@@ -46,6 +47,7 @@ def suffix_sums(hist: DataFrame, limits: tuple = ()) -> DataFrame:
     ``rank``: share of documents of at most this length (the quantile it is).
     """
     spark = hist.sparkSession
+    hist = saved(hist, "lengths")
     extra = spark.createDataFrame([(int(x), 0) for x in limits], "length long, n_docs long")
     h = (hist.select("length", "n_docs").unionByName(extra)
          .groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
