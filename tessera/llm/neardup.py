@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tessera.llm import _text
-from tessera.llm._lineage import saved, small
-from tessera.llm.components import components
+from tessera.sources.scratch import saved, small
+from tessera.operators.graph import components
 
 K = 64
 MATCHES = 32
