@@ -2,8 +2,8 @@
 
 Every encoder is a column expression (a literal ``map`` lookup, a ``CASE``
 chain or arithmetic) evaluated inside whole-stage codegen; the one encoder that
-needs data-dependent information (rare-category lumping) uses a frequency
-aggregate joined back on the value.
+needs data-dependent information (rare-category lumping) looks the kept values up
+in a size-checked table.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.sources.scratch import BROADCAST_ROWS, saved
 
 
 def _q(c) -> Column:
@@ -102,23 +103,30 @@ def nominal_clean(c, replace: dict | None = None, valid: list[str] | None = None
 
 
 def lump_rare(df: DataFrame, col: str, min_count: int, other: str = "Otro",
-              out: str | None = None) -> DataFrame:
+              out: str | None = None, salt: int = 32) -> DataFrame:
     """Values seen fewer than ``min_count`` times → ``other``; null kept.
 
-    Upper-case + strip first.  The frequency table (one row per distinct
-    value, map-side combined) is joined back on the value; values of a hot
-    category stay in their partitions (AQE splits a skewed join side).
+    Upper-case + strip first.  Only the kept values are needed: while they are
+    few (checked) they are broadcast, so the rows are not shuffled.  Beyond that
+    rows and values are salted, so that a hot category, or the nulls, spread
+    over ``salt`` tasks.
     """
     out = out or col
     cleaned = F.upper(tx.strip(_q(col).cast("string")))
     base = df.withColumn("_lump_v", cleaned)
-    freq = (base.where(F.col("_lump_v").isNotNull()).groupBy("_lump_v")
-            .agg(F.count(F.lit(1)).alias("_lump_n")))
-    j = base.join(freq, "_lump_v", "left")
+    kept = saved(base.where(F.col("_lump_v").isNotNull()).groupBy("_lump_v")
+                 .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
+                 .select(F.col("_lump_v").alias("_lump_k")), "categories")
+    if kept.count() <= BROADCAST_ROWS:
+        j = base.join(F.broadcast(kept), F.col("_lump_v") == F.col("_lump_k"), "left")
+    else:
+        base = base.withColumn("_lump_s", F.pmod(F.xxhash64(*[_q(c) for c in df.columns]), F.lit(salt)))
+        every = kept.withColumn("_lump_t", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        j = base.join(every, (F.col("_lump_v") == F.col("_lump_k")) & (F.col("_lump_s") == F.col("_lump_t")), "left")
+        j = j.drop("_lump_s", "_lump_t")
     return (j.withColumn(out, F.when(F.col("_lump_v").isNull(), F.lit(None).cast("string"))
-                         .when(F.col("_lump_n") >= min_count, F.col("_lump_v"))
-                         .otherwise(F.lit(other)))
-            .drop("_lump_v", "_lump_n"))
+                         .when(F.col("_lump_k").isNotNull(), F.col("_lump_v")).otherwise(F.lit(other)))
+            .drop("_lump_v", "_lump_k"))
 
 
 def additive_score(cols: list[str]) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import ranks
+from tessera.sources.scratch import saved
 
 
 def _q(c: str) -> Column:
@@ -64,10 +65,10 @@ def mode_impute(df: DataFrame, cols: list[str], fallback: str = "Otro") -> DataF
 
 
 def zscore(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
-    """(x − mean) / population std (ddof 0, as StandardScaler)."""
+    """(x − mean) / population std (ddof 0) (M15); a constant column becomes 0."""
     st = df.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
                 *[F.stddev_pop(_q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    return df.withColumns({c + suffix: (_q(c) - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"])
+    return df.withColumns({c + suffix: (_q(c) - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"] or 1.0)
                            for i, c in enumerate(cols)})
 
 
@@ -271,6 +272,13 @@ class FactorModel:
             out.append(e.alias(f"{prefix}_F{k + 1}"))
         return out
 
+    def to_table(self, spark) -> DataFrame:
+        """Everything that scoring needs, one row per variable and factor."""
+        rows = [(self.block, c, k + 1, float(self.loadings[j, k]), float(self.weights[j, k]), float(self.means[j]),
+                 float(self.stds[j])) for j, c in enumerate(self.cols) for k in range(self.n_factors)]
+        return spark.createDataFrame(rows, "block string, var string, factor int, loading double, weight double, "
+                                           "mean double, std double")
+
     def loadings_table(self, spark) -> DataFrame:
         rows = [(self.block, c, k + 1, float(round(self.loadings[j, k], 3)))
                 for j, c in enumerate(self.cols) for k in range(self.n_factors)]
@@ -350,6 +358,22 @@ class MCAModel:
     inertia_pct: list[float]
     cat_scores: np.ndarray      # J × d scores c_j^{-1/2} v_jk
 
+    def to_table(self, spark) -> DataFrame:
+        """Category scores, one row per category and dimension."""
+        rows = [(v, c, k + 1, float(self.cat_scores[j, k])) for j, (v, c) in enumerate(self.categories)
+                for k in range(self.cat_scores.shape[1])]
+        return spark.createDataFrame(rows, "var string, category string, dim int, score double")
+
+    @classmethod
+    def from_table(cls, table: DataFrame, cols: list[str]) -> "MCAModel":
+        """The scoring part of a saved model; inertia is not kept."""
+        rows = sorted((tuple(r) for r in table.collect()), key=lambda r: (cols.index(r[0]), str(r[1]), r[2]))
+        cats = list(dict.fromkeys((r[0], r[1]) for r in rows))
+        scores = np.zeros((len(cats), max(r[2] for r in rows)))
+        for v, c, k, x in rows:
+            scores[cats.index((v, c)), k - 1] = x
+        return cls(cols, cats, np.array([]), [], scores)
+
     def coord_columns(self, prefix: str = "acm_dim") -> list[Column]:
         """Row coordinate = mean over the K answers of the category scores."""
         out = []
@@ -364,7 +388,11 @@ class MCAModel:
         return out
 
 
-def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3, max_categories: int = 5000) -> MCAModel:
+#: Bytes of the J × J matrix that the driver may solve; more categories are lumped first.
+MCA_BYTES = 1 << 30
+
+
+def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3) -> MCAModel:
     """MCA from the Burt table.
 
     With Z the n×J indicator matrix, K answers per row and column masses
@@ -372,16 +400,18 @@ def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3, max_categorie
     are the eigenvectors of D_c^{-1/2}(B/(nK²) − ccᵀ)D_c^{-1/2}; row principal
     coordinates are the average of c_j^{-1/2}·v_j·… over a row's categories.
     Inertia % divides by the total inertia (J − K)/K (S-12).
-    Input columns must be complete (mode-impute first).
+    Input columns must be complete (mode-impute first).  The J × J matrix is
+    solved on the driver: its size is checked against ``MCA_BYTES`` and, beyond
+    it, rare categories are to be lumped (``encode.lump_rare``) as the survey's
+    own preparation does.
     """
-    burt = burt_counts(df, cols)
-    n_cat = burt.select("var_a", "cat_a").distinct().count()
-    if n_cat > max_categories:
-        raise ValueError(f"{n_cat} categories exceed max_categories={max_categories}; lump rare ones first")
+    burt = saved(burt_counts(df, cols), "burt")
+    jn = burt.where("var_a = var_b and cat_a <=> cat_b").count()
+    if 8 * jn * jn > MCA_BYTES:
+        raise ValueError(f"{jn} categories: the matrix exceeds MCA_BYTES; lump rare categories first")
     b = burt.collect()
     cats = sorted({(r["var_a"], r["cat_a"]) for r in b}, key=lambda t: (cols.index(t[0]), t[1]))
     ix = {c: i for i, c in enumerate(cats)}
-    jn = len(cats)
     bm = np.zeros((jn, jn))
     for r in b:
         bm[ix[(r["var_a"], r["cat_a"])], ix[(r["var_b"], r["cat_b"])]] = r["n"]
@@ -411,6 +441,24 @@ class PCAModel:
     explained_variance: np.ndarray
     explained_ratio: np.ndarray
 
+    def to_table(self, spark) -> DataFrame:
+        """Components, one row per variable and component."""
+        rows = [(c, k + 1, float(self.components[j, k]), float(self.means[j]), float(self.explained_variance[k]),
+                 float(self.explained_ratio[k])) for j, c in enumerate(self.cols)
+                for k in range(self.components.shape[1])]
+        return spark.createDataFrame(rows, "var string, component int, weight double, mean double, "
+                                           "variance double, ratio double")
+
+    @classmethod
+    def from_table(cls, table: DataFrame, cols: list[str]) -> "PCAModel":
+        rows = table.collect()
+        d = max(r["component"] for r in rows)
+        w, m, var, ratio = np.zeros((len(cols), d)), np.zeros(len(cols)), np.zeros(d), np.zeros(d)
+        for r in rows:
+            j, k = cols.index(r["var"]), r["component"] - 1
+            w[j, k], m[j], var[k], ratio[k] = r["weight"], r["mean"], r["variance"], r["ratio"]
+        return cls(cols, m, w, var, ratio)
+
     def score_columns(self, prefix: str = "pc") -> list[Column]:
         out = []
         for k in range(self.components.shape[1]):
@@ -443,6 +491,6 @@ def latent_space(df: DataFrame, cols: list[str], id_col: str = "row_id", n_compo
     Returns ``(scores_df(id, pc1..pcd), pca_model, grid)``.
     """
     grid = ranks.quantile_grid(df, cols, n_quantiles)
-    qt = ranks.quantile_normal_transform(df.select(id_col, *cols), grid, cols).checkpoint()
+    qt = saved(ranks.quantile_normal_transform(df.select(id_col, *cols), grid, cols), "normal")
     model = fit_pca(qt, cols, n_components)
     return qt.select(id_col, *model.score_columns()), model, grid

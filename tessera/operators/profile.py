@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.operators.ranks import to_long, exact_quantiles
+from tessera.sources.scratch import saved
 
 
 def _q(c: str) -> Column:
@@ -54,8 +55,8 @@ def freq_share(df: DataFrame, col: str, group_col: str | None = None) -> DataFra
     """Frequency and share (nulls excluded).
 
     ``(group?, value, n, share)`` — share of the group (or grand) total.  The
-    totals come from a second aggregation of the counts table and are joined
-    on the group key (a single row when there is no group).
+    totals come from a second aggregation of the counts table, which is computed
+    once; the source is read once.
     """
     keys = [group_col] if group_col else []
     base = df.where(_q(col).isNotNull())
@@ -67,6 +68,7 @@ def freq_share(df: DataFrame, col: str, group_col: str | None = None) -> DataFra
     else:
         # grand total: one number, read back as a literal (no join, no
         # single-partition window over the counts table)
+        counts = saved(counts, "counts")
         total = counts.agg(F.sum("n")).first()[0] or 0
         out = counts.withColumn("_tot", F.lit(total))
     return out.select(*keys, "value", "n", (F.col("n") / F.col("_tot")).alias("share"))
@@ -169,6 +171,12 @@ def top_corr_pairs(df: DataFrame, cols: list[str], n: int = 5) -> DataFrame:
     return corr_pairs(df, cols).orderBy(F.desc(F.abs("r")), "var1", "var2").limit(n)
 
 
+def mean_corr(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Mean correlation over all pairs (A18): one row ``(n_pairs, mean_r, mean_abs_r)``."""
+    return corr_pairs(df, cols).agg(F.count("r").alias("n_pairs"), F.avg("r").alias("mean_r"),
+                                    F.avg(F.abs("r")).alias("mean_abs_r"))
+
+
 def box_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """Five-number summary + 1.5·IQR fences and outlier count per column."""
     long = to_long(df, cols)

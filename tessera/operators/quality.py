@@ -8,8 +8,6 @@ duplicates.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,25 +88,25 @@ def range_validate(df: DataFrame, cols: list[str], lo: float, hi: float) -> Data
 
 
 def _issue_table(df: DataFrame, cols: list[str], bad: dict[str, Column], check: str) -> DataFrame:
-    """``(check, column, n_invalid, bad_values)`` — one unpivot + one aggregation."""
+    """``(check, column_name, bad_value, n_invalid)``: one row per column and bad
+    value, so that a free-text column gives a long table, never a long string."""
     if not cols:
-        return df.sparkSession.createDataFrame([], "check string, column_name string, n_invalid bigint, bad_values string")
+        return df.sparkSession.createDataFrame(
+            [], "check string, column_name string, bad_value string, n_invalid bigint")
     stack = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), bad[c].alias("is_bad"), _q(c).cast("string").alias("value"))
         for c in cols]))
     long = df.select(stack.alias("s")).select("s.*").where("is_bad")
-    return (long.groupBy("column_name")
-            .agg(F.count(F.lit(1)).alias("n_invalid"),
-                 F.array_join(F.array_sort(F.collect_set("value")), "|").alias("bad_values"))
-            .select(F.lit(check).alias("check"), "column_name", "n_invalid", "bad_values"))
+    return (long.groupBy("column_name", F.col("value").alias("bad_value"))
+            .agg(F.count(F.lit(1)).alias("n_invalid"))
+            .select(F.lit(check).alias("check"), "column_name", "bad_value", "n_invalid"))
 
 
 def range_issues(df: DataFrame, cols: list[str], lo: float, hi: float,
                  check: str = "range") -> DataFrame:
-    """Count and list the non-null values outside ``[lo, hi]`` per column.
+    """The non-null values outside ``[lo, hi]`` per column, with their counts.
 
     Non-numeric text counts as invalid too (it becomes null on coercion).
-    ``collect_set`` is per column and holds only distinct *bad* values.
     """
     present = [c for c in cols if c in df.columns]
     bad = {c: _q(c).isNotNull() & in_range(c, lo, hi).isNull() for c in present}
@@ -150,36 +148,54 @@ def positive_only(c: str) -> Column:
 # duplicates
 # ---------------------------------------------------------------------------
 
+def row_digest(df: DataFrame, cols: list[str]) -> Column:
+    """SHA-256 of the listed values, each written with its length.
+
+    Rows have the same digest exactly if a ``GROUP BY`` over the columns would
+    put them together (null equals null, -0.0 equals 0.0); shuffles carry 32
+    bytes instead of whole texts.
+    """
+    from pyspark.sql import types as T
+
+    parts = []
+    for c in cols:
+        v = _q(c)
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            v = v + F.lit(0.0)
+        v = v.cast("string")
+        parts.append(F.when(v.isNull(), F.lit("-")).otherwise(
+            F.concat(F.length(v).cast("string"), F.lit(":"), v)))
+    return F.unhex(F.sha2(F.concat_ws(",", *parts), 256))
+
+
 def dedupe_exact(df: DataFrame, order_col: str = "row_id") -> DataFrame:
     """Drop exact duplicates over all columns but ``order_col``; keep the first.
 
-    ``groupBy(all columns).agg(min(order_col))``: nulls compare equal, the
-    minimum is combined map-side, so a group of a billion copies costs one
-    row per task before the shuffle.
+    The smallest id per row digest is combined map-side, so a group of a billion
+    copies costs one row per task; the rows themselves are then picked by id.
+    Ids are unique.
     """
     others = [c for c in df.columns if c != order_col]
-    return (df.groupBy(*[_q(c) for c in others]).agg(F.min(order_col).alias(order_col))
-            .select(*[_q(c) for c in df.columns]))
+    keep = (df.select(row_digest(df, others).alias("_d"), _q(order_col).alias("_id"))
+            .groupBy("_d").agg(F.min("_id").alias("_id")).select("_id"))
+    return df.join(keep, _q(order_col) == F.col("_id"), "left_semi")
 
 
 def dedupe_by_key(df: DataFrame, keys: list[str], order_col: str = "row_id") -> DataFrame:
     """Keep the first row (smallest ``order_col``) of every key.
 
-    ``min(struct(order_col, rest...))`` per key is a plain aggregate with
-    partial aggregation, so a hot key never gathers its rows in one task (a
-    ``row_number`` window would).  Null keys form one group (S-3).
+    The smallest id per key is a hash aggregate combined map-side, so a hot key
+    never gathers its rows in one task; the rows are picked by id.  Null keys
+    form one group (S-3).  Ids are unique.
     """
-    rest = [c for c in df.columns if c not in keys and c != order_col]
-    first = F.min(F.struct(_q(order_col).alias(order_col), *[_q(c).alias(c) for c in rest]))
-    return (df.groupBy(*[_q(k) for k in keys]).agg(first.alias("_first"))
-            .select(*[_q(k) for k in keys], "_first.*")
-            .select(*[_q(c) for c in df.columns]))
+    keep = df.groupBy(*[_q(k) for k in keys]).agg(F.min(_q(order_col)).alias("_id")).select("_id")
+    return df.join(keep, _q(order_col) == F.col("_id"), "left_semi")
 
 
 def duplicate_count(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Rows minus distinct rows over ``keys`` (D3): one row ``(n_rows, n_distinct, n_duplicates)``."""
     keys = keys or df.columns
-    g = df.groupBy(*[_q(k) for k in keys]).agg(F.count(F.lit(1)).alias("cnt"))
+    g = df.select(row_digest(df, keys).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("cnt"))
     return g.agg(F.sum("cnt").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"),
                  F.sum(F.col("cnt") - 1).alias("n_duplicates"))
 
@@ -201,32 +217,6 @@ def append_rows(df: DataFrame, other: DataFrame) -> DataFrame:
     return df.unionByName(other, allowMissingColumns=True)
 
 
-# ---------------------------------------------------------------------------
-# quality report
-# ---------------------------------------------------------------------------
-
-@dataclass
-class IngestConfig:
-    """Parameters of an ingest run; defaults are those of table A."""
-    index_col: str = "Unnamed: 0"
-    pii_cols: list[str] = field(default_factory=list)
-    key_cols: list[str] = field(default_factory=list)
-    sparse_threshold: float = 0.95
-    incomplete_threshold: float = 0.90
-    sentinel_col: str | None = None
-    sentinel_value: float = 87.0
-    likert_cols: list[str] = field(default_factory=list)
-    likert_range: tuple = (1.0, 5.0)
-    binary_cols: list[str] = field(default_factory=list)
-    binary_values: tuple = ("Si", "No")
-    stratum_cols: list[str] = field(default_factory=list)
-    stratum_range: tuple = (1.0, 6.0)
-    na_token: str | None = None
-    na_token_cols: list[str] = field(default_factory=list)
-    order_col: str = "row_id"
-    dedupe: str = "exact"            # "exact" (D1) or "key" (D2)
-
-
 def strip_all_text(df: DataFrame) -> DataFrame:
     """Strip every string column."""
     from pyspark.sql import types as T

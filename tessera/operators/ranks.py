@@ -4,17 +4,16 @@ Everything here is built on one primitive, the *ranked histogram*:
 
 1. ``groupBy(keys, val).count()`` – a value histogram (map-side combined, so a
    value repeated a billion times is one row).
-2. The distinct values of every key group are cut into ``buckets`` ranges by
-   ``percentile_approx`` (a bounded sketch per group).  The cut points only
-   decide *where* work happens; the result is exact whatever they are.
-3. Per (group, bucket) the counts are summed – a table of at most
-   ``groups × buckets`` rows – and a window over that small table gives every
-   bucket its offset.
-4. A window partitioned by (group, bucket) and ordered by value gives each
-   distinct value the number of rows before it.
+2. The histogram is range-partitioned on (keys, val) and written with the
+   number of the range; ranges only decide *where* work happens.
+3. Per (range, group) the counts are summed, and a window over that small table
+   (ranges of one group) gives every range its offset.
+4. A window within (range, group), ordered by value, gives each distinct value
+   the number of rows before it.
 
 No window ever spans a whole variable, so neither a hot value nor a
-high-cardinality column lands in one task.
+high-cardinality column lands in one task, and nothing is collected: the number
+of groups and of quantiles is not limited by the driver.
 """
 
 from __future__ import annotations
@@ -26,12 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.stats import chi2_sf, stars_sql, QT_BOUND
+from tessera.sources.scratch import BROADCAST_ROWS, saved
 
 # partitions of the range-sorted histogram; None lets AQE size them
 DEFAULT_BUCKETS = None
-# rank / quantile groups (e.g. variables × segments) whose per-partition
-# offsets may be collected to the driver
-MAX_RANK_GROUPS = 100_000
 
 
 def to_long(df: DataFrame, cols: list[str], id_cols: list[str] | tuple = (),
@@ -49,114 +46,36 @@ def histogram(long: DataFrame, keys: list[str], val: str = "val") -> DataFrame:
             .groupBy(*keys, val).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _sorted_histogram(hist: DataFrame, keys: list[str], val: str, cnt: str, partitions: int | None):
-    """Range-partition the histogram on (keys, val), sort inside partitions,
-    persist, and return it with the partition id plus the per-(partition,
-    key) counts (a table of at most ``partitions × groups`` rows)."""
-    from pyspark import StorageLevel
-
-    # the range-bound sampling job and the sort read the histogram: compute it once
-    hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-    h = hist.select(*keys, val, F.col(cnt).cast("long").alias("cnt"))
-    # without an explicit count AQE may coalesce the (contiguous, ordered)
-    # ranges of a small histogram into fewer tasks
-    h = h.repartitionByRange(partitions, *keys, val) if partitions else h.repartitionByRange(*keys, val)
-    # checkpointed, not cached: the second pass must see exactly the partitions
-    # the offsets were computed from, and a recomputed range shuffle could cut
-    # the ranges differently (sampled bounds, AQE sizing)
-    from tessera.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(hist.sparkSession)
-    srt = (h.sortWithinPartitions(*keys, val)
-           .withColumn("_pid", F.spark_partition_id())
-           .checkpoint(eager=True))
-    hist.unpersist()
-    # the offset table has (partitions × groups) rows: bounded for the
-    # intended uses (variables, variables × segments); refuse unbounded keys
-    n_groups = srt.select(*keys).distinct().limit(MAX_RANK_GROUPS + 1).count() if keys else 1
-    if n_groups > MAX_RANK_GROUPS:
-        raise ValueError(f"{n_groups} rank groups exceed MAX_RANK_GROUPS={MAX_RANK_GROUPS}; "
-                         "rank within fewer groups")
-    pc = srt.groupBy("_pid", *keys).agg(F.sum("cnt").alias("c")).collect()
-    pcs = pd.DataFrame([r.asDict() for r in pc], columns=["_pid", *keys, "c"])
-    pcs = pcs.sort_values(["_pid"], kind="stable")
-    if len(pcs):
-        grp = pcs.groupby(keys, sort=False, dropna=False)["c"]
-        pcs["off"] = grp.cumsum() - pcs["c"]
-        pcs["n"] = grp.transform("sum")
-    else:
-        pcs["off"] = pd.Series(dtype="int64")
-        pcs["n"] = pd.Series(dtype="int64")
-    return srt, pcs
-
-
 def rank_histogram(hist: DataFrame, keys: list[str], val: str = "val",
-                   cnt: str = "cnt", partitions: int | None = None, buckets: int | None = None,
-                   _with_offsets: bool = False):
+                   cnt: str = "cnt", partitions: int | None = None, buckets: int | None = None) -> DataFrame:
     """Rank a value histogram.
 
     Returns ``(keys..., val, cnt, before, n)`` where ``before`` is the number
     of rows with a smaller value in the key group and ``n`` the group size.
     The average rank (ties share the mean) is ``before + (cnt+1)/2``.
 
-    Distributed rank: the histogram (one row per distinct value, so a hot
-    value is one row) is range-partitioned on ``(keys, val)`` and sorted
-    within partitions; the small per-(partition, key) count table gives every
-    partition its starting offset; an Arrow-batched cumulative sum finishes
-    the job inside each partition.  No window spans a whole variable and no
-    task holds more than its range of distinct values.
-    ``buckets`` is accepted for compatibility and means the partition count.
+    ``partitions`` (or ``buckets``) fixes the number of ranges; without it AQE
+    sizes them.
     """
-    srt, pcs = _sorted_histogram(hist, keys, val, cnt, partitions or buckets)
-    spark = hist.sparkSession
-    offs = {}
-    for d in pcs.to_dict("records"):
-        key = tuple((d[k].item() if hasattr(d[k], "item") else d[k]) for k in keys)
-        offs[(int(d["_pid"]), key)] = (int(d["off"]), int(d["n"]))
-    b = spark.sparkContext.broadcast(offs)
-    schema = hist.select(*keys, val).schema
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields]
-                           + ["cnt long", "before long", "n long"])
-    key_list = list(keys)
-
-    def fn(it):
-        table = b.value
-        carry = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            if (pdf["_pid"] != pid).any():
-                raise RuntimeError("sorted histogram partition mixes partition ids")
-            c = pdf["cnt"].to_numpy(dtype=np.int64)
-            if key_list:
-                kt = list(zip(*[pdf[k].tolist() for k in key_list]))
-            else:
-                kt = [()] * len(pdf)
-            before = np.empty(len(pdf), dtype=np.int64)
-            nn = np.empty(len(pdf), dtype=np.int64)
-            # rows of one key are contiguous (sorted by keys, val)
-            start = 0
-            while start < len(kt):
-                k = kt[start]
-                end = start
-                while end < len(kt) and kt[end] == k:
-                    end += 1
-                off, ntot = table[(pid, k)]
-                run = carry.get(k, 0)
-                cs = np.cumsum(c[start:end])
-                before[start:end] = off + run + cs - c[start:end]
-                nn[start:end] = ntot
-                carry[k] = run + int(cs[-1])
-                start = end
-            out = pdf.drop(columns=["_pid"]).copy()
-            out["before"] = before
-            out["n"] = nn
-            yield out
-
-    ranked = srt.mapInPandas(fn, out_schema)
-    if _with_offsets:
-        return ranked, srt, pcs
-    return ranked
+    h = hist.select(*keys, val, F.col(cnt).cast("long").alias("cnt"))
+    n_parts = partitions or buckets
+    h = h.repartitionByRange(n_parts, *keys, val) if n_parts else h.repartitionByRange(*keys, val)
+    # written, not cached: later passes must see the very ranges that the offsets are made of
+    srt = saved(h.withColumn("_pid", F.spark_partition_id()), "ranges")
+    names = [f"_k{i}" for i in range(len(keys))]
+    part = srt.groupBy("_pid", *keys).agg(F.sum("cnt").alias("_c"))
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    before = group.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    offs = part.select(F.col("_pid").alias("_p"), *[F.col(k).alias(x) for k, x in zip(keys, names)],
+                       F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+                       F.sum("_c").over(group).alias("n"))
+    same = F.col("_pid") == F.col("_p")
+    for k, x in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(x))
+    inside = W.partitionBy("_pid", *keys).orderBy(val).rowsBetween(W.unboundedPreceding, -1)
+    run = F.coalesce(F.sum("cnt").over(inside), F.lit(0))
+    return (srt.join(offs, same).withColumn("before", F.col("_off") + run)
+            .select(*keys, val, "cnt", "before", "n"))
 
 
 def average_ranks(long: DataFrame, keys: list[str], val: str = "val",
@@ -174,15 +93,24 @@ def rank_columns(df: DataFrame, cols: list[str], id_col: str = "row_id",
                  suffix: str = "", buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Replace each column by its average rank (M3), keyed by ``id_col``.
 
-    Long form → rank table join (histogram-sized, auto-broadcast when small)
-    → pivot back on ``id_col``.  Nulls stay null.
+    The rank table has one row per distinct value.  While it is small (checked)
+    every column looks its ranks up in place, without a shuffle of the rows;
+    beyond that the long form is joined and pivoted back.  Nulls stay null and
+    every row stays, also one whose columns are all null.
     """
     long = to_long(df, cols, [id_col])
-    ranks = average_ranks(long, ["var"], buckets=buckets).select("var", "val", "avg_rank")
-    ranked = long.join(ranks, ["var", "val"])
-    wide = (ranked.groupBy(id_col).pivot("var", list(cols))
+    table = saved(average_ranks(long, ["var"], buckets=buckets).select("var", "val", "avg_rank"), "ranks")
+    ids = df.select(id_col, *[F.col(f"`{c}`").try_cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    if table.count() <= BROADCAST_ROWS:
+        for i, c in enumerate(cols):
+            lookup = table.where(F.col("var") == c).select(F.col("val").alias(f"_x{i}"),
+                                                           F.col("avg_rank").alias(f"_r{i}"))
+            ids = ids.join(F.broadcast(lookup), F.col(f"_v{i}") == F.col(f"_x{i}"), "left")
+        return ids.select(id_col, *[F.col(f"_r{i}").alias(c + suffix) for i, c in enumerate(cols)])
+    wide = (long.join(table, ["var", "val"]).groupBy(id_col).pivot("var", list(cols))
             .agg(F.first("avg_rank")))
-    return wide.select(id_col, *[F.col(c).alias(c + suffix) for c in cols])
+    return ids.select(id_col).join(wide, id_col, "left").select(
+        id_col, *[F.col(c).alias(c + suffix) for c in cols])
 
 
 def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None = None,
@@ -192,11 +120,9 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None
 
     Same definition as numpy ``percentile`` / SQL ``percentile_cont``:
     position ``(n-1)·p``, interpolate between the order statistics at its
-    floor and ceiling.  The histogram is range-partitioned and sorted (see
-    :func:`rank_histogram`); the driver knows from the small offset table which
-    partition holds each wanted order statistic, and each task resolves its
-    own targets by binary search over its sorted range.  Memory never depends
-    on the size of a group.
+    floor and ceiling.  Every row of the ranked histogram knows which positions
+    it covers, so the wanted order statistics are picked by arithmetic and
+    aggregated; no list of targets exists anywhere.
 
     Either ``probs`` (a fixed list) or ``grid_points`` (``m = min(n,
     grid_points)`` evenly spaced references ``j/(m-1)`` per group, as a
@@ -204,91 +130,38 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None
 
     Returns ``(keys..., j, p, q)`` with ``j`` the index of the probability.
     """
-    import math as _m
-
-    hist = histogram(long, keys, val)
-    srt, pcs = _sorted_histogram(hist, keys, val, "cnt", partitions or buckets)
-    spark = long.sparkSession
-    targets: dict = {}
-    meta = []
-    if len(pcs):
-        for key, g in pcs.groupby(keys, sort=False, dropna=False):
-            key = key if isinstance(key, tuple) else (key,)
-            key = tuple(x.item() if hasattr(x, "item") else x for x in key)
-            g = g.sort_values("_pid")
-            n = int(g["n"].iloc[0])
-            if grid_points is None:
-                plist = [(float(p), float(p)) for p in probs]
-            else:
-                # the grid of a quantile transformer, with NumPy's arithmetic:
-                # references = linspace(0, 1, m) = j·(1/(m-1)) (last exactly 1),
-                # percentiles are given in % and divided back by 100
-                m = min(n, grid_points)
-                step = 1.0 / (m - 1) if m > 1 else 0.0
-                refs = [j * step for j in range(m)]
-                refs[-1] = 1.0 if m > 1 else 0.0
-                plist = [(r, (r * 100.0) / 100.0) for r in refs]
-            offs = g["off"].to_numpy()
-            pids = g["_pid"].to_numpy()
-            for j, (p, qf) in enumerate(plist):
-                pos = (n - 1) * qf
-                lo, hi = _m.floor(pos), _m.ceil(pos)
-                meta.append((*key, j, float(p), pos - lo))
-                for which, idx in ((0, lo), (1, hi)):
-                    pid = int(pids[np.searchsorted(offs, idx, side="right") - 1])
-                    targets.setdefault((pid, key), []).append((j, which, idx))
-    tb = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64) for k, v in targets.items()})
-    key_list = list(keys)
-    kschema = hist.select(*keys).schema
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kschema.fields]
-                           + ["j long", "which long", "v double"])
-    offsets = {(int(r["_pid"]), tuple((r[k].item() if hasattr(r[k], "item") else r[k]) for k in keys)):
-               int(r["off"]) for _, r in pcs.iterrows()}
-    ob = spark.sparkContext.broadcast(offsets)
-
-    def fn(it):
-        tab, offt = tb.value, ob.value
-        carry = {}
-        for pdf in it:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            c = pdf["cnt"].to_numpy(dtype=np.int64)
-            vals = pdf[val].to_numpy(dtype=float)
-            kt = list(zip(*[pdf[k].tolist() for k in key_list])) if key_list else [()] * len(pdf)
-            rows = []
-            start = 0
-            while start < len(kt):
-                k = kt[start]
-                end = start
-                while end < len(kt) and kt[end] == k:
-                    end += 1
-                run = carry.get(k, 0)
-                cs = np.cumsum(c[start:end])
-                before = offt[(pid, k)] + run + cs - c[start:end]
-                carry[k] = run + int(cs[-1])
-                t = tab.get((pid, k))
-                if t is not None:
-                    pos = np.searchsorted(before, t[:, 2], side="right") - 1
-                    ok = (pos >= 0) & (t[:, 2] < before[np.clip(pos, 0, None)] + c[start:end][np.clip(pos, 0, None)])
-                    for (jj, ww, _), pp in zip(t[ok], pos[ok]):
-                        rows.append((*k, int(jj), int(ww), float(vals[start:end][pp])))
-                start = end
-            if rows:
-                yield pd.DataFrame(rows, columns=[*key_list, "j", "which", "v"])
-
-    found = srt.mapInPandas(fn, out_schema)
-    got = found.groupBy(*keys, "j").agg(
-        F.max(F.when(F.col("which") == 0, F.col("v"))).alias("v_lo"),
-        F.max(F.when(F.col("which") == 1, F.col("v"))).alias("v_hi"))
-    mschema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kschema.fields]
-                        + ["j long", "p double", "frac double"])
-    md = spark.createDataFrame(meta, mschema)
-    out = md.join(got, [*keys, "j"])
+    ranked = rank_histogram(histogram(long, keys, val), keys, val, partitions=partitions, buckets=buckets)
+    first, stop = F.col("before"), F.col("before") + F.col("cnt")
+    if grid_points is None:
+        picks = [F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"), F.lit(float(p)).alias("qf"))
+                 for j, p in enumerate(probs)]
+        rows = ranked.select("*", F.explode(F.array(*picks)).alias("_t")).select("*", "_t.*")
+    else:
+        # the grid of a quantile transformer, with NumPy's arithmetic: references
+        # linspace(0, 1, m) = j·(1/(m-1)) (last exactly 1), percentiles are given
+        # in % and divided back by 100
+        m = F.least(F.col("n"), F.lit(grid_points))
+        ranked = ranked.withColumn("_m", m)
+        per = (F.col("_m") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
+        lowest = F.greatest(F.floor((first - 1) * per) - 1, F.lit(0))
+        highest = F.least(F.ceil(stop * per) + 1, F.col("_m") - 1)
+        step = F.lit(1.0) / F.greatest(F.col("_m") - 1, F.lit(1))
+        p = (F.when(F.col("_m") == 1, F.lit(0.0)).when(F.col("j") == F.col("_m") - 1, F.lit(1.0))
+             .otherwise(F.col("j") * step))
+        rows = (ranked.select("*", F.explode(F.sequence(lowest, F.greatest(highest, lowest))).alias("j"))
+                .withColumn("p", p).withColumn("qf", F.col("p") * 100.0 / 100.0))
+    pos = (F.col("n") - 1) * F.col("qf")
+    rows = rows.withColumn("_pos", pos)
+    lo, hi = F.floor("_pos"), F.ceil("_pos")
+    covers = lambda x: (first <= x) & (x < stop)
+    found = rows.where(covers(lo) | covers(hi)).groupBy(*keys, "j").agg(
+        F.max("p").alias("p"), F.max(F.col("_pos") - lo).alias("frac"),
+        F.max(F.when(covers(lo), F.col(val))).alias("v_lo"),
+        F.max(F.when(covers(hi), F.col(val))).alias("v_hi"))
     # linear interpolation written as NumPy's lerp (from the upper end when t >= 0.5)
-    lo, hi, t = F.col("v_lo"), F.col("v_hi"), F.col("frac")
-    lerp = F.when(t >= 0.5, hi - (hi - lo) * (1.0 - t)).otherwise(lo + (hi - lo) * t)
-    return out.select(*keys, F.col("j").cast("int").alias("j"), "p", lerp.alias("q"))
+    a, b, t = F.col("v_lo"), F.col("v_hi"), F.col("frac")
+    lerp = F.when(t >= 0.5, b - (b - a) * (1.0 - t)).otherwise(a + (b - a) * t)
+    return found.select(*keys, F.col("j").cast("int").alias("j"), "p", lerp.alias("q"))
 
 
 def exact_median(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.scratch import saved
+
 # --- fixed values -----------------------------------------------------------
 # Curly quotes are folded to straight ones before names are compared (S-14).
 QUOTE_FOLD = {"“": '"', "”": '"', "‘": "'", "’": "'"}
@@ -27,12 +29,13 @@ def _fold(name: str) -> str:
 def add_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Give every respondent an explicit id at the first stage.
 
-    The id is assigned once and written with the stage table; every later
-    re-attachment is an equi-join on it (never a positional alignment).
+    The numbered table is written to the shared folder and read again, so every
+    later use sees the same ids, however often the source is read; later
+    re-attachments are equi-joins on the id (never a positional alignment).
     """
     if name in df.columns:
         return df
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def drop_if_present(df: DataFrame, cols: list[str]):
