@@ -1,20 +1,16 @@
 """Segmentation operators.
 
-* k-means: ``pyspark.ml.clustering.KMeans`` per k and seed, best inertia kept.
-* Ward: Spark k-means compresses the rows into at most ``max_micro``
-  weighted micro-clusters (exact: every distinct point is its own
-  micro-cluster when there are few enough); the Ward merge sequence runs on
-  that bounded centroid table, and labels go back through a broadcast map of
-  ``max_micro`` rows.
-* DBSCAN: ε-neighbourhoods on a grid of side ε/√d; a cell's own points and
-  the neighbour cells lying wholly within ε are counted from cell counts, so
-  only boundary cells compare points (deduplicated with multiplicities).
-  Connectivity runs on a grid of side ε/(2√d): adjacent core cells link
-  without pair tests, boundary pairs are checked only between components
-  that are still apart; components come from min-label propagation,
-  checkpointed every round.
-* k-prototypes: Lloyd iterations on DataFrames; prototypes (k rows) are
-  literals in the assignment expression.
+* k-means: all starts of all k iterate together; one scan per round.
+* Ward: k-means compresses the rows into ``n_micro`` weighted micro-clusters
+  (a stated, returned number); the Ward merge sequence runs on that bounded
+  centroid table, and labels go back through a map of ``n_micro`` rows.
+* DBSCAN: ε-neighbourhoods on a grid; a cell's own points and the neighbour
+  cells lying wholly within ε are counted from cell counts, so only boundary
+  cells compare points.  Connectivity runs on a finer grid: adjacent core cells
+  link without pair tests, boundary cells are first compared by sub-cells, and
+  components come from star contraction until nothing changes.  Several (ε,
+  minPts) settings share every pass.
+* k-prototypes: all starts of all k iterate together, as k-means.
 """
 
 from __future__ import annotations
@@ -23,12 +19,17 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from tessera.operators.graph import components
+from tessera.operators.validate import SEED, md5_sample, nearest_centroid
 from tessera.session import ensure_checkpoint_dir
-from tessera.operators.validate import md5_sample, nearest_centroid, SEED
+from tessera.sources.scratch import saved, small
+
+#: Points of one grid cell that one join task compares; larger cells are split.
+CELL_POINTS = 8192
 
 
 def _q(c: str) -> Column:
@@ -39,37 +40,92 @@ def _q(c: str) -> Column:
 # k-means (M16)
 # ---------------------------------------------------------------------------
 
-def kmeans_fit(df: DataFrame, cols: list[str], k: int, n_init: int = 10, max_iter: int = 500,
-               seed: int = SEED):
-    """Best of ``n_init`` Spark k-means runs by training cost (inertia)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df).select("_features").persist()
-    best = None
-    # several seeded k-means|| runs, the lowest inertia kept (n_init)
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_features",
-                       predictionCol="_pred", tol=1e-4).fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    vec.unpersist()
-    return best
-
-
-def kmeans_sweep(df: DataFrame, cols: list[str], k_range=range(2, 8), n_init: int = 10,
+def _plus_plus(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++ starting centres from a sample."""
+    centers = [x[rng.integers(len(x))]]
+    d = ((x - centers[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        pick = rng.integers(len(x)) if d.sum() == 0 else rng.choice(len(x), p=d / d.sum())
+        centers.append(x[pick])
+        d = np.minimum(d, ((x - centers[-1]) ** 2).sum(1))
+    return np.array(centers)
+
+
+def _lloyd_round(points: DataFrame, cols: list[str], centers: dict) -> dict:
+    """One pass over the rows for every run: run -> (counts, sums, cost).
+
+    Tasks return one row per run and cluster, so what is collected depends on
+    the runs alone."""
+    runs = sorted(centers)
+    b = points.sparkSession.sparkContext.broadcast([centers[r] for r in runs])
+
+    def fn(it):
+        total = {}
+        for pdf in it:
+            x = pdf.to_numpy(dtype=float)
+            sq = (x ** 2).sum(1)
+            for i, c in enumerate(b.value):
+                d = sq[:, None] - 2.0 * (x @ c.T) + (c ** 2).sum(1)[None, :]
+                near = d.argmin(1)
+                n = np.bincount(near, minlength=len(c)).astype(float)
+                s = np.stack([np.bincount(near, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], 1)
+                cost = np.bincount(near, weights=np.maximum(d[np.arange(len(x)), near], 0.0), minlength=len(c))
+                part = np.column_stack([n, s, cost])
+                total[i] = total[i] + part if i in total else part
+        rows = [(i, j, row.tolist()) for i, t in total.items() for j, row in enumerate(t)]
+        yield pd.DataFrame(rows, columns=["run", "cluster", "v"])
+
+    width = len(cols) + 2
+    got = (points.select(*cols).mapInPandas(fn, "run int, cluster int, v array<double>")
+           .groupBy("run", "cluster").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(width)]).alias("v")).collect())
+    out = {r: np.zeros((len(centers[r]), width)) for r in runs}
+    for r in got:
+        out[runs[r["run"]]][r["cluster"]] = r["v"]
+    return {r: (t[:, 0], t[:, 1:-1], float(t[:, -1].sum())) for r, t in out.items()}
+
+
+def kmeans_fit(df: DataFrame, cols: list[str], ks, n_init: int = 30, max_iter: int = 500, seed: int = SEED,
+               id_col: str = "row_id", init_rows: int = 5000, tol: float = 1e-4) -> dict:
+    """k -> (centres, inertia, converged): the best of ``n_init`` starts for every k.
+
+    Starts are k-means++ on a seeded sample of ``init_rows`` rows; all starts of
+    all k then iterate over all rows together until their centres move less than
+    ``tol`` times the mean variance.  The inertia belongs to the returned centres.
+    """
+    cols = list(cols)
+    points = saved(df.select(id_col, *[_q(c).cast("double").alias(c) for c in cols]), "points")
+    x = np.array([[r[c] for c in cols] for r in md5_sample(points, id_col, init_rows, seed).collect()], dtype=float)
+    rng = np.random.default_rng(seed)
+    centers = {(k, i): _plus_plus(x, k, rng) for k in ks for i in range(n_init)}
+    var = points.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
+    limit = tol * float(np.mean([var[c] or 0.0 for c in cols]))
+    active, converged = set(centers), set()
+    for _ in range(max_iter):
+        if not active:
+            break
+        for run, (n, s, _cost) in _lloyd_round(points, cols, {r: centers[r] for r in active}).items():
+            new = np.where(n[:, None] > 0, s / np.maximum(n, 1.0)[:, None], centers[run])
+            if ((new - centers[run]) ** 2).sum() <= limit:
+                active.discard(run)
+                converged.add(run)
+            centers[run] = new
+    cost = {run: c for run, (_, _, c) in _lloyd_round(points, cols, centers).items()}
+    best = {k: min(((cost[k, i], i) for i in range(n_init))) for k in ks}
+    return {k: (centers[k, i], c, (k, i) in converged) for k, (c, i) in best.items()}
+
+
+def kmeans_sweep(df: DataFrame, cols: list[str], k_range=range(2, 8), n_init: int = 30,
                  max_iter: int = 500, id_col: str = "row_id", seed: int = SEED):
-    """k-means for every k: ``(labels long table (k, row_id, cluster), inertia per k)``.
+    """k-means for every k: ``(labels long table (k, row_id, cluster), [(k, inertia)])``.
 
     Labels are produced by nearest-centroid projection with the fitted
     centres as literals (no join).
     """
-    base = df.select(id_col, *cols).persist()
+    base = df.select(id_col, *cols)
+    fitted = kmeans_fit(base, cols, list(k_range), n_init, max_iter, seed, id_col)
     labels, inertia = None, []
-    for k in k_range:
-        model, cost = kmeans_fit(base, cols, k, n_init, max_iter, seed)
-        centers = [dict(zip(cols, map(float, c)), cluster=i) for i, c in enumerate(model.clusterCenters())]
+    for k, (centres, cost, _) in fitted.items():
+        centers = [dict(zip(cols, map(float, c)), cluster=i) for i, c in enumerate(centres)]
         lab = nearest_centroid(base, cols, centers).select(F.lit(k).alias("k"), id_col, "cluster")
         labels = lab if labels is None else labels.unionByName(lab)
         inertia.append((k, float(cost)))
@@ -129,268 +185,344 @@ def ward_cut(merges, m: int, k: int) -> np.ndarray:
     return np.array([order[r] for r in roots])
 
 
-def ward_micro(df: DataFrame, cols: list[str], k_range=range(2, 8), max_micro: int = 512,
-               id_col: str = "row_id", seed: int = SEED):
-    """Ward sweep (M17): ``(labels (k, row_id, cluster), merges, exact)``.
+def ward_micro(df: DataFrame, cols: list[str], k_range, n_micro: int, id_col: str = "row_id",
+               seed: int = SEED):
+    """Ward sweep (M17): ``(labels (k, row_id, cluster), merges, micro-clusters used)``.
 
-    If the data has at most ``max_micro`` distinct points they are the
-    micro-clusters (weights = multiplicities) and the result is exact Ward;
-    otherwise Spark k-means builds ``max_micro`` weighted micro-clusters.
+    The rows become at most ``n_micro`` weighted micro-clusters by Spark k-means
+    at every size of the table; with no more distinct points than that, every
+    point is its own micro-cluster and the result is exact Ward.  The merges run
+    on the centroid table alone (``n_micro`` rows).
     """
-    base = df.select(id_col, *cols).persist()
-    distinct = base.groupBy(*cols).agg(F.count(F.lit(1)).alias("w"))
-    few = distinct.limit(max_micro + 1).count() <= max_micro
-    if few:
-        pts = distinct.orderBy(*cols).collect()
-        c = np.array([[r[x] for x in cols] for r in pts], dtype=float)
-        w = np.array([r["w"] for r in pts], dtype=float)
-        micro_key = F.struct(*[_q(x) for x in cols])
-        keymap = [(tuple(float(r[x]) for x in cols), i) for i, r in enumerate(pts)]
-        assign = None
-    else:
-        from pyspark.ml.feature import VectorAssembler
-        model, _ = kmeans_fit(base, cols, max_micro, n_init=1, seed=seed)
-        # hundreds of centres: the fitted model's JVM predict, not literal expressions
-        vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(base)
-        assign = (model.setPredictionCol("_micro").transform(vec).drop("_features")
-                  .withColumn("_micro", F.col("_micro").cast("long"))).checkpoint()
-        stats = assign.groupBy("_micro").agg(F.count(F.lit(1)).alias("w"),
-                                             *[F.avg(_q(x)).alias(x) for x in cols]).orderBy("_micro").collect()
-        ids = [r["_micro"] for r in stats]
-        c = np.array([[r[x] for x in cols] for r in stats], dtype=float)
-        w = np.array([r["w"] for r in stats], dtype=float)
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    spark = df.sparkSession
+    base = df.select(id_col, *cols)
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(base)
+    model = KMeans(k=n_micro, seed=seed, maxIter=20, featuresCol="_features", predictionCol="_micro",
+                   initSteps=5).fit(vec.select("_features"))
+    assign = saved(model.transform(vec).select(id_col, *cols, F.col("_micro").cast("long").alias("_micro")), "micro")
+    stats = assign.groupBy("_micro").agg(F.count(F.lit(1)).alias("w"),
+                                         *[F.avg(_q(x)).alias(x) for x in cols]).orderBy("_micro").collect()
+    c = np.array([[r[x] for x in cols] for r in stats], dtype=float)
+    w = np.array([r["w"] for r in stats], dtype=float)
     merges = ward_merges(c, w)
     m = c.shape[0]
-    spark = df.sparkSession
-    labels = None
-    for k in k_range:
-        if k > m:
-            continue
-        cut = ward_cut(merges, m, k)
-        if few:
-            rows = [(*key, int(cut[i])) for key, i in keymap]
-            mp = spark.createDataFrame(rows, [*cols, "cluster"])
-            lab = base.join(F.broadcast(mp), list(cols)).select(F.lit(k).alias("k"), id_col, "cluster")
-        else:
-            mp = spark.createDataFrame([(int(ids[i]), int(cut[i])) for i in range(m)], ["_micro", "cluster"])
-            lab = assign.join(F.broadcast(mp), "_micro").select(F.lit(k).alias("k"), id_col, "cluster")
-        labels = lab if labels is None else labels.unionByName(lab)
+    ks = [k for k in k_range if k <= m]
+    cuts = {k: ward_cut(merges, m, k) for k in ks}
+    rows = [(int(stats[i]["_micro"]), k, int(cuts[k][i])) for k in ks for i in range(m)]
+    mp = spark.createDataFrame(rows, "_micro long, k int, cluster long")
+    labels = assign.join(F.broadcast(mp), "_micro").select("k", id_col, "cluster")
     merges_df = spark.createDataFrame(merges, "step int, a int, b int, height double, size double")
-    return labels, merges_df, few
+    return labels, merges_df, m
 
 
 # ---------------------------------------------------------------------------
 # ε-neighbourhoods on a grid (J7) and DBSCAN
 # ---------------------------------------------------------------------------
 
-def _offsets(d: int, eps: float, side: float):
-    """Neighbour-cell offsets split into 'full' (every pair within ε) and 'partial'."""
-    r = int(math.ceil(eps / side)) + 1
+#: Grid sides in units of ε are shrunk by this, so that a cell's diagonal is below ε.
+_INSIDE = 1.0 - 1e-9
+
+
+def _offsets(d: int, side: float):
+    """Neighbour-cell offsets for cells of ``side`` (in ε), split into 'full'
+    (every pair within ε) and 'partial'."""
+    r = int(math.ceil(1.0 / side)) + 1
     full, partial = [], []
     for o in itertools.product(range(-r, r + 1), repeat=d):
         mind = side * math.sqrt(sum(max(abs(x) - 1, 0) ** 2 for x in o))
         maxd = side * math.sqrt(sum((abs(x) + 1) ** 2 for x in o))
-        if mind > eps:
+        if mind > 1.0:
             continue
-        (full if maxd <= eps else partial).append(o)
+        (full if maxd <= 1.0 else partial).append(o)
     return full, partial
 
 
-def _cells(df: DataFrame, cols: list[str], side: float) -> DataFrame:
-    return df.withColumn("_cell", F.array(*[F.floor(_q(c) / F.lit(side)).cast("long") for c in cols]))
+def _offset_array(offsets):
+    return F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
+
+
+def _shift(cell: str, offset: str) -> Column:
+    return F.zip_with(cell, offset, lambda a, b: a + b)
 
 
-def eps_neighbor_counts(df: DataFrame, cols: list[str], eps: float, id_col: str = "row_id") -> DataFrame:
-    """Number of points within ε of every point, itself included.
+def _cell(cols: list[str], side: Column) -> Column:
+    return F.array(*[F.floor(_q(c) / side).cast("long") for c in cols])
 
-    ``(id, n_neighbors)``.  Exact; pairs are formed only for 'partial'
-    neighbour cells and between distinct coordinates.
+
+def _close(d: int, eps: Column) -> Column:
+    return F.sqrt(sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) ** 2 for i in range(d)), F.lit(0.0))) <= eps
+
+
+def _named(df: DataFrame, cols: list[str], prefix: str, *keep) -> DataFrame:
+    return df.select(*keep, *[_q(c).alias(f"_{prefix}{i}") for i, c in enumerate(cols)])
+
+
+def _probe(probes: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on a cell; cells with more than ``CELL_POINTS`` others are split over
+    that many parts, and their probes repeated for each."""
+    parts = others.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CELL_POINTS).cast("int").alias("_parts"))
+    right = (others.join(parts, keys)
+             .withColumn("_part", F.pmod(F.xxhash64(*[c for c in others.columns if c not in keys]), "_parts"))
+             .drop("_parts"))
+    left = (probes.join(parts, keys)
+            .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)))
+            .drop("_parts"))
+    return left.join(right, [*keys, "_part"])
+
+
+def _neighbor_counts(pts: DataFrame, cols: list[str], at_least: Column | None = None) -> DataFrame:
+    """``_s, coordinates, n``: points within ε of every distinct point of a setting.
+
+    ``pts``: ``_s, _eps, coordinates, _m`` (multiplicity).  With ``at_least`` only
+    points whose cell counts do not reach it compare points; the others keep the
+    count of the cells, which already suffices.
     """
     d = len(cols)
-    side = eps / math.sqrt(d)
-    full, partial = _offsets(d, eps, side)
-    pts = _cells(df.select(id_col, *cols), cols, side)
-    # distinct coordinates with multiplicity
-    uniq = pts.groupBy("_cell", *cols).agg(F.count(F.lit(1)).alias("_m"))
-    cell_n = uniq.groupBy("_cell").agg(F.sum("_m").alias("_cn"))
-    # full offsets: counts only
-    fo = F.array(*[F.array(*[F.lit(x) for x in o]) for o in full])
-    nb = cell_n.select(F.col("_cell").alias("_src"), "_cn", F.explode(fo).alias("_o"))
-    nb = nb.select(F.zip_with("_src", "_o", lambda a, b: a - b).alias("_cell"), "_cn")
-    full_cnt = nb.groupBy("_cell").agg(F.sum("_cn").alias("_full"))
-    res = uniq.join(full_cnt, "_cell", "left").withColumn("_full", F.coalesce("_full", F.lit(0)))
+    side = 1.0 / math.sqrt(d) * _INSIDE
+    full, partial = _offsets(d, side)
+    key = ["_s", "_cell"]
+    u = pts.withColumn("_cell", _cell(cols, F.col("_eps") * side))
+    cells = u.groupBy(*key).agg(F.sum("_m").alias("_cn"))
+    near = (cells.select("_s", F.col("_cell").alias("_src"), "_cn", F.explode(_offset_array(full)).alias("_o"))
+            .select("_s", F.zip_with("_src", "_o", lambda a, b: a - b).alias("_cell"), "_cn")
+            .groupBy(*key).agg(F.sum("_cn").alias("_full")))
+    u = saved(u.join(near, key), "neighbours")
+    unsure = u if at_least is None else u.where(F.col("_full") < at_least)
+    out = u.withColumn("n", F.col("_full"))
     if partial:
-        po = F.array(*[F.array(*[F.lit(x) for x in o]) for o in partial])
-        probe = uniq.select(F.col("_cell").alias("_home"), *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)],
-                            F.explode(po).alias("_o"))
-        probe = probe.withColumn("_cell", F.zip_with("_home", "_o", lambda a, b: a + b)).drop("_o")
-        other = uniq.select("_cell", *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)], F.col("_m").alias("_mb"))
-        d2 = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) ** 2 for i in range(d)), F.lit(0.0))
-        pc = (probe.join(other, "_cell").where(F.sqrt(d2) <= eps)
-              .groupBy(F.col("_home").alias("_cell"), *[F.col(f"_a{i}").alias(c) for i, c in enumerate(cols)])
-              .agg(F.sum("_mb").alias("_part")))
-        res = res.join(pc, ["_cell", *cols], "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
-    else:
-        res = res.withColumn("_part", F.lit(0))
-    res = res.select("_cell", *cols, (F.col("_full") + F.col("_part")).alias("n_neighbors"))
-    return pts.join(res, ["_cell", *cols]).select(id_col, "n_neighbors")
-
-
-def _propagate(edges: DataFrame, lab: DataFrame, max_rounds: int) -> DataFrame:
-    """Min-label propagation over an undirected cell graph, checkpointed each round."""
-    for _ in range(max_rounds):
-        prop = (edges.join(lab.select(F.col("_cell").alias("_a"), "_lab"), "_a")
-                .groupBy(F.col("_b").alias("_cell")).agg(F.min("_lab").alias("_nl")))
-        new = (lab.join(prop, "_cell", "left")
-               .select("_cell", F.least("_lab", F.coalesce("_nl", "_lab")).alias("_lab"))).checkpoint()
-        changed = (new.join(lab.withColumnRenamed("_lab", "_old"), "_cell")
-                   .where(F.col("_lab") != F.col("_old")).limit(1).count())
-        lab = new
-        if changed == 0:
-            break
-    return lab
+        probe = (_named(unsure, cols, "a", "_s", "_eps", "_cell")
+                 .withColumn("_o", F.explode(_offset_array(partial)))
+                 .withColumn("_home", F.col("_cell")).withColumn("_cell", _shift("_home", "_o")).drop("_o"))
+        other = _named(u, cols, "b", *key, "_m")
+        extra = (_probe(probe, other, key).where(_close(d, F.col("_eps")))
+                 .groupBy("_s", *[F.col(f"_a{i}").alias(c) for i, c in enumerate(cols)])
+                 .agg(F.sum("_m").alias("_more")))
+        out = u.join(extra, ["_s", *cols], "left").withColumn(
+            "n", F.col("_full") + F.coalesce("_more", F.lit(0)))
+    return out.drop("_full", "_more", "_cell")
+
+
+def _settings(df: DataFrame, cols: list[str], settings: list[tuple[float, int]], id_col: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(i).alias("_s"), F.lit(float(e)).alias("_eps"), F.lit(int(m)).alias("_mp"))
+                     for i, (e, m) in enumerate(settings)])
+    base = df.select(id_col, *[_q(c).cast("double").alias(c) for c in cols])
+    return base.select(id_col, *cols, F.explode(rows).alias("_x")).select(id_col, *cols, "_x.*")
 
 
-def _offset_array(offsets):
-    return F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
+def eps_neighbor_counts(df: DataFrame, cols: list[str], eps: float, id_col: str = "row_id") -> DataFrame:
+    """Number of points within ε of every point, itself included.
 
+    ``(id, n_neighbors)``.  Exact; pairs are formed only for 'partial'
+    neighbour cells and between distinct coordinates.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    base = _settings(df, cols, [(eps, 0)], id_col)
+    pts = base.groupBy("_s", "_eps", *cols).agg(F.count(F.lit(1)).alias("_m"))
+    n = _neighbor_counts(pts, cols).select("_s", *cols, F.col("n").alias("n_neighbors"))
+    return base.join(n, ["_s", *cols]).select(id_col, "n_neighbors")
 
-def _shift(col: str, offs_col: str):
-    return F.zip_with(col, offs_col, lambda a, b: a + b)
 
+def _links(cand: DataFrame, core: DataFrame, cols: list[str]) -> DataFrame:
+    """Which candidate cell pairs (``_s, _eps, _a, _b``) hold two core points within ε.
 
-def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, id_col: str = "row_id",
-           max_rounds: int = 100) -> DataFrame:
-    """DBSCAN labels ``(id, cluster)`` with noise = −1.
+    Cells are compared by sub-cells first: sub-cells wholly within ε link their
+    cells, sub-cells wholly apart are dropped, and only the points of the rest,
+    of cell pairs not yet linked, are compared.
+    """
+    d = len(cols)
+    sub = 1.0 / (2.0 * math.sqrt(d)) * _INSIDE / 4.0
+    pts = core.withColumn("_sub", _cell(cols, F.col("_eps") * sub))
+    subs = pts.select("_s", "_cell", "_sub").distinct()
+    pairs = (cand.join(subs.select("_s", F.col("_cell").alias("_a"), F.col("_sub").alias("_sa")), ["_s", "_a"])
+             .join(subs.select("_s", F.col("_cell").alias("_b"), F.col("_sub").alias("_sb")), ["_s", "_b"]))
+    apart = F.zip_with("_sa", "_sb", lambda x, y: F.abs(x - y))
+
+    def reach(shift):
+        return sub * F.sqrt(F.aggregate(F.transform(apart, shift), F.lit(0).cast("double"), lambda t, v: t + v))
+
+    pairs = saved(pairs.withColumn("_far", reach(lambda v: (v + 1) * (v + 1).cast("double")))
+                  .withColumn("_near", reach(lambda v: F.greatest(v - 1, F.lit(0)).cast("double")
+                                             * F.greatest(v - 1, F.lit(0)))).where("_near <= 1.0"), "subcells")
+    sure = pairs.where("_far <= 1.0").select("_s", "_a", "_b").distinct()
+    open_ = pairs.join(sure, ["_s", "_a", "_b"], "left_anti")
+    left = _named(pts, cols, "a", "_s", F.col("_sub").alias("_sa"))
+    right = _named(pts, cols, "b", "_s", F.col("_sub").alias("_sb"))
+    found = (open_.join(left, ["_s", "_sa"]).join(right, ["_s", "_sb"]).where(_close(d, F.col("_eps")))
+             .select("_s", "_a", "_b").distinct())
+    return saved(sure.unionByName(found), "linked")
+
+
+def dbscan_settings(df: DataFrame, cols: list[str], settings: list[tuple[float, int]],
+                    id_col: str = "row_id") -> DataFrame:
+    """DBSCAN for several (ε, minPts) at once: ``(eps, min_pts, id, cluster)``, noise = −1.
 
     * Core test on a grid of side ε/√d: a point whose own cell plus the fully
       covered neighbour cells already hold ``min_pts`` points is core from
       cell counts alone; only the remaining (sparse-region) points compare
       against boundary cells.
-    * Connectivity on a finer grid of side ε/(2√d), where face- and
-      edge-adjacent cells are wholly within ε: core cells linked through such
-      'full' offsets form components without any pair test; point pairs are
-      compared only across boundary-offset cell pairs whose components still
-      differ, then components are recomputed.
-    * Border points take the smallest label of a core point within ε (cell
-      label for fully covered cells, pair test for boundary cells).
-    Clusters are numbered by their smallest core id (discovery order of a
-    scan by id).
+    * Connectivity on a grid of side ε/(2√d): core cells linked through 'full'
+      offsets form components without any pair test; cell pairs at boundary
+      offsets are compared only while their components differ.  Components
+      contract until nothing changes, however long a chain is.
+    * Border points take the smallest label of a core point within ε.
+    Clusters are numbered by their smallest core id (discovery order of a scan
+    by id).  Ids are whole numbers.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    d = len(cols)
-    base = df.select(id_col, *[_q(c).cast("double").alias(c) for c in cols])
-    ac = [F.col(f"_a{i}") for i in range(d)]
-    bc = [F.col(f"_b{i}") for i in range(d)]
-    dist_ok = F.sqrt(sum(((a - b) ** 2 for a, b in zip(ac, bc)), F.lit(0.0))) <= eps
-
-    # ---- core test on the counting grid ------------------------------------
-    side = eps / math.sqrt(d)
-    full, partial = _offsets(d, eps, side)
-    pts = _cells(base, cols, side)
-    uniq = pts.groupBy("_cell", *cols).agg(F.count(F.lit(1)).alias("_m"))
-    cell_n = uniq.groupBy("_cell").agg(F.sum("_m").alias("_cn"))
-    nb = (cell_n.select(F.col("_cell").alias("_src"), "_cn", F.explode(_offset_array(full)).alias("_o"))
-          .select(F.zip_with("_src", "_o", lambda a, b: a - b).alias("_cell"), "_cn"))
-    full_cnt = nb.groupBy("_cell").agg(F.sum("_cn").alias("_full"))
-    u = uniq.join(full_cnt, "_cell", "left").withColumn("_full", F.coalesce("_full", F.lit(0))).checkpoint()
-    unsure = u.where(F.col("_full") < min_pts)
+    from tessera.operators.ranks import rank_histogram
+
+    ensure_checkpoint_dir(df.sparkSession)
+    d, n_set = len(cols), len(settings)
+    base = saved(_settings(df, cols, settings, id_col), "points")
+    pts = base.groupBy("_s", "_eps", "_mp", *cols).agg(F.count(F.lit(1)).alias("_m"))
+    counts = _neighbor_counts(pts, cols, F.col("_mp"))
+    coords = saved(counts.select("_s", *cols, (F.col("n") >= F.col("_mp")).alias("_core")), "core")
+
+    side = 1.0 / (2.0 * math.sqrt(d)) * _INSIDE
+    full, partial = _offsets(d, side)
+    here = saved(base.join(coords, ["_s", *cols]).withColumn("_cell", _cell(cols, F.col("_eps") * side)), "cells")
+    core = here.where("_core")
+    # a node of the graph is a core cell, named by its smallest id and the setting
+    node = F.min(id_col) * n_set + F.col("_s")
+    cells = saved(core.groupBy("_s", "_eps", "_cell").agg(node.alias("_node")), "nodes")
+    to = cells.select("_s", F.col("_cell").alias("_b"), F.col("_node").alias("b"))
+    edges = (cells.select("_s", "_cell", F.col("_node").alias("a"),
+                          F.explode(_offset_array([o for o in full if any(o)] or [(0,) * d])).alias("_o"))
+             .select("_s", "a", _shift("_cell", "_o").alias("_b")).join(to, ["_s", "_b"]).where("a < b")
+             .select("a", "b"))
+    edges = saved(edges.unionByName(cells.select(F.col("_node").alias("a"), F.col("_node").alias("b"))), "edges")
+    comp = components(edges)
     if partial:
-        probe = (unsure.select(F.col("_cell").alias("_home"), *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)],
-                               F.explode(_offset_array(partial)).alias("_o"))
-                 .withColumn("_cell", _shift("_home", "_o")).drop("_o"))
-        other = u.select("_cell", *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)], F.col("_m").alias("_mb"))
-        extra = (probe.join(other, "_cell").where(dist_ok)
-                 .groupBy(F.col("_home").alias("_cell"), *[F.col(f"_a{i}").alias(c) for i, c in enumerate(cols)])
-                 .agg(F.sum("_mb").alias("_part")))
-        u = u.join(extra, ["_cell", *cols], "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
-    else:
-        u = u.withColumn("_part", F.lit(0))
-    coords = u.select(*cols, ((F.col("_full") + F.col("_part")) >= min_pts).alias("_core")).checkpoint()
-
-    # ---- connectivity of core points on the fine grid ----------------------
-    fside = eps / (2.0 * math.sqrt(d))
-    ffull, fpart = _offsets(d, eps, fside)
-    core_pts = _cells(coords.where("_core").drop("_core"), cols, fside)
-    core_ids = (base.join(coords.where("_core").drop("_core"), list(cols))
-                .select(id_col, *cols))
-    core_ids = _cells(core_ids, cols, fside).checkpoint()
-    cells = core_ids.groupBy("_cell").agg(F.min(id_col).alias("_lab")).checkpoint()
-    nz = [o for o in ffull if any(o)]
-    edges = cells.select(F.col("_cell").alias("_a"), F.col("_cell").alias("_b")).limit(0)
-    if nz:
-        edges = (cells.select(F.col("_cell").alias("_a"), F.explode(_offset_array(nz)).alias("_o"))
-                 .select("_a", _shift("_a", "_o").alias("_b"))
-                 .join(cells.select(F.col("_cell").alias("_b")), "_b").select("_a", "_b"))
-    edges = edges.checkpoint()
-    lab = _propagate(edges, cells, max_rounds)
-    if fpart:
-        # boundary cell pairs still in different components: compare their core points
-        cand = (lab.select(F.col("_cell").alias("_a"), F.col("_lab").alias("_la"),
-                           F.explode(_offset_array(fpart)).alias("_o"))
-                .select("_a", "_la", _shift("_a", "_o").alias("_b"))
-                .join(lab.select(F.col("_cell").alias("_b"), F.col("_lab").alias("_lb")), "_b")
-                .where(F.col("_la") != F.col("_lb")).select("_a", "_b"))
-        pa = core_pts.select(F.col("_cell").alias("_a"), *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)])
-        pb = core_pts.select(F.col("_cell").alias("_b"), *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)])
-        linked = (cand.join(pa, "_a").join(pb, "_b").where(dist_ok).select("_a", "_b").distinct())
-        extra_edges = linked.unionByName(linked.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        extra_edges = extra_edges.checkpoint()
-        if extra_edges.limit(1).count() > 0:
-            lab = _propagate(edges.unionByName(extra_edges).distinct().checkpoint(), lab, max_rounds)
-    core_lab = core_ids.join(lab, "_cell").select(id_col, "_lab")
-
-    # ---- border points ------------------------------------------------------
-    border = base.join(coords.where(~F.col("_core")).drop("_core"), list(cols))
-    border = _cells(border, cols, fside)
-    core_cell_lab = lab.select("_cell", F.col("_lab").alias("_cl"))
-    b_full = (border.select(id_col, F.col("_cell").alias("_h"), F.explode(_offset_array(ffull)).alias("_o"))
-              .select(id_col, _shift("_h", "_o").alias("_cell"))
-              .join(core_cell_lab, "_cell").groupBy(id_col).agg(F.min("_cl").alias("_lab")))
-    labs = [b_full]
-    if fpart:
-        cl = core_pts.join(core_cell_lab, "_cell").select(
-            "_cell", *[_q(c).alias(f"_b{i}") for i, c in enumerate(cols)], "_cl")
-        bp = (border.select(id_col, *[_q(c).alias(f"_a{i}") for i, c in enumerate(cols)],
-                            F.col("_cell").alias("_h"), F.explode(_offset_array(fpart)).alias("_o"))
-              .withColumn("_cell", _shift("_h", "_o")).drop("_o", "_h"))
-        labs.append(bp.join(cl, "_cell").where(dist_ok).groupBy(id_col).agg(F.min("_cl").alias("_lab")))
-    border_lab = labs[0]
-    for extra_l in labs[1:]:
-        border_lab = border_lab.unionByName(extra_l)
-    border_lab = border_lab.groupBy(id_col).agg(F.min("_lab").alias("_lab"))
-    labeled = core_lab.unionByName(border_lab)
+        at = saved(cells.join(comp.withColumnRenamed("node", "_node"), "_node"), "labels")
+        other = at.select("_s", F.col("_cell").alias("_b"), F.col("component").alias("_lb"))
+        cand = (at.select("_s", "_eps", F.col("_cell").alias("_a"), F.col("component").alias("_la"),
+                          F.explode(_offset_array(partial)).alias("_o"))
+                .withColumn("_b", _shift("_a", "_o")).join(other, ["_s", "_b"]).where("_la < _lb")
+                .select("_s", "_eps", "_a", "_b"))
+        uniq = core.select("_s", "_eps", "_cell", *cols).distinct()
+        linked = _links(cand, uniq, cols)
+        more = (linked.join(at.select("_s", F.col("_cell").alias("_a"), F.col("component").alias("a")), ["_s", "_a"])
+                .join(other.withColumnRenamed("_lb", "b"), ["_s", "_b"]).select("a", "b"))
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    lab = saved(cells.join(comp.withColumnRenamed("node", "_node"), "_node")
+                .select("_s", "_cell", F.col("component").alias("_lab")), "labels")
+    core_lab = core.join(lab, ["_s", "_cell"]).select("_s", id_col, "_lab")
+
+    border = here.where(~F.col("_core"))
+    inner = (border.select("_s", id_col, F.col("_cell").alias("_h"), F.explode(_offset_array(full)).alias("_o"))
+             .select("_s", id_col, _shift("_h", "_o").alias("_cell")).join(lab, ["_s", "_cell"])
+             .select("_s", id_col, "_lab"))
+    if partial:
+        probe = (_named(border, cols, "a", "_s", "_eps", id_col, F.col("_cell").alias("_h"))
+                 .withColumn("_o", F.explode(_offset_array(partial)))
+                 .withColumn("_cell", _shift("_h", "_o")).drop("_o", "_h"))
+        target = _named(core.select("_s", "_cell", *cols).distinct().join(lab, ["_s", "_cell"]), cols, "b",
+                        "_s", "_cell", "_lab")
+        inner = inner.unionByName(_probe(probe, target, ["_s", "_cell"]).where(_close(d, F.col("_eps")))
+                                  .select("_s", id_col, "_lab"))
+    labeled = saved(core_lab.unionByName(inner).groupBy("_s", id_col).agg(F.min("_lab").alias("_lab")), "labeled")
     # number the clusters 0..k-1 by their smallest core id with the distributed
     # rank (the number of clusters grows with the data: no single-task window)
-    from tessera.operators.ranks import rank_histogram
-    distinct_labs = core_lab.select("_lab").distinct().select(
-        F.lit(0).alias("_k"), F.col("_lab").cast("double").alias("_lv"), F.lit(1).cast("long").alias("cnt"))
-    names = rank_histogram(distinct_labs, ["_k"], "_lv").select(
-        F.col("_lv").cast("long").alias("_lab"), F.col("before").alias("cluster"))
-    out = base.select(id_col).join(labeled, id_col, "left").join(names, "_lab", "left")
-    return out.select(id_col, F.coalesce(F.col("cluster"), F.lit(-1)).cast("long").alias("cluster"))
+    known = lab.select("_s", "_lab").distinct().select("_s", "_lab", F.lit(1).cast("long").alias("cnt"))
+    names = rank_histogram(known, ["_s"], "_lab").select("_s", "_lab", F.col("before").alias("cluster"))
+    out = base.select("_s", "_eps", "_mp", id_col).join(labeled, ["_s", id_col], "left").join(
+        names, ["_s", "_lab"], "left")
+    return out.select(F.col("_eps").alias("eps"), F.col("_mp").alias("min_pts"), id_col,
+                      F.coalesce(F.col("cluster"), F.lit(-1)).cast("long").alias("cluster"))
+
+
+def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, id_col: str = "row_id") -> DataFrame:
+    """DBSCAN labels ``(id, cluster)`` with noise = −1 (M19); see :func:`dbscan_settings`."""
+    return dbscan_settings(df, cols, [(eps, min_pts)], id_col).select(id_col, "cluster")
 
 
 # ---------------------------------------------------------------------------
 # k-prototypes
 # ---------------------------------------------------------------------------
 
-def kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int, id_col: str = "row_id",
-                gamma: float | None = None, n_init: int = 3, max_iter: int = 20, seed: int = SEED):
-    """Mixed-type k-prototypes: ``(labels (id, cluster), cost)``.
+def _dense_rows(base: DataFrame, cat_cols: list[str], id_col: str, k: int) -> list:
+    """``k`` starting rows by category density: the first has the most frequent
+    categories, each further one the largest density times distance to the
+    nearest row chosen so far (ties: smaller id)."""
+    n = base.count()
+    freq = {}
+    for c in cat_cols:
+        freq[c] = saved(base.groupBy(F.col(c).alias(f"_f_{c}")).agg((F.count(F.lit(1)) / n).alias(f"_n_{c}")), "freq")
+    rows = base
+    for c in cat_cols:
+        rows = rows.join(small(freq[c]), F.col(c).eqNullSafe(F.col(f"_f_{c}"))).drop(f"_f_{c}")
+    dens = sum((F.col(f"_n_{c}") for c in cat_cols), F.lit(0.0))
+    rows = rows.withColumn("_dens", dens).drop(*[f"_n_{c}" for c in cat_cols])
+    chosen = []
+    for _ in range(k):
+        away = [sum(((~F.col(c).eqNullSafe(F.lit(p[c]))).cast("double") for c in cat_cols), F.lit(0.0))
+                for p in chosen]
+        gain = F.col("_dens") * (F.least(*away) if len(away) > 1 else away[0]) if away else F.col("_dens")
+        chosen.append(rows.agg(F.max_by(F.struct(*base.columns), F.struct(gain, -F.col(id_col))).alias("r"))
+                      .first()["r"].asDict())
+    return chosen
+
+
+def _mixed_round(base: DataFrame, num_cols: list[str], cat_cols: list[str], protos: dict, runs: list, gamma: float):
+    """One pass for every running start: sizes, costs and means of the clusters
+    (collected: runs × clusters rows) and the modes of their categories (counted
+    in Spark, the modes collected)."""
+    b = base.sparkSession.sparkContext.broadcast({runs.index(r): ps for r, ps in protos.items()})
+    p = len(num_cols)
+
+    def fn(it):
+        for pdf in it:
+            x = pdf[num_cols].to_numpy(dtype=float)
+            cats = [pdf[c].to_numpy(dtype=object) for c in cat_cols]
+            rows = []
+            for run, ps in b.value.items():
+                d = np.stack([sum(((x[:, j] - q[c]) ** 2 for j, c in enumerate(num_cols)), np.zeros(len(x)))
+                              + gamma * sum(((v != q[c]).astype(float) for v, c in zip(cats, cat_cols)),
+                                            np.zeros(len(x))) for q in ps], axis=1)
+                near = d.argmin(1)
+                best = d[np.arange(len(x)), near]
+                for j, q in enumerate(ps):
+                    m = near == j
+                    if m.any():
+                        rows.append((run, q["cluster"], None, None,
+                                     [float(m.sum()), float(best[m].sum()), *x[m].sum(0).tolist()]))
+                        for v, c in zip(cats, cat_cols):
+                            for val, n in zip(*np.unique(v[m].astype(str), return_counts=True)):
+                                rows.append((run, q["cluster"], c, str(val), [float(n)]))
+            if rows:
+                yield pd.DataFrame(rows, columns=["run", "cluster", "var", "val", "v"])
+
+    part = base.select(*num_cols, *cat_cols).mapInPandas(
+        fn, "run int, cluster int, var string, val string, v array<double>")
+    sums = saved(part.groupBy("run", "cluster", "var", "val").agg(
+        *[F.sum(F.get("v", F.lit(j))).alias(f"s{j}") for j in range(p + 2)]), "round")
+    num = [{"run": r["run"], "cluster": r["cluster"], "cost": r["s1"],
+            "mean": [r[f"s{j + 2}"] / r["s0"] for j in range(p)]} for r in sums.where("var is null").collect()]
+    modes = {(r["run"], r["cluster"], r["var"]): r["mode"] for r in
+             sums.where("var is not null").groupBy("run", "cluster", "var").agg(
+                 F.min_by("val", F.struct(-F.col("s0"), F.col("val"))).alias("mode")).collect()}
+    return num, modes
+
+
+def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k_range=range(2, 8),
+                      id_col: str = "row_id", gamma: float | None = None, n_init: int = 3,
+                      max_iter: int = 100, seed: int = SEED):
+    """Mixed-type k-prototypes for every k: ``(labels (k, id, cluster), [(k, cost, converged)])``.
 
     cost(x, c) = Σ (x_num − c_num)² + γ·#(x_cat ≠ c_cat); γ defaults to half
-    the mean numeric standard deviation.  Initial prototypes: ``k`` rows of a
-    seeded md5 order (one order per init).  All initialisations iterate
-    together: each Lloyd step is one scan that assigns every row under every
-    still-running init (prototypes are literals), then one aggregation per
-    (init, cluster) for costs and numeric means and one for categorical modes.
+    the mean numeric standard deviation.  The first start of each k takes dense,
+    distant rows (:func:`_dense_rows`), the others seeded samples.  All starts of
+    all k iterate together: each step is one Arrow-batched scan that assigns
+    every row under every running start and returns per-cluster sums and category
+    counts.  A start has converged when its cost
+    no longer falls; the returned cost belongs to the returned labels.
     Numeric columns must be complete (median-impute first), categorical
-    columns complete (mode-impute / 'Otro').
+    columns complete (fill with 'Otro' or the mode).
     """
-    base = df.select(id_col, *[_q(c).cast("double").alias(c) for c in num_cols],
-                     *[_q(c).cast("string").alias(c) for c in cat_cols]).persist()
+    base = saved(df.select(id_col, *[_q(c).cast("double").alias(c) for c in num_cols],
+                           *[_q(c).cast("string").alias(c) for c in cat_cols]), "mixed")
     if gamma is None:
         st = base.agg(*[F.stddev_samp(c).alias(c) for c in num_cols]).first()
         gamma = 0.5 * float(np.mean([st[c] or 0.0 for c in num_cols])) if num_cols else 1.0
@@ -405,47 +537,54 @@ def kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int,
         return F.least(*opts) if len(opts) > 1 else opts[0]
 
     protos = {}
-    for init in range(n_init):
-        ps = [r.asDict() for r in md5_sample(base, id_col, k, seed + init).collect()]
-        for i, p in enumerate(ps):
-            p["cluster"] = i
-        protos[init] = ps
-    cost, prev, active = {}, {}, list(range(n_init))
-    for _ in range(max_iter):
+    dense = _dense_rows(base, cat_cols, id_col, max(k_range)) if cat_cols else []
+    for k in k_range:
+        for init in range(n_init):
+            if init == 0 and dense:
+                ps = [dict(r) for r in dense[:k]]
+            else:
+                ps = [r.asDict() for r in md5_sample(base, id_col, k, seed + init).collect()]
+            for i, p in enumerate(ps):
+                p["cluster"] = i
+            protos[k, init] = ps
+    runs = sorted(protos)
+    cost, active, converged = {}, list(runs), set()
+    last = dict(protos)
+    for _ in range(max_iter + 1):
         if not active:
             break
-        stack = F.explode(F.array(*[F.struct(F.lit(i).alias("_init"), assign(protos[i]).alias("_b"))
-                                    for i in active]))
-        long = (base.select(*num_cols, *cat_cols, stack.alias("_s"))
-                .select(*num_cols, *cat_cols, F.col("_s._init").alias("_init"),
-                        F.col("_s._b.id").alias("cluster"), F.col("_s._b.d").alias("_cost")).persist())
-        num = long.groupBy("_init", "cluster").agg(F.sum("_cost").alias("_c"),
-                                                    *[F.avg(c).alias(c) for c in num_cols]).collect()
-        modes = {}
-        if cat_cols:
-            cs = F.explode(F.array(*[F.struct(F.lit(c).alias("var"), _q(c).alias("val")) for c in cat_cols]))
-            h = (long.select("_init", "cluster", cs.alias("s")).select("_init", "cluster", "s.*")
-                 .groupBy("_init", "cluster", "var", "val").agg(F.count(F.lit(1)).alias("n")))
-            for r in h.groupBy("_init", "cluster", "var").agg(
-                    F.min_by("val", F.struct(-F.col("n"), F.col("val"))).alias("mode")).collect():
-                modes[(r["_init"], r["cluster"], r["var"])] = r["mode"]
-        long.unpersist()
+        num, modes = _mixed_round(base, num_cols, cat_cols, {r: protos[r] for r in active}, runs, gamma)
         still = []
-        for i in active:
-            rows = [r for r in num if r["_init"] == i]
-            tot = float(sum(r["_c"] for r in rows))
+        for run in active:
+            i = runs.index(run)
+            rows = [r for r in num if r["run"] == i]
+            tot = float(sum(r["cost"] for r in rows))
+            # ``last`` keeps the prototypes that ``tot`` was measured with
+            last[run] = protos[run]
+            done = run in cost and cost[run] - tot <= 1e-9 * max(1.0, abs(tot))
+            cost[run] = tot
+            if done:
+                converged.add(run)
+                continue
             new = []
             for r in sorted(rows, key=lambda r: r["cluster"]):
-                p = {"cluster": r["cluster"], **{c: r[c] for c in num_cols}}
+                p = {"cluster": r["cluster"], **dict(zip(num_cols, r["mean"]))}
                 for c in cat_cols:
                     p[c] = modes.get((i, r["cluster"], c))
                 new.append(p)
-            protos[i] = new
-            cost[i] = tot
-            if not (i in prev and abs(prev[i] - tot) <= 1e-9 * max(1.0, abs(tot))):
-                still.append(i)
-            prev[i] = tot
+            protos[run] = new
+            still.append(run)
         active = still
-    best = min(range(n_init), key=lambda i: (cost[i], i))
-    labels = base.select(id_col, assign(protos[best])["id"].cast("long").alias("cluster"))
-    return labels, float(cost[best])
+    labels, costs = None, []
+    for k in k_range:
+        best = min((r for r in runs if r[0] == k), key=lambda r: (cost[r], r))
+        lab = base.select(F.lit(k).alias("k"), id_col, assign(last[best])["id"].cast("long").alias("cluster"))
+        labels = lab if labels is None else labels.unionByName(lab)
+        costs.append((k, float(cost[best]), best in converged))
+    return labels, costs
+
+
+def kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int, id_col: str = "row_id", **options):
+    """k-prototypes for one k (M18): ``(labels (id, cluster), cost)``."""
+    labels, costs = kprototypes_sweep(df, num_cols, cat_cols, [k], id_col, **options)
+    return labels.drop("k"), costs[0][1]

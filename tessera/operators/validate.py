@@ -1,24 +1,23 @@
 """Partition quality metrics and k selection.
 
-Row work is distributed; what reaches the driver is bounded by ``k`` (number
-of clusters) or by an explicit sample size.  Pairwise distances are never
-materialised as rows: per-partition numpy reductions against a broadcast,
-size-bounded anchor set produce ``anchors × clusters`` partial sums.
+The silhouette of record covers all rows in linear time (squared Euclidean
+distances follow from per-cluster moments); the Euclidean silhouette and the
+Dunn index are sampled operators that return the size of their sample.
+Rows labelled ``-1`` (noise) take no part in the sweep's metrics.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.plans import survey_config as cfg
+from tessera.sources.scratch import saved, small
+
 SEED = 42
-# all-row (exact) silhouette is only allowed up to this many rows
-MAX_EXACT_ANCHORS = 50_000
 
 
 def _q(c: str) -> Column:
@@ -50,11 +49,11 @@ def md5_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFram
 def balance(labels: DataFrame, cluster_col: str = "cluster", group_cols: list[str] | tuple = ()) -> DataFrame:
     """cv = std(ddof 1)/mean of cluster sizes, min % and max % of a partition.
 
-    ``(group..., k, cv, min_pct, max_pct)`` rounded 4 / 2 / 2 as reported.
+    ``(group..., n_clusters, cv, min_pct, max_pct)`` rounded 4 / 2 / 2 as reported.
     """
     sizes = labels.groupBy(*group_cols, cluster_col).agg(F.count(F.lit(1)).alias("sz"))
     return sizes.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("k"),
+        F.count(F.lit(1)).alias("n_clusters"),
         F.round(F.stddev_samp("sz") / F.avg("sz"), 4).alias("cv"),
         F.round(F.min("sz") / F.sum("sz") * 100.0, 2).alias("min_pct"),
         F.round(F.max("sz") / F.sum("sz") * 100.0, 2).alias("max_pct"))
@@ -157,67 +156,93 @@ def _anchor_sums(points: DataFrame, cols: list[str], cluster_col: str, anchors:
 
 
 def silhouette(df: DataFrame, cols: list[str], cluster_col: str = "cluster", id_col: str = "row_id",
-               sample_size: int | None = 5000, seed: int = SEED) -> float:
-    """Mean Euclidean silhouette.
-
-    Anchors are a seeded md5 sample of at most ``sample_size`` rows (all rows
-    when the table is smaller, which gives the exact score; ``None`` forces
-    all rows).  Every anchor's value is exact — measured against *all* rows,
-    never a capped partner set — and the anchor set, the only thing that
-    reaches the driver or is broadcast, is bounded by ``sample_size``.
-    Own-cluster mean excludes the anchor itself; an anchor alone in its
-    cluster scores 0.
+               n_anchors: int = 5000, seed: int = SEED) -> tuple[float, int]:
+    """Mean Euclidean silhouette over a seeded sample of anchors.
+
+    Returns ``(silhouette, anchors used)``.  Every anchor's value is exact,
+    measured against all rows; with at least as many anchors as rows the score
+    is that of all rows.  Own-cluster mean excludes the anchor itself; an anchor
+    alone in its cluster scores 0.  :func:`silhouette_all` scores all rows.
     """
     base = df.select(id_col, cluster_col, *cols)
-    if sample_size is None:
-        n = base.count()
-        if n > MAX_EXACT_ANCHORS:
-            raise ValueError(f"{n} rows: all-row silhouette is O(n²); give sample_size")
-        anchors_df = base
-    else:
-        anchors_df = md5_sample(base, id_col, sample_size, seed)
-    arows = anchors_df.collect()
+    arows = md5_sample(base, id_col, n_anchors, seed).collect()
     if not arows:
-        return float("nan")
+        return float("nan"), 0
     a = np.array([[r[c] for c in cols] for r in arows], dtype=float)
     alab = np.array([r[cluster_col] for r in arows])
-    sums = _anchor_sums(base, cols, cluster_col, a).collect()
-    clusters = sorted({r["cluster"] for r in sums})
-    if len(clusters) < 2:
-        return float("nan")
-    ci = {c: i for i, c in enumerate(clusters)}
-    ds = np.zeros((a.shape[0], len(clusters)))
-    ct = np.zeros(len(clusters))
-    for r in sums:
-        ds[r["anchor"], ci[r["cluster"]]] = r["dsum"]
-        ct[ci[r["cluster"]]] = r["cnt"]
-    own = np.array([ci[x] for x in alab])
-    s = np.zeros(a.shape[0])
-    for i in range(a.shape[0]):
-        n_own = ct[own[i]] - 1
-        if n_own <= 0:
-            s[i] = 0.0
-            continue
-        ai = ds[i, own[i]] / n_own
-        other = [ds[i, j] / ct[j] for j in range(len(clusters)) if j != own[i] and ct[j] > 0]
-        bi = min(other)
-        s[i] = (bi - ai) / max(ai, bi) if max(ai, bi) > 0 else 0.0
-    return float(s.mean())
+    sums = _anchor_sums(base, cols, cluster_col, a)
+    sizes = {r["cluster"]: r["n"] for r in base.groupBy(F.col(cluster_col).cast("long").alias("cluster"))
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return float("nan"), len(arows)
+    own = df.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(alab)], "anchor long, own long")
+    d = sums.join(own, "anchor").groupBy("anchor").agg(
+        F.max(F.when(F.col("cluster") == F.col("own"), F.when(F.col("cnt") > 1, F.col("dsum") / (F.col("cnt") - 1))))
+        .alias("a"),
+        F.min(F.when(F.col("cluster") != F.col("own"), F.col("dsum") / F.col("cnt"))).alias("b"))
+    far = F.greatest("a", "b")
+    s = F.when(F.col("a").isNull() | (far == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / far)
+    return float(d.agg(F.avg(s)).first()[0]), len(arows)
+
+
+def silhouette_all(points: DataFrame, cols: list[str], keys: list[str] | tuple = (),
+                   cluster_col: str = "cluster") -> DataFrame:
+    """Silhouette of all rows on squared Euclidean distances.
+
+    ``(keys..., sil)``.  The mean squared distance of a point to a cluster
+    follows from the cluster's size, sum vector and sum of squares, so the cost
+    is rows × clusters and nothing pairwise.  A point alone in its cluster
+    scores 0; fewer than two clusters give null.
+    """
+    keys = list(keys)
+    sq = sum((_q(c).cast("double") * _q(c).cast("double") for c in cols), F.lit(0.0))
+    p = points.select(*keys, F.col(cluster_col).cast("long").alias("_own"),
+                      *[_q(c).cast("double").alias(c) for c in cols], sq.alias("_sq"))
+    mom = p.groupBy(*keys, "_own").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("_sq").alias("q"),
+                                       F.array(*[F.sum(_q(c)) for c in cols]).alias("s"))
+    table = saved(mom.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
+        F.collect_list(F.struct(F.col("_own").alias("c"), "n", "q", "s")).alias("_cl")), "moments")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    if keys:
+        joined = p.join(small(table), same)
+    else:
+        one = table.first()
+        if one is None:
+            return points.select(F.lit(None).cast("double").alias("sil")).limit(0)
+        cl = F.array(*[F.struct(F.lit(r["c"]).alias("c"), F.lit(r["n"]).alias("n"), F.lit(r["q"]).alias("q"),
+                                F.array(*[F.lit(x) for x in r["s"]]).alias("s")) for r in one["_cl"]])
+        joined = p.withColumn("_cl", cl)
+
+    def total(c):
+        """Sum of squared distances of the row to the points of a cluster."""
+        dot = sum((_q(x) * c["s"][i] for i, x in enumerate(cols)), F.lit(0.0))
+        return F.greatest(c["n"] * F.col("_sq") - 2.0 * dot + c["q"], F.lit(0.0))
+
+    own = F.filter("_cl", lambda c: c["c"] == F.col("_own"))
+    a = F.transform(own, lambda c: F.when(c["n"] > 1, total(c) / (c["n"] - 1)))[0]
+    b = F.array_min(F.transform(F.filter("_cl", lambda c: c["c"] != F.col("_own")), lambda c: total(c) / c["n"]))
+    d = joined.select(*keys, a.alias("a"), b.alias("b"))
+    far = F.greatest("a", "b")
+    s = (F.when(F.col("b").isNull(), F.lit(None).cast("double"))
+         .when(F.col("a").isNull() | (far == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / far))
+    return d.groupBy(*keys).agg(F.avg(s).alias("sil"))
 
 
 def dunn(df: DataFrame, cols: list[str], cluster_col: str = "cluster", id_col: str = "row_id",
-         n_sample: int = 1000, seed: int = SEED) -> float:
-    """Dunn index on a seeded md5 sample.
+         n_sample: int = 1000, seed: int = SEED) -> tuple[float, int]:
+    """Dunn index on a seeded md5 sample (M20c, J6, O4): ``(dunn, sample size)``.
 
     min inter-cluster distance / max intra-cluster diameter over the sample;
-    0 when no cluster has two sample points.  The sample (≤ ``n_sample``
-    rows, the operator's own bound) is broadcast; tasks reduce their slice
+    0 when no cluster has two sample points.  The sample (≤ ``n_sample`` rows:
+    sampling is the operator's definition) is broadcast; tasks reduce their slice
     of it to per-cluster-pair minima / per-cluster maxima.
     """
     smp = md5_sample(df.select(id_col, cluster_col, *cols), id_col, n_sample, seed)
     rows = smp.collect()
     if not rows:
-        return 0.0
+        return 0.0, 0
     a = np.array([[r[c] for c in cols] for r in rows], dtype=float)
     alab = np.array([r[cluster_col] for r in rows], dtype=np.int64)
     sc = df.sparkSession.sparkContext
@@ -253,8 +278,8 @@ def dunn(df: DataFrame, cols: list[str], cluster_col: str = "cluster", id_col: s
     for lv in alab:
         sizes[lv] = sizes.get(lv, 0) + 1
     if res["inter"] is None or res["intra"] is None or res["intra"] <= 0 or max(sizes.values()) < 2:
-        return 0.0
-    return float(res["inter"] / res["intra"])
+        return 0.0, len(rows)
+    return float(res["inter"] / res["intra"]), len(rows)
 
 
 # ---------------------------------------------------------------------------
@@ -280,7 +305,8 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
              .unionByName(tot.select(F.lit("sij").alias("t"), F.col("sij").alias("v")))
              .unionByName(tot.select(F.lit("n").alias("t"), F.col("n").alias("v"))))
     one = terms.groupBy().pivot("t", ["sa", "sb", "sij", "n"]).agg(F.first("v"))
-    exp = F.col("sa") * F.col("sb") / c2(F.col("n"))
+    pairs = c2(F.col("n"))
+    exp = F.when(pairs > 0, F.col("sa") * F.col("sb") / F.nullif(pairs, F.lit(0.0))).otherwise(F.lit(0.0))
     mx = 0.5 * (F.col("sa") + F.col("sb"))
     ari = F.when(mx == exp, F.lit(1.0)).otherwise((F.col("sij") - exp) / (mx - exp))
     return one.select(F.col("n").cast("long").alias("n"), ari.alias("ari"))
@@ -290,16 +316,15 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 # composite score, k selection, method comparison, relabel (M20e, M21, M22, W2, W4, D6)
 # ---------------------------------------------------------------------------
 
-def composite_score(sil="sil", db="db", dunn_="dunn", cv="cv",
-                    weights: tuple = (0.35, 0.25, 0.25, 0.15)) -> Column:
-    """w1·sil + w2·dunn + w3/(1+db) + w4/(1+cv) (M20e)."""
+def composite_score(sil="sil", db="db", dunn_="dunn", cv="cv", weights: tuple = cfg.SCORE_WEIGHTS) -> Column:
+    """w1·sil + w2·dunn + w3/(1+db) + w4/(1+cv) (M20e); a missing cv counts as 0."""
     w1, w2, w3, w4 = weights
     return (F.lit(w1) * _q(sil) + F.lit(w2) * _q(dunn_) + F.lit(w3) / (1 + _q(db))
-            + F.lit(w4) / (1 + _q(cv)))
+            + F.lit(w4) / (1 + F.coalesce(_q(cv), F.lit(0.0))))
 
 
-def select_k(metrics: DataFrame, k_min: int = 3, share: float = 15.0, relaxed: float = 10.0,
-             method_col: str = "method") -> DataFrame:
+def select_k(metrics: DataFrame, k_min: int = 3, share: float = cfg.MIN_SHARE,
+             relaxed: float = cfg.MIN_SHARE_RELAXED, method_col: str = "method") -> DataFrame:
     """Chosen and second-best k per method.
 
     Chosen: best score in the first non-empty tier of (k ≥ k_min and
@@ -332,161 +357,85 @@ def compare_methods(metrics: DataFrame, choice: DataFrame, method_col: str = "me
 def relabel_by_score(df: DataFrame, cluster_col: str, score_col: str, out: str | None = None) -> DataFrame:
     """Dense relabel of clusters 0..k−1 by ascending mean of a score.
 
-    The k-row mapping is built with a window over the k cluster means and
-    joined back as a broadcast (its size is k).
+    The cluster means are ranked by the distributed rank (a density method can
+    find very many clusters); ties go to the smaller cluster.
     """
-    out = out or cluster_col
-    means = df.groupBy(cluster_col).agg(F.avg(_q(score_col)).alias("_m"))
-    mp = means.select(cluster_col, (F.row_number().over(W.orderBy("_m", cluster_col)) - 1).alias("_new"))
-    return df.join(F.broadcast(mp), cluster_col).withColumn(out, F.col("_new")).drop("_new")
-
+    from tessera.operators.ranks import rank_histogram
 
-def metrics_row(df: DataFrame, cols: list[str], cluster_col: str, id_col: str = "row_id",
-                sample_size: int | None = 5000, dunn_sample: int = 1000) -> dict:
-    """sil, db, dunn, cv, min_pct, max_pct and composite score of one labeling."""
-    bal = balance(df, cluster_col).first()
-    sil = silhouette(df, cols, cluster_col, id_col, sample_size)
-    db = davies_bouldin(df, cols, cluster_col)
-    du = dunn(df, cols, cluster_col, id_col, dunn_sample)
-    cv = bal["cv"] if bal["cv"] is not None else 0.0
-    score = 0.35 * sil + 0.25 * du + 0.25 / (1 + db) + 0.15 / (1 + cv)
-    r4 = (lambda v: round(v, 4) if v is not None and not math.isnan(v) else v)
-    return {"k": int(bal["k"]), "sil": r4(sil), "db": r4(db), "dunn": r4(du), "cv": bal["cv"],
-            "min_pct": bal["min_pct"], "max_pct": bal["max_pct"], "score": r4(score)}
+    out = out or cluster_col
+    means = saved(df.groupBy(F.col(cluster_col).alias("_c")).agg(F.avg(_q(score_col)).alias("_m")), "means")
+    hist = means.groupBy(F.lit(0).alias("_k"), F.col("_m").alias("_v")).agg(F.count(F.lit(1)).alias("cnt"))
+    rank = rank_histogram(hist, ["_k"], "_v").select("_v", "before")
+    tie = F.row_number().over(W.partitionBy("_m").orderBy("_c")) - 1
+    mp = (means.withColumn("_t", tie).join(rank, F.col("_m").eqNullSafe(F.col("_v")))
+          .select("_c", (F.col("before") + F.col("_t")).alias("_new")))
+    return (df.join(mp, F.col(cluster_col) == F.col("_c")).drop("_c")
+            .withColumn(out, F.col("_new")).drop("_new"))
 
 
 # ---------------------------------------------------------------------------
 # all labelings at once (the k / method sweep of R21)
 # ---------------------------------------------------------------------------
 
+def _db_index(cols: list[str], keys: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Davies–Bouldin of one labeling from its centroid table."""
+        c, s = pdf[cols].to_numpy(dtype=float), pdf["_s"].to_numpy(dtype=float)
+        worst = np.zeros(len(c))
+        for i in range(len(c)):
+            d = np.sqrt(((c - c[i]) ** 2).sum(1))
+            d[d == 0] = np.inf
+            worst[i] = ((s + s[i]) / d).max()
+        out = pdf[keys].iloc[:1].copy()
+        out["db"] = worst.mean() if len(c) > 1 else np.nan
+        return out
+    return run
+
+
+def _dunn_index(cols: list[str], keys: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Dunn index of one labeling on the shared sample."""
+        x, lab = pdf[cols].to_numpy(dtype=float), pdf["cluster"].to_numpy()
+        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+        same = lab[:, None] == lab[None, :]
+        intra = d[same].max() if len(x) else 0.0
+        out = pdf[keys].iloc[:1].copy()
+        out["dunn"] = float(d[~same].min() / intra) if intra > 0 and (~same).any() else 0.0
+        out["n_dunn"] = len(x)
+        return out
+    return run
+
+
 def metrics_table(points: DataFrame, cols: list[str], labels: DataFrame, id_col: str = "row_id",
-                  label_keys: tuple = ("method", "k"), sample_size: int = 5000, dunn_sample: int = 1000,
+                  label_keys: tuple = ("method", "k"), dunn_sample: int = 1000,
                   seed: int = SEED) -> DataFrame:
-    """sil, db, dunn, cv, min_pct, max_pct and score for every labeling in one sweep.
-
-    ``labels`` is long: ``(label_keys..., id, cluster)``.  Instead of ~5 passes
-    per labeling: cluster sizes and centroids in one aggregation, centroid
-    dispersions in one more, and one Arrow pass in which each point's
-    distances to the shared anchor sample are computed once and summed per
-    (labeling, anchor, cluster) for every labeling.  Dunn uses the shared
-    seeded sample.  Rounded as :func:`metrics_row`.
+    """sil, db, dunn, n_dunn, cv, min_pct, max_pct and score for every labeling in one sweep.
+
+    ``labels`` is long: ``(label_keys..., id, cluster)``; noise (cluster < 0)
+    is left out first.  ``sil`` is :func:`silhouette_all`.  Dunn uses one seeded
+    sample of ``dunn_sample`` points for all labelings, of which ``n_dunn`` are
+    not noise in this one.  Values are rounded to 4 / 2 decimals as reported.
     """
-    spark = points.sparkSession
     keys = list(label_keys)
-    lab = labels.select(*keys, id_col, F.col("cluster").cast("long").alias("cluster"))
-    lp = lab.join(points.select(id_col, *cols), id_col)
-    # sizes + centroids: one aggregation over all labelings
-    cen = lp.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("sz"),
-                                           *[F.avg(_q(c)).alias(c) for c in cols]).collect()
-    labelings = sorted({tuple(r[k] for k in keys) for r in cen})
-    li = {l: i for i, l in enumerate(labelings)}
-    # dispersion around own centroid (centres as a k-per-labeling broadcast table)
-    cdf = spark.createDataFrame([(*[r[k] for k in keys], r["cluster"], *[float(r[c]) for c in cols]) for r in cen],
-                                lab.select(*keys, "cluster").schema.simpleString()[7:-1] + ", "
-                                + ", ".join(f"_c_{c} double" for c in cols))
+    cols = list(cols)
+    pts = points.select(id_col, *[_q(c).cast("double").alias(c) for c in cols])
+    lab = labels.select(*keys, id_col, F.col("cluster").cast("long").alias("cluster")).where("cluster >= 0")
+    lp = saved(lab.join(pts, id_col), "labelled")
+    types = lp.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
+    cen = saved(lp.groupBy(*keys, "cluster").agg(*[F.avg(_q(c)).alias(c) for c in cols]), "centroids")
     dist = F.sqrt(sum(((_q(c) - F.col(f"_c_{c}")) ** 2 for c in cols), F.lit(0.0)))
-    disp = {(tuple(r[k] for k in keys), r["cluster"]): r["s"] for r in
-            lp.join(F.broadcast(cdf), [*keys, "cluster"]).groupBy(*keys, "cluster")
-            .agg(F.avg(dist).alias("s")).collect()}
-    # wide labels per point for the shared-distance passes
-    wide_cols = [f"_l{i}" for i in range(len(labelings))]
-    def is_labeling(l):
-        c = F.lit(True)
-        for k, v in zip(keys, l):
-            c = c & (F.col(k) == F.lit(v))
-        return c
-
-    cond = [F.max(F.when(is_labeling(l), F.col("cluster"))).alias(w) for l, w in zip(labelings, wide_cols)]
-    wide = lab.groupBy(id_col).agg(*cond).join(points.select(id_col, *cols), id_col)
-    anchors = md5_sample(wide, id_col, sample_size, seed).collect()
-    a = np.array([[r[c] for c in cols] for r in anchors], dtype=float)
-    alab = np.array([[r[w] if r[w] is not None else -1 for w in wide_cols] for r in anchors], dtype=np.int64)
-    b = spark.sparkContext.broadcast(a)
-    nl = len(wide_cols)
-    chunk = max(1, 4_000_000 // max(1, a.shape[0] * a.shape[1]))
-
-    def fn(it):
-        aa = b.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            x = pdf[cols].to_numpy(dtype=float)
-            labs = pdf[wide_cols].fillna(-1).to_numpy(dtype=np.int64)
-            acc = {}
-            for s0 in range(0, x.shape[0], chunk):
-                d = np.sqrt(((x[s0:s0 + chunk, None, :] - aa[None, :, :]) ** 2).sum(-1))   # rows × anchors
-                for li_ in range(nl):
-                    lv = labs[s0:s0 + chunk, li_]
-                    for cl in np.unique(lv):
-                        if cl < 0:
-                            continue
-                        m = lv == cl
-                        key = (li_, int(cl))
-                        ds, ct = acc.get(key, (0.0, 0))
-                        acc[key] = (ds + d[m].sum(0), ct + int(m.sum()))
-            rows = []
-            for (li_, cl), (ds, ct) in acc.items():
-                rows.append(pd.DataFrame({"lab": np.int64(li_), "cluster": np.int64(cl),
-                                          "anchor": np.arange(aa.shape[0], dtype=np.int64),
-                                          "dsum": ds, "cnt": np.int64(ct)}))
-            if rows:
-                yield pd.concat(rows, ignore_index=True)
-
-    sums = (wide.select(*[_q(c).cast("double").alias(c) for c in cols], *wide_cols)
-            .mapInPandas(fn, "lab long, cluster long, anchor long, dsum double, cnt long")
-            .groupBy("lab", "cluster", "anchor").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
-            .collect())
-    per = {}
-    for r in sums:
-        per.setdefault(r["lab"], {}).setdefault(r["cluster"], {})[r["anchor"]] = (r["dsum"], r["cnt"])
-    # Dunn on the shared seeded sample (bounded by dunn_sample)
-    ds = wide.orderBy(sample_key(id_col, seed), id_col).limit(dunn_sample).collect()
-    dx = np.array([[r[c] for c in cols] for r in ds], dtype=float)
-    dd = np.sqrt(((dx[:, None, :] - dx[None, :, :]) ** 2).sum(-1)) if len(ds) else np.zeros((0, 0))
-    out = []
-    for i, l in enumerate(labelings):
-        sizes = {r["cluster"]: r["sz"] for r in cen if tuple(r[k] for k in keys) == l}
-        cents = {r["cluster"]: np.array([r[c] for c in cols], dtype=float)
-                 for r in cen if tuple(r[k] for k in keys) == l}
-        szv = np.array(list(sizes.values()), dtype=float)
-        tot = szv.sum()
-        cv = round(float(szv.std(ddof=1) / szv.mean()), 4) if len(szv) > 1 else None
-        # silhouette
-        cl_sums = per.get(i, {})
-        s_vals = []
-        for j in range(a.shape[0]):
-            own = alab[j, i]
-            if own < 0 or own not in sizes:
-                continue
-            n_own = sizes[own] - 1
-            if n_own <= 0:
-                s_vals.append(0.0)
-                continue
-            ai = cl_sums[own][j][0] / n_own
-            bi = min(cl_sums[c][j][0] / sizes[c] for c in sizes if c != own)
-            s_vals.append((bi - ai) / max(ai, bi) if max(ai, bi) > 0 else 0.0)
-        sil = float(np.mean(s_vals)) if s_vals and len(sizes) > 1 else float("nan")
-        # Davies–Bouldin
-        ks = sorted(cents)
-        if len(ks) > 1:
-            cm = np.array([cents[k] for k in ks])
-            sv = np.array([disp[(l, k)] for k in ks])
-            dm = np.sqrt(((cm[:, None] - cm[None]) ** 2).sum(-1))
-            dm[dm == 0] = np.inf
-            db = float(np.mean(((sv[:, None] + sv[None, :]) / dm).max(1)))
-        else:
-            db = float("nan")
-        # Dunn
-        dl = np.array([r[wide_cols[i]] if r[wide_cols[i]] is not None else -1 for r in ds])
-        same = (dl[:, None] == dl[None, :]) & (dl[:, None] >= 0)
-        diff = (dl[:, None] != dl[None, :]) & (dl[:, None] >= 0) & (dl[None, :] >= 0)
-        intra = dd[same].max() if same.any() else 0.0
-        du = float(dd[diff].min() / intra) if intra > 0 and diff.any() else 0.0
-        cvv = cv if cv is not None else 0.0
-        score = 0.35 * sil + 0.25 * du + 0.25 / (1 + db) + 0.15 / (1 + cvv)
-        r4 = (lambda v: round(v, 4) if v is not None and not math.isnan(v) else v)
-        out.append((*l, r4(sil), r4(db), r4(du), cv, round(float(szv.min() / tot * 100), 2),
-                    round(float(szv.max() / tot * 100), 2), r4(score)))
-    schema = (lab.select(*keys).schema.simpleString()[7:-1]
-              + ", sil double, db double, dunn double, cv double, min_pct double, max_pct double, score double")
-    return spark.createDataFrame(out, schema)
+    own = cen.select(*keys, "cluster", *[_q(c).alias(f"_c_{c}") for c in cols])
+    spread = lp.join(small(own), [*keys, "cluster"]).groupBy(*keys, "cluster").agg(F.avg(dist).alias("_s"))
+    db = (cen.join(spread, [*keys, "cluster"]).groupBy(*keys)
+          .applyInPandas(_db_index(cols, keys), f"{types}, db double"))
+    sample = md5_sample(pts, id_col, dunn_sample, seed).select(id_col)
+    dunn_ = (lp.join(F.broadcast(sample), id_col).groupBy(*keys)
+             .applyInPandas(_dunn_index(cols, keys), f"{types}, dunn double, n_dunn long"))
+    bal = balance(lp, "cluster", keys).drop("n_clusters")
+    m = (silhouette_all(lp, cols, keys).join(db, keys).join(dunn_, keys, "left").join(bal, keys)
+         .withColumn("dunn", F.coalesce("dunn", F.lit(0.0)))
+         .withColumn("n_dunn", F.coalesce("n_dunn", F.lit(0))))
+    score = composite_score()
+    return m.select(*keys, F.round("sil", 4).alias("sil"), F.round("db", 4).alias("db"),
+                    F.round("dunn", 4).alias("dunn"), "n_dunn", "cv", "min_pct", "max_pct",
+                    F.round(score, 4).alias("score"))
