@@ -49,7 +49,7 @@ def sql_long(src: str, cols: list[str], keep: list[str] | tuple = (), drop_nulls
 def _load_all() -> None:
     # importing the query modules fills QUERIES / ORACLE
     from tessera.plans import (q_quality, q_encode, q_profile, q_stats,  # noqa: F401
-                               q_latent, q_validate, q_segment, q_flows)
+                               q_latent, q_validate, q_segment, q_flows, q_report)
 
 
 def all_queries() -> dict[str, Callable]:

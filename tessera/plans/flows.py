@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import encode, latent, quality, ranks, schema, segment, validate
+from tessera.operators import report as rp
+from tessera.plans import survey_config as cfg
 from tessera.session import ensure_checkpoint_dir
+from tessera.sources import stage
+from tessera.sources.scratch import saved
 
 
 @dataclass
@@ -62,7 +66,7 @@ def ingest(raw: DataFrame, spec: IngestSpec) -> tuple[DataFrame, DataFrame]:
     c1 = flagged.agg(F.count(F.lit(1)).alias("n_raw"), F.count_if("_empty").alias("n_empty"),
                      F.count_if("_sent").alias("n_sentinel")).first()
     kept = flagged.where(~F.col("_empty") & ~F.col("_sent")).drop("_empty", "_sent")
-    dedup = quality.dedupe_exact(kept, spec.id_col).checkpoint()
+    dedup = saved(quality.dedupe_exact(kept, spec.id_col), "deduplicated")
     n_dedup = dedup.count()
     n_kept = c1["n_raw"] - c1["n_empty"] - c1["n_sentinel"]
     dedup2, sparse = quality.drop_sparse_columns(dedup, spec.sparse_threshold, protect=(spec.id_col,))
@@ -102,23 +106,77 @@ def ingest(raw: DataFrame, spec: IngestSpec) -> tuple[DataFrame, DataFrame]:
     return clean, report
 
 
+@dataclass
+class IngestSpecB:
+    """Table B: a key for duplicates, allowed answers per column, a token for 'not applicable'."""
+    pii_cols: list[str] = field(default_factory=list)
+    key_col: str | None = None
+    id_col: str = "row_id"
+    sparse_threshold: float = cfg.SPARSE_COLUMN_THRESHOLD_B
+    allowed: dict = field(default_factory=dict)         # ordinal column -> allowed answers, token included
+    na_token: str = cfg.NOT_APPLICABLE
+    binary_cols: list[str] = field(default_factory=list)
+    binary_values: tuple = ("Si", "No", "SI", "NO")
+
+
+def ingest_b(raw: DataFrame, spec: IngestSpecB) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clean a table of kind B (R19): ``(clean, report, issues)``.
+
+    Order: drop PII → drop exact duplicates → keep the first row of every key →
+    drop sparse columns → answers outside a column's set to null → token to null
+    (counted) → binary answers.  ``report`` is one row of counts; ``issues`` has
+    a row per column and bad value, and one per column with the token's count.
+    """
+    ensure_checkpoint_dir(raw.sparkSession)
+    df, pii = schema.drop_if_present(raw, spec.pii_cols)
+    df = schema.add_row_id(df, spec.id_col)
+    n_raw = df.count()
+    exact = saved(quality.dedupe_exact(df, spec.id_col), "exact")
+    n_exact = exact.count()
+    has_key = spec.key_col in df.columns
+    keyed = saved(quality.dedupe_by_key(exact, [spec.key_col], spec.id_col), "keyed") if has_key else exact
+    n_keyed = keyed.count() if has_key else n_exact
+    rows, sparse = quality.drop_sparse_columns(keyed, spec.sparse_threshold, protect=(spec.id_col,))
+    allowed = {c: list(v) for c, v in spec.allowed.items() if c in rows.columns}
+    binary = {c: list(spec.binary_values) for c in spec.binary_cols if c in rows.columns}
+    tokens = quality.token_counts(rows, list(allowed), spec.na_token)
+    issues = quality.domain_issues(rows, allowed, "ordinal").unionByName(
+        quality.domain_issues(rows, binary, "binary")).unionByName(
+        tokens.where("n_token > 0").select(F.lit("token").alias("check"), "column_name",
+                                           F.lit(spec.na_token).alias("bad_value"),
+                                           F.col("n_token").alias("n_invalid")))
+    clean = quality.domain_validate(rows, allowed)
+    clean = quality.token_to_null(clean, list(allowed), spec.na_token)
+    clean = quality.domain_validate(clean, binary)
+    report = raw.sparkSession.createDataFrame(
+        [(n_raw, len(raw.columns), len(pii), n_raw - n_exact, n_exact - n_keyed, len(sparse), n_keyed,
+          len(clean.columns))],
+        "n_rows_raw long, n_cols_raw long, n_pii_dropped long, n_duplicates long, n_key_duplicates long, "
+        "n_sparse_cols long, n_rows_final long, n_cols_final long")
+    return clean, report, issues
+
+
 @dataclass
 class FeatureSpec:
     rename: dict = field(default_factory=dict)
     binary: dict = field(default_factory=dict)          # col -> (yes list, no list)
     scales: dict = field(default_factory=dict)          # col -> {text: code}
+    coalesce: dict = field(default_factory=dict)        # out -> [(col, {text: code}), ..], first known wins
     change: tuple | None = None                         # (out, current, previous, lo, hi)
     keyword: tuple | None = None                        # (out, col, rules, default, null_levels)
-    score: tuple | None = None                          # (out, cols)
-    lump: tuple | None = None                           # (col, min_count, other)
+    nominal: dict = field(default_factory=dict)         # out -> (col, replace map, valid set or None, upper)
+    scores: dict = field(default_factory=dict)          # out -> cols
+    lumps: list = field(default_factory=list)           # (col, min_count, other)
 
 
 def features(clean: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Build model-ready variables (R20): rename → encoders → scores → lumping."""
+    """Build model-ready variables (R20): rename → encoders → nominal cleaning →
+    scores → lumping."""
     df = schema.rename_columns(clean, spec.rename)
-    cols = {}
-    for c, (yes, no) in spec.binary.items():
-        cols[c] = encode.binary_encode(c, yes, no)
+    chained = {out: encode.coalesce_chain(*[encode.map_values(c, mp) for c, mp in chain])
+               for out, chain in spec.coalesce.items()}
+    df = df.withColumns(chained) if chained else df
+    cols = {c: encode.binary_encode(c, yes, no) for c, (yes, no) in spec.binary.items()}
     for c, mp in spec.scales.items():
         cols[c] = encode.map_values(c, mp)
     df = df.withColumns(cols) if cols else df
@@ -128,58 +186,166 @@ def features(clean: DataFrame, spec: FeatureSpec) -> DataFrame:
     if spec.keyword:
         out, col, rules, default, null_levels = spec.keyword
         df = df.withColumn(out, encode.keyword_level(col, rules, default, null_levels))
-    if spec.score:
-        out, sc = spec.score
+    for out, (col, replace, valid, upper) in spec.nominal.items():
+        df = df.withColumn(out, encode.nominal_clean(col, replace, valid, upper))
+    for out, sc in spec.scores.items():
         df = df.withColumn(out, encode.additive_score(sc))
-    if spec.lump:
-        col, mn, other = spec.lump
+    for col, mn, other in spec.lumps:
         df = encode.lump_rare(df, col, mn, other)
     return df
 
 
+@dataclass
+class Segmentation:
+    """What the segmentation flow returns; every member is a DataFrame."""
+    assignments: DataFrame      # row_id, method, choice (best / second), k, cluster, name
+    metrics: DataFrame          # method, k, sil, db, dunn, n_dunn, cv, min_pct, score
+    choice: DataFrame           # method, k_opt, k_second
+    dbscan: DataFrame           # eps, min_pts, n_clusters, noise_pct, viable, sil, min_pct
+    loadings: DataFrame         # block, var, factor, loading
+    parameters: dict            # name -> table of the fitted parameters
+
+
+def dbscan_summary(points: DataFrame, cols: list[str], settings: list[tuple[float, int]],
+                   id_col: str = "row_id") -> DataFrame:
+    """M19 sweep: clusters and noise of every setting; metrics of the viable ones
+    (at least 2 clusters, under 20 % noise) on the rows that are not noise."""
+    lab = saved(segment.dbscan_settings(points, cols, settings, id_col), "dbscan")
+    keys = ["eps", "min_pts"]
+    st = lab.groupBy(*keys).agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"),
+                                (100.0 * F.avg((F.col("cluster") == -1).cast("double"))).alias("noise"))
+    st = st.withColumn("viable", (F.col("n_clusters") >= 2) & (F.col("noise") < 20.0))
+    pts = lab.where("cluster >= 0").join(points, id_col)
+    sil = validate.silhouette_all(pts, cols, keys)
+    bal = validate.balance(pts, "cluster", keys).select(*keys, "min_pct")
+    out = st.join(sil, keys, "left").join(bal, keys, "left")
+    return out.select(*keys, "n_clusters", F.round("noise", 1).alias("noise_pct"), "viable",
+                      F.when(F.col("viable"), F.round("sil", 4)).alias("sil"),
+                      F.when(F.col("viable"), F.col("min_pct")).alias("min_pct"))
+
+
 def segment_respondents(df: DataFrame, factor_blocks: dict, nominal_cols: list[str], id_col: str = "row_id",
-                        k_range=range(2, 8), k_min: int = 3, n_init: int = 10, names: dict | None = None,
-                        score_col: str | None = None):
+                        k_range=range(2, 8), k_min: int = 3, n_init: int = 30, n_micro: int = 512,
+                        eps_grid: tuple = (0.3, 0.5, 0.7, 0.9, 1.2, 1.5), min_pts_grid: tuple = (5, 10, 15),
+                        names: dict | None = None, score_col: str | None = None) -> Segmentation:
     """Segmentation (R21): factor blocks + MCA → quantile-normal + PCA(3) →
-    k-means and Ward sweeps → metrics → k selection → relabel → names.
-
-    Returns ``(assignments, metrics, choice)``; assignments hold
-    ``(row_id, method, k, cluster, name)`` for the chosen k of each method.
+    k-means, Ward and DBSCAN sweeps → metrics → best and second-best k →
+    relabel by ``score_col`` (the first component without one) → names.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = []
+    parts, loadings, parameters = [], None, {}
     for block, (cols, n_f) in factor_blocks.items():
-        v = latent.median_impute(df.select(id_col, *cols), cols)
-        rk = ranks.rank_columns(v, cols, id_col).checkpoint()
+        medians = latent.column_medians(df, cols)
+        v = latent.median_impute(df.select(id_col, *cols), cols, medians)
+        rk = saved(ranks.rank_columns(v, cols, id_col), "ranked")
         fm = latent.fit_factor_block(rk, cols, n_f, block)
         parts.append(rk.select(id_col, *fm.score_columns()))
+        tab = fm.loadings_table(spark)
+        loadings = tab if loadings is None else loadings.unionByName(tab)
+        parameters[f"factor_{block}"] = fm.to_table(spark)
+        parameters[f"medians_{block}"] = spark.createDataFrame(
+            [(c, float(medians[c])) for c in cols], "var string, median double")
     if nominal_cols:
         nom = latent.mode_impute(df.select(id_col, *nominal_cols), nominal_cols)
         mca = latent.fit_mca(nom, nominal_cols, 3)
         parts.append(nom.select(id_col, *mca.coord_columns()))
+        parameters["mca"] = mca.to_table(spark)
     lat = parts[0]
     for p in parts[1:]:
         lat = lat.join(p, id_col)
-    lat = lat.checkpoint()
+    lat = saved(lat, "latent")
     cols = [c for c in lat.columns if c != id_col]
-    scores, _, _ = latent.latent_space(lat, cols, id_col, 3)
-    space = scores.checkpoint()
+    scores, pca, grid = latent.latent_space(lat, cols, id_col, 3)
+    parameters["pca"], parameters["quantiles"] = pca.to_table(spark), grid
+    space = saved(scores, "space")
     pcs = [c for c in space.columns if c != id_col]
     km_labels, _ = segment.kmeans_sweep(space, pcs, k_range, n_init=n_init, id_col=id_col)
-    wd_labels, _, _ = segment.ward_micro(space, pcs, k_range, id_col=id_col)
-    all_labels = (km_labels.withColumn("method", F.lit("kmeans"))
-                  .unionByName(wd_labels.withColumn("method", F.lit("ward"))).checkpoint())
+    wd_labels, _, _ = segment.ward_micro(space, pcs, k_range, n_micro, id_col=id_col)
+    all_labels = saved(km_labels.select(F.lit("kmeans").alias("method"), "k", id_col, F.col("cluster").cast("long"))
+                       .unionByName(wd_labels.select(F.lit("ward").alias("method"), "k", id_col, "cluster")), "labels")
     # every (method, k) labeling scored in one sweep over the latent table
-    metrics = validate.metrics_table(space, pcs, all_labels, id_col, ("method", "k")).select(
-        "method", F.col("k").cast("int").alias("k"), "sil", "db", "dunn", "cv", "min_pct", "score")
-    choice = validate.select_k(metrics, k_min=k_min)
-    chosen = all_labels.join(choice.select("method", F.col("k_opt").alias("k")), ["method", "k"])
-    score_src = score_col or pcs[0]
-    with_score = chosen.join(space if score_col is None else df.select(id_col, score_col), id_col)
-    relabeled = None
+    metrics = saved(validate.metrics_table(space, pcs, all_labels, id_col, ("method", "k")).select(
+        "method", F.col("k").cast("int").alias("k"), "sil", "db", "dunn", "n_dunn", "cv", "min_pct", "score"), "metrics")
+    choice = saved(validate.select_k(metrics, k_min=k_min), "choice")
+    ks = choice.select("method", F.explode(F.array(
+        F.struct(F.lit("best").alias("choice"), F.col("k_opt").alias("k")),
+        F.struct(F.lit("second").alias("choice"), F.col("k_second").alias("k")))).alias("c")).select("method", "c.*")
+    src = score_col or pcs[0]
+    value = (space if score_col is None else df).select(id_col, F.col(src).cast("double").alias("_score"))
+    chosen = saved(all_labels.join(F.broadcast(ks), ["method", "k"]).join(value, id_col), "chosen")
+    named = None
     for method in ("kmeans", "ward"):
-        part = validate.relabel_by_score(with_score.where(F.col("method") == method), "cluster", score_src)
-        relabeled = part if relabeled is None else relabeled.unionByName(part)
-    named = relabeled.withColumn("name", encode.name_segments("cluster", names or {}))
-    return named.select(id_col, "method", "k", "cluster", "name"), metrics, choice
+        for which in ("best", "second"):
+            part = validate.relabel_by_score(chosen.where((F.col("method") == method) & (F.col("choice") == which)),
+                                             "cluster", "_score")
+            named = part if named is None else named.unionByName(part)
+    named = named.withColumn("name", encode.name_segments("cluster", names or {}))
+    return Segmentation(named.select(id_col, "method", "choice", "k", "cluster", "name"), metrics, choice,
+                        dbscan_summary(space, pcs, [(e, m) for e in eps_grid for m in min_pts_grid], id_col),
+                        loadings, parameters)
+
+
+def save_segmentation(result: Segmentation, df: DataFrame, path: str, id_col: str = "row_id") -> str:
+    """Sinks of the segmentation (S3–S5, S7) below ``path``: the table enriched
+    with the best k-means segment, metrics and loadings as CSV, parameters."""
+    main = (result.assignments.where("method = 'kmeans' and choice = 'best'")
+            .select(id_col, F.col("cluster").alias("segment"), F.col("name").alias("segment_name")))
+    stage.write_stage(df.join(main, id_col, "left"), f"{path}/segmented")
+    stage.write_csv(result.metrics, f"{path}/metrics_csv")
+    stage.write_csv(result.loadings, f"{path}/loadings_csv")
+    stage.save_params(df.sparkSession, result.parameters, f"{path}/parameters")
+    return path
+
+
+@dataclass
+class ReportSpec:
+    """Columns of the report's sections; an empty entry leaves its section out."""
+    seg: str
+    competences: list[str] = field(default_factory=list)
+    incidence: list[str] = field(default_factory=list)
+    score: str | None = None
+    binary: list[str] = field(default_factory=list)
+    satisfaction: list[str] = field(default_factory=list)
+    programme: str | None = None
+    age: str | None = None
+    year: str | None = None
+    history: list[str] = field(default_factory=list)
+    answers: list[str] = field(default_factory=list)
+    mobility: str | None = None
+    categories: list[str] = field(default_factory=list)
+    site: str | None = None
+    labelings: tuple | None = None
+
+
+def report(df: DataFrame, spec: ReportSpec) -> DataFrame:
+    """The report (R22): all sections in one long table."""
+    seg, parts = spec.seg, [rp.distribution(df, spec.seg)]
+    if spec.competences:
+        parts.append(rp.item_profile(df, spec.competences, seg, "competences"))
+    if spec.incidence:
+        parts.append(rp.item_profile(df, spec.incidence, seg, "incidence"))
+    if spec.score:
+        parts.append(rp.wellbeing(df, spec.score, spec.binary, spec.satisfaction, seg))
+    if spec.programme:
+        parts.append(rp.programme(df, spec.programme, seg))
+    if spec.age:
+        parts.append(rp.measure(df, spec.age, seg, "age"))
+    if spec.year:
+        parts.append(rp.measure(df, spec.year, seg, "graduation_year"))
+    if spec.history:
+        parts.append(rp.item_profile(df, spec.history, seg, "history"))
+    if spec.answers:
+        parts.append(rp.yes_rates(df, spec.answers, seg, "answers"))
+    if spec.mobility:
+        parts.append(rp.mobility(df, spec.mobility, seg))
+    if spec.categories:
+        parts.append(rp.categorical(df, spec.categories, seg))
+    if spec.site:
+        parts.append(rp.categorical(df, [spec.site], seg, "site_effect"))
+    if spec.labelings:
+        parts.append(rp.robustness(df, *spec.labelings))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import survey_config as cfg
 from tessera.sources.tables import load
 
 
@@ -91,16 +92,28 @@ FROM documents)"""
 DOC_COLS = ["n_chars", "n_words", "n_lines"]
 
 
+#: Length of the vectors in ``embeddings``.
+EMBED_DIMS = 64
+
+
 def embed_points(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
-    """First ``dims`` coordinates of ``embeddings`` plus its label."""
+    """``embeddings`` as points: coordinate j is the sum of the vector's entries
+    j, j + dims, j + 2·dims, .. (all 64 entries are used), plus the label."""
     e = load(spark, sf_dir, "embeddings")
+    def coordinate(j):
+        total = F.lit(0.0)
+        for i in range(j, EMBED_DIMS, dims):
+            total = total + F.col("embedding")[i].cast("double")
+        return total
     return e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("label"),
-                    *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(dims)])
+                    *[coordinate(j).alias(f"x{j}") for j in range(dims)])
 
 
 def embed_points_sql(dims: int = 3) -> str:
-    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(dims))
-    return f"pts AS (SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label, {cols} FROM embeddings)"
+    def coordinate(j):
+        return "0.0E0 + " + " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(j, EMBED_DIMS, dims))
+    cols = ", ".join(f"{coordinate(j)} AS x{j}" for j in range(dims))
+    return f"pts AS MATERIALIZED (SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label, {cols} FROM embeddings)"
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,3 +121,72 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = load(spark, sf_dir, "lineitem")
     return li.select(F.col("l_returnflag").alias("seg"), "l_quantity", "l_discount", "l_tax",
                      "l_extendedprice", "l_linestatus")
+
+
+# Table B: every answer column cycles through the answers of one of the study's
+# scales; two more answers stand for a gap and for a value outside the scale.
+_B_ANSWERS = {
+    "logro_1": list(cfg.ATTAINMENT_SCALE) + [cfg.NOT_APPLICABLE], "logro_2": list(cfg.ATTAINMENT_SCALE) + [cfg.NOT_APPLICABLE],
+    "incidencia": list(cfg.INCIDENCE_SCALE) + [cfg.NOT_APPLICABLE], "cargo": list(cfg.JOB_TYPE_SCALE),
+    "contrato": list(cfg.CONTRACT_SCALE), "acuerdo": list(cfg.AGREEMENT_SCALE),
+    "suficiencia": list(cfg.SUFFICIENCY_SCALE), "nivel": list(cfg.EDUCATION_LEVEL_SCALE),
+    "ingreso": list(cfg.INCOME_SCALE), "primer_empleo": list(cfg.FIRST_JOB_SCALE), "sector": list(cfg.SECTOR_SCALE),
+    "satisfaccion": list(cfg.SATISFACTION_SCALE), "padres": list(cfg.PARENTS_EDUCATION),
+    "salario_1": list(cfg.SALARY_UNDERGRAD), "salario_2": list(cfg.SALARY_SPECIALISATION),
+    "salario_3": list(cfg.SALARY_MASTERS), "genero": cfg.VALID_CATEGORIES["cat_genero"],
+    "laborando": ["Si", "No", "SI", "NO"],
+}
+#: Code tables of the answer columns.
+B_SCALES = {
+    "logro_1": cfg.ATTAINMENT_SCALE, "logro_2": cfg.ATTAINMENT_SCALE, "incidencia": cfg.INCIDENCE_SCALE,
+    "cargo": cfg.JOB_TYPE_SCALE, "contrato": cfg.CONTRACT_SCALE, "acuerdo": cfg.AGREEMENT_SCALE,
+    "suficiencia": cfg.SUFFICIENCY_SCALE, "nivel": cfg.EDUCATION_LEVEL_SCALE, "ingreso": cfg.INCOME_SCALE,
+    "primer_empleo": cfg.FIRST_JOB_SCALE, "sector": cfg.SECTOR_SCALE, "satisfaccion": cfg.SATISFACTION_SCALE,
+}
+B_SALARY = [("salario_1", cfg.SALARY_UNDERGRAD), ("salario_2", cfg.SALARY_SPECIALISATION),
+            ("salario_3", cfg.SALARY_MASTERS)]
+
+
+def _b_step(i: int) -> tuple[int, int]:
+    """How the i-th column's answer follows from the order key."""
+    return 2 * i + 3, i
+
+
+def survey_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-level proxy of table B: ``row_id, seg, cedula`` (repeated key),
+    ``consentimiento`` (personal), one text column per scale, ``vacia`` (95 % null)."""
+    o = load(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    cols = []
+    for i, (c, answers) in enumerate(_B_ANSWERS.items()):
+        a, b = _b_step(i)
+        every = F.array(*[F.lit(x) for x in [*answers, "otro valor"]], F.lit(None).cast("string"))
+        cols.append(every[((k * a + F.floor(k / 4) + b) % (len(answers) + 2)).cast("int")].alias(c))
+    return o.select(k.alias("row_id"), F.col("o_orderstatus").alias("seg"),
+                    F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.substring("o_orderpriority", 1, 1)).alias("cedula"),
+                    F.lit("acepto").alias("consentimiento"), *cols,
+                    F.when(k % 20 == 0, F.lit("x")).alias("vacia"))
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def survey_b_sql() -> str:
+    cols = []
+    for i, (c, answers) in enumerate(_B_ANSWERS.items()):
+        a, b = _b_step(i)
+        every = ", ".join([*map(_sql_text, [*answers, "otro valor"]), "NULL"])
+        cols.append(f"([{every}])[(o_orderkey * {a} + o_orderkey // 4 + {b}) % {len(answers) + 2} + 1] AS {c}")
+    return f"""survey_b AS (SELECT o_orderkey AS row_id, o_orderstatus AS seg,
+  CAST(o_custkey AS VARCHAR) || '-' || substr(o_orderpriority, 1, 1) AS cedula, {', '.join(cols)},
+  CASE WHEN o_orderkey % 20 = 0 THEN 'x' END AS vacia FROM orders)"""
+
+
+def scale_sql(col: str, scale: dict) -> str:
+    """CASE expression of a code table."""
+    return "CASE " + col + " " + " ".join(f"WHEN {_sql_text(t)} THEN {v if not isinstance(v, str) else _sql_text(v)}"
+                                          for t, v in scale.items()) + " END"
+
+
+B_COLUMNS = list(_B_ANSWERS)

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.operators import encode, profile, quality, ranks
+from tessera.operators import report as rp
 from tessera.plans import flows
-from tessera.plans.catalog import register, r6, sql_long
-from tessera.plans.proxies import SURVEY_SQL, line_items, survey
+from tessera.plans.catalog import ORACLE, register, r6, sql_long
+from tessera.plans.proxies import SURVEY_SQL, embed_points, line_items, survey
 from tessera.session import scratch_path
 from tessera.sources import stage
+from tessera.sources.scratch import saved
 from tessera.sources.tables import read_source
 
 _QUESTIONS = ["seg", "site", "cat_program", "q1", "q2", "q3", "q4", "b1", "b2", "t1", "sparse_col", "dt"]
@@ -87,8 +89,10 @@ _FSPEC = flows.FeatureSpec(
     scales={"sat_t1": _T1},
     change=("mobility", "q2", "q1", 1, 5),
     keyword=("site_level", "site", _SITE_RULES, 3, ()),
-    score=("wellbeing", ["b1", "b2"]),
-    lump=("site", 600, "Otro"))
+    scores={"wellbeing": ["b1", "b2"], "effort": ["q1", "q2", "q3"]},
+    nominal={"programme": ("cat_program", {"HOUSEHOLD": "HOME"},
+                           ["AUTOMOBILE", "BUILDING", "HOME", "MACHINERY"], True)},
+    lumps=[("site", 600, "Otro")])
 
 
 def _features(spark, sf_dir):
@@ -108,6 +112,9 @@ e AS (SELECT row_id, seg, cat_program, q1, q2, q3, q4, site,
                   WHEN contains({_SITE_V}, 'china') OR contains({_SITE_V}, 'japan') OR contains({_SITE_V}, 'india') THEN 2
                   WHEN contains({_SITE_V}, 'an') THEN 4 ELSE 3 END AS site_level FROM clean),
 e2 AS (SELECT *, coalesce(CAST(b1 AS DOUBLE), 0.0E0) + coalesce(CAST(b2 AS DOUBLE), 0.0E0) AS wellbeing,
+              coalesce(q1, 0.0E0) + coalesce(q2, 0.0E0) + coalesce(q3, 0.0E0) AS effort,
+              CASE WHEN cat_program = 'HOUSEHOLD' THEN 'HOME'
+                   WHEN cat_program IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') THEN cat_program END AS programme,
               upper(regexp_replace(site, '^[\\s ]+|[\\s ]+$', '', 'g')) AS sv FROM e),
 fr AS (SELECT sv, count(*) AS n FROM e2 WHERE sv IS NOT NULL GROUP BY sv),
 feat AS (SELECT e2.* EXCLUDE (site, sv),
@@ -115,7 +122,7 @@ feat AS (SELECT e2.* EXCLUDE (site, sv),
          FROM e2 LEFT JOIN fr ON e2.sv = fr.sv)"""
 
 _FEAT_COLS = ["row_id", "seg", "cat_program", "q1", "q2", "q3", "q4", "b1", "b2", "sat_t1", "mobility",
-              "site_level", "wellbeing", "site"]
+              "site_level", "wellbeing", "effort", "programme", "site"]
 
 
 @register("features_flow", f"WITH {_FEAT_CTE}\nSELECT {', '.join(_FEAT_COLS)} FROM feat")
@@ -145,7 +152,7 @@ SELECT section, k1, k2, n, round(value, 6) AS value FROM (
 @register("report_flow", _REPORT_SQL)
 def report_flow(spark, sf_dir):
     """R22 (R3, R4, R11, R12): distribution, item means, mobility, category profile per segment."""
-    f = _features(spark, sf_dir).checkpoint()
+    f = saved(_features(spark, sf_dir), "features")
     dist = profile.freq_share(f, "seg").select(F.lit("distribution").alias("section"), F.col("value").alias("k1"),
                                                 F.lit("").alias("k2"), F.col("n").cast("double").alias("n"),
                                                 (100.0 * F.col("share")).alias("value"))
@@ -196,16 +203,9 @@ SELECT CAST(coalesce(ar.rk, br.rk) AS BIGINT) AS rk, seg_a, mean_a, seg_b, mean_
 FROM ar FULL OUTER JOIN br ON ar.rk = br.rk""")
 def compare_profiles(spark, sf_dir):
     """Two studies' segment profiles side by side on a segment-rank key (full outer join)."""
-    from pyspark.sql import Window as W
     s = quality.range_validate(survey(spark, sf_dir), ["q1"], 1, 5)
-    a = s.groupBy("seg").agg(F.avg("q1").alias("m"))
-    ar = a.select(F.col("seg").alias("seg_a"), r6("m").alias("mean_a"),
-                  F.row_number().over(W.orderBy("m", "seg")).alias("rk"))
-    b = line_items(spark, sf_dir).groupBy("seg").agg(F.avg("l_quantity").alias("m"))
-    br = b.select(F.col("seg").alias("seg_b"), r6("m").alias("mean_b"),
-                  F.row_number().over(W.orderBy("m", "seg")).alias("rk"))
-    j = ar.join(br, "rk", "full_outer")
-    return j.select(F.col("rk").cast("long").alias("rk"), "seg_a", "mean_a", "seg_b", "mean_b")
+    j = rp.compare_studies(s, line_items(spark, sf_dir), "q1", "l_quantity", "seg", "seg")
+    return j.select("rk", "seg_a", r6("mean_a").alias("mean_a"), "seg_b", r6("mean_b").alias("mean_b"))
 
 
 @register("stage_roundtrip", f"""WITH {SURVEY_SQL}
@@ -225,14 +225,34 @@ def stage_roundtrip(spark, sf_dir):
     return a.join(b, "row_id")
 
 
+_BLOCKS = {"B1": (["q1", "q2", "q3"], 1), "B2": (["q4", "wellbeing", "sat_t1"], 1)}
+_NAMES = {0: "Base", 1: "Intermedio", 2: "Alto"}
+
+
+def _segmentation(spark, sf_dir):
+    f = saved(_features(spark, sf_dir), "features")
+    return f, flows.segment_respondents(f, _BLOCKS, ["cat_program", "site"], "row_id", n_micro=128,
+                                        eps_grid=(0.5, 1.0, 1.5), min_pts_grid=(5, 10), names=_NAMES,
+                                        score_col="wellbeing")
+
+
 @register("segment_flow")
 def segment_flow(spark, sf_dir):
-    """Factors + MCA → latent space → k-means/Ward sweeps → select k → relabel → names."""
-    f = _features(spark, sf_dir)
-    blocks = {"B1": (["q1", "q2", "q3"], 1), "B2": (["q4", "wellbeing", "sat_t1"], 1)}
-    assign, _, _ = flows.segment_respondents(f, blocks, ["cat_program", "site"], "row_id", range(2, 6), k_min=3,
-                                             n_init=3, names={0: "Base", 1: "Intermedio", 2: "Alto"})
-    return assign
+    """Factors + MCA → latent space → k-means, Ward, DBSCAN sweeps → best and second k →
+    relabel by well-being → names → sinks; the assignments of the written result."""
+    f, result = _segmentation(spark, sf_dir)
+    path = flows.save_segmentation(result, f, scratch_path(spark, f"segmentation-{uuid.uuid4().hex}"))
+    done = spark.read.parquet(f"{path}/segmented").select("row_id", "segment", "segment_name")
+    return result.assignments.join(done, "row_id")
+
+
+@register("segment_robustness")
+def segment_robustness(spark, sf_dir):
+    """Agreement of the best k-means and Ward labelings of the flow."""
+    _, result = _segmentation(spark, sf_dir)
+    best = result.assignments.where("choice = 'best'")
+    wide = best.groupBy("row_id").pivot("method", ["kmeans", "ward"]).agg(F.first("cluster"))
+    return rp.robustness(wide, "kmeans", "ward")
 
 
 @register("enrich_by_id", f"""WITH {_INGEST_CTE}
@@ -281,3 +301,24 @@ def save_load_params(spark, sf_dir):
     loaded = stage.load_params(spark, path, ["medians"])["medians"]
     fitted = {r["var"]: r["median"] for r in loaded.collect()}
     return latent.median_impute(s, ["q1", "q2"], fitted)
+
+
+@register("save_load_models", ORACLE["pca_scores"])
+def save_load_models(spark, sf_dir):
+    """A fitted PCA saved as a Parquet table, loaded back and applied."""
+    from tessera.operators import latent
+    p = embed_points(spark, sf_dir, 2)
+    path = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    stage.save_params(spark, {"pca": latent.fit_pca(p, ["x0", "x1"], 1).to_table(spark)}, path)
+    m = latent.PCAModel.from_table(stage.load_params(spark, path, ["pca"])["pca"], ["x0", "x1"])
+    return p.select("row_id", *[r6(c).alias("pc1") for c in m.score_columns()])
+
+
+@register("stage_add_column", f"""WITH {SURVEY_SQL}
+SELECT row_id, seg, q1, CASE WHEN q1 BETWEEN 1 AND 5 THEN q1 * 20 END AS q1_pct FROM survey""")
+def stage_add_column(spark, sf_dir):
+    """A stage is read, gets a column and is written again to a new path."""
+    base = scratch_path(spark, f"stages-{uuid.uuid4().hex}")
+    first = stage.write_stage(survey(spark, sf_dir).select("row_id", "seg", "q1"), f"{base}/1")
+    again = read_source(spark, first, "parquet").withColumn("q1_pct", quality.in_range("q1", 1, 5) * 20)
+    return read_source(spark, stage.write_stage(again, f"{base}/2"), "parquet")

@@ -129,12 +129,12 @@ m AS (SELECT var, seg, avg(val) AS mean FROM ({sql_long("v", SURVEY_ITEMS, ["seg
       GROUP BY var, seg),
 r AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY mean DESC, var) AS rt,
                 row_number() OVER (PARTITION BY seg ORDER BY mean ASC, var) AS rb FROM m)
-SELECT seg, 'top' AS side, CAST(rt AS BIGINT) AS rank, var, round(mean, 6) AS mean FROM r WHERE rt <= 2
+SELECT seg, 'top' AS side, CAST(rt AS BIGINT) AS rank, var, round(mean, 6) AS mean FROM r WHERE rt <= 3
 UNION ALL
-SELECT seg, 'bottom', CAST(rb AS BIGINT), var, round(mean, 6) FROM r WHERE rb <= 2""")
+SELECT seg, 'bottom', CAST(rb AS BIGINT), var, round(mean, 6) FROM r WHERE rb <= 3""")
 def strengths_gaps(spark, sf_dir):
-    """Strongest and weakest 2 items per segment."""
-    m = profile.mean_extremes(_valid_survey(spark, sf_dir), SURVEY_ITEMS, "seg", 2)
+    """Strongest and weakest 3 items per segment."""
+    m = profile.mean_extremes(_valid_survey(spark, sf_dir), SURVEY_ITEMS, "seg", 3)
     return m.select("seg", "side", "rank", "var", r6("mean").alias("mean"))
 
 
@@ -152,15 +152,35 @@ def yes_share(spark, sf_dir):
     return y.select("var", "seg", "n_yes", "n_answered", r6("pct_yes").alias("pct_yes"))
 
 
-@register("corr_matrix_top_pairs", f"""WITH {DOC_METRICS_SQL},
-p AS (SELECT 'n_chars' AS var1, 'n_words' AS var2, corr(n_chars, n_words) AS r FROM docm
-      UNION ALL SELECT 'n_chars', 'n_lines', corr(n_chars, n_lines) FROM docm
-      UNION ALL SELECT 'n_words', 'n_lines', corr(n_words, n_lines) FROM docm)
-SELECT var1, var2, round(r, 6) AS r FROM p ORDER BY abs(r) DESC, var1, var2 LIMIT 2""")
+_CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_PAIRS_SQL = "p AS (" + "\nUNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM lineitem"
+    for i, a in enumerate(_CORR) for b in _CORR[i + 1:]) + ")"
+
+
+@register("corr_matrix_top_pairs", f"""WITH {_PAIRS_SQL}
+SELECT var1, var2, round(r, 6) AS r FROM p ORDER BY abs(r) DESC, var1, var2 LIMIT 5""")
 def corr_matrix_top_pairs(spark, sf_dir):
-    """Pairwise Pearson of the document metrics, strongest 2 pairs."""
-    t = profile.top_corr_pairs(doc_metrics(spark, sf_dir), DOC_COLS, 2)
-    return t.select("var1", "var2", r6("r").alias("r"))
+    """Pairwise Pearson of the line items' measures, strongest 5 pairs."""
+    return profile.top_corr_pairs(line_items(spark, sf_dir), _CORR, 5).select("var1", "var2", r6("r").alias("r"))
+
+
+@register("corr_mean", f"""WITH {_PAIRS_SQL}
+SELECT count(r) AS n_pairs, round(avg(r), 6) AS mean_r, round(avg(abs(r)), 6) AS mean_abs_r FROM p""")
+def corr_mean(spark, sf_dir):
+    """Mean correlation over all pairs."""
+    m = profile.mean_corr(line_items(spark, sf_dir), _CORR)
+    return m.select("n_pairs", r6("mean_r").alias("mean_r"), r6("mean_abs_r").alias("mean_abs_r"))
+
+
+@register("doc_corr", f"""WITH {DOC_METRICS_SQL}
+SELECT count(*) AS n_pairs, round(avg(r), 6) AS mean_r FROM (
+  SELECT corr(n_chars, n_words) AS r FROM docm UNION ALL SELECT corr(n_chars, n_lines) FROM docm
+  UNION ALL SELECT corr(n_words, n_lines) FROM docm)""")
+def doc_corr(spark, sf_dir):
+    """Mean correlation of the document metrics."""
+    m = profile.mean_corr(doc_metrics(spark, sf_dir), DOC_COLS)
+    return m.select("n_pairs", r6("mean_r").alias("mean_r"))
 
 
 @register("box_summary", f"""WITH long AS ({sql_long("lineitem", ["l_quantity", "l_extendedprice"])}),

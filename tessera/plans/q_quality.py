@@ -80,17 +80,16 @@ def range_validate(spark, sf_dir):
     return quality.range_validate(s, SURVEY_ITEMS, 1, 5)
 
 
-def _issues_sql(cols, cond):
-    parts = [f"SELECT 'range' AS \"check\", '{c}' AS column_name, CAST(count(*) AS BIGINT) AS n_invalid, "
-             f"array_to_string(list_sort(list_distinct(list(CAST({c} AS VARCHAR)))), '|') AS bad_values "
-             f"FROM survey WHERE {c} IS NOT NULL AND NOT ({cond.format(c=c)}) HAVING count(*) > 0"
-             for c in cols]
+def _issues_sql(cols, cond, check="range"):
+    parts = [f"SELECT '{check}' AS \"check\", '{c}' AS column_name, CAST({c} AS VARCHAR) AS bad_value, "
+             f"CAST(count(*) AS BIGINT) AS n_invalid FROM survey "
+             f"WHERE {c} IS NOT NULL AND NOT ({cond.format(c=c)}) GROUP BY {c}" for c in cols]
     return "\nUNION ALL ".join(parts)
 
 
 @register("range_issues", f"WITH {SURVEY_SQL}\n{_issues_sql(SURVEY_ITEMS, '{c} BETWEEN 1 AND 5')}")
 def range_issues(spark, sf_dir):
-    """F4 report: count and distinct list of out-of-range values per column."""
+    """F4 report: out-of-range values per column with their counts."""
     s = survey(spark, sf_dir)
     return quality.range_issues(s, SURVEY_ITEMS, 1, 5)
 
@@ -109,15 +108,10 @@ def domain_validate(spark, sf_dir):
     return quality.domain_validate(s, _ALLOWED)
 
 
-@register("domain_issues", f"""WITH {SURVEY_SQL}
-SELECT 'domain' AS "check", 'b1' AS column_name, CAST(count(*) AS BIGINT) AS n_invalid,
-       array_to_string(list_sort(list_distinct(list(b1))), '|') AS bad_values
-FROM survey WHERE b1 IS NOT NULL AND b1 NOT IN ('Si', 'No') HAVING count(*) > 0
-UNION ALL
-SELECT 'domain', 't1', CAST(count(*) AS BIGINT), array_to_string(list_sort(list_distinct(list(t1))), '|')
-FROM survey WHERE t1 IS NOT NULL AND t1 NOT IN ('URGENT', 'HIGH', 'MEDIUM', 'LOW') HAVING count(*) > 0""")
+@register("domain_issues", f"WITH {SURVEY_SQL}\n" + "\nUNION ALL ".join(
+    _issues_sql([c], f"{{c}} IN ({', '.join(repr(v) for v in vals)})", "domain") for c, vals in _ALLOWED.items()))
 def domain_issues(spark, sf_dir):
-    """F6 report: count and distinct list of out-of-domain answers."""
+    """F6 report: out-of-domain answers per column with their counts."""
     return quality.domain_issues(survey(spark, sf_dir), _ALLOWED)
 
 
@@ -271,3 +265,12 @@ def align_by_row_id(spark, sf_dir):
                                            "LOW": 5}.items() for x in kv])
     b = s.select("row_id", F.try_element_at(m, F.col("t1")).alias("t1_code"))
     return schema.align(a, b, "row_id")
+
+
+@register("resolve_select", """SELECT c_custkey, c_nationkey, substr(c_name, 1, 10) AS short_name FROM customer""")
+def resolve_select(spark, sf_dir):
+    """Column found by substrings, listed columns that exist, truncated text."""
+    c = load(spark, sf_dir, "customer")
+    nation = schema.resolve_substrings(c.columns, "nation", "key")
+    kept = schema.select_existing(c, ["c_custkey", nation, "no_such_column", "c_name"])
+    return kept.select("c_custkey", nation, tx.truncate("c_name", 10).alias("short_name"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import latent, segment, validate
+from tessera.plans import flows
 from tessera.plans.catalog import register
 from tessera.plans.proxies import embed_points, embed_points_sql, survey
 
@@ -16,42 +17,42 @@ _D = "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
-    """K-means for k = 2..7 (5 seeded k-means|| inits each): inertia, balance, metrics."""
+    """K-means for k = 2..7 (30 starts each): inertia, balance, metrics."""
     p = embed_points(spark, sf_dir, 3)
-    labels, inertia = segment.kmeans_sweep(p, _X, range(2, 8), n_init=5)
-    labels = labels.checkpoint()
+    labels, inertia = segment.kmeans_sweep(p, _X, range(2, 8))
     met = validate.metrics_table(p.select("row_id", *_X), _X, labels, "row_id", ("k",))
     cost = spark.createDataFrame([(int(k), float(c)) for k, c in inertia], "k int, inertia double")
     return (met.withColumn("k", F.col("k").cast("int")).join(cost, "k")
-            .select(F.lit("kmeans").alias("method"), "k", "inertia", "sil", "db", "dunn", "cv", "min_pct", "score"))
+            .select(F.lit("kmeans").alias("method"), "k", "inertia", "sil", "db", "dunn", "n_dunn", "cv", "min_pct",
+                    "score"))
 
 
 @register("kmeans_labels")
 def kmeans_labels(spark, sf_dir):
     """Cluster of every point for every k (long table)."""
-    p = embed_points(spark, sf_dir, 3)
-    labels, _ = segment.kmeans_sweep(p, _X, range(2, 8), n_init=3)
+    labels, _ = segment.kmeans_sweep(embed_points(spark, sf_dir, 3), _X, range(2, 8))
     return labels
 
 
+#: Micro-clusters of the Ward queries, at every size of the table.
+_MICRO = 128
+
+
 @register("ward_micro")
 def ward_micro(spark, sf_dir):
-    """Ward sweep on weighted micro-clusters (exact when few distinct points)."""
-    p = embed_points(spark, sf_dir, 3)
-    labels, merges, exact = segment.ward_micro(p, _X, range(2, 8), max_micro=512)
-    b = validate.balance(labels, "cluster", ["k"])
-    return b.withColumn("exact", F.lit(exact))
+    """Ward sweep on weighted micro-clusters: balance per k and the micro-clusters used."""
+    labels, _, used = segment.ward_micro(embed_points(spark, sf_dir, 3), _X, range(2, 8), _MICRO)
+    return validate.balance(labels, "cluster", ["k"]).withColumn("n_micro", F.lit(used))
 
 
 @register("ward_merges")
 def ward_merges(spark, sf_dir):
     """The merge table (step, a, b, height, size) — dendrogram data."""
-    p = embed_points(spark, sf_dir, 3)
-    _, merges, _ = segment.ward_micro(p, _X, range(2, 3), max_micro=512)
+    _, merges, _ = segment.ward_micro(embed_points(spark, sf_dir, 3), _X, range(2, 3), _MICRO)
     return merges
 
 
-_EPS, _MINPTS = 0.12, 5
+_EPS, _MINPTS = 0.3, 5
 
 
 @register("dbscan_core_flags", f"""WITH {_PTS},
@@ -81,55 +82,70 @@ FROM pts p LEFT JOIN labeled l ON p.row_id = l.row_id LEFT JOIN names n ON l.lab
 
 @register("dbscan_labels", _DBSCAN_SQL)
 def dbscan_labels(spark, sf_dir):
-    """DBSCAN labels (noise −1) for ε = 0.12, minPts = 5."""
+    """DBSCAN labels (noise −1) for ε = 0.3, minPts = 5."""
     p = embed_points(spark, sf_dir, 3)
     return segment.dbscan(p, _X, _EPS, _MINPTS, "row_id")
 
 
-@register("dbscan_grid")
+_GRID = [(e, m) for e in (0.12, 0.15, 0.18, 0.21, 0.24, 0.3) for m in (3, 5, 8)]
+_D2 = "((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))"
+
+_GRID_SQL = f"""WITH RECURSIVE {_PTS},
+st AS (SELECT * FROM (VALUES {', '.join(f'({e}E0, {m})' for e, m in _GRID)}) t(eps, mp)),
+pr AS MATERIALIZED (SELECT a.row_id AS a, b.row_id AS b, {_D} AS d, {_D2} AS d2 FROM pts a JOIN pts b ON true),
+nb AS (SELECT eps, mp, a, b FROM pr JOIN st ON d <= eps),
+core AS (SELECT eps, mp, a AS row_id FROM nb GROUP BY eps, mp, a HAVING count(*) >= mp),
+ce AS (SELECT nb.* FROM nb JOIN core c1 ON c1.eps = nb.eps AND c1.mp = nb.mp AND nb.a = c1.row_id
+       JOIN core c2 ON c2.eps = nb.eps AND c2.mp = nb.mp AND nb.b = c2.row_id),
+reach(eps, mp, src, dst) AS (SELECT eps, mp, row_id, row_id FROM core
+  UNION SELECT r.eps, r.mp, r.src, ce.b FROM reach r JOIN ce ON ce.eps = r.eps AND ce.mp = r.mp AND r.dst = ce.a),
+comp AS (SELECT eps, mp, dst AS row_id, min(src) AS lab FROM reach GROUP BY ALL),
+border AS (SELECT nb.eps, nb.mp, nb.a AS row_id, min(comp.lab) AS lab
+           FROM nb JOIN comp ON comp.eps = nb.eps AND comp.mp = nb.mp AND nb.b = comp.row_id
+           LEFT JOIN core ON core.eps = nb.eps AND core.mp = nb.mp AND core.row_id = nb.a
+           WHERE core.row_id IS NULL GROUP BY ALL),
+l AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+stat AS (SELECT st.eps, st.mp, count(DISTINCT lab) AS k, 100.0E0 * (count(*) - count(lab)) / count(*) AS noise
+         FROM st JOIN pts ON true LEFT JOIN l ON l.eps = st.eps AND l.mp = st.mp AND l.row_id = pts.row_id GROUP BY ALL),
+md AS (SELECT x.eps, x.mp, x.row_id, x.lab = y.lab AS own, y.lab AS lb, avg(d2) AS m
+       FROM l x JOIN l y ON x.eps = y.eps AND x.mp = y.mp AND x.row_id <> y.row_id
+       JOIN pr ON pr.a = x.row_id AND pr.b = y.row_id GROUP BY ALL),
+ab AS (SELECT eps, mp, row_id, max(CASE WHEN own THEN m END) AS a, min(CASE WHEN NOT own THEN m END) AS b FROM md GROUP BY ALL),
+sil AS (SELECT eps, mp, avg(CASE WHEN a IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) END) AS sil FROM ab GROUP BY ALL),
+sz AS (SELECT eps, mp, lab, count(*) AS n FROM l GROUP BY ALL),
+bal AS (SELECT eps, mp, round(min(n) / sum(n) * 100.0E0, 2) AS min_pct FROM sz GROUP BY ALL)
+SELECT stat.eps, CAST(stat.mp AS INTEGER) AS min_pts, CAST(k AS BIGINT) AS n_clusters, round(noise, 1) AS noise_pct,
+       k >= 2 AND noise < 20 AS viable, CASE WHEN k >= 2 AND noise < 20 THEN round(sil, 4) END AS sil,
+       CASE WHEN k >= 2 AND noise < 20 THEN min_pct END AS min_pct
+FROM stat LEFT JOIN sil USING (eps, mp) LEFT JOIN bal USING (eps, mp)"""
+
+
+@register("dbscan_grid", _GRID_SQL)
 def dbscan_grid(spark, sf_dir):
-    """M19 sweep: ε × minPts; keep ≥ 2 clusters and < 20 % noise; silhouette and balance on non-noise."""
-    p = embed_points(spark, sf_dir, 3)
-    rows = []
-    for eps in (0.08, 0.12, 0.16):
-        for mp in (3, 5):
-            lab = segment.dbscan(p, _X, eps, mp, "row_id").checkpoint()
-            st = lab.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
-                         (100.0 * F.avg((F.col("cluster") == -1).cast("double"))).alias("noise")).first()
-            k, noise = int(st["k"]), float(st["noise"])
-            keep = k >= 2 and noise < 20.0
-            sil = min_pct = None
-            if keep:
-                nn = lab.where(F.col("cluster") >= 0).join(p, "row_id")
-                sil = round(validate.silhouette(nn, _X, "cluster", "row_id"), 4)
-                min_pct = validate.balance(nn, "cluster").first()["min_pct"]
-            rows.append((float(eps), mp, k, round(noise, 1), keep, sil, min_pct))
-    return spark.createDataFrame(rows, "eps double, min_pts int, n_clusters int, noise_pct double, viable boolean, "
-                                       "sil double, min_pct double")
+    """M19 sweep, 6 ε × 3 minPts at once: clusters, noise; metrics of the viable (≥ 2 clusters, < 20 % noise)."""
+    return flows.dbscan_summary(embed_points(spark, sf_dir, 3), _X, _GRID, "row_id")
 
 
 @register("kprototypes")
 def kprototypes(spark, sf_dir):
-    """K-prototypes on survey items (median-imputed) + nominal answers (mode-imputed)."""
+    """K-prototypes for k = 2..7 on survey items (median-imputed) and nominal answers (gaps 'Otro')."""
     s = survey(spark, sf_dir)
-    num = ["q1", "q2", "q4"]
-    cat = ["cat_program", "t1"]
+    num, cat = ["q1", "q2", "q4"], ["cat_program", "t1"]
     v = latent.median_impute(s.select("row_id", *num, *cat), num)
-    v = latent.mode_impute(v, cat)
-    rows = []
-    for k in (2, 3, 4):
-        lab, cost = segment.kprototypes(v, num, cat, k, "row_id", n_init=2, max_iter=10)
-        b = validate.balance(lab, "cluster").first()
-        rows.append((k, cost, int(b["k"]), b["cv"], b["min_pct"], b["max_pct"]))
-    return spark.createDataFrame(rows, "k int, cost double, n_clusters int, cv double, min_pct double, "
-                                       "max_pct double")
+    v = v.withColumns({c: F.coalesce(F.col(c), F.lit("Otro")) for c in cat})
+    labels, costs = segment.kprototypes_sweep(v, num, cat, range(2, 8), "row_id")
+    met = validate.metrics_table(v.select("row_id", *num), num, labels, "row_id", ("k",))
+    cost = spark.createDataFrame([(int(k), float(c), bool(done)) for k, c, done in costs],
+                                 "k int, cost double, converged boolean")
+    return met.withColumn("k", F.col("k").cast("int")).join(cost, "k").select(
+        "k", "cost", "converged", "sil", "db", "dunn", "n_dunn", "cv", "min_pct", "max_pct", "score")
 
 
-_EPS_FINE = 0.05
+_EPS_FINE = 0.15
 
 
 @register("dbscan_labels_fine", _DBSCAN_SQL.replace(f"<= {_EPS}", f"<= {_EPS_FINE}"))
 def dbscan_labels_fine(spark, sf_dir):
-    """DBSCAN at ε = 0.05, minPts = 5 — several clusters, borders and noise."""
+    """DBSCAN at ε = 0.15, minPts = 5 — several clusters, borders and noise."""
     p = embed_points(spark, sf_dir, 3)
     return segment.dbscan(p, _X, _EPS_FINE, _MINPTS, "row_id")

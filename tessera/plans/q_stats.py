@@ -105,6 +105,18 @@ def kruskal_wallis_5(spark, sf_dir):
     return _kw_out(ranks.kruskal_wallis(ev, ["value"], "seg"))
 
 
+_KW_DOC_SQL = f"""WITH {_kw_sql("long AS (" + sql_long("documents", ["n_chars"], ["lang AS seg"]) + ")", "seg")}
+SELECT var, n, n_groups, round(h, 6) AS h, df, round(p_value, 6) AS p_value,
+       {stars_sql('p_value')} AS stars FROM kw"""
+
+
+@register("kruskal_wallis_4", _KW_DOC_SQL)
+def kruskal_wallis_4(spark, sf_dir):
+    """M23 with 4 groups (df 3, the odd branch of the χ² tail): document length by language."""
+    d = load(spark, sf_dir, "documents").select(F.col("lang").alias("seg"), "n_chars")
+    return _kw_out(ranks.kruskal_wallis(d, ["n_chars"], "seg"))
+
+
 _VERDICT_SQL = f"""WITH {SURVEY_SQL},
 base AS (SELECT seg, datediff('day', dt, TIMESTAMP '2026-01-01 00:00:00') / 365.25E0 AS age FROM survey),
 b2 AS (SELECT seg, CASE WHEN age BETWEEN 18 AND 80 THEN age END AS age FROM base),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import ari_strength_sql
 from tessera.operators import segment, validate
 from tessera.plans.catalog import register, r6
 from tessera.plans.proxies import embed_points, embed_points_sql
@@ -24,14 +25,46 @@ pair AS (SELECT a.row_id, a.label AS la, b.label AS lb, {_D} AS d FROM pts a JOI
 m AS (SELECT row_id, la, lb, avg(d) AS md FROM pair GROUP BY row_id, la, lb),
 ab AS (SELECT row_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
        FROM m GROUP BY row_id)
-SELECT round(avg(CASE WHEN a IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab"""
+SELECT round(avg(CASE WHEN a IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n_anchors FROM ab"""
 
 
 @register("silhouette", _SIL_SQL)
 def silhouette(spark, sf_dir):
-    """Mean Euclidean silhouette of the embedding labels (3 dims)."""
-    p = embed_points(spark, sf_dir, 3)
-    return _one(spark, silhouette=round(validate.silhouette(p, _X, "label", "row_id"), 6))
+    """Mean Euclidean silhouette of the embedding labels over 5000 anchors (all rows here)."""
+    s, n = validate.silhouette(embed_points(spark, sf_dir, 3), _X, "label", "row_id", n_anchors=5000)
+    return _one(spark, silhouette=round(s, 6), n_anchors=n)
+
+
+_SIL_SAMPLE_SQL = f"""WITH {_PTS},
+anchor AS (SELECT * FROM pts ORDER BY md5(concat('42', CAST(row_id AS VARCHAR))), row_id LIMIT 200),
+pair AS (SELECT a.row_id, a.label AS la, b.label AS lb, {_D} AS d FROM anchor a JOIN pts b ON a.row_id <> b.row_id),
+m AS (SELECT row_id, la, lb, avg(d) AS md FROM pair GROUP BY row_id, la, lb),
+ab AS (SELECT row_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+       FROM m GROUP BY row_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette,
+       count(*) AS n_anchors FROM ab"""
+
+
+@register("silhouette_sample", _SIL_SAMPLE_SQL)
+def silhouette_sample(spark, sf_dir):
+    """Euclidean silhouette over 200 seeded anchors, fewer than the rows."""
+    s, n = validate.silhouette(embed_points(spark, sf_dir, 3), _X, "label", "row_id", n_anchors=200)
+    return _one(spark, silhouette=round(s, 6), n_anchors=n)
+
+
+_SIL_ALL_SQL = f"""WITH {_PTS},
+pair AS (SELECT a.row_id, a.label AS la, b.label AS lb, {_D} * {_D} AS d FROM pts a JOIN pts b ON a.row_id <> b.row_id),
+m AS (SELECT row_id, la, lb, avg(d) AS md FROM pair GROUP BY row_id, la, lb),
+ab AS (SELECT row_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+       FROM m GROUP BY row_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab"""
+
+
+@register("silhouette_all", _SIL_ALL_SQL)
+def silhouette_all(spark, sf_dir):
+    """Silhouette of all rows on squared distances, from cluster moments."""
+    return validate.silhouette_all(embed_points(spark, sf_dir, 3), _X, [], "label").select(
+        r6("sil").alias("silhouette"))
 
 
 _DB_SQL = f"""WITH {_PTS},
@@ -51,25 +84,26 @@ def davies_bouldin(spark, sf_dir):
 
 
 _DUNN_SQL = f"""WITH {_PTS},
-smp AS (SELECT * FROM pts ORDER BY md5(concat('42', CAST(row_id AS VARCHAR))), row_id LIMIT 1000),
+smp AS (SELECT * FROM pts ORDER BY md5(concat('42', CAST(row_id AS VARCHAR))), row_id LIMIT 300),
 pair AS (SELECT a.label AS la, b.label AS lb, {_D} AS d FROM smp a JOIN smp b ON a.row_id < b.row_id)
-SELECT round(min(d) FILTER (WHERE la <> lb) / max(d) FILTER (WHERE la = lb), 6) AS dunn FROM pair"""
+SELECT round(min(d) FILTER (WHERE la <> lb) / max(d) FILTER (WHERE la = lb), 6) AS dunn,
+       (SELECT count(*) FROM smp) AS n_sample FROM pair"""
 
 
 @register("dunn", _DUNN_SQL)
 def dunn(spark, sf_dir):
-    """Dunn index over a seeded md5 sample of 1000 points."""
-    p = embed_points(spark, sf_dir, 3)
-    return _one(spark, dunn=round(validate.dunn(p, _X, "label", "row_id", 1000), 6))
+    """Dunn index over a seeded md5 sample of 300 points, fewer than the rows."""
+    d, n = validate.dunn(embed_points(spark, sf_dir, 3), _X, "label", "row_id", 300)
+    return _one(spark, dunn=round(d, 6), n_sample=n)
 
 
 @register("balance", f"""WITH {_PTS}, s AS (SELECT label, count(*) AS sz FROM pts GROUP BY label)
-SELECT CAST(count(*) AS BIGINT) AS k, round(stddev_samp(sz) / avg(sz), 4) AS cv,
+SELECT CAST(count(*) AS BIGINT) AS n_clusters, round(stddev_samp(sz) / avg(sz), 4) AS cv,
        round(min(sz) / sum(sz) * 100.0E0, 2) AS min_pct, round(max(sz) / sum(sz) * 100.0E0, 2) AS max_pct FROM s""")
 def balance(spark, sf_dir):
     """A16, M20d: cv, min % and max % of the label sizes."""
     b = validate.balance(embed_points(spark, sf_dir, 3), "label")
-    return b.select(F.col("k").cast("long").alias("k"), "cv", "min_pct", "max_pct")
+    return b.select("n_clusters", "cv", "min_pct", "max_pct")
 
 
 @register("md5_sample", f"""WITH {_PTS}
@@ -93,8 +127,7 @@ def ari(spark, sf_dir):
     """Adjusted Rand index between order status and priority."""
     o = load(spark, sf_dir, "orders")
     a = validate.adjusted_rand(o, "o_orderstatus", "o_orderpriority")
-    st = (F.when(F.col("ari") > 0.6, "alta").when(F.col("ari") > 0.3, "moderada").otherwise("baja"))
-    return a.select("n", r6("ari").alias("ari"), st.alias("strength"))
+    return a.select("n", r6("ari").alias("ari"), F.expr(ari_strength_sql("ari")).alias("strength"))
 
 
 @register("ari_labels", f"""WITH {_PTS},
@@ -132,14 +165,14 @@ def _metrics_df(spark, sf_dir):
         part = df.select(F.lit(method).alias("method"), F.lit(k).alias("k"), "row_id", "cluster")
         labels = part if labels is None else labels.unionByName(part)
     m = validate.metrics_table(p.select("row_id", *_X), _X, labels, "row_id", ("method", "k"))
-    return m.select("method", F.col("k").cast("int").alias("k"), "sil", "db", "dunn", "cv", "min_pct", "score")
+    return m.select("method", F.col("k").cast("int").alias("k"), "sil", "db", "dunn", "n_dunn", "cv", "min_pct", "score")
 
 
 _LABS_SQL = f"""{_PTS},
 ks AS (SELECT * FROM (VALUES (2), (3), (4), (5)) t(k)),
 labs AS (SELECT 'label_mod' AS method, k, row_id, label % k AS cluster, x0, x1, x2 FROM pts, ks
          UNION ALL SELECT 'id_mod', k, row_id, row_id % k, x0, x1, x2 FROM pts, ks),
-pair AS (SELECT a.method, a.k, a.row_id, a.cluster AS la, b.cluster AS lb, {_D} AS d
+pair AS (SELECT a.method, a.k, a.row_id, a.cluster AS la, b.cluster AS lb, {_D} * {_D} AS d
          FROM labs a JOIN labs b ON a.method = b.method AND a.k = b.k AND a.row_id <> b.row_id),
 sm AS (SELECT method, k, row_id, la, lb, avg(d) AS md FROM pair GROUP BY ALL),
 ab AS (SELECT method, k, row_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
@@ -161,13 +194,14 @@ dp AS (SELECT a.method, a.k, a.cluster AS la, b.cluster AS lb, {_D} AS d FROM sm
        ON a.method = b.method AND a.k = b.k AND a.row_id < b.row_id),
 du AS (SELECT method, k, coalesce(min(d) FILTER (WHERE la <> lb) / nullif(max(d) FILTER (WHERE la = lb), 0), 0) AS dunn
        FROM dp GROUP BY ALL),
+dn AS (SELECT method, k, count(*) AS n_dunn FROM smp GROUP BY ALL),
 sz AS (SELECT method, k, cluster, count(*) AS sz FROM labs GROUP BY ALL),
 bal AS (SELECT method, k, round(stddev_samp(sz) / avg(sz), 4) AS cv, round(min(sz) / sum(sz) * 100.0E0, 2) AS min_pct
         FROM sz GROUP BY ALL),
 met AS (SELECT sil.method, CAST(sil.k AS INTEGER) AS k, round(sil, 4) AS sil, round(db, 4) AS db,
-               round(dunn, 4) AS dunn, cv, min_pct,
+               round(dunn, 4) AS dunn, n_dunn, cv, min_pct,
                round(0.35 * sil + 0.25 * dunn + 0.25 / (1 + db) + 0.15 / (1 + cv), 4) AS score
-        FROM sil JOIN db USING (method, k) JOIN du USING (method, k) JOIN bal USING (method, k))"""
+        FROM sil JOIN db USING (method, k) JOIN du USING (method, k) JOIN dn USING (method, k) JOIN bal USING (method, k))"""
 
 
 @register("composite_score", f"WITH {_LABS_SQL}\nSELECT * FROM met")
@@ -208,7 +242,7 @@ m AS (SELECT label, avg(x0) AS m FROM pts GROUP BY label),
 r AS (SELECT label, row_number() OVER (ORDER BY m, label) - 1 AS new_label FROM m)
 SELECT p.row_id, CAST(r.new_label AS BIGINT) AS new_label FROM pts p JOIN r ON p.label = r.label""")
 def relabel_by_score(spark, sf_dir):
-    """Labels renumbered 0..k−1 by ascending mean of a score."""
+    """Labels renumbered 0..k−1 by ascending mean of a score (x0: a sum over every third dimension)."""
     p = embed_points(spark, sf_dir, 3)
     r = validate.relabel_by_score(p, "label", "x0", "new_label")
     return r.select("row_id", F.col("new_label").cast("long").alias("new_label"))
@@ -226,7 +260,7 @@ def nearest_centroid(spark, sf_dir):
     return validate.nearest_centroid(p, _X, cents, key="label").select("row_id", F.col("cluster").cast("long"))
 
 
-_EPS = 0.12
+_EPS = 0.3
 
 
 @register("eps_neighbors", f"""WITH {_PTS}

@@ -95,6 +95,12 @@ AGREEMENT_SCALE = {"Totalmente en desacuerdo": 1, "En desacuerdo": 2,
                    "Ni de acuerdo ni en desacuerdo": 3, "De acuerdo": 4, "Totalmente de acuerdo": 5}
 SUFFICIENCY_SCALE = {"Muy insuficientes": 1, "Insuficientes": 2,
                      "Ni suficientes ni insuficientes": 3, "Suficientes": 4, "Muy suficientes": 5}
+INCOME_SCALE = {
+    "Muy insuficiente (mis ingresos no me alcanzan para cubrir las necesidades básicas de mi hogar)": 1,
+    "Insuficiente (mis ingresos no son suficientes para cubrir todas mis necesidades básicas)": 2,
+    "Suficiente (mis ingresos cubren satisfactoriamente mis necesidades básicas, aunque no me permiten tener dinero adicional para usarlo como desee)": 3,
+    "Muy suficiente (mis ingresos cubren mis necesidades básicas y me permiten tener dinero adicional para usarlo como desee)": 4,
+}
 EDUCATION_LEVEL_SCALE = {"Bachiller": 1, "Técnico": 2, "Tecnólogo": 3, "Profesional": 4,
                          "Especialista": 5, "Magister": 6, "Doctor": 7}
 

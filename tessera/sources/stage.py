@@ -28,9 +28,9 @@ def stringify_text_columns(df: DataFrame, columns: list[str] | None = None) -> D
          else F.col(f"`{f.name}`")) for f in df.schema.fields])
 
 
-def write_stage(df: DataFrame, path: str, mode: str = "overwrite",
+def write_stage(df: DataFrame, path: str, mode: str = "errorifexists",
                 partition_by: list[str] | None = None) -> str:
-    """Parquet sink of a stage table (S3)."""
+    """Parquet sink of a stage table (S3); an existing path is an error unless ``mode`` says otherwise."""
     w = stringify_text_columns(df).write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -38,7 +38,7 @@ def write_stage(df: DataFrame, path: str, mode: str = "overwrite",
     return path
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """CSV sink with header (S4: metrics tables, loadings)."""
     df.write.mode(mode).option("header", True).csv(path)
     return path
@@ -47,7 +47,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def save_params(spark: SparkSession, params: dict[str, DataFrame], path: str) -> str:
     """Save a bundle of fitted parameter tables (S5), one Parquet each."""
     for name, p in params.items():
-        p.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+        p.write.parquet(f"{path.rstrip('/')}/{name}")
     return path
 
 

@@ -46,7 +46,7 @@ def test_likert_out_of_range(spark):
     vals = [r.c for r in quality.range_validate(df, ["c"], 1, 5).collect()]
     assert vals == [1.0, 3.0, None, 5.0, None]
     iss = quality.range_issues(df, ["c"], 1, 5).collect()
-    assert len(iss) == 1 and iss[0].n_invalid == 1 and iss[0].bad_values == "87.0"
+    assert len(iss) == 1 and iss[0].n_invalid == 1 and iss[0].bad_value == "87.0"
 
 
 def test_likert_clean_untouched(spark):

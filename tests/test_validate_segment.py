@@ -18,8 +18,9 @@ def _blobs(n=240, seed=0):
     return centers[lab] + rng.normal(scale=0.4, size=(n, 3)), lab
 
 
-def _silhouette_brute(x, lab):
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+def _silhouette_brute(x, lab, squared=False):
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d = d if squared else np.sqrt(d)
     s = []
     for i in range(len(x)):
         own = lab == lab[i]
@@ -35,7 +36,11 @@ def _silhouette_brute(x, lab):
 def test_silhouette_exact(spark):
     x, lab = _blobs()
     df = _points(spark, x, lab)
-    assert abs(validate.silhouette(df, ["x0", "x1", "x2"], "cluster") - _silhouette_brute(x, lab)) < 1e-9
+    got, n = validate.silhouette(df, ["x0", "x1", "x2"], "cluster")
+    assert abs(got - _silhouette_brute(x, lab)) < 1e-9 and n == len(x)
+    assert validate.silhouette(df, ["x0", "x1", "x2"], "cluster", n_anchors=50)[1] == 50
+    sq = _silhouette_brute(x, lab, squared=True)
+    assert abs(validate.silhouette_all(df, ["x0", "x1", "x2"]).first().sil - sq) < 1e-9
 
 
 def test_davies_bouldin_and_dunn(spark):
@@ -49,7 +54,9 @@ def test_davies_bouldin_and_dunn(spark):
     dd = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     same = lab[:, None] == lab[None]
     dunn = dd[~same].min() / dd[same].max()
-    assert abs(validate.dunn(df, ["x0", "x1", "x2"], "cluster", n_sample=1000) - dunn) < 1e-9
+    got, n = validate.dunn(df, ["x0", "x1", "x2"], "cluster", n_sample=1000)
+    assert abs(got - dunn) < 1e-9 and n == len(x)
+    assert validate.dunn(df, ["x0", "x1", "x2"], "cluster", n_sample=40)[1] == 40
 
 
 def test_ari_identity_and_formula(spark):
@@ -82,7 +89,7 @@ def test_balance(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2 + [(2,)] * 2, "cluster int")
     b = validate.balance(df, "cluster").first()
     sizes = np.array([6, 2, 2])
-    assert b.k == 3 and b.min_pct == 20.0 and b.max_pct == 60.0
+    assert b.n_clusters == 3 and b.min_pct == 20.0 and b.max_pct == 60.0
     assert abs(b.cv - round(sizes.std(ddof=1) / sizes.mean(), 4)) < 1e-12
 
 
@@ -134,28 +141,75 @@ def test_eps_counts_partition_invariant(spark):
     assert np.array_equal(a.n_neighbors.to_numpy(), b.n_neighbors.to_numpy())
 
 
-def test_ward_exact_on_distinct_points(spark):
+def test_ward_on_micro_clusters(spark):
     x, lab = _blobs(90, seed=5)
     df = _points(spark, x)
-    labels, merges, exact = segment.ward_micro(df, ["x0", "x1", "x2"], range(2, 5))
-    assert exact and merges.count() == 89
-    l3 = labels.where("k = 3").orderBy("row_id").toPandas().cluster.to_numpy()
-    cont = np.zeros((3, 3))
-    for u, v in zip(lab, l3):
-        cont[u, v] += 1
-    assert (cont.max(1) == cont.sum(1)).all()          # well-separated blobs recovered
-
-
-def test_kmeans_and_kprototypes_give_k_labels(spark):
-    x, _ = _blobs(120, seed=6)
+    for n_micro in (20, 90):                            # fewer than and as many as the points
+        labels, merges, used = segment.ward_micro(df, ["x0", "x1", "x2"], range(2, 5), n_micro)
+        assert used <= n_micro and merges.count() == used - 1
+        assert sorted(r.k for r in labels.select("k").distinct().collect()) == [2, 3, 4]
+        l3 = labels.where("k = 3").orderBy("row_id").toPandas().cluster.to_numpy()
+        cont = np.zeros((3, 3))
+        for u, v in zip(lab, l3):
+            cont[u, v] += 1
+        assert (cont.max(1) == cont.sum(1)).all()          # well-separated blobs recovered
+
+
+def _lloyd_brute(x, centers, tol):
+    while True:
+        near = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([x[near == j].mean(0) if (near == j).any() else centers[j] for j in range(len(centers))])
+        moved = ((new - centers) ** 2).sum()
+        centers = new
+        if moved <= tol:
+            return centers, ((x[:, None] - centers[None]) ** 2).sum(-1).min(1).sum()
+
+
+def test_kmeans_matches_brute_force(spark):
+    x, _ = _blobs(150, seed=6)
     df = _points(spark, x)
-    labels, inertia = segment.kmeans_sweep(df, ["x0", "x1", "x2"], range(2, 5), n_init=2)
+    fitted = segment.kmeans_fit(df, ["x0", "x1", "x2"], [2, 3, 5], n_init=6, init_rows=1000)
+    order = [r.row_id for r in validate.md5_sample(df, "row_id", 1000).collect()]
+    rng, tol = np.random.default_rng(validate.SEED), 1e-4 * x.var(0).mean()
+    starts = {(k, i): segment._plus_plus(x[order], k, rng) for k in (2, 3, 5) for i in range(6)}
+    for k in (2, 3, 5):
+        want = min(_lloyd_brute(x, starts[k, i], tol)[1] for i in range(6))
+        assert abs(fitted[k][1] - want) < 1e-6 and fitted[k][2]
+    labels, inertia = segment.kmeans_sweep(df, ["x0", "x1", "x2"], range(2, 5), n_init=4)
     for k in (2, 3, 4):
         assert labels.where(f"k = {k}").select("cluster").distinct().count() == k
     assert inertia[0][1] > inertia[1][1] > inertia[2][1]
-    mixed = df.selectExpr("row_id", "x0", "x1", "CASE WHEN x2 > 1.5 THEN 'hi' ELSE 'lo' END AS c")
-    lab, cost = segment.kprototypes(mixed, ["x0", "x1"], ["c"], 3, n_init=1, max_iter=5)
-    assert lab.select("cluster").distinct().count() == 3 and cost > 0
+
+
+@pytest.mark.parametrize("n", [130, 3000])
+def test_dbscan_follows_long_chains(spark, n):
+    x = np.column_stack([np.arange(n) * 0.9, np.zeros(n), np.zeros(n)])
+    got = segment.dbscan(_points(spark, x), ["x0", "x1", "x2"], 1.0, 2)
+    assert [r.cluster for r in got.select("cluster").distinct().collect()] == [0]
+
+
+def test_dbscan_settings_share_a_pass(spark):
+    x, _ = _blobs(160, seed=13)
+    df = _points(spark, x)
+    settings = [(0.3, 3), (0.5, 3), (0.5, 8)]
+    got = segment.dbscan_settings(df, ["x0", "x1", "x2"], settings).toPandas()
+    for eps, mp in settings:
+        part = got[(got.eps == eps) & (got.min_pts == mp)].sort_values("row_id").cluster.to_numpy()
+        assert np.array_equal(part, _dbscan_brute(x, eps, mp)[0])
+
+
+def test_dense_cells_are_split(spark, monkeypatch):
+    monkeypatch.setattr(segment, "CELL_POINTS", 16)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(scale=0.05, size=(200, 3)), rng.normal(loc=[0.9, 0, 0], scale=0.05, size=(200, 3)),
+                   rng.uniform(-1, 2, size=(40, 3))])
+    df = _points(spark, x)
+    for eps, mp in ((0.7, 5), (0.85, 60)):
+        got = segment.dbscan(df, ["x0", "x1", "x2"], eps, mp).orderBy("row_id").toPandas().cluster.to_numpy()
+        assert np.array_equal(got, _dbscan_brute(x, eps, mp)[0])
+    n = segment.eps_neighbor_counts(df, ["x0", "x1", "x2"], 0.85).orderBy("row_id").toPandas().n_neighbors
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.array_equal(n.to_numpy(), (d <= 0.85).sum(1))
 
 
 @pytest.mark.parametrize("eps,min_pts", [(0.3, 2), (0.3, 3), (0.45, 4)])
@@ -173,74 +227,103 @@ def test_dbscan_chain_duplicates_and_noise(spark, eps, min_pts):
     assert np.array_equal(got, ref)
 
 
-def test_metrics_table_matches_per_labeling(spark):
+def test_metrics_table(spark):
     from pyspark.sql import functions as F
     x, lab = _blobs(150, seed=12)
     pts = _points(spark, x, lab).drop("cluster")
+    noisy = np.where(np.arange(150) % 7 == 0, -1, lab)         # a labeling with noise
+    labelings = {2: lab % 2, 3: lab, 9: noisy}
     labs = None
-    for k in (2, 3):
-        part = _points(spark, x, lab % k).select(F.lit("m").alias("method"), F.lit(k).alias("k"), "row_id",
-                                                 "cluster")
+    for k, l in labelings.items():
+        part = _points(spark, x, l).select(F.lit("m").alias("method"), F.lit(k).alias("k"), "row_id", "cluster")
         labs = part if labs is None else labs.unionByName(part)
-    tab = {r.k: r for r in validate.metrics_table(pts, ["x0", "x1", "x2"], labs).collect()}
-    for k in (2, 3):
-        one = validate.metrics_row(_points(spark, x, lab % k), ["x0", "x1", "x2"], "cluster")
+    tab = {r.k: r for r in validate.metrics_table(pts, ["x0", "x1", "x2"], labs, dunn_sample=100).collect()}
+    for k, l in labelings.items():
+        keep = l >= 0
+        df = _points(spark, x[keep], l[keep])
         r = tab[k]
-        assert (r.sil, r.db, r.dunn, r.cv, r.min_pct, r.score) == (one["sil"], one["db"], one["dunn"], one["cv"],
-                                                                    one["min_pct"], one["score"])
-
-
-def _kproto_brute(ids, xn, xc, k, n_init, max_iter, seed=42):
-    import hashlib
-    gamma = 0.5 * float(np.mean(xn.std(axis=0, ddof=1)))
-    order = {}
-    best = None
-    for init in range(n_init):
-        keyed = sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"{seed + init}{ids[i]}".encode()).hexdigest(),
-                                                        ids[i]))
-        pn = [xn[i].copy() for i in keyed[:k]]
-        pc = [list(xc[i]) for i in keyed[:k]]
-        cl_ids = list(range(k))
-        prev = None
-        for _ in range(max_iter):
-            cost = np.stack([((xn - pn[j]) ** 2).sum(1) + gamma * (xc != np.array(pc[j], dtype=object)).sum(1)
-                             for j in range(len(cl_ids))], axis=1)
-            # ties → smaller cluster id (struct order)
-            a = np.array([cl_ids[int(np.lexsort((np.array(cl_ids), c))[0])] for c in cost])
-            tot = float(cost[np.arange(len(ids)), [cl_ids.index(v) for v in a]].sum())
-            new_ids = sorted(set(a))
-            pn = [xn[a == c].mean(0) for c in new_ids]
-            pc = []
-            for c in new_ids:
-                m = []
-                for j in range(xc.shape[1]):
-                    vals, cnts = np.unique(xc[a == c, j].astype(str), return_counts=True)
-                    m.append(sorted(zip(-cnts, vals))[0][1])
-                pc.append(m)
-            cl_ids = new_ids
-            if prev is not None and abs(prev - tot) <= 1e-9 * max(1.0, abs(tot)):
-                break
-            prev = tot
-        if best is None or tot < best[0]:
-            best = (tot, pn, pc, cl_ids)
-    tot, pn, pc, cl_ids = best
-    cost = np.stack([((xn - pn[j]) ** 2).sum(1) + gamma * (xc != np.array(pc[j], dtype=object)).sum(1)
-                     for j in range(len(cl_ids))], axis=1)
-    return np.array([cl_ids[int(np.lexsort((np.array(cl_ids), c))[0])] for c in cost]), tot
+        assert r.sil == round(_silhouette_brute(x[keep], l[keep], squared=True), 4)
+        assert r.db == round(validate.davies_bouldin(df, ["x0", "x1", "x2"]), 4)
+        b = validate.balance(df).first()
+        assert (r.cv, r.min_pct, r.max_pct) == (b.cv, b.min_pct, b.max_pct)
+        assert r.n_dunn <= 100 and (k != 3 or r.n_dunn == 100)
+        assert abs(r.score - (0.35 * r.sil + 0.25 * r.dunn + 0.25 / (1 + r.db) + 0.15 / (1 + r.cv))) < 2e-4
+
+
+def test_edge_cases(spark):
+    from tessera.operators import latent, ranks
+    one = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert validate.adjusted_rand(one, "a", "b").first().ari == 1.0
+    flat = spark.createDataFrame([(0, 3.0), (1, 3.0)], "row_id long, v double")
+    assert [r.v for r in latent.zscore(flat, ["v"]).collect()] == [0.0, 0.0]
+    gaps = spark.createDataFrame([(0, 1.0, None), (1, None, None), (2, 5.0, 2.0)], "row_id long, a double, b double")
+    got = {r.row_id: (r.a, r.b) for r in ranks.rank_columns(gaps, ["a", "b"]).collect()}
+    assert got == {0: (1.0, None), 1: (None, None), 2: (2.0, 1.0)}
+
+
+def test_rank_columns_without_broadcast(spark, monkeypatch):
+    from tessera.operators import ranks
+    df = spark.createDataFrame([(i, float(i % 5), None if i % 3 else float(i)) for i in range(30)],
+                               "row_id long, a double, b double")
+    want = sorted(map(tuple, ranks.rank_columns(df, ["a", "b"]).collect()), key=str)
+    monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, ranks.rank_columns(df, ["a", "b"]).collect()), key=str) == want
+
+
+def test_row_ids_stay(spark, tmp_path):
+    from tessera.operators import schema
+    spark.range(50).selectExpr("concat('r', id) AS name").write.parquet(str(tmp_path / "raw"))
+    df = schema.add_row_id(spark.read.parquet(str(tmp_path / "raw")))
+    first = {r.name: r.row_id for r in df.collect()}
+    assert first == {r.name: r.row_id for r in df.orderBy("name").collect()} and len(set(first.values())) == 50
+
+
+def _kproto_brute(xn, xc, starts, gamma):
+    """Rounds of assignment and update until the cost no longer falls: labels and their cost."""
+    pn, pc, ids, prev = [s[0] for s in starts], [s[1] for s in starts], list(range(len(starts))), None
+    while True:
+        cost = np.stack([((xn - pn[j]) ** 2).sum(1) + gamma * (xc != np.array(pc[j], dtype=object)).sum(1)
+                         for j in range(len(ids))], axis=1)
+        near = cost.argmin(1)                     # ties: smaller cluster id, as ids are in order
+        tot = cost[np.arange(len(xn)), near].sum()
+        if prev is not None and prev - tot <= 1e-9 * max(1.0, abs(tot)):
+            return np.array(ids)[near], tot
+        prev = tot
+        new_n, new_c, new_ids = [], [], []
+        for j in range(len(ids)):
+            m = near == j
+            if m.any():
+                new_ids.append(ids[j])
+                new_n.append(xn[m].mean(0))
+                new_c.append([sorted(zip(*(lambda v, c: (-c, v))(*np.unique(xc[m, q].astype(str), return_counts=True))))[0][1]
+                              for q in range(xc.shape[1])])
+        pn, pc, ids = new_n, new_c, new_ids
 
 
 def test_kprototypes_matches_brute_force(spark):
+    import hashlib
     rng = np.random.default_rng(31)
     n = 120
     xn = np.round(rng.normal(size=(n, 2)) + np.repeat([[0, 0], [3, 3], [0, 4]], 40, axis=0), 3)
     xc = np.array([[rng.choice(["a", "b"]), rng.choice(["u", "v", "w"])] for _ in range(n)], dtype=object)
     rows = [(i, float(xn[i, 0]), float(xn[i, 1]), str(xc[i, 0]), str(xc[i, 1])) for i in range(n)]
     df = spark.createDataFrame(rows, "row_id long, n0 double, n1 double, c0 string, c1 string")
-    lab, cost = segment.kprototypes(df, ["n0", "n1"], ["c0", "c1"], 3, n_init=2, max_iter=8)
-    got = lab.orderBy("row_id").toPandas().cluster.to_numpy()
-    ref, ref_cost = _kproto_brute(list(range(n)), xn, xc, 3, 2, 8)
-    assert np.array_equal(got, ref)
-    assert abs(cost - ref_cost) < 1e-6 * max(1.0, ref_cost)
+    gamma = 0.5 * float(np.mean(xn.std(axis=0, ddof=1)))
+    freq = [{v: (xc[:, q] == v).sum() / n for v in set(xc[:, q])} for q in range(2)]
+    dens = np.array([sum(freq[q][xc[i, q]] for q in range(2)) for i in range(n)])
+    chosen = []
+    for _ in range(3):
+        gain = dens * (np.min([(xc != xc[p]).sum(1) for p in chosen], axis=0) if chosen else 1)
+        chosen.append(max(range(n), key=lambda i: (round(gain[i], 12), -i)))
+    starts = [chosen]
+    for init in (1,):
+        starts.append(sorted(range(n), key=lambda i: hashlib.md5(f"{42 + init}{i}".encode()).hexdigest())[:3])
+    best = min((_kproto_brute(xn, xc, [(xn[i], xc[i]) for i in s], gamma) for s in starts), key=lambda t: t[1])
+    labels, costs = segment.kprototypes_sweep(df, ["n0", "n1"], ["c0", "c1"], [2, 3], n_init=2)
+    got = labels.where("k = 3").orderBy("row_id").toPandas().cluster.to_numpy()
+    cost = {k: c for k, c, _ in costs}[3]
+    assert abs(cost - best[1]) < 1e-6 * max(1.0, best[1]) and all(done for _, _, done in costs)
+    assert np.array_equal(got, best[0])
 
 
 def test_ward_heights_match_lance_williams(spark):
