@@ -45,3 +45,48 @@ def test_ingest_flow_on_problem_fixture(spark):
     assert clean.where(F.col("row_id") == 5).count() == 1             # null answer is not the sentinel
     assert clean.where(F.col("row_id").isin(10, 50)).count() == 1     # first copy kept
     assert clean.where(F.col("row_id") == 10).count() == 1
+
+
+def test_ingest_b(spark):
+    rows = [(0, "a", "Alto", "Si", None), (1, "a", "Bajo", "No", None), (2, "b", "No aplica", "128", None),
+            (3, "c", "raro", "SI", "x"), (4, "b", "No aplica", "128", None), (5, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "row_id long, cedula string, logro string, bin string, vacia string")
+    spec = flows.IngestSpecB(pii_cols=["nombre"], key_col="cedula", sparse_threshold=0.7,
+                             allowed={"logro": ["Bajo", "Alto", "No aplica"]}, binary_cols=["bin"])
+    clean, report, issues = flows.ingest_b(raw, spec)
+    r = report.first()
+    assert (r.n_rows_raw, r.n_duplicates, r.n_key_duplicates, r.n_sparse_cols, r.n_rows_final) == (6, 1, 1, 1, 4)
+    got = {x.row_id: (x.logro, x.bin) for x in clean.collect()}
+    assert got == {0: ("Alto", "Si"), 2: (None, None), 3: (None, "SI"), 5: (None, None)}
+    assert sorted((x.check, x.bad_value, x.n_invalid) for x in issues.collect()) == [
+        ("binary", "128", 1), ("ordinal", "raro", 1), ("token", "No aplica", 1)]
+
+
+def test_features_compose(spark):
+    raw = spark.createDataFrame([(0, "uno", None, "x", 1.0), (1, None, "dos", " y ", 2.0), (2, "??", None, "z", None)],
+                                "row_id long, s1 string, s2 string, cat string, n double")
+    out = flows.features(raw, flows.FeatureSpec(
+        coalesce={"salario": [("s1", {"uno": 1}), ("s2", {"dos": 2})]},
+        nominal={"cat_ok": ("cat", {"z": "w"}, ["x", "y", "w"], False)},
+        scores={"total": ["n", "salario"]}, lumps=[("cat_ok", 2, "Otro")]))
+    got = {r.row_id: (r.salario, r.cat_ok, r.total) for r in out.collect()}
+    assert got == {0: (1, "Otro", 2.0), 1: (2, "Otro", 4.0), 2: (None, "Otro", 0.0)}
+
+
+def test_report_has_every_section(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 3)), float(rng.integers(1, 6)), float(rng.integers(0, 2)),
+             str(rng.choice(["A", "B", "nan"])), float(rng.integers(2000, 2020)), str(rng.choice(["Si", "No"])))
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, seg long, q double, b double, prog string, year double, r string")
+    out = flows.report(df, flows.ReportSpec(
+        seg="seg", competences=["q"], incidence=["q"], score="q", binary=["b"], satisfaction=["q"], programme="prog",
+        age="year", year="year", history=["q"], answers=["r"], mobility="b", categories=["prog"], site="prog",
+        labelings=("seg", "b")))
+    rows = out.collect()
+    assert {r.section for r in rows} == {
+        "distribution", "competences", "incidence", "wellbeing_score", "wellbeing_yes", "wellbeing_items",
+        "programme_coverage", "programme_top", "programme_by_segment", "programme_inverse", "age",
+        "graduation_year", "history", "answers", "mobility", "categorical", "site_effect", "robustness"}
+    share = [r.value for r in rows if r.section == "distribution" and r.stat == "pct"]
+    assert abs(sum(share) - 100) < 1e-9

@@ -12,13 +12,14 @@ import math
 import os
 import sys
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
 from tessera.plans.catalog import all_oracles, all_queries  # noqa: E402
-from tessera.session import get_session  # noqa: E402
+from tessera.session import get_session, scratch_path  # noqa: E402
 from tessera.sources.tables import TABLES  # noqa: E402
 
 
@@ -58,6 +59,10 @@ def main():
         t0 = time.time()
         try:
             sdf = qs[n](spark, sf_dir)
+            # written and read again, as a user of the result would
+            path = scratch_path(spark, f"oracle-{uuid.uuid4().hex}")
+            sdf.write.parquet(path)
+            sdf = spark.read.parquet(path)
             scols = sdf.columns
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
