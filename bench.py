@@ -43,6 +43,13 @@ HEADLINE = [
     "ingest_flow",
     "features_flow",
     "report_flow",
+    "features_b_flow",
+    "report_full",
+    "silhouette_all",
+    "composite_score",
+    "kmeans_sweep",
+    "ward_micro",
+    "dbscan_labels",
 ]
 
 
