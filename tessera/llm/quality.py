@@ -28,12 +28,21 @@ from tessera.llm import _text
 
 @dataclass(frozen=True)
 class Bands:
-    """Ratio limits by length; ``whole`` rows are (least bytes, low, high)."""
-
-    whole: tuple = ((200, 1.05, 3.0), (800, 1.2, 4.0), (3200, 1.35, 5.0), (12800, 1.45, 6.0))
+    """Ratio limits by length; ``whole`` rows are (least bytes, low, high).
+
+    Low limits lie between noise (random base64 in words of 5 to 64 letters:
+    1.14 at 300 bytes, 1.27 at 600, 1.33 at 1,000, 1.39 at 4,096, 1.40 above)
+    and the least ratio of the corpus's prose (1.34 at 300 bytes, 1.43 at 600,
+    1.65 at 1,000, 1.92 at 3,200, 2.2 at 12,800; chunks 1.90).  From 3,200 bytes
+    they also lie above texts that are half noise (1.81 at most).
+    """
+
+    whole: tuple = ((200, 1.2, 3.0), (300, 1.27, 3.0), (400, 1.3, 3.0), (500, 1.32, 3.0), (600, 1.37, 3.0),
+                    (800, 1.42, 4.0), (1000, 1.5, 4.0), (1600, 1.58, 4.0), (3200, 1.7, 5.0), (6400, 1.78, 5.0),
+                    (12800, 1.85, 6.0))
     chunk_bytes: int = 4096
     min_chunk: int = 2048
-    chunk_low: float = 1.3
+    chunk_low: float = 1.55
     chunk_high: float = 5.0
     chunk_share: float = 0.5
     level: int = 3

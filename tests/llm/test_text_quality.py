@@ -85,6 +85,31 @@ def test_bands_reject_repetition_and_noise(spark):
     assert not got[2].base_failed and got[2].ratio < 1.45
 
 
+def test_bands_reject_base64_noise_at_any_length(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in ("a", "e", "i", "o", "u", "an", "er")]
+    lexicon = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(2500)]
+    weights = [1 / (i + 40) for i in range(len(lexicon))]
+
+    def noise(n):
+        return " ".join("".join(rng.choices(letters, k=12)) for _ in range(n // 13 + 1))[:n]
+
+    def prose(n):
+        return " ".join(rng.choices(lexicon, weights, k=n))[:n]
+
+    sizes = (700, 1000, 3000, 6000, 40000)
+    half = [prose(20000) + " " + noise(20000), noise(20000) + "\n" + prose(20000),
+            prose(2500) + " " + noise(2500)]
+    bad, good = [noise(n) for n in sizes] + half, [prose(n) for n in sizes]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_metrics(df).collect()}
+    assert [got[i].kept for i in range(len(bad))] == [False] * len(bad)
+    assert [got[i].kept for i in range(len(bad), len(got))] == [True] * len(good)
+    assert not any(r.base_failed for r in got.values())
+    assert got[4].n_bad_chunks == got[4].n_chunks > 0 and got[5].n_bad_chunks >= 4
+
+
 def test_quality_of_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality_metrics(empty).count() == 0 and quality.keep_quality(empty).count() == 0
