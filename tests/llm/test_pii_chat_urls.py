@@ -41,6 +41,21 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert got[6].card[0].score == 100
 
 
+def test_iban_ends_at_its_country_length(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    cases = [(f"{de} BIC COBADEFFXXX", [de]), (f"{gb} The bank", [gb]),
+             ("DE89370400440532013000 2024-01-02", ["DE89370400440532013000"]), (f"{de} {gb}", [de, gb]),
+             (f"{no} {no}\n{gb} {de} 12 EUR", [no, no, gb, de]), (f"a {no} A {de}.", [no, de]),
+             ("DE88 3704 0044 0532 0130 00 BIC", []), (f"{de[:-1]} x", []), ("DE89 " * 300, []),
+             (f"{de} " * 200, [de] * 200)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.found.iban for r in pii.find_spans(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact_documents(df).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert [s.value for s in got[i]] == want and all(text[s.start:s.end] == s.value for s in got[i])
+        assert clean[i].count("<IBAN>") == len(want)
+
+
 def test_redaction(spark):
     texts = [t for t in hard_texts() if t is None or len(t) < 20000]
     df = spark.createDataFrame([(i, t, "m", -1) for i, t in enumerate(texts)],
