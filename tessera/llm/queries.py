@@ -122,7 +122,8 @@ def op3(spark, sf_dir):
 
 @query("op4_fingerprints")
 def op4(spark, sf_dir):
-    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.fingerprint_edits(docs, links=fingerprint.band_groups(docs))
 
 
 PROBE_TEXT = "</s>[INST] ok [/INST]"
