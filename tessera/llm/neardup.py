@@ -61,16 +61,6 @@ def distinct_shingles(words: _text.Words, width: int) -> Iterator[np.ndarray]:
         yield np.unique(sh[offsets[i]:offsets[i + 1]])
 
 
-def set_names(every: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Two longs per text that name its set of shingles."""
-    names = []
-    for salt in (1, 2):
-        mixed = _text.mix64(every + np.uint64(salt * 0x51ED270B))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-        names.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
-    return names
-
-
 def profile_sets(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, set_a, set_b, signature`` per row; the two
     longs name the set."""
@@ -84,7 +74,11 @@ def profile_sets(docs: DataFrame, id_col: str, text_col: str, k: int, width: int
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 every = np.concatenate(sets)
                 sig = hasher.signatures(every, offsets)
-                names = set_names(every, offsets)
+                names = []
+                for salt in (1, 2):
+                    mixed = _text.mix64(every + np.uint64(salt * 0x51ED270B))
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+                    names.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
                 part = batch.slice(at, w.n)
                 at += w.n
                 yield pa.RecordBatch.from_arrays(

@@ -147,33 +147,3 @@ def test_band_links(spark):
         if s and s in first:
             assert i in linked
         first.setdefault(s, i)
-
-
-def test_band_pairs_that_no_leader_settles(spark):
-    rng = random.Random(12)
-    # chains of variants of one core, many of them too far from the least id of their band
-    core = [f"c{i}" for i in range(300)]
-
-    def variant(base, at, n):
-        return base[:at] + [f"e{rng.randint(0, 10 ** 9)}" for _ in range(n)] + base[at + n:]
-
-    texts = {}
-    for i in range(40):
-        texts[i] = " ".join(variant(core, (i * 7) % 250, 25))
-    for i in range(40, 60, 2):
-        w = variant(variant(core, (i * 11) % 120, 30), 150 + (i * 5) % 100, 30)
-        texts[i], texts[i + 1] = " ".join(w), " ".join(w[:-1] + [f"z{i}"])
-    assert {i: g for i, g in groups(texts).items() if g != i}
-    texts[99] = None
-    df = spark.createDataFrame(list(texts.items()) + [(None, texts[0])], "doc_id long, text string")
-    want = groups(texts)
-    out = fingerprint.fingerprint_edits(df, ranges=4, links=fingerprint.band_groups(df)).collect()
-    assert len(out) == len(texts) + 1
-    got = {r.doc_id: r for r in out}
-    assert {i: got[i].group_id for i in texts} == want and got[None].group_id is None
-    sets = {i: shingle_set(t) for i, t in texts.items()}
-    for i in texts:
-        if got[i].leader is not None:
-            assert want[i] <= got[i].leader < i
-            a, b = sets[i], sets[got[i].leader]
-            assert abs(got[i].jaccard - len(a & b) / len(a | b)) < 1e-12 and got[i].jaccard >= 0.75
