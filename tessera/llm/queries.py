@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, fingerprint, lengths, mixing, neardup, packing, pii, quality, sharding, url_filter
+from tessera.llm import (chat, codes, fingerprint, lengths, mixing, neardup, packing, pii, quality, sharding, trie,
+                         url_filter, vectors)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -222,3 +223,99 @@ def op10(spark, sf_dir):
     out = sharding.assign_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
+
+
+OP11_SQL = r"""
+WITH t0 AS (SELECT conv_id AS c, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS m,
+                   length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(m)) - 1 AS pos FROM t0),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+bits AS (SELECT c, n, CAST(c AS VARCHAR) AS s, c - c % 100 AS base FROM n),
+crc AS (SELECT c, n, base, xor(list_reduce(
+          [CAST((ascii(s[(k // 8) + 1]) >> (k % 8)) & 1 AS BIGINT) FOR k IN range(8 * length(s))],
+          lambda a, b: xor(a >> 1, 3988292384 * ((a + b) & 1)), 4294967295), 4294967295) % 6 AS h FROM bits),
+r AS (SELECT crc.c, pos + 1 AS d, m, chars FROM crc JOIN t ON t.c = crc.base AND t.pos < crc.h
+      UNION ALL
+      SELECT crc.c, least(crc.h, coalesce(b.n, 0)) + pos - crc.h + 1, m, chars FROM crc
+      JOIN t ON t.c = crc.c AND t.pos >= crc.h LEFT JOIN n b ON b.c = crc.base),
+p AS (SELECT n.c, coalesce(list(sha256(m) ORDER BY d) FILTER (m IS NOT NULL), []) AS p,
+             coalesce(list(chars ORDER BY d) FILTER (m IS NOT NULL), []) AS ch
+      FROM n LEFT JOIN r ON r.c = n.c GROUP BY n.c),
+x AS (SELECT c, d, p[1:d] AS k, ch[d] AS chars, d = len(p) AS last FROM p, unnest(range(0, len(p) + 1)) AS u(d)),
+node AS (SELECT k, d, min(c) AS conv, count(*) AS n, max(chars) AS chars,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends
+         FROM x GROUP BY k, d),
+kid AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+up AS (SELECT node.k[1:i] AS k, kid.k IS NULL AS leaf, (node.n - 1) * coalesce(chars, 0) AS saving
+       FROM node LEFT JOIN kid ON kid.k = node.k, unnest(range(0, node.d + 1)) AS u(i)),
+total AS (SELECT k, count(*) FILTER (leaf) AS leaves, sum(saving) AS saving FROM up GROUP BY k)
+SELECT node.conv AS conv_id, node.d AS depth, parent.conv AS parent_conv_id, node.n AS n_convs,
+       coalesce(kid.n, 0) AS n_children, leaves AS n_leaves, CAST(saving AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN total ON total.k = node.k LEFT JOIN kid ON kid.k = node.k
+LEFT JOIN node parent ON node.d > 0 AND parent.k = node.k[1:node.d - 1]
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            AND len(a.e) = len(b.e)
+          WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93),
+reach AS (SELECT a AS vec_id, b AS r FROM links
+          UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1),
+c AS (SELECT vec_id, min(r) AS r FROM reach GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.r, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(c.r, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id LEFT JOIN c ON c.vec_id = e.vec_id
+"""
+
+
+@query("op12_embedding_duplicates", OP12_SQL)
+def op12(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """The rounds as a chain of tables: nearest entry per part, then floor means."""
+    near = """a{i} AS MATERIALIZED (SELECT x.vec_id, x.part, min(list_sum([CAST((x.x[j] - b.x[j]) * (x.x[j] - b.x[j]) AS HUGEINT)
+         FOR j IN range(1, len(x.x) + 1)]) * {k} + b.entry) AS best FROM x JOIN b{i} b ON b.part = x.part GROUP BY ALL)"""
+    means = """m{i} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS x FROM (
+         SELECT a.part, a.best % {k} AS entry, u.j, count(*) AS n, sum(CAST(x.x[u.j] AS HUGEINT)) AS s
+         FROM a{i} a JOIN x ON x.vec_id = a.vec_id AND x.part = a.part, unnest(range(1, len(x.x) + 1)) AS u(j) GROUP BY ALL)
+         GROUP BY part, entry),
+    b{n} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{i} b
+         LEFT JOIN m{i} m ON m.part = b.part AND m.entry = b.entry)"""
+    chain = []
+    for i in range(rounds):
+        chain += [near.format(i=i, k=entries), means.format(i=i, n=i + 1, k=entries)]
+    return f"""
+WITH v AS (
+  SELECT vec_id, label, [CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p AS part, e[p * (len(e) // {parts}) + 1:(p + 1) * (len(e) // {parts})] AS x
+      FROM v, unnest(range({parts})) AS u(p)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM x
+       QUALIFY entry < {entries}),
+{', '.join(chain)},
+{near.format(i=rounds, k=entries)},
+r AS (SELECT x.vec_id, any_value(x.label) AS label, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY x.part) AS code,
+             CAST(sum(best // {entries}) AS BIGINT) AS error
+      FROM a{rounds} a JOIN x ON x.vec_id = a.vec_id AND x.part = a.part GROUP BY x.vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM r
+"""
+
+
+@query("op13_vector_codes", _op13_sql())
+def op13(spark, sf_dir):
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
