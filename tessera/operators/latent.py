@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import ranks
+from tessera.operators import gram, ranks
 from tessera.sources.scratch import saved
 
 
@@ -79,25 +79,12 @@ def zscore(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
 def moment_matrix(df: DataFrame, cols: list[str], kind: str = "corr") -> tuple[np.ndarray, int]:
     """p×p Pearson correlation (``corr``) or sample covariance (``cov``) and n.
 
-    One aggregation with one aggregate per pair; rows with a null in a pair
-    are skipped pairwise (callers impute first for complete-case matrices).
+    One aggregation whatever p is (:mod:`tessera.operators.gram`); rows with a
+    null in a pair are skipped pairwise (callers impute first for complete-case
+    matrices).
     """
-    p = len(cols)
-    fn = F.corr if kind == "corr" else F.covar_samp
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    idx = {}
-    for i in range(p):
-        for j in range(i, p):
-            if kind == "corr" and i == j:
-                continue
-            idx[(i, j)] = f"_m{i}_{j}"
-            aggs.append(fn(_q(cols[i]).cast("double"), _q(cols[j]).cast("double")).alias(idx[(i, j)]))
-    row = df.agg(*aggs).first()
-    m = np.eye(p) if kind == "corr" else np.zeros((p, p))
-    for (i, j), name in idx.items():
-        v = row[name]
-        m[i, j] = m[j, i] = float("nan") if v is None else v
-    return m, int(row["_n"])
+    m, _, n = gram.moments(df, cols, kind)
+    return m, n
 
 
 def spearman_matrix(df: DataFrame, cols: list[str], id_col: str = "row_id") -> tuple[np.ndarray, int]:
@@ -388,45 +375,99 @@ class MCAModel:
         return out
 
 
-#: Bytes of the J × J matrix that the driver may solve; more categories are lumped first.
-MCA_BYTES = 1 << 30
-
-
-def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3) -> MCAModel:
-    """MCA from the Burt table.
+#: Columns of the iterated block beyond the wanted ones; up to this many
+#: categories the block is the whole space and one product solves the problem.
+MCA_BLOCK = 64
+MCA_ROUNDS = 500
+
+
+def _answer_patterns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[tuple[str, str]], np.ndarray]:
+    """(distinct answer patterns with their counts ``_w``, categories, category counts)."""
+    patterns = saved(df.groupBy(*[_q(c).cast("string").alias(f"v{i}") for i, c in enumerate(cols)])
+                     .agg(F.count(F.lit(1)).alias("_w")), "patterns")
+    items = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("cat")) for i in range(len(cols))])
+    counts = (patterns.select(F.explode(items).alias("x"), "_w").where("x.cat is not null")
+              .groupBy("x.i", "x.cat").agg(F.sum("_w").alias("n")).collect())
+    rows = sorted((r["i"], r["cat"], r["n"]) for r in counts)
+    return patterns, [(cols[i], c) for i, c, _ in rows], np.array([n for *_, n in rows], float)
+
+
+def _indicator_product(patterns: DataFrame, cols: list[str], cats: list[tuple[str, str]], u: np.ndarray) -> np.ndarray:
+    """Zᵀ Z u for the indicator matrix Z of all rows (J × q).
+
+    A task adds the rows' products up per category; one row per category and
+    task is shuffled, J × q numbers reach the driver."""
+    import pyarrow as pa
+
+    place: dict = {c: {} for c in cols}
+    for j, (c, cat) in enumerate(cats):
+        place[c][cat] = j
+    j_all, q = u.shape
+    held = patterns.sparkSession.sparkContext.broadcast(([place[c] for c in cols], u))
+
+    def run(batches):
+        maps, v = held.value
+        total, touched = np.zeros((j_all, q)), np.zeros(j_all, bool)
+        for batch in batches:
+            w = batch.column(len(maps)).to_numpy().astype(float)
+            code = np.array([[m.get(x, -1) for x in batch.column(i).to_pylist()] for i, m in enumerate(maps)])
+            known = (code >= 0)[:, :, None]
+            row = (v[code] * known).sum(0) * w[:, None]
+            for at in code:
+                ok = at >= 0
+                np.add.at(total, at[ok], row[ok])
+                touched[at[ok]] = True
+        at = np.flatnonzero(touched)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))],
+                                         ["j", "v"])
+
+    rows = (patterns.mapInArrow(run, "j int, v array<double>").groupBy("j")
+            .agg(F.array(*[F.sum(F.col("v")[i]) for i in range(q)]).alias("v")).collect())
+    out = np.zeros((j_all, q))
+    for r in rows:
+        out[r["j"]] = r["v"]
+    return out
+
+
+def fit_mca(df: DataFrame, cols: list[str], n_components: int = 3, block: int = MCA_BLOCK, tol: float = 1e-12) -> MCAModel:
+    """MCA by subspace iteration.
 
     With Z the n×J indicator matrix, K answers per row and column masses
-    c = counts/(nK): the right singular vectors of the standardised residuals
-    are the eigenvectors of D_c^{-1/2}(B/(nK²) − ccᵀ)D_c^{-1/2}; row principal
-    coordinates are the average of c_j^{-1/2}·v_j·… over a row's categories.
-    Inertia % divides by the total inertia (J − K)/K (S-12).
-    Input columns must be complete (mode-impute first).  The J × J matrix is
-    solved on the driver: its size is checked against ``MCA_BYTES`` and, beyond
-    it, rare categories are to be lumped (``encode.lump_rare``) as the survey's
-    own preparation does.
+    c = counts/(nK), the wanted vectors are the first eigenvectors of
+    S = D_c^{-1/2}(ZᵀZ/(nK²) − ccᵀ)D_c^{-1/2}; row principal coordinates are the
+    mean of c_j^{-1/2}·v_j over a row's categories.  S is never formed: a block
+    of vectors is multiplied by Z and Zᵀ where the answers are (once per distinct
+    answer pattern) and made orthonormal on the driver, which holds J × q
+    numbers, until the Ritz values stand still.  With no more categories than
+    the block has columns one product is exact.
+    Inertia % divides by the total inertia (J − K)/K (S-12).  Input columns must
+    be complete (mode-impute first).
     """
-    burt = saved(burt_counts(df, cols), "burt")
-    jn = burt.where("var_a = var_b and cat_a <=> cat_b").count()
-    if 8 * jn * jn > MCA_BYTES:
-        raise ValueError(f"{jn} categories: the matrix exceeds MCA_BYTES; lump rare categories first")
-    b = burt.collect()
-    cats = sorted({(r["var_a"], r["cat_a"]) for r in b}, key=lambda t: (cols.index(t[0]), t[1]))
-    ix = {c: i for i, c in enumerate(cats)}
-    bm = np.zeros((jn, jn))
-    for r in b:
-        bm[ix[(r["var_a"], r["cat_a"])], ix[(r["var_b"], r["cat_b"])]] = r["n"]
-    k = len(cols)
-    n = bm[: , :].trace() / k
-    counts = np.diag(bm)
-    c = counts / (n * k)
-    s = (bm / (n * k * k) - np.outer(c, c)) / np.sqrt(np.outer(c, c))
-    w, v = sorted_eigh(s)
-    d = min(n_components, jn)
-    total = (jn - k) / k
+    patterns, cats, counts = _answer_patterns(df, cols)
+    j, k, n = len(cats), len(cols), counts.sum() / max(len(cols), 1)
+    root = np.sqrt(counts / (n * k))
+
+    def product(v):
+        z = _indicator_product(patterns, cols, cats, v / root[:, None])
+        return z / (n * k * k) / root[:, None] - np.outer(root, root @ v)
+
+    d = min(n_components, j)
+    q = min(j, max(block, 2 * d))
+    v = np.eye(j) if q == j else np.linalg.qr(np.random.default_rng(0).standard_normal((j, q)))[0]
+    values = np.full(d, np.inf)
+    for _ in range(MCA_ROUNDS):
+        sv = product(v)
+        small_ = v.T @ sv
+        w, x = sorted_eigh((small_ + small_.T) / 2)
+        vectors = v @ x[:, :d]
+        if q == j or np.abs(w[:d] - values).max() <= tol * max(abs(w[0]), 1e-300):
+            break
+        values, v = w[:d], np.linalg.qr(sv)[0]
+    signs = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(d)])
+    vectors = vectors * np.where(signs == 0, 1, signs)
+    total = (j - k) / k
     inertia = [round(float(w[i] / total * 100), 2) if total > 0 else 0.0 for i in range(d)]
-    # principal row coordinates F = (Z/K)·D_c^{-1/2}·V: per category c_j^{-1/2}·v_j
-    scores = v[:, :d] / np.sqrt(c)[:, None]
-    return MCAModel(cols, cats, w[:d], inertia, scores)
+    return MCAModel(cols, cats, w[:d], inertia, vectors / root[:, None])
 
 
 # ---------------------------------------------------------------------------
@@ -475,9 +516,7 @@ def fit_pca(df: DataFrame, cols: list[str], n_components: int | None = None) ->
     Scores are centred (x − mean)·v; sign: the largest-|entry| of each
     component is positive.
     """
-    cov, _ = moment_matrix(df, cols, "cov")
-    means_row = df.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    means = np.array([means_row[f"m{i}"] for i in range(len(cols))], dtype=float)
+    cov, means, _ = gram.moments(df, cols, "cov")
     w, v = sorted_eigh(cov)
     d = n_components or len(cols)
     total = float(np.trace(cov))

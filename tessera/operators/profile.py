@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators import gram
 from tessera.operators.ranks import to_long, exact_quantiles
 from tessera.sources.scratch import saved
 
@@ -155,15 +156,13 @@ def sign_classes(df: DataFrame, col: str, group_col: str) -> DataFrame:
 def corr_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of all pairs ``var1 < var2``.
 
-    One aggregation computes every pair; ``corr`` skips rows where either
-    side is null.
+    One aggregation computes every pair whatever their number
+    (:mod:`tessera.operators.gram`); a pair skips rows where either side is null.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(_q(a).try_cast("double"), _q(b).try_cast("double")).alias(f"_r{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    stack = F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                                         F.col(f"_r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
-    return one.select(stack.alias("s")).select("s.*")
+    sums, _ = gram.pair_sums(df, cols)
+    names = F.array(*[F.lit(c) for c in cols])
+    first, second = names[F.col("i")], names[F.col("j")]
+    return sums.where("i < j").select(first.alias("var1"), second.alias("var2"), gram.correlation().alias("r"))
 
 
 def top_corr_pairs(df: DataFrame, cols: list[str], n: int = 5) -> DataFrame:

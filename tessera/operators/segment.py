@@ -1,9 +1,6 @@
 """Segmentation operators.
 
-* k-means: all starts of all k iterate together; one scan per round.
-* Ward: k-means compresses the rows into ``n_micro`` weighted micro-clusters
-  (a stated, returned number); the Ward merge sequence runs on that bounded
-  centroid table, and labels go back through a map of ``n_micro`` rows.
+* k-means (``kmeans``) and Ward (``ward``) are imported here.
 * DBSCAN: ε-neighbourhoods on a grid; a cell's own points and the neighbour
   cells lying wholly within ε are counted from cell counts, so only boundary
   cells compare points.  Connectivity runs on a finer grid: adjacent core cells
@@ -24,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
-from tessera.operators.validate import SEED, md5_sample, nearest_centroid
+from tessera.operators.kmeans import kmeans_fit, kmeans_sweep  # noqa: F401
+from tessera.operators.validate import SEED, md5_sample
+from tessera.operators.ward import ward_cut, ward_merges, ward_micro  # noqa: F401
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.scratch import saved, small
 
@@ -36,188 +35,6 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-# ---------------------------------------------------------------------------
-# k-means (M16)
-# ---------------------------------------------------------------------------
-
-def _plus_plus(x: np.ndarray, k: int, rng) -> np.ndarray:
-    """k-means++ starting centres from a sample."""
-    centers = [x[rng.integers(len(x))]]
-    d = ((x - centers[0]) ** 2).sum(1)
-    for _ in range(k - 1):
-        pick = rng.integers(len(x)) if d.sum() == 0 else rng.choice(len(x), p=d / d.sum())
-        centers.append(x[pick])
-        d = np.minimum(d, ((x - centers[-1]) ** 2).sum(1))
-    return np.array(centers)
-
-
-def _lloyd_round(points: DataFrame, cols: list[str], centers: dict) -> dict:
-    """One pass over the rows for every run: run -> (counts, sums, cost).
-
-    Tasks return one row per run and cluster, so what is collected depends on
-    the runs alone."""
-    runs = sorted(centers)
-    b = points.sparkSession.sparkContext.broadcast([centers[r] for r in runs])
-
-    def fn(it):
-        total = {}
-        for pdf in it:
-            x = pdf.to_numpy(dtype=float)
-            sq = (x ** 2).sum(1)
-            for i, c in enumerate(b.value):
-                d = sq[:, None] - 2.0 * (x @ c.T) + (c ** 2).sum(1)[None, :]
-                near = d.argmin(1)
-                n = np.bincount(near, minlength=len(c)).astype(float)
-                s = np.stack([np.bincount(near, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], 1)
-                cost = np.bincount(near, weights=np.maximum(d[np.arange(len(x)), near], 0.0), minlength=len(c))
-                part = np.column_stack([n, s, cost])
-                total[i] = total[i] + part if i in total else part
-        rows = [(i, j, row.tolist()) for i, t in total.items() for j, row in enumerate(t)]
-        yield pd.DataFrame(rows, columns=["run", "cluster", "v"])
-
-    width = len(cols) + 2
-    got = (points.select(*cols).mapInPandas(fn, "run int, cluster int, v array<double>")
-           .groupBy("run", "cluster").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(width)]).alias("v")).collect())
-    out = {r: np.zeros((len(centers[r]), width)) for r in runs}
-    for r in got:
-        out[runs[r["run"]]][r["cluster"]] = r["v"]
-    return {r: (t[:, 0], t[:, 1:-1], float(t[:, -1].sum())) for r, t in out.items()}
-
-
-def kmeans_fit(df: DataFrame, cols: list[str], ks, n_init: int = 30, max_iter: int = 500, seed: int = SEED,
-               id_col: str = "row_id", init_rows: int = 5000, tol: float = 1e-4) -> dict:
-    """k -> (centres, inertia, converged): the best of ``n_init`` starts for every k.
-
-    Starts are k-means++ on a seeded sample of ``init_rows`` rows; all starts of
-    all k then iterate over all rows together until their centres move less than
-    ``tol`` times the mean variance.  The inertia belongs to the returned centres.
-    """
-    cols = list(cols)
-    points = saved(df.select(id_col, *[_q(c).cast("double").alias(c) for c in cols]), "points")
-    x = np.array([[r[c] for c in cols] for r in md5_sample(points, id_col, init_rows, seed).collect()], dtype=float)
-    rng = np.random.default_rng(seed)
-    centers = {(k, i): _plus_plus(x, k, rng) for k in ks for i in range(n_init)}
-    var = points.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
-    limit = tol * float(np.mean([var[c] or 0.0 for c in cols]))
-    active, converged = set(centers), set()
-    for _ in range(max_iter):
-        if not active:
-            break
-        for run, (n, s, _cost) in _lloyd_round(points, cols, {r: centers[r] for r in active}).items():
-            new = np.where(n[:, None] > 0, s / np.maximum(n, 1.0)[:, None], centers[run])
-            if ((new - centers[run]) ** 2).sum() <= limit:
-                active.discard(run)
-                converged.add(run)
-            centers[run] = new
-    cost = {run: c for run, (_, _, c) in _lloyd_round(points, cols, centers).items()}
-    best = {k: min(((cost[k, i], i) for i in range(n_init))) for k in ks}
-    return {k: (centers[k, i], c, (k, i) in converged) for k, (c, i) in best.items()}
-
-
-def kmeans_sweep(df: DataFrame, cols: list[str], k_range=range(2, 8), n_init: int = 30,
-                 max_iter: int = 500, id_col: str = "row_id", seed: int = SEED):
-    """k-means for every k: ``(labels long table (k, row_id, cluster), [(k, inertia)])``.
-
-    Labels are produced by nearest-centroid projection with the fitted
-    centres as literals (no join).
-    """
-    base = df.select(id_col, *cols)
-    fitted = kmeans_fit(base, cols, list(k_range), n_init, max_iter, seed, id_col)
-    labels, inertia = None, []
-    for k, (centres, cost, _) in fitted.items():
-        centers = [dict(zip(cols, map(float, c)), cluster=i) for i, c in enumerate(centres)]
-        lab = nearest_centroid(base, cols, centers).select(F.lit(k).alias("k"), id_col, "cluster")
-        labels = lab if labels is None else labels.unionByName(lab)
-        inertia.append((k, float(cost)))
-    return labels, inertia
-
-
-# ---------------------------------------------------------------------------
-# Ward on weighted micro-clusters
-# ---------------------------------------------------------------------------
-
-def ward_merges(c: np.ndarray, w: np.ndarray):
-    """Ward agglomeration of weighted centroids (Lance–Williams).
-
-    Returns ``merges`` rows ``(step, a, b, height, size)`` with scipy-style
-    ids (leaves 0..m-1, merged clusters m, m+1, ...); height is the Ward
-    distance √(2·Δ) with Δ = nₐn_b/(nₐ+n_b)·‖cₐ−c_b‖².
-    """
-    m = c.shape[0]
-    active = {i: (c[i].astype(float), float(w[i])) for i in range(m)}
-    merges = []
-    nxt = m
-    while len(active) > 1:
-        keys = list(active)
-        cs = np.array([active[k][0] for k in keys])
-        ws = np.array([active[k][1] for k in keys])
-        d2 = ((cs[:, None, :] - cs[None, :, :]) ** 2).sum(-1)
-        cost = (ws[:, None] * ws[None, :]) / (ws[:, None] + ws[None, :]) * d2
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = keys[i], keys[j]
-        ca, wa = active.pop(a)
-        cb, wb = active.pop(b)
-        active[nxt] = ((ca * wa + cb * wb) / (wa + wb), wa + wb)
-        merges.append((len(merges) + 1, min(a, b), max(a, b), float(math.sqrt(2 * cost[i, j])), wa + wb))
-        nxt += 1
-    return merges
-
-
-def ward_cut(merges, m: int, k: int) -> np.ndarray:
-    """Leaf → cluster label for the cut with ``k`` clusters (labels by first leaf)."""
-    parent = list(range(m + len(merges)))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for step, a, b, _, _ in merges[: m - k]:
-        new = m + step - 1
-        parent[find(a)] = new
-        parent[find(b)] = new
-    roots = [find(i) for i in range(m)]
-    order = {}
-    for r in roots:
-        order.setdefault(r, len(order))
-    return np.array([order[r] for r in roots])
-
-
-def ward_micro(df: DataFrame, cols: list[str], k_range, n_micro: int, id_col: str = "row_id",
-               seed: int = SEED):
-    """Ward sweep (M17): ``(labels (k, row_id, cluster), merges, micro-clusters used)``.
-
-    The rows become at most ``n_micro`` weighted micro-clusters by Spark k-means
-    at every size of the table; with no more distinct points than that, every
-    point is its own micro-cluster and the result is exact Ward.  The merges run
-    on the centroid table alone (``n_micro`` rows).
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    spark = df.sparkSession
-    base = df.select(id_col, *cols)
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_features").transform(base)
-    model = KMeans(k=n_micro, seed=seed, maxIter=20, featuresCol="_features", predictionCol="_micro",
-                   initSteps=5).fit(vec.select("_features"))
-    assign = saved(model.transform(vec).select(id_col, *cols, F.col("_micro").cast("long").alias("_micro")), "micro")
-    stats = assign.groupBy("_micro").agg(F.count(F.lit(1)).alias("w"),
-                                         *[F.avg(_q(x)).alias(x) for x in cols]).orderBy("_micro").collect()
-    c = np.array([[r[x] for x in cols] for r in stats], dtype=float)
-    w = np.array([r["w"] for r in stats], dtype=float)
-    merges = ward_merges(c, w)
-    m = c.shape[0]
-    ks = [k for k in k_range if k <= m]
-    cuts = {k: ward_cut(merges, m, k) for k in ks}
-    rows = [(int(stats[i]["_micro"]), k, int(cuts[k][i])) for k in ks for i in range(m)]
-    mp = spark.createDataFrame(rows, "_micro long, k int, cluster long")
-    labels = assign.join(F.broadcast(mp), "_micro").select("k", id_col, "cluster")
-    merges_df = spark.createDataFrame(merges, "step int, a int, b int, height double, size double")
-    return labels, merges_df, m
-
-
 # ---------------------------------------------------------------------------
 # ε-neighbourhoods on a grid (J7) and DBSCAN
 # ---------------------------------------------------------------------------

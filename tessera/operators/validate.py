@@ -1,8 +1,8 @@
 """Partition quality metrics and k selection.
 
 The silhouette of record covers all rows in linear time (squared Euclidean
-distances follow from per-cluster moments); the Euclidean silhouette and the
-Dunn index are sampled operators that return the size of their sample.
+distances follow from per-cluster moments); the Euclidean silhouette covers
+all rows by bounded tiles; the Dunn index is defined on a sample and returns its size.
 Rows labelled ``-1`` (noise) take no part in the sweep's metrics.
 """
 
@@ -155,14 +155,13 @@ def _anchor_sums(points: DataFrame, cols: list[str], cluster_col: str, anchors:
     return part.groupBy("anchor", "cluster").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
 
 
-def silhouette(df: DataFrame, cols: list[str], cluster_col: str = "cluster", id_col: str = "row_id",
-               n_anchors: int = 5000, seed: int = SEED) -> tuple[float, int]:
+def silhouette_sample(df: DataFrame, cols: list[str], cluster_col: str = "cluster", id_col: str = "row_id",
+                      n_anchors: int = 5000, seed: int = SEED) -> tuple[float, int]:
     """Mean Euclidean silhouette over a seeded sample of anchors.
 
     Returns ``(silhouette, anchors used)``.  Every anchor's value is exact,
-    measured against all rows; with at least as many anchors as rows the score
-    is that of all rows.  Own-cluster mean excludes the anchor itself; an anchor
-    alone in its cluster scores 0.  :func:`silhouette_all` scores all rows.
+    measured against all rows.  Own-cluster mean excludes the anchor itself; an
+    anchor alone in its cluster scores 0.  :func:`silhouette` scores all rows.
     """
     base = df.select(id_col, cluster_col, *cols)
     arows = md5_sample(base, id_col, n_anchors, seed).collect()
@@ -185,6 +184,110 @@ def silhouette(df: DataFrame, cols: list[str], cluster_col: str = "cluster", id_
     return float(d.agg(F.avg(s)).first()[0]), len(arows)
 
 
+#: Bytes of a tile's coordinates, and tiles that one task compares with another.
+TILE_BYTES = 1 << 17
+TILES = 32
+
+
+def silhouette(df: DataFrame, cols: list[str], cluster_col: str = "cluster", tile_bytes: int = TILE_BYTES
+               ) -> tuple[float, int]:
+    """Mean Euclidean silhouette over all rows (M20a): ``(silhouette, rows)``.
+
+    The mean distance of a row to a cluster lies between its distance d to the
+    centroid (triangle inequality) and sqrt(d^2 + variance) (Jensen), so most
+    clusters cannot be the nearest other one; they are left out by whole tiles.
+    Rows are dealt into tiles of one cluster and one nearest other cluster;
+    tiles of rows meet tiles of their own cluster and of the clusters left, a few
+    at a time, in one group each.  A group returns the rows' distance sums, so no
+    pair is written and no task holds more than ``TILES`` + 1 tiles.  The work
+    within clusters stays quadratic: the definition asks for all distances.
+
+    A row alone in its cluster scores 0; fewer than two clusters give nan.  Rows
+    with a null coordinate or label take no part.
+    """
+    cols = list(cols)
+    rows = df.select(_q(cluster_col).cast("long").alias("own"), F.array(*[_q(c).cast("double") for c in cols]).alias("x"))
+    rows = saved(rows.where(F.col("own").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+                 .withColumn("rid", F.monotonically_increasing_id()), "rows")
+    mom = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n"),
+                                  *[F.avg(F.col("x")[j]).alias(f"m{j}") for j in range(len(cols))],
+                                  sum((F.var_pop(F.col("x")[j]) for j in range(len(cols))), F.lit(0.0)).alias("v"))
+    clusters = mom.orderBy("own").collect()           # a row per cluster
+    n_rows = sum(r["n"] for r in clusters)
+    if len(clusters) < 2:
+        return float("nan"), n_rows
+    names = np.array([r["own"] for r in clusters], np.int64)
+    centre = np.array([[r[f"m{j}"] for j in range(len(cols))] for r in clusters])
+    variance = np.array([r["v"] for r in clusters])
+    tile = max(16, tile_bytes // (8 * len(cols)))
+
+    @F.pandas_udf("array<long>")
+    def others(own: pd.Series, x: pd.Series) -> pd.Series:
+        """The other clusters that can be the nearest, the likeliest first."""
+        at = np.searchsorted(names, own.to_numpy())
+        p = np.array(x.tolist(), float).reshape(len(x), len(cols))
+        out = []
+        for lo in range(0, len(p), 1024):
+            d2 = ((p[lo:lo + 1024, None, :] - centre[None]) ** 2).sum(-1)
+            mine = at[lo:lo + 1024]
+            d2[np.arange(len(mine)), mine] = np.inf
+            most = np.sqrt(d2 + variance)
+            can = np.sqrt(d2) <= most.min(1, keepdims=True) * (1 + 1e-12)
+            order = np.argsort(most, axis=1, kind="stable")
+            out += [names[o[c[o]]].tolist() for o, c in zip(order, can)]
+        return pd.Series(out)
+
+    def dealt(t: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows grouped into tiles; equal rows are dealt by their number."""
+        counts = t.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).alias("_n"))
+        return t.join(small(saved(counts, "counts")), keys).withColumn("part", F.pmod(F.xxhash64("rid"), "_n"))
+
+    near = saved(rows.withColumn("others", others("own", "x")).withColumn("first", F.col("others")[0]), "near")
+    ours = (dealt(near, ["own", "first"]).groupBy("own", "first", "part")
+            .agg(F.collect_list("x").alias("xs"), F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+            .select(F.monotonically_increasing_id().alias("t"), "own", "xs",
+                    F.concat(F.array("own"), "others").alias("meets")))
+    ours = saved(ours, "tiles")
+    theirs = saved(dealt(rows, ["own"]).groupBy(F.col("own").alias("c"), "part").agg(F.collect_list("x").alias("xs")),
+                   "tiles")
+    groups = -(-ours.count() // TILES)
+    parts = theirs.groupBy("c").agg(F.max("part").alias("last"))
+    left = (ours.select("t", "xs", F.explode("meets").alias("c")).join(small(saved(parts, "parts")), "c")
+            .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+            .withColumn("g", F.pmod(F.xxhash64("t"), F.lit(groups))).select("c", "part", "g", "t", "xs"))
+    right = (theirs.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+             .select("c", "part", "g", F.lit(-1).cast("long").alias("t"), "xs"))
+
+    def meet(table):
+        import pyarrow as pa
+
+        def matrix(i):
+            return table.column("xs")[i].values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cols))
+
+        ts = table.column("t").to_pylist()
+        out = []
+        for y in (matrix(i) for i, t in enumerate(ts) if t < 0):
+            for i, t in enumerate(ts):
+                if t < 0:
+                    continue
+                x = matrix(i)
+                s = np.concatenate([np.sqrt(((x[lo:lo + 256, None, :] - y[None]) ** 2).sum(-1)).sum(1)
+                                    for lo in range(0, len(x), 256)])
+                out.append((np.full(len(x), t), np.arange(len(x)), s))
+        t, i, s = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pa.table({"t": t, "i": i, "c": pa.array(np.full(len(t), table.column("c")[0].as_py())), "s": s})
+
+    sums = (left.unionByName(right).groupBy("c", "part", "g").applyInArrow(meet, "t long, i long, c long, s double")
+            .groupBy("t", "i", "c").agg(F.sum("s").alias("s")))
+    sizes = mom.select(F.col("own").alias("c"), "n")
+    d = sums.join(small(saved(sizes, "sizes")), "c").join(ours.select("t", "own"), "t").groupBy("t", "i").agg(
+        F.max(F.when((F.col("c") == F.col("own")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(F.col("c") != F.col("own"), F.col("s") / F.col("n"))).alias("b"))
+    far = F.greatest("a", "b")
+    score = F.when(F.col("a").isNull() | (far == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / far)
+    return float(d.agg(F.avg(score)).first()[0]), n_rows
+
+
 def silhouette_all(points: DataFrame, cols: list[str], keys: list[str] | tuple = (),
                    cluster_col: str = "cluster") -> DataFrame:
     """Silhouette of all rows on squared Euclidean distances.

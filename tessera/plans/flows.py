@@ -225,7 +225,7 @@ def dbscan_summary(points: DataFrame, cols: list[str], settings: list[tuple[floa
 
 
 def segment_respondents(df: DataFrame, factor_blocks: dict, nominal_cols: list[str], id_col: str = "row_id",
-                        k_range=range(2, 8), k_min: int = 3, n_init: int = 30, n_micro: int = 512,
+                        k_range=range(2, 8), k_min: int = 3, n_init: int = 30, n_micro: int = 4096,
                         eps_grid: tuple = (0.3, 0.5, 0.7, 0.9, 1.2, 1.5), min_pts_grid: tuple = (5, 10, 15),
                         names: dict | None = None, score_col: str | None = None) -> Segmentation:
     """Segmentation (R21): factor blocks + MCA → quantile-normal + PCA(3) →
@@ -260,7 +260,7 @@ def segment_respondents(df: DataFrame, factor_blocks: dict, nominal_cols: list[s
     parameters["pca"], parameters["quantiles"] = pca.to_table(spark), grid
     space = saved(scores, "space")
     pcs = [c for c in space.columns if c != id_col]
-    km_labels, _ = segment.kmeans_sweep(space, pcs, k_range, n_init=n_init, id_col=id_col)
+    km_labels, _, km_centres = segment.kmeans_sweep(space, pcs, k_range, n_init=n_init, id_col=id_col)
     wd_labels, _, _ = segment.ward_micro(space, pcs, k_range, n_micro, id_col=id_col)
     all_labels = saved(km_labels.select(F.lit("kmeans").alias("method"), "k", id_col, F.col("cluster").cast("long"))
                        .unionByName(wd_labels.select(F.lit("ward").alias("method"), "k", id_col, "cluster")), "labels")

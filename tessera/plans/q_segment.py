@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import latent, segment, validate
 from tessera.plans import flows
 from tessera.plans.catalog import register
 from tessera.plans.proxies import embed_points, embed_points_sql, survey
+from tessera.sources.scratch import saved
 
 _X = ["x0", "x1", "x2"]
 _PTS = embed_points_sql(3)
@@ -17,39 +18,100 @@ _D = "sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2
 
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
-    """K-means for k = 2..7 (30 starts each): inertia, balance, metrics."""
+    """K-means for k = 2..7 (30 starts each): inertia, convergence, balance, metrics."""
     p = embed_points(spark, sf_dir, 3)
-    labels, inertia = segment.kmeans_sweep(p, _X, range(2, 8))
+    labels, inertia, _ = segment.kmeans_sweep(p, _X, range(2, 8))
     met = validate.metrics_table(p.select("row_id", *_X), _X, labels, "row_id", ("k",))
-    cost = spark.createDataFrame([(int(k), float(c)) for k, c in inertia], "k int, inertia double")
+    cost = spark.createDataFrame([(int(k), float(c), bool(done)) for k, c, done in inertia],
+                                 "k int, inertia double, converged boolean")
     return (met.withColumn("k", F.col("k").cast("int")).join(cost, "k")
-            .select(F.lit("kmeans").alias("method"), "k", "inertia", "sil", "db", "dunn", "n_dunn", "cv", "min_pct",
-                    "score"))
+            .select(F.lit("kmeans").alias("method"), "k", "inertia", "converged", "sil", "db", "dunn", "n_dunn", "cv",
+                    "min_pct", "score"))
 
 
 @register("kmeans_labels")
 def kmeans_labels(spark, sf_dir):
     """Cluster of every point for every k (long table)."""
-    labels, _ = segment.kmeans_sweep(embed_points(spark, sf_dir, 3), _X, range(2, 8))
-    return labels
-
-
-#: Micro-clusters of the Ward queries, at every size of the table.
-_MICRO = 128
-
-
-@register("ward_micro")
+    return segment.kmeans_sweep(embed_points(spark, sf_dir, 3), _X, range(2, 8))[0]
+
+
+_STARTS, _ROUNDS = 5, 300
+
+
+def _kmeans_sql() -> str:
+    """Lloyd's rounds as a recursive query: its rows are the centres of all starts."""
+    near = """SELECT c.k, c.i, p.row_id, p.x0, p.x1, p.x2,
+        min(((p.x0 - c.x0) * (p.x0 - c.x0) + (p.x1 - c.x1) * (p.x1 - c.x1) + (p.x2 - c.x2) * (p.x2 - c.x2), c.j)) AS best
+      FROM {centres} c JOIN pts p ON true GROUP BY ALL"""
+    return f"""WITH RECURSIVE {_PTS},
+o AS (SELECT x0, x1, x2, row_number() OVER (ORDER BY md5(concat('42', CAST(row_id AS VARCHAR))), row_id) - 1 AS r FROM pts),
+c0 AS (SELECT k, r // k AS i, r % k AS j, x0, x1, x2 FROM o JOIN range(2, 8) t(k) ON r < {_STARTS} * k),
+lim AS (SELECT 1e-4 * (var_pop(x0) + var_pop(x1) + var_pop(x2)) / 3 AS lim FROM pts),
+st AS (
+  SELECT 0 AS round, k, i, j, x0, x1, x2, false AS done FROM c0
+  UNION ALL
+  SELECT * FROM (
+    WITH near AS ({near.format(centres="(SELECT * FROM st WHERE NOT done)")}),
+    m AS (SELECT k, i, best[2] AS j, avg(x0) AS x0, avg(x1) AS x1, avg(x2) AS x2 FROM near GROUP BY ALL),
+    n AS (SELECT st.round + 1 AS round, st.k, st.i, st.j, coalesce(m.x0, st.x0) AS x0, coalesce(m.x1, st.x1) AS x1,
+                 coalesce(m.x2, st.x2) AS x2, st.done,
+                 (coalesce(m.x0, st.x0) - st.x0) ** 2 + (coalesce(m.x1, st.x1) - st.x1) ** 2
+                   + (coalesce(m.x2, st.x2) - st.x2) ** 2 AS moved
+          FROM st LEFT JOIN m ON m.k = st.k AND m.i = st.i AND m.j = st.j)
+    SELECT round, k, i, j, x0, x1, x2, done OR sum(moved) OVER (PARTITION BY k, i) <= (SELECT lim FROM lim) FROM n
+    WHERE round <= {_ROUNDS} AND (SELECT count(*) FROM st WHERE NOT done) > 0)),
+last AS (SELECT * FROM st WHERE round = (SELECT max(round) FROM st)),
+cost AS (SELECT k, i, sum(best[1]) AS cost FROM ({near.format(centres="last")}) GROUP BY k, i)
+SELECT k, round(min(cost), 6) AS inertia, (SELECT bool_and(done) FROM last l WHERE l.k = cost.k) AS converged FROM cost GROUP BY k"""
+
+
+@register("kmeans_fixed_starts", _kmeans_sql())
+def kmeans_fixed_starts(spark, sf_dir):
+    """Best of five stated starts per k (seeded rows), Lloyd's rounds to convergence."""
+    p = saved(embed_points(spark, sf_dir, 3), "points")
+    first = [[r[x] for x in _X] for r in validate.md5_sample(p, "row_id", _STARTS * 7).collect()]
+    starts = {(k, i): np.array(first[i * k:(i + 1) * k]) for k in range(2, 8) for i in range(_STARTS)}
+    fitted = segment.kmeans_fit(p, _X, range(2, 8), starts=starts, max_iter=_ROUNDS)
+    rows = [(k, round(c, 6), bool(done)) for k, (_, c, done) in fitted.items()]
+    return spark.createDataFrame(rows, "k long, inertia double, converged boolean")
+
+
+#: Ward's agglomeration as a recursive query: its rows are the clusters of a step.
+_WARD_SQL = f"""WITH RECURSIVE {_PTS},
+leaf AS (SELECT row_number() OVER (ORDER BY x0, x1, x2) - 1 AS id, CAST(count(*) AS DOUBLE) AS w, x0, x1, x2,
+                count(*) OVER () AS m FROM pts GROUP BY x0, x1, x2),
+st AS (
+  SELECT 0 AS step, id, w, x0, x1, x2, m, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS cost FROM leaf
+  UNION ALL
+  SELECT * FROM (
+    WITH best AS (
+      SELECT p.id AS a, q.id AS b, p.w * q.w / (p.w + q.w) * ((p.x0 - q.x0) * (p.x0 - q.x0)
+               + (p.x1 - q.x1) * (p.x1 - q.x1) + (p.x2 - q.x2) * (p.x2 - q.x2)) AS cost
+      FROM st p JOIN st q ON p.id < q.id ORDER BY cost LIMIT 1),
+    k AS (SELECT st.*, best.a AS ba, best.b AS bb, best.cost AS bc,
+                 CASE WHEN st.id IN (best.a, best.b) THEN -1 ELSE st.id END AS k FROM st, best)
+    SELECT max(step) + 1, CASE WHEN k = -1 THEN max(m) + max(step) ELSE k END, sum(w), sum(w * x0) / sum(w),
+           sum(w * x1) / sum(w), sum(w * x2) / sum(w), max(m), max(ba), max(bb), max(bc) FROM k GROUP BY k))"""
+
+
+@register("ward_micro", f"""{_WARD_SQL},
+cut AS (SELECT m - step AS k, w, m FROM st WHERE m - step BETWEEN 2 AND 7)
+SELECT CAST(k AS INTEGER) AS k, count(*) AS n_clusters, round(stddev_samp(w) / avg(w), 4) AS cv,
+       round(min(w) / sum(w) * 100.0E0, 2) AS min_pct, round(max(w) / sum(w) * 100.0E0, 2) AS max_pct,
+       CAST(max(m) AS INTEGER) AS n_micro FROM cut GROUP BY k""")
 def ward_micro(spark, sf_dir):
-    """Ward sweep on weighted micro-clusters: balance per k and the micro-clusters used."""
-    labels, _, used = segment.ward_micro(embed_points(spark, sf_dir, 3), _X, range(2, 8), _MICRO)
+    """Ward sweep: balance per k and the leaves used (every distinct point, up to 4,096)."""
+    labels, _, used = segment.ward_micro(embed_points(spark, sf_dir, 3), _X, range(2, 8))
     return validate.balance(labels, "cluster", ["k"]).withColumn("n_micro", F.lit(used))
 
 
-@register("ward_merges")
+@register("ward_merges", f"""{_WARD_SQL}
+SELECT step, max(a) AS a, max(b) AS b, round(sqrt(2 * max(cost)), 6) AS height,
+       max(CASE WHEN id = m + step - 1 THEN w END) AS size FROM st WHERE step > 0 GROUP BY step""")
 def ward_merges(spark, sf_dir):
     """The merge table (step, a, b, height, size) — dendrogram data."""
-    _, merges, _ = segment.ward_micro(embed_points(spark, sf_dir, 3), _X, range(2, 3), _MICRO)
-    return merges
+    merges = segment.ward_micro(embed_points(spark, sf_dir, 3), _X, range(2, 3))[1]
+    return merges.withColumn("height", F.round("height", 6))
 
 
 _EPS, _MINPTS = 0.3, 5

@@ -30,8 +30,8 @@ SELECT round(avg(CASE WHEN a IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) EN
 
 @register("silhouette", _SIL_SQL)
 def silhouette(spark, sf_dir):
-    """Mean Euclidean silhouette of the embedding labels over 5000 anchors (all rows here)."""
-    s, n = validate.silhouette(embed_points(spark, sf_dir, 3), _X, "label", "row_id", n_anchors=5000)
+    """Mean Euclidean silhouette of the embedding labels over all rows."""
+    s, n = validate.silhouette(embed_points(spark, sf_dir, 3), _X, "label")
     return _one(spark, silhouette=round(s, 6), n_anchors=n)
 
 
@@ -48,7 +48,7 @@ SELECT round(avg(CASE WHEN a IS NULL THEN 0.0E0 ELSE (b - a) / greatest(a, b) EN
 @register("silhouette_sample", _SIL_SAMPLE_SQL)
 def silhouette_sample(spark, sf_dir):
     """Euclidean silhouette over 200 seeded anchors, fewer than the rows."""
-    s, n = validate.silhouette(embed_points(spark, sf_dir, 3), _X, "label", "row_id", n_anchors=200)
+    s, n = validate.silhouette_sample(embed_points(spark, sf_dir, 3), _X, "label", "row_id", n_anchors=200)
     return _one(spark, silhouette=round(s, 6), n_anchors=n)
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import segment, validate
+from tessera.operators import kmeans, segment, validate, ward
 
 
 def _points(spark, x, lab=None):
@@ -36,13 +36,27 @@ def _silhouette_brute(x, lab, squared=False):
 def test_silhouette_exact(spark):
     x, lab = _blobs()
     df = _points(spark, x, lab)
-    got, n = validate.silhouette(df, ["x0", "x1", "x2"], "cluster")
-    assert abs(got - _silhouette_brute(x, lab)) < 1e-9 and n == len(x)
-    assert validate.silhouette(df, ["x0", "x1", "x2"], "cluster", n_anchors=50)[1] == 50
+    assert validate.silhouette_sample(df, ["x0", "x1", "x2"], "cluster", n_anchors=50)[1] == 50
+    for anchors in (240, 500):
+        got, n = validate.silhouette_sample(df, ["x0", "x1", "x2"], "cluster", n_anchors=anchors)
+        assert abs(got - _silhouette_brute(x, lab)) < 1e-9 and n == len(x)
     sq = _silhouette_brute(x, lab, squared=True)
     assert abs(validate.silhouette_all(df, ["x0", "x1", "x2"]).first().sil - sq) < 1e-9
 
 
+@pytest.mark.parametrize("tile_bytes", [1 << 17, 24 * 20])
+def test_silhouette_over_tiles(spark, tile_bytes):
+    """One tile per cluster and many; a hot point, a single row, overlapping clusters."""
+    rng = np.random.default_rng(2)
+    x, lab = _blobs(300, seed=1)
+    x = np.vstack([x, np.repeat([[1.0, 1.0, 1.0]], 90, axis=0), [[9, 9, 9]], rng.normal(size=(40, 3))])
+    lab = np.concatenate([lab, rng.integers(0, 3, 90), [7], rng.integers(3, 6, 40)])
+    got, n = validate.silhouette(_points(spark, x, lab).repartition(4), ["x0", "x1", "x2"], tile_bytes=tile_bytes)
+    assert abs(got - _silhouette_brute(x, lab)) < 1e-9 and n == len(x)
+    one = _points(spark, x[:3], np.zeros(3, int))
+    assert np.isnan(validate.silhouette(one, ["x0", "x1", "x2"])[0])
+
+
 def test_davies_bouldin_and_dunn(spark):
     x, lab = _blobs()
     df = _points(spark, x, lab)
@@ -165,22 +179,51 @@ def _lloyd_brute(x, centers, tol):
             return centers, ((x[:, None] - centers[None]) ** 2).sum(-1).min(1).sum()
 
 
-def test_kmeans_matches_brute_force(spark):
-    x, _ = _blobs(150, seed=6)
-    df = _points(spark, x)
-    fitted = segment.kmeans_fit(df, ["x0", "x1", "x2"], [2, 3, 5], n_init=6, init_rows=1000)
-    order = [r.row_id for r in validate.md5_sample(df, "row_id", 1000).collect()]
-    rng, tol = np.random.default_rng(validate.SEED), 1e-4 * x.var(0).mean()
-    starts = {(k, i): segment._plus_plus(x[order], k, rng) for k in (2, 3, 5) for i in range(6)}
+@pytest.mark.parametrize("n_micro", [4096, 24])
+def test_kmeans_matches_brute_force(spark, n_micro):
+    """Every leaf a point, and leaves of many points, most of them settled."""
+    x, _ = _blobs(400, seed=6)
+    df, cols = _points(spark, x), ["x0", "x1", "x2"]
+    rng, tol = np.random.default_rng(5), 1e-4 * x.var(0).mean()
+    starts = {(k, i): x[rng.choice(len(x), k, replace=False)] for k in (2, 3, 5) for i in range(4)}
+    starts[3, 4] = starts[3, 0][::-1].copy()              # the same start in another order
+    fitted = segment.kmeans_fit(df, cols, [2, 3, 5], n_micro=n_micro, starts=dict(starts))
     for k in (2, 3, 5):
-        want = min(_lloyd_brute(x, starts[k, i], tol)[1] for i in range(6))
+        want = min(_lloyd_brute(x, starts[r], tol)[1] for r in starts if r[0] == k)
         assert abs(fitted[k][1] - want) < 1e-6 and fitted[k][2]
-    labels, inertia = segment.kmeans_sweep(df, ["x0", "x1", "x2"], range(2, 5), n_init=4)
+    assert not segment.kmeans_fit(df, cols, [5], n_micro=n_micro, starts={(5, 0): starts[5, 0]}, max_iter=1)[5][2]
+
+
+def test_kmeans_starts_are_plus_plus_over_all_rows(spark):
+    x, _ = _blobs(150, seed=6)
+    x = np.vstack([x, x[:30]])
+    fitted = segment.kmeans_fit(_points(spark, x), ["x0", "x1", "x2"], [2, 4], n_init=6)
+    u, w = np.unique(x, axis=0, return_counts=True)
+    rng, tol = np.random.default_rng(validate.SEED), 1e-4 * x.var(0).mean()
+    starts = {(k, i): kmeans.plus_plus(u, w.astype(float), k, rng) for k in (2, 4) for i in range(6)}
+    for k in (2, 4):
+        assert abs(fitted[k][1] - min(_lloyd_brute(x, starts[k, i], tol)[1] for i in range(6))) < 1e-6
+    labels, inertia, centres = segment.kmeans_sweep(_points(spark, x), ["x0", "x1", "x2"], range(2, 5), n_init=4)
     for k in (2, 3, 4):
-        assert labels.where(f"k = {k}").select("cluster").distinct().count() == k
+        assert labels.where(f"k = {k}").select("cluster").distinct().count() == k == len(centres[k])
     assert inertia[0][1] > inertia[1][1] > inertia[2][1]
 
 
+def test_kmeans_leaves_rule_out_only_far_centres():
+    """A settled leaf's points all have the same nearest centre."""
+    rng = np.random.default_rng(3)
+    leaves = kmeans.Leaves.__new__(kmeans.Leaves)
+    mid = rng.uniform(-3, 3, (300, 2))
+    size = rng.uniform(0, 1, (300, 2))
+    leaves.lo, leaves.hi = mid - size, mid + size
+    for _ in range(5):
+        c = rng.uniform(-3, 3, (4, 2))
+        near, settled = leaves.nearest(c)
+        inside = leaves.lo[:, None] + rng.uniform(0, 1, (300, 60, 2)) * (leaves.hi - leaves.lo)[:, None]
+        own = ((inside[:, :, None] - c) ** 2).sum(-1).argmin(-1)
+        assert (own[settled] == near[settled, None]).all() and 20 < settled.sum() < 300
+
+
 @pytest.mark.parametrize("n", [130, 3000])
 def test_dbscan_follows_long_chains(spark, n):
     x = np.column_stack([np.arange(n) * 0.9, np.zeros(n), np.zeros(n)])
@@ -367,3 +410,42 @@ def test_quantile_grid_shorter_than_column_count(spark):
     p[x + 1e-7 > qs[-1]] = 1
     p = np.clip(p, 1e-7, 1 - 1e-7)
     assert np.allclose(out, [statistics.NormalDist().inv_cdf(v) for v in p], atol=1e-9)
+
+
+@pytest.mark.parametrize("n_micro,cells", [(40, 1 << 16), (40, 64), (150, 300)])
+def test_clustering_feature_tree(spark, n_micro, cells):
+    """Leaves add up to the rows, also where the tree is read in several steps, and
+    do not depend on the split of the rows."""
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(600, 3)), np.repeat([[2.0, 2.0, 2.0]], 50, axis=0),
+                   1e-5 * rng.normal(size=(200, 3)) + 5.0])
+    out = []
+    for parts in (1, 7):
+        rows, c, w = ward.micro_clusters(_points(spark, x).repartition(parts), ["x0", "x1", "x2"], n_micro, cells)
+        got = rows.orderBy("row_id").toPandas()._micro.to_numpy()
+        assert len(c) == n_micro == len(np.unique(got)) and w.sum() == len(x)
+        for j in range(n_micro):
+            assert np.allclose(x[got == j].mean(0), c[j], atol=1e-9) and (got == j).sum() == w[j]
+        out.append(got)
+    assert np.array_equal(*out)
+    error = sum(((x[out[0] == j] - x[out[0] == j].mean(0)) ** 2).sum() for j in range(n_micro))
+    assert error < 0.25 * ((x - x.mean(0)) ** 2).sum()
+
+
+def test_ward_chain_with_weights_and_ties():
+    """The chain's merges are those of the greedy rule, also with equal distances."""
+    rng = np.random.default_rng(23)
+    for x, w in ((rng.normal(size=(60, 2)), rng.integers(1, 9, 60)), (rng.integers(0, 4, (40, 2)) * 1.0, np.ones(40))):
+        merges = ward.ward_merges(x, w)
+        c, size, heights = {i: v for i, v in enumerate(x)}, dict(enumerate(w.astype(float))), []
+        for step in range(len(x) - 1):
+            cost, a, b = min((size[a] * size[b] / (size[a] + size[b]) * ((c[a] - c[b]) ** 2).sum(), a, b)
+                             for a in c for b in c if a < b)
+            heights.append(np.sqrt(2 * cost))
+            n = size[a] + size[b]
+            c[len(x) + step] = (c.pop(a) * size[a] + c.pop(b) * size[b]) / n
+            size[len(x) + step] = n
+        if len(np.unique(np.round(heights, 9))) == len(heights):
+            assert np.allclose([m[3] for m in merges], heights)
+        assert merges[-1][4] == w.sum() and sorted(m[3] for m in merges) == [m[3] for m in merges]
+        assert sorted(y for m in merges for y in m[1:3]) == list(range(2 * len(x) - 2))
