@@ -102,31 +102,43 @@ def nominal_clean(c, replace: dict | None = None, valid: list[str] | None = None
     return v
 
 
+def lump_many(df: DataFrame, lumps: list[tuple[str, int, str]], salt: int = 32) -> DataFrame:
+    """For every ``(column, min_count, other)``: values seen fewer than ``min_count``
+    times → ``other``; null kept (E19, J3).  Upper-case + strip first.
+
+    One pass counts the values of all columns.  Only the kept values are needed:
+    while they are few (checked) they are broadcast, so the rows are not shuffled.
+    Beyond that rows and values are salted, so that a hot category, or the nulls,
+    spread over ``salt`` tasks.
+    """
+    cleaned = {c: F.upper(tx.strip(_q(c).cast("string"))) for c, _, _ in lumps}
+    least = F.array(*[F.lit(int(n)) for _, n, _ in lumps])
+    items = F.array(*[F.struct(F.lit(i).alias("i"), cleaned[c].alias("v")) for i, (c, _, _) in enumerate(lumps)])
+    kept = saved(df.select(F.explode(items).alias("x")).where("x.v is not null")
+                 .groupBy(F.col("x.i").alias("_i"), F.col("x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+                 .where(F.col("_n") >= least[F.col("_i")]).select("_i", "_v"), "categories")
+    few = kept.count() <= BROADCAST_ROWS
+    out = df
+    if not few:
+        out = out.withColumn("_salt", F.pmod(F.xxhash64(*[_q(c) for c in df.columns]), F.lit(salt)))
+    for i, (c, _, other) in enumerate(lumps):
+        mine = kept.where(F.col("_i") == i).select(F.col("_v").alias("_lump"))
+        if few:
+            out = out.join(F.broadcast(mine), cleaned[c] == F.col("_lump"), "left")
+        else:
+            mine = mine.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+            out = out.join(mine, (cleaned[c] == F.col("_lump")) & (F.col("_salt") == F.col("_t")), "left").drop("_t")
+        out = out.withColumn(c, F.when(cleaned[c].isNull(), F.lit(None).cast("string"))
+                             .when(F.col("_lump").isNotNull(), F.col("_lump")).otherwise(F.lit(other))).drop("_lump")
+    return out if few else out.drop("_salt")
+
+
 def lump_rare(df: DataFrame, col: str, min_count: int, other: str = "Otro",
               out: str | None = None, salt: int = 32) -> DataFrame:
-    """Values seen fewer than ``min_count`` times → ``other``; null kept.
-
-    Upper-case + strip first.  Only the kept values are needed: while they are
-    few (checked) they are broadcast, so the rows are not shuffled.  Beyond that
-    rows and values are salted, so that a hot category, or the nulls, spread
-    over ``salt`` tasks.
-    """
-    out = out or col
-    cleaned = F.upper(tx.strip(_q(col).cast("string")))
-    base = df.withColumn("_lump_v", cleaned)
-    kept = saved(base.where(F.col("_lump_v").isNotNull()).groupBy("_lump_v")
-                 .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
-                 .select(F.col("_lump_v").alias("_lump_k")), "categories")
-    if kept.count() <= BROADCAST_ROWS:
-        j = base.join(F.broadcast(kept), F.col("_lump_v") == F.col("_lump_k"), "left")
-    else:
-        base = base.withColumn("_lump_s", F.pmod(F.xxhash64(*[_q(c) for c in df.columns]), F.lit(salt)))
-        every = kept.withColumn("_lump_t", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        j = base.join(every, (F.col("_lump_v") == F.col("_lump_k")) & (F.col("_lump_s") == F.col("_lump_t")), "left")
-        j = j.drop("_lump_s", "_lump_t")
-    return (j.withColumn(out, F.when(F.col("_lump_v").isNull(), F.lit(None).cast("string"))
-                         .when(F.col("_lump_k").isNotNull(), F.col("_lump_v")).otherwise(F.lit(other)))
-            .drop("_lump_v", "_lump_k"))
+    """:func:`lump_many` for one column, written to ``out``."""
+    if out is None or out == col:
+        return lump_many(df, [(col, min_count, other)], salt)
+    return lump_many(df.withColumn(out, _q(col)), [(out, min_count, other)], salt)
 
 
 def additive_score(cols: list[str]) -> Column:

@@ -7,11 +7,14 @@ the driver holds size, sums, squares and bounding box of a few thousand leaves.
 so every row counts; with no more distinct points than leaves they are k-means++
 on the rows.
 
-*Rounds.*  For one start, a centre can be ruled out for a whole leaf if another is
-nearer to every corner of its box.  A leaf with one centre left is settled: its
-feature is added to that centre without its rows.  Only the rows of the other
-leaves are read, for the starts that need them, in one scan for all.  Starts
-whose centres have become those of another start of the same k go on as one.
+*Rounds.*  For one start, a leaf is settled if its second nearest centre is farther
+from its middle than the nearest one by more than its diameter: all its points
+then have the same nearest centre, and its feature is added to that centre
+without its rows.  What the difference exceeds the diameter by is the leaf's
+slack; until the centres have moved by half of it, nothing about the leaf needs
+to be computed again.  Only the rows of unsettled leaves are read, for the starts
+that need them, in one scan for all.  Starts whose centres have become those of
+another start of the same k go on as one.
 """
 
 from __future__ import annotations
@@ -22,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.validate import SEED, nearest_centroid
-from tessera.operators.ward import MICRO, micro_clusters
+from tessera.operators.ward import micro_clusters
 from tessera.sources.scratch import saved
 
 
+#: Leaves of the tree that the driver holds (about 100 bytes for each, and 25 per start).
+MICRO = 1 << 14
+
+
 class Leaves:
     """Size, sums, sums of squares and bounding boxes of the leaves."""
 
@@ -42,24 +49,34 @@ class Leaves:
         self.n = np.array([r["n"] for r in got], float)
         self.s, self.q, self.lo, self.hi = table("s"), table("q"), table("lo"), table("hi")
         self.mean = self.s / self.n[:, None] if len(got) else self.s
+        self.bounds()
+
+    def bounds(self) -> None:
+        self.middle, self.diameter = (self.lo + self.hi) / 2, np.sqrt(((self.hi - self.lo) ** 2).sum(1))
+        self.point = self.diameter == 0
 
     def variance(self) -> float:
         """Mean variance of the columns."""
         total = self.n.sum()
         return float(np.mean(np.maximum(self.q.sum(0) / total - (self.s.sum(0) / total) ** 2, 0.0)))
 
-    def nearest(self, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(centre nearest to the middle of every leaf, whether it is so for all its points)."""
-        middle = (self.lo + self.hi) / 2
-        near = ((middle[:, None, :] - centers[None]) ** 2).sum(-1).argmin(1)
-        mine = centers[near]
-        settled = np.ones(len(near), bool)
-        point = (self.lo == self.hi).all(1)
-        for z in range(len(centers)):
-            corner = np.where(centers[z] > mine, self.hi, self.lo)
-            away = ((corner - centers[z]) ** 2).sum(1) - ((corner - mine) ** 2).sum(1)
-            settled &= (away > 0) | (near == z) | point
-        return near, settled
+    def nearest(self, centers: np.ndarray, which=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """(centre nearest to the middle of each leaf, its slack); a leaf with a positive
+        slack, and one that is a single point, has that centre for all its points."""
+        middle, diameter = self.middle[which], self.diameter[which]
+        # squares expand into one product; ties and near ties are decided below
+        d2 = np.maximum((middle ** 2).sum(1)[:, None] - 2.0 * (middle @ centers.T) + (centers ** 2).sum(1), 0.0)
+        near = d2.argmin(1)
+        if len(centers) == 1:
+            return near, np.full(len(near), np.inf)
+        row = np.arange(len(near))
+        least = np.sqrt(d2[row, near])
+        d2[row, near] = np.inf
+        second = np.sqrt(d2.min(1))
+        close = np.flatnonzero(second - least <= 1e-6 * (second + 1.0))
+        if len(close):
+            near[close] = ((middle[close, None, :] - centers[None]) ** 2).sum(-1).argmin(1)
+        return near, second - least - diameter - 1e-9 * (second + 1.0)
 
     def add_up(self, near: np.ndarray, which: np.ndarray, centers: np.ndarray) -> np.ndarray:
         """Per centre: size, sums, cost over the leaves ``which``."""
@@ -118,16 +135,38 @@ def _scan(rows: DataFrame, cols: list[str], leaves: Leaves, centers: dict, open_
     return out
 
 
-def lloyd_round(rows: DataFrame, cols: list[str], leaves: Leaves, centers: dict) -> dict:
+class _Start:
+    """Centres of a start, and what is known about the leaves under them."""
+
+    def __init__(self, centers: np.ndarray, leaves: Leaves):
+        self.centers, self.leaves = centers, leaves
+        self.near = np.zeros(len(leaves.n), np.int64)
+        self.until = np.full(len(leaves.n), -1.0)       # way that centres may go before a leaf is looked at
+        self.settled = np.zeros(len(leaves.n), bool)
+        self.way = 0.0
+
+    def move(self, centers: np.ndarray) -> float:
+        step = ((centers - self.centers) ** 2).sum(1)
+        self.centers, self.way = centers, self.way + float(np.sqrt(step.max()))
+        return float(step.sum())
+
+    def look(self) -> np.ndarray:
+        """Sums over settled leaves; afterwards ``settled`` tells which these are."""
+        stale = np.flatnonzero(self.until <= self.way)
+        if len(stale):
+            self.near[stale], slack = self.leaves.nearest(self.centers, stale)
+            self.until[stale] = self.way + slack / 2
+            self.settled[stale] = (slack > 0) | self.leaves.point[stale]
+        return self.leaves.add_up(self.near, self.settled, self.centers)
+
+
+def lloyd_round(rows: DataFrame, cols: list[str], starts: dict) -> dict:
     """start -> (sizes, sums, cost) of the assignment to its centres."""
-    out, open_ = {}, {}
-    for run, c in centers.items():
-        near, settled = leaves.nearest(c)
-        out[run] = leaves.add_up(near, settled, c)
-        if not settled.all():
-            open_[run] = ~settled
+    out = {run: s.look() for run, s in starts.items()}
+    open_ = {run: ~s.settled for run, s in starts.items() if not s.settled.all()}
     if open_:
-        for run, part in _scan(rows, cols, leaves, {r: centers[r] for r in open_}, open_).items():
+        leaves = next(iter(starts.values())).leaves
+        for run, part in _scan(rows, cols, leaves, {r: starts[r].centers for r in open_}, open_).items():
             out[run] += part
     return {r: (t[:, 0], t[:, 1:-1], float(t[:, -1].sum())) for r, t in out.items()}
 
@@ -155,26 +194,26 @@ def kmeans_fit(df: DataFrame, cols: list[str], ks, n_init: int = 30, max_iter: i
     leaves = Leaves(rows, cols)
     rng = np.random.default_rng(seed)
     centers = starts or {(k, i): plus_plus(leaves.mean, leaves.n, k, rng) for k in ks for i in range(n_init)}
+    runs = {run: _Start(c, leaves) for run, c in centers.items()}
     limit = tol * leaves.variance()
-    active, converged, stands_for = set(centers), set(), {}
+    active, converged, stands_for = set(runs), set(), {}
     for _ in range(max_iter):
         if not active:
             break
         known: dict = {}
-        for run in sorted(centers):
-            if run not in stands_for and (first := known.setdefault((run[0], _same(centers[run])), run)) != run:
+        for run in sorted(runs):
+            if run not in stands_for and (first := known.setdefault((run[0], _same(runs[run].centers)), run)) != run:
                 stands_for[run] = first
                 active.discard(run)
-        for run, (n, s, _) in lloyd_round(rows, cols, leaves, {r: centers[r] for r in sorted(active)}).items():
-            new = np.where(n[:, None] > 0, s / np.maximum(n, 1.0)[:, None], centers[run])
-            if ((new - centers[run]) ** 2).sum() <= limit:
+        for run, (n, s, _) in lloyd_round(rows, cols, {r: runs[r] for r in sorted(active)}).items():
+            new = np.where(n[:, None] > 0, s / np.maximum(n, 1.0)[:, None], runs[run].centers)
+            if runs[run].move(new) <= limit:
                 active.discard(run)
                 converged.add(run)
-            centers[run] = new
-    own = {r: c for r, c in centers.items() if r not in stands_for}
-    cost = {r: c for r, (_, _, c) in lloyd_round(rows, cols, leaves, own).items()}
+    own = {r: s for r, s in runs.items() if r not in stands_for}
+    cost = {r: c for r, (_, _, c) in lloyd_round(rows, cols, own).items()}
     best = {k: min((c, r) for r, c in cost.items() if r[0] == k) for k in sorted({r[0] for r in own})}
-    return {k: (centers[r], c, r in converged) for k, (c, r) in best.items()}
+    return {k: (runs[r].centers, c, r in converged) for k, (c, r) in best.items()}
 
 
 def kmeans_sweep(df: DataFrame, cols: list[str], k_range=range(2, 8), n_init: int = 30, max_iter: int = 500,

@@ -57,9 +57,10 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
         F.max("cnt").alias("n"))
 
 
-def mode_impute(df: DataFrame, cols: list[str], fallback: str = "Otro") -> DataFrame:
+def mode_impute(df: DataFrame, cols: list[str], fallback: str = "Otro", modes: dict | None = None) -> DataFrame:
     """Fill nulls with the column mode; all-null columns get ``fallback`` (M2)."""
-    modes = {r["var"]: r["mode"] for r in column_modes(df, cols).collect()}
+    if modes is None:
+        modes = {r["var"]: r["mode"] for r in column_modes(df, cols).collect()}
     return df.withColumns({c: F.coalesce(_q(c).cast("string"), F.lit(modes.get(c, fallback)))
                            for c in cols})
 
@@ -261,17 +262,37 @@ class FactorModel:
 
     def to_table(self, spark) -> DataFrame:
         """Everything that scoring needs, one row per variable and factor."""
-        rows = [(self.block, c, k + 1, float(self.loadings[j, k]), float(self.weights[j, k]), float(self.means[j]),
+        rows = [(self.block, j, c, k + 1, float(self.loadings[j, k]), float(self.weights[j, k]), float(self.means[j]),
                  float(self.stds[j])) for j, c in enumerate(self.cols) for k in range(self.n_factors)]
-        return spark.createDataFrame(rows, "block string, var string, factor int, loading double, weight double, "
+        return spark.createDataFrame(rows, "block string, i int, var string, factor int, loading double, weight double, "
                                            "mean double, std double")
 
+    @classmethod
+    def from_table(cls, table: DataFrame) -> "FactorModel":
+        """The scoring part of a saved model; the fit's tests are not kept.
+
+        The order of the variables is that of the fit, so that sums round alike."""
+        rows = table.orderBy("i", "factor").collect()
+        cols = list(dict.fromkeys(r["var"] for r in rows))
+        m = max(r["factor"] for r in rows)
+        load, weights = np.zeros((len(cols), m)), np.zeros((len(cols), m))
+        means, stds = np.zeros(len(cols)), np.zeros(len(cols))
+        for r in rows:
+            j, k = cols.index(r["var"]), r["factor"] - 1
+            load[j, k], weights[j, k], means[j], stds[j] = r["loading"], r["weight"], r["mean"], r["std"]
+        nan = float("nan")
+        return cls(rows[0]["block"], cols, m, load, load, weights, means, stds, nan, nan, nan, nan, 0)
+
     def loadings_table(self, spark) -> DataFrame:
         rows = [(self.block, c, k + 1, float(round(self.loadings[j, k], 3)))
                 for j, c in enumerate(self.cols) for k in range(self.n_factors)]
         return spark.createDataFrame(rows, "block string, var string, factor int, loading double")
 
 
+class SingularBlock(ValueError):
+    """A block whose items cannot be told apart: one is constant, or a sum of others."""
+
+
 def fit_factor_block(ranked: DataFrame, cols: list[str], n_factors: int = 1,
                      block: str = "B") -> FactorModel:
     """Principal-axis extraction on the rank correlation matrix (M8).
@@ -280,8 +301,11 @@ def fit_factor_block(ranked: DataFrame, cols: list[str], n_factors: int = 1,
     with each principal component); varimax for one factor is the identity,
     oblimin for two or more; each factor's loading sum is made non-negative.
     % variance = Σ loadings² / p.  Regression weights = R⁻¹·structure.
+    Raises :class:`SingularBlock` if R is not defined or not of full rank.
     """
     r, n = moment_matrix(ranked, cols, "corr")
+    if np.isnan(r).any() or np.linalg.eigvalsh(r)[0] < 1e-9:
+        raise SingularBlock(f"{block}: an item is constant or follows from others ({', '.join(cols)})")
     st = ranked.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
                     *[F.stddev_pop(_q(c)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     means = np.array([st[f"m{i}"] for i in range(len(cols))], dtype=float)

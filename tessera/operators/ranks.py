@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions.stats import chi2_sf, stars_sql, QT_BOUND
-from tessera.sources.scratch import BROADCAST_ROWS, saved
+from tessera.sources.scratch import BROADCAST_ROWS, saved, small
 
 # partitions of the range-sorted histogram; None lets AQE size them
 DEFAULT_BUCKETS = None
@@ -113,62 +113,128 @@ def rank_columns(df: DataFrame, cols: list[str], id_col: str = "row_id",
         id_col, *[F.col(c).alias(c + suffix) for c in cols])
 
 
-def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float] | None = None,
-                    val: str = "val", buckets: int | None = None,
-                    grid_points: int | None = None, partitions: int | None = None) -> DataFrame:
-    """Exact linearly-interpolated quantiles per key group.
+#: Accuracy of the first bracket, and distinct values of a bracket that are
+#: ordered by one task per group; a longer bracket is ordered in ranges.
+ACCURACY = 10000
+BRACKET = 1 << 16
 
-    Same definition as numpy ``percentile`` / SQL ``percentile_cont``:
-    position ``(n-1)·p``, interpolate between the order statistics at its
-    floor and ceiling.  Every row of the ranked histogram knows which positions
-    it covers, so the wanted order statistics are picked by arithmetic and
-    aggregated; no list of targets exists anywhere.
 
-    Either ``probs`` (a fixed list) or ``grid_points`` (``m = min(n,
-    grid_points)`` evenly spaced references ``j/(m-1)`` per group, as a
-    quantile transformer uses) must be given.
+def _lerp() -> Column:
+    """Linear interpolation written as NumPy's (from the upper end when t >= 0.5)."""
+    a, b, t = F.col("v_lo"), F.col("v_hi"), F.col("frac")
+    return F.when(t >= 0.5, b - (b - a) * (1.0 - t)).otherwise(a + (b - a) * t)
+
+
+def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float], val: str = "val",
+                    accuracy: int = ACCURACY, bracket: int = BRACKET) -> DataFrame:
+    """Exact linearly-interpolated quantiles per key group.
+
+    Same definition as numpy ``percentile`` / SQL ``percentile_cont``: position
+    ``(n-1)·p`` between the order statistics at its floor and ceiling.  They are
+    selected by narrowing, without sorting the values:
+
+    1. One pass of mergeable sketches gives every group and probability a
+       bracket of values that is sure to hold the position, as the sketch's rank
+       error is bounded by ``n / accuracy``.
+    2. One more pass counts the values below each bracket and makes a histogram
+       of those within it, about ``4 / accuracy`` of the rows, and of the next
+       value on both sides.
+    3. The position's values are picked from the ordered histogram; where a group's
+       has more than ``bracket`` distinct values it is ordered in ranges.
 
-    Returns ``(keys..., j, p, q)`` with ``j`` the index of the probability.
+    Returns ``(keys..., j, p, q)`` with ``j`` the index of the probability.  Keys
+    may be null.
     """
-    ranked = rank_histogram(histogram(long, keys, val), keys, val, partitions=partitions, buckets=buckets)
-    first, stop = F.col("before"), F.col("before") + F.col("cnt")
-    if grid_points is None:
-        picks = [F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"), F.lit(float(p)).alias("qf"))
-                 for j, p in enumerate(probs)]
-        rows = ranked.select("*", F.explode(F.array(*picks)).alias("_t")).select("*", "_t.*")
+    data = long.where(F.col(val).isNotNull()).select(*keys, F.col(val).cast("double").alias(val))
+    data = data.where(~F.isnan(val))
+    slack = 2.0 / accuracy
+    ends = [x for p in probs for x in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    cuts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                   F.percentile_approx(val, ends, accuracy).alias("_e"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    cuts = saved(cuts.select(*[F.col(k).alias(x) for k, x in zip(keys, names)], "n", "_e"), "brackets")
+    same = F.lit(True)
+    for k, x in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(x))
+    if keys:
+        j = data.join(small(cuts), same)
+    else:
+        one = cuts.first()
+        j = data.withColumns({"n": F.lit(one["n"]), "_e": F.array(*[F.lit(x) for x in one["_e"] or [0.0] * len(ends)])})
+    v = F.col(val)
+    lo, hi = (lambda i: F.col("_e")[2 * i]), (lambda i: F.col("_e")[2 * i + 1])
+    inside = saved(
+        j.select(*keys, val, F.explode(F.array_compact(F.array(*[
+            F.when((v >= lo(i)) & (v <= hi(i)), F.lit(i)) for i in range(len(probs))]))).alias("j"))
+        .groupBy(*keys, "j", val).agg(F.count(F.lit(1)).alias("cnt")), "bracket")
+    around = j.groupBy(*keys).agg(F.first("n").alias("n"), *[f for i in range(len(probs)) for f in (
+        F.count_if(v < lo(i)).alias(f"below{i}"), F.max(F.when(v < lo(i), v)).alias(f"under{i}"),
+        F.min(F.when(v > hi(i), v)).alias(f"over{i}"))])
+    around = around.select(*keys, "n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("j"), F.lit(float(p)).alias("p"), F.col(f"below{i}").alias("below"),
+                 F.col(f"under{i}").alias("under"), F.col(f"over{i}").alias("over"))
+        for i, p in enumerate(probs)])).alias("t")).select(*keys, "n", "t.*")
+    longest = inside.groupBy(*keys, "j").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    if longest <= bracket:
+        w = W.partitionBy(*keys, "j").orderBy(val).rowsBetween(W.unboundedPreceding, -1)
+        ranked = inside.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
     else:
-        # the grid of a quantile transformer, with NumPy's arithmetic: references
-        # linspace(0, 1, m) = j·(1/(m-1)) (last exactly 1), percentiles are given
-        # in % and divided back by 100
-        m = F.least(F.col("n"), F.lit(grid_points))
-        ranked = ranked.withColumn("_m", m)
-        per = (F.col("_m") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
-        lowest = F.greatest(F.floor((first - 1) * per) - 1, F.lit(0))
-        highest = F.least(F.ceil(stop * per) + 1, F.col("_m") - 1)
-        step = F.lit(1.0) / F.greatest(F.col("_m") - 1, F.lit(1))
-        p = (F.when(F.col("_m") == 1, F.lit(0.0)).when(F.col("j") == F.col("_m") - 1, F.lit(1.0))
-             .otherwise(F.col("j") * step))
-        rows = (ranked.select("*", F.explode(F.sequence(lowest, F.greatest(highest, lowest))).alias("j"))
-                .withColumn("p", p).withColumn("qf", F.col("p") * 100.0 / 100.0))
-    pos = (F.col("n") - 1) * F.col("qf")
-    rows = rows.withColumn("_pos", pos)
+        ranked = rank_histogram(inside, [*keys, "j"], val).drop("n")
+    at = F.col("t.pos")
+    first = F.col("t.below") + F.col("before")
+    joined = ranked.join(around.select(*[F.col(k).alias(x) for k, x in zip(keys, names)], F.col("j").alias("_j"),
+                                       F.struct("n", "p", "below", "under", "over",
+                                                ((F.col("n") - 1) * F.col("p")).alias("pos")).alias("t")),
+                         same & (F.col("j") == F.col("_j")))
+
+    def holds(x):
+        return (first <= x) & (x < first + F.col("cnt"))
+
+    picked = joined.groupBy(*keys, "j").agg(
+        F.first("t").alias("t"), F.max(F.when(holds(F.floor(at)), v)).alias("in_lo"),
+        F.max(F.when(holds(F.ceil(at)), v)).alias("in_hi"))
+    edge = F.when(F.ceil(at) < F.col("t.below"), F.col("t.under")).otherwise(F.col("t.over"))
+    found = picked.select(*keys, "j", F.col("t.p").alias("p"), (at - F.floor(at)).alias("frac"),
+                          F.coalesce("in_lo", F.when(F.floor(at) < F.col("t.below"), F.col("t.under"))
+                                     .otherwise(F.col("t.over"))).alias("v_lo"),
+                          F.coalesce("in_hi", edge).alias("v_hi"))
+    return found.select(*keys, F.col("j").cast("int").alias("j"), "p", _lerp().alias("q"))
+
+
+def grid_quantiles(long: DataFrame, keys: list[str], grid_points: int, val: str = "val",
+                   buckets: int | None = None) -> DataFrame:
+    """Quantiles at ``m = min(n, grid_points)`` evenly spaced references ``j/(m-1)``
+    per group, as a quantile transformer uses (M11): ``(keys..., j, p, q)``.
+
+    So many positions are picked from the ranked histogram: every row of it
+    knows which positions it covers.
+    """
+    ranked = rank_histogram(histogram(long, keys, val), keys, val, buckets=buckets)
+    first, stop = F.col("before"), F.col("before") + F.col("cnt")
+    # NumPy's arithmetic: references linspace(0, 1, m) = j·(1/(m-1)) (last exactly 1),
+    # percentiles are given in % and divided back by 100
+    ranked = ranked.withColumn("_m", F.least(F.col("n"), F.lit(grid_points)))
+    per = (F.col("_m") - 1) / F.greatest(F.col("n") - 1, F.lit(1))
+    lowest = F.greatest(F.floor((first - 1) * per) - 1, F.lit(0))
+    highest = F.least(F.ceil(stop * per) + 1, F.col("_m") - 1)
+    step = F.lit(1.0) / F.greatest(F.col("_m") - 1, F.lit(1))
+    p = (F.when(F.col("_m") == 1, F.lit(0.0)).when(F.col("j") == F.col("_m") - 1, F.lit(1.0))
+         .otherwise(F.col("j") * step))
+    rows = (ranked.select("*", F.explode(F.sequence(lowest, F.greatest(highest, lowest))).alias("j"))
+            .withColumn("p", p).withColumn("_pos", (F.col("n") - 1) * (F.col("p") * 100.0 / 100.0)))
     lo, hi = F.floor("_pos"), F.ceil("_pos")
     covers = lambda x: (first <= x) & (x < stop)
     found = rows.where(covers(lo) | covers(hi)).groupBy(*keys, "j").agg(
         F.max("p").alias("p"), F.max(F.col("_pos") - lo).alias("frac"),
         F.max(F.when(covers(lo), F.col(val))).alias("v_lo"),
         F.max(F.when(covers(hi), F.col(val))).alias("v_hi"))
-    # linear interpolation written as NumPy's lerp (from the upper end when t >= 0.5)
-    a, b, t = F.col("v_lo"), F.col("v_hi"), F.col("frac")
-    lerp = F.when(t >= 0.5, b - (b - a) * (1.0 - t)).otherwise(a + (b - a) * t)
-    return found.select(*keys, F.col("j").cast("int").alias("j"), "p", lerp.alias("q"))
+    return found.select(*keys, F.col("j").cast("int").alias("j"), "p", _lerp().alias("q"))
 
 
-def exact_median(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = (),
-                 buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
+def exact_median(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ()) -> DataFrame:
     """Exact median per column (and group): ``(group..., var, median)``."""
     long = to_long(df, cols, list(group_cols))
-    q = exact_quantiles(long, [*group_cols, "var"], [0.5], buckets=buckets)
+    q = exact_quantiles(long, [*group_cols, "var"], [0.5])
     return q.select(*group_cols, "var", F.col("q").alias("median"))
 
 
@@ -204,11 +270,16 @@ def kruskal_from_histogram(gh: DataFrame, group_col: str, buckets: int | None =
         F.sum("ng").alias("n"))
     c = F.col("cnt").cast("double")
     ties = pooled.groupBy("var").agg(F.sum(c * c * c - c).alias("t"))
+    return _kruskal(stat.join(ties, "var"))
+
+
+def _kruskal(stat: DataFrame) -> DataFrame:
+    """``var, n, n_groups, h, df, p_value`` of ``var, s`` (sum of squared rank sums over
+    sizes), ``n_groups, n, t`` (sum of t^3 - t over ties)."""
     nn = F.col("n").cast("double")
     h_raw = 12.0 / (nn * (nn + 1)) * F.col("s") - 3.0 * (nn + 1)
     corr = 1.0 - F.col("t") / (nn * nn * nn - nn)
-    out = (stat.join(ties, "var")
-           .withColumn("h", F.when((F.col("n_groups") >= 2) & (corr > 0), h_raw / corr))
+    out = (stat.withColumn("h", F.when((F.col("n_groups") >= 2) & (corr > 0), h_raw / corr))
            .withColumn("df", F.when(F.col("h").isNotNull(), F.col("n_groups") - 1)))
     return out.select("var", F.col("n").cast("long").alias("n"),
                       F.col("n_groups").cast("long").alias("n_groups"), "h",
@@ -230,6 +301,54 @@ def kruskal_wallis(df: DataFrame, cols: list[str], group_col: str,
     return kruskal_from_histogram(group_histogram(df, cols, group_col), group_col, buckets)
 
 
+def group_summary(df: DataFrame, cols: list[str], group_col: str) -> tuple[DataFrame, DataFrame]:
+    """All that report sections ask of numeric columns, from one scan and one sort.
+
+    ``(stats: var, group, n, mean, median, std, min, max; tests: var, n, n_groups, h,
+    df, p_value)``.  The histogram of (column, value, group) is range-partitioned
+    by column and value once; ranks over all groups and positions within each
+    group are running sums over the same ranges.
+    """
+    long = to_long(df, cols, [group_col]).where(F.col(group_col).isNotNull())
+    hist = long.groupBy("var", F.col(group_col).alias("g"), "val").agg(F.count(F.lit(1)).alias("cg"))
+    h = saved(hist.repartitionByRange("var", "val").withColumn("_pid", F.spark_partition_id()), "ranges")
+    per = h.groupBy("_pid", "var", "g").agg(F.sum("cg").alias("c"))
+    before_g = per.select("_pid", "var", "g", F.coalesce(F.sum("c").over(
+        W.partitionBy("var", "g").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off_g"),
+        F.sum("c").over(W.partitionBy("var", "g")).alias("n_g"))
+    all_ = per.groupBy("_pid", "var").agg(F.sum("c").alias("c"))
+    before = all_.select("_pid", "var", F.coalesce(F.sum("c").over(
+        W.partitionBy("var").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("off"),
+        F.sum("c").over(W.partitionBy("var")).alias("n"))
+    # peers share a value, so a range frame up to the current row counts all of them
+    upto = W.partitionBy("_pid", "var").orderBy("val")
+    own = W.partitionBy("_pid", "var", "g").orderBy("val").rowsBetween(W.unboundedPreceding, -1)
+    r = (h.withColumn("upto", F.sum("cg").over(upto))
+         .withColumn("cnt", F.sum("cg").over(W.partitionBy("_pid", "var", "val")))
+         .withColumn("own", F.coalesce(F.sum("cg").over(own), F.lit(0)))
+         .join(before, ["_pid", "var"]).join(before_g, ["_pid", "var", "g"]))
+    rank = F.col("off") + F.col("upto") - F.col("cnt") + (F.col("cnt") + 1) / 2.0
+    start = F.col("off_g") + F.col("own")
+    pos = (F.col("n_g") - 1) * 0.5
+    holds = lambda x: (start <= x) & (x < start + F.col("cg"))
+    cg, val, cnt = F.col("cg").cast("double"), F.col("val"), F.col("cnt").cast("double")
+    stats = saved(r.groupBy("var", "g").agg(
+        F.first("n_g").alias("n"), (F.sum(val * cg) / F.sum(cg)).alias("mean"), F.min(val).alias("min"),
+        F.max(val).alias("max"), F.max(F.when(holds(F.floor(pos)), val)).alias("v_lo"),
+        F.max(F.when(holds(F.ceil(pos)), val)).alias("v_hi"), F.first(pos - F.floor(pos)).alias("frac"),
+        F.sum(rank * cg).alias("rsum"), F.first("n").alias("n_all"), F.sum(cg * (cnt * cnt - 1)).alias("ties")), "stats")
+    centre = stats.select(F.col("var").alias("_v"), F.col("g").alias("_g"), "mean")
+    off = (h.join(small(centre), (F.col("var") == F.col("_v")) & (F.col("g") == F.col("_g")))
+           .groupBy("var", "g").agg(F.sum(cg * (val - F.col("mean")) * (val - F.col("mean"))).alias("ss")))
+    out = stats.join(off, ["var", "g"]).select(
+        "var", F.col("g").alias(group_col), "n", "mean", _lerp().alias("median"),
+        F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1))).alias("std"), "min", "max")
+    test = stats.groupBy("var").agg(F.sum(F.col("rsum") * F.col("rsum") / F.col("n")).alias("s"),
+                                    F.count(F.lit(1)).alias("n_groups"), F.first("n_all").alias("n"),
+                                    F.sum("ties").alias("t"))
+    return out, _kruskal(test)
+
+
 def with_stars(df: DataFrame, p_col: str = "p_value", out: str = "stars",
                blank_ns: bool = False) -> DataFrame:
     """Significance marks."""
@@ -265,7 +384,7 @@ def quantile_grid(df: DataFrame, cols: list[str], n_quantiles: int = 1000,
     lowest and highest reference it covers.  At most ``n_quantiles`` rows per
     column whatever the data size, so the grid is a bounded parameter table.
     """
-    q = exact_quantiles(to_long(df, cols), ["var"], grid_points=n_quantiles, buckets=buckets)
+    q = grid_quantiles(to_long(df, cols), ["var"], n_quantiles, buckets=buckets)
     knots = q.groupBy("var", "q").agg(F.min("p").alias("r_lo"), F.max("p").alias("r_hi"))
     return knots.select("var", (F.row_number().over(W.partitionBy("var").orderBy("q")) - 1).alias("k"),
                         F.col("q").alias("u"), "r_lo", "r_hi")

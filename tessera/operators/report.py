@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import profile, ranks
+from tessera.sources.scratch import saved
 
 TOTAL = "TOTAL"
 
@@ -36,23 +37,32 @@ def distribution(df: DataFrame, seg: str, section: str = "distribution") -> Data
     return _stats(d, section, seg, F.col("value"), {"n": F.col("n"), "pct": 100.0 * F.col("share")})
 
 
-def item_profile(df: DataFrame, items: list[str], seg: str, section: str) -> DataFrame:
-    """Mean of every item per segment and the p value across segments.
+class Summary:
+    """Statistics and rank tests of the report's numeric columns, made at the first
+    use by one scan and one sort (``ranks.group_summary``) and shared by all sections."""
 
-    One scan feeds both."""
-    gh = ranks.group_histogram(df, items, seg)
-    means = ranks.group_means_from_histogram(gh, seg)
-    kw = ranks.kruskal_from_histogram(gh, seg)
-    return (_stats(means, section, F.col("var"), F.col(seg), {"n": F.col("n"), "mean": F.col("mean")})
+    def __init__(self, df: DataFrame, cols: list[str], seg: str):
+        self.df, self.cols, self.seg = df, list(dict.fromkeys(cols)), seg
+        self._made = None
+
+    def of(self, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+        if self._made is None:
+            self._made = tuple(saved(t, "summary") for t in ranks.group_summary(self.df, self.cols, self.seg))
+        return tuple(t.where(F.col("var").isin(list(cols))) for t in self._made)
+
+
+def item_profile(df: DataFrame, items: list[str], seg: str, section: str, summary: Summary | None = None) -> DataFrame:
+    """Mean of every item per segment and the p value across segments."""
+    stats, kw = (summary or Summary(df, items, seg)).of(items)
+    return (_stats(stats, section, F.col("var"), F.col(seg), {"n": F.col("n"), "mean": F.col("mean")})
             .unionByName(_stats(kw, section, F.col("var"), TOTAL, {"kw_h": F.col("h"), "kw_p": F.col("p_value")})))
 
 
-def measure(df: DataFrame, col: str, seg: str, section: str) -> DataFrame:
+def measure(df: DataFrame, col: str, seg: str, section: str, summary: Summary | None = None) -> DataFrame:
     """One measure per segment in full, with the rank test across segments."""
-    s = profile.grouped_stats(df, col, seg)
-    kw = ranks.kruskal_wallis(df, [col], seg)
+    stats, kw = (summary or Summary(df, [col], seg)).of([col])
     wide = {k: F.col(k) for k in ("n", "mean", "median", "std", "min", "max")}
-    return _stats(s, section, col, F.col(seg), wide).unionByName(
+    return _stats(stats, section, col, F.col(seg), wide).unionByName(
         _stats(kw, section, col, TOTAL, {"kw_h": F.col("h"), "kw_p": F.col("p_value")}))
 
 
@@ -68,12 +78,14 @@ def yes_rates(df: DataFrame, cols: list[str], seg: str, section: str, yes: str =
         f"pct {a}": 100.0 * F.col(f"_{i}") / F.col("n") for i, a in enumerate(answers)}})
 
 
-def wellbeing(df: DataFrame, score: str, binary_cols: list[str], items: list[str], seg: str) -> DataFrame:
+def wellbeing(df: DataFrame, score: str, binary_cols: list[str], items: list[str], seg: str,
+              summary: Summary | None = None) -> DataFrame:
     """The score in full, share of ones of the 0/1 answers, satisfaction items."""
-    ones = profile.grouped_means(df, binary_cols, seg)
-    return (measure(df, score, seg, "wellbeing_score")
+    summary = summary or Summary(df, [score, *binary_cols, *items], seg)
+    ones, _ = summary.of(binary_cols)
+    return (measure(df, score, seg, "wellbeing_score", summary)
             .unionByName(_stats(ones, "wellbeing_yes", F.col("var"), F.col(seg), {"pct": 100.0 * F.col("mean")}))
-            .unionByName(item_profile(df, items, seg, "wellbeing_items")))
+            .unionByName(item_profile(df, items, seg, "wellbeing_items", summary)))
 
 
 def programme(df: DataFrame, col: str, seg: str, top: int = 8, per_group: int = 5) -> DataFrame:
@@ -143,8 +155,13 @@ def compare_studies(a: DataFrame, b: DataFrame, a_item: str, b_item: str, a_seg:
     from pyspark.sql import Window as W
 
     def ranked(df, item, seg, x):
-        m = df.groupBy(_q(seg).alias(f"seg_{x}")).agg(F.avg(_q(item)).alias(f"mean_{x}"))
-        return m.withColumn("rk", F.row_number().over(W.orderBy(f"mean_{x}", f"seg_{x}")).cast("long"))
+        """Segments numbered by their mean: by the distributed rank, ties by name."""
+        m = saved(df.groupBy(_q(seg).alias(f"seg_{x}")).agg(F.avg(_q(item)).alias(f"mean_{x}")), "means")
+        hist = m.groupBy(F.lit(0).alias("_k"), F.col(f"mean_{x}").alias("_v")).agg(F.count(F.lit(1)).alias("cnt"))
+        at = ranks.rank_histogram(hist, ["_k"], "_v").select("_v", "before")
+        tie = F.row_number().over(W.partitionBy(f"mean_{x}").orderBy(f"seg_{x}"))
+        return (m.withColumn("_t", tie).join(at, F.col(f"mean_{x}").eqNullSafe(F.col("_v")))
+                .select(f"seg_{x}", f"mean_{x}", (F.col("before") + F.col("_t")).cast("long").alias("rk")))
 
     return ranked(a, a_item, a_seg, "a").join(ranked(b, b_item, b_seg, "b"), "rk", "full_outer").select(
         "rk", "seg_a", "mean_a", "seg_b", "mean_b")

@@ -142,34 +142,99 @@ def eps_neighbor_counts(df: DataFrame, cols: list[str], eps: float, id_col: str
     return base.join(n, ["_s", *cols]).select(id_col, "n_neighbors")
 
 
-def _links(cand: DataFrame, core: DataFrame, cols: list[str]) -> DataFrame:
-    """Which candidate cell pairs (``_s, _eps, _a, _b``) hold two core points within ε.
+#: Pairs of sub-cells with at most this many pairs of points compare the points.
+PAIR_POINTS = 256
+#: Halvings of a cell's side; below, coordinates differ by less than 1e-9 of ε.
+SPLITS = 28
+
+
+def _mixed(cells: DataFrame, d: int) -> DataFrame:
+    """The cells (``_s, _cell, component``) with a cell of another component within
+    reach, by a grid so coarse that all points within ε lie in adjacent cells."""
+    times = int(math.ceil(2.0 * math.sqrt(d) / _INSIDE))
+    coarse = F.transform("_cell", lambda v: F.floor(v / times).cast("long"))
+    named = cells.withColumn("_coarse", coarse)
+    around = _offset_array(list(itertools.product((-1, 0, 1), repeat=d)))
+    ends = named.groupBy("_s", "_coarse").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = (ends.select("_s", "_coarse", "lo", "hi", F.explode(around).alias("_o"))
+             .groupBy("_s", _shift("_coarse", "_o").alias("_coarse")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+             .where("lo <> hi").select("_s", "_coarse"))
+    return saved(named.join(mixed, ["_s", "_coarse"], "left_semi").drop("_coarse"), "mixed")
+
 
-    Cells are compared by sub-cells first: sub-cells wholly within ε link their
-    cells, sub-cells wholly apart are dropped, and only the points of the rest,
-    of cell pairs not yet linked, are compared.
+def _links(cand: DataFrame, core: DataFrame, cols: list[str]) -> DataFrame:
+    """Which pairs of components (``_s, _la, _lb``) hold two core points within ε in one
+    of their candidate cell pairs (``_s, _eps, _a, _b, _la, _lb``).
+
+    A closest-pair search for all pairs at once, by recursive splitting: pairs of
+    sub-cells that are wholly apart are dropped; components are linked by
+    sub-cells wholly within ε or by their representatives (one point each); few
+    points are compared directly; what is left halves its sides.  All pairs of
+    linked components end there.  Dense walls that face each other thus split
+    along the wall and are settled by representatives or by distance, and no task
+    joins all points of two sub-cells.
     """
     d = len(cols)
-    sub = 1.0 / (2.0 * math.sqrt(d)) * _INSIDE / 4.0
-    pts = core.withColumn("_sub", _cell(cols, F.col("_eps") * sub))
-    subs = pts.select("_s", "_cell", "_sub").distinct()
-    pairs = (cand.join(subs.select("_s", F.col("_cell").alias("_a"), F.col("_sub").alias("_sa")), ["_s", "_a"])
-             .join(subs.select("_s", F.col("_cell").alias("_b"), F.col("_sub").alias("_sb")), ["_s", "_b"]))
-    apart = F.zip_with("_sa", "_sb", lambda x, y: F.abs(x - y))
-
-    def reach(shift):
-        return sub * F.sqrt(F.aggregate(F.transform(apart, shift), F.lit(0).cast("double"), lambda t, v: t + v))
-
-    pairs = saved(pairs.withColumn("_far", reach(lambda v: (v + 1) * (v + 1).cast("double")))
-                  .withColumn("_near", reach(lambda v: F.greatest(v - 1, F.lit(0)).cast("double")
-                                             * F.greatest(v - 1, F.lit(0)))).where("_near <= 1.0"), "subcells")
-    sure = pairs.where("_far <= 1.0").select("_s", "_a", "_b").distinct()
-    open_ = pairs.join(sure, ["_s", "_a", "_b"], "left_anti")
-    left = _named(pts, cols, "a", "_s", F.col("_sub").alias("_sa"))
-    right = _named(pts, cols, "b", "_s", F.col("_sub").alias("_sb"))
-    found = (open_.join(left, ["_s", "_sa"]).join(right, ["_s", "_sb"]).where(_close(d, F.col("_eps")))
-             .select("_s", "_a", "_b").distinct())
-    return saved(sure.unionByName(found), "linked")
+    side = 1.0 / (2.0 * math.sqrt(d)) * _INSIDE
+    wanted = cand.select("_s", F.col("_a").alias("_cell")).unionByName(
+        cand.select("_s", F.col("_b").alias("_cell"))).distinct()
+    pts = saved(core.join(wanted, ["_s", "_cell"]), "boundary")
+    point = F.array(*[_q(c) for c in cols])
+
+    def parts(level):
+        """Sub-cells of a level: count and one point of each."""
+        sub = _cell(cols, F.col("_eps") * (side / 2 ** level))
+        return pts.groupBy("_s", "_eps", "_cell", sub.alias("_sub")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(point).alias("_p"))
+
+    def half(sub):
+        return F.transform(sub, lambda v: F.floor(v / 2).cast("long"))
+
+    def sides(t, x):
+        return t.select("_s", *[F.col(c).alias(f"{c}{x}") for c in ("_cell", "_sub", "_n", "_p")])
+
+    def length(v):
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, y: total + y * y))
+
+    open_, linked = None, []
+    for level in range(0, SPLITS + 1):
+        now = saved(parts(level), "subcells")
+        a, b = sides(now, "_a"), sides(now, "_b")
+        if open_ is None:
+            pairs = cand.select("_s", "_eps", "_la", "_lb", F.col("_a").alias("_cell_a"), F.col("_b").alias("_cell_b"))
+            pairs = pairs.join(a, ["_s", "_cell_a"]).join(b, ["_s", "_cell_b"])
+        else:
+            up = ["_s", "_cell_a", "_up_a", "_cell_b", "_up_b"]
+            pairs = (open_.join(a.withColumn("_up_a", half("_sub_a")), ["_s", "_cell_a", "_up_a"])
+                     .join(b.withColumn("_up_b", half("_sub_b")), ["_s", "_cell_b", "_up_b"]).drop(*up[2::2]))
+        apart = F.zip_with("_sub_a", "_sub_b", lambda x, y: F.abs(x - y).cast("double"))
+        size = side / 2 ** level
+        near = size * length(F.transform(apart, lambda v: F.greatest(v - 1, F.lit(0.0))))
+        far = size * length(F.transform(apart, lambda v: v + 1))
+        exact = length(F.zip_with("_p_a", "_p_b", lambda x, y: x - y)) <= F.col("_eps")
+        pairs = saved(pairs.withColumn("_far", far).withColumn("_near", near).withColumn(
+            "_hit", (F.col("_far") <= 1.0) | exact).where("_hit or _near <= 1.0 + 1e-12"), "pairs")
+        key = ["_s", "_la", "_lb"]
+        hits = pairs.where("_hit").select(*key).distinct()
+        rest = pairs.where("not _hit").join(hits, key, "left_anti")
+        few = (F.col("_n_a") * F.col("_n_b") <= PAIR_POINTS) | F.lit(level == SPLITS)
+        tiny = rest.where(few)
+        left = _named(pts.withColumn("_sub", _cell(cols, F.col("_eps") * size)), cols, "a", "_s", F.col("_cell").alias("_cell_a"),
+                      F.col("_sub").alias("_sub_a"))
+        right = _named(pts.withColumn("_sub", _cell(cols, F.col("_eps") * size)), cols, "b", "_s", F.col("_cell").alias("_cell_b"),
+                       F.col("_sub").alias("_sub_b"))
+        found = (tiny.join(left, ["_s", "_cell_a", "_sub_a"]).join(right, ["_s", "_cell_b", "_sub_b"])
+                 .where(_close(d, F.col("_eps"))).select(*key).distinct())
+        done = saved(hits.unionByName(found).distinct(), "linked")
+        linked.append(done)
+        open_ = saved(rest.where(~few).join(done, key, "left_anti").select(
+            *key, "_eps", "_cell_a", F.col("_sub_a").alias("_up_a"), "_cell_b", F.col("_sub_b").alias("_up_b")), "open")
+        if open_.isEmpty():
+            break
+    out = linked[0]
+    for t in linked[1:]:
+        out = out.unionByName(t)
+    return saved(out.distinct(), "linked")
 
 
 def dbscan_settings(df: DataFrame, cols: list[str], settings: list[tuple[float, int]],
@@ -193,9 +258,16 @@ def dbscan_settings(df: DataFrame, cols: list[str], settings: list[tuple[float,
     ensure_checkpoint_dir(df.sparkSession)
     d, n_set = len(cols), len(settings)
     base = saved(_settings(df, cols, settings, id_col), "points")
-    pts = base.groupBy("_s", "_eps", "_mp", *cols).agg(F.count(F.lit(1)).alias("_m"))
-    counts = _neighbor_counts(pts, cols, F.col("_mp"))
-    coords = saved(counts.select("_s", *cols, (F.col("n") >= F.col("_mp")).alias("_core")), "core")
+    # neighbours are counted once for each ε, up to the largest minPts
+    radii = sorted({e for e, _ in settings})
+    most = max(m for _, m in settings)
+    counted = _settings(df, cols, [(e, most) for e in radii], id_col)
+    pts = counted.groupBy("_s", "_eps", *cols).agg(F.count(F.lit(1)).alias("_m"))
+    counts = _neighbor_counts(pts, cols, F.lit(most)).select("_eps", *cols, "n")
+    marks = F.array(*[F.struct(F.lit(i).alias("_s"), F.lit(float(e)).alias("_e"), F.lit(int(m)).alias("_k"))
+                      for i, (e, m) in enumerate(settings)])
+    coords = saved(counts.select("_eps", *cols, "n", F.explode(marks).alias("_x")).where("_x._e = _eps")
+                   .select("_x._s", *cols, (F.col("n") >= F.col("_x._k")).alias("_core")), "core")
 
     side = 1.0 / (2.0 * math.sqrt(d)) * _INSIDE
     full, partial = _offsets(d, side)
@@ -213,16 +285,16 @@ def dbscan_settings(df: DataFrame, cols: list[str], settings: list[tuple[float,
     comp = components(edges)
     if partial:
         at = saved(cells.join(comp.withColumnRenamed("node", "_node"), "_node"), "labels")
-        other = at.select("_s", F.col("_cell").alias("_b"), F.col("component").alias("_lb"))
-        cand = (at.select("_s", "_eps", F.col("_cell").alias("_a"), F.col("component").alias("_la"),
-                          F.explode(_offset_array(partial)).alias("_o"))
-                .withColumn("_b", _shift("_a", "_o")).join(other, ["_s", "_b"]).where("_la < _lb")
-                .select("_s", "_eps", "_a", "_b"))
+        near = _mixed(at, d)
+        other = near.select("_s", F.col("_cell").alias("_b"), F.col("component").alias("_lb"))
+        cand = saved(near.select("_s", "_eps", F.col("_cell").alias("_a"), F.col("component").alias("_la"),
+                                 F.explode(_offset_array(partial)).alias("_o"))
+                     .withColumn("_b", _shift("_a", "_o")).join(other, ["_s", "_b"]).where("_la < _lb")
+                     .select("_s", "_eps", "_a", "_b", "_la", "_lb"), "candidates")
         uniq = core.select("_s", "_eps", "_cell", *cols).distinct()
-        linked = _links(cand, uniq, cols)
-        more = (linked.join(at.select("_s", F.col("_cell").alias("_a"), F.col("component").alias("a")), ["_s", "_a"])
-                .join(other.withColumnRenamed("_lb", "b"), ["_s", "_b"]).select("a", "b"))
-        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        more = _links(cand, uniq, cols).select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
+        merged = saved(components(more).select(F.col("node").alias("component"), F.col("component").alias("_top")), "merged")
+        comp = comp.join(merged, "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
     lab = saved(cells.join(comp.withColumnRenamed("node", "_node"), "_node")
                 .select("_s", "_cell", F.col("component").alias("_lab")), "labels")
     core_lab = core.join(lab, ["_s", "_cell"]).select("_s", id_col, "_lab")
@@ -325,7 +397,7 @@ def _mixed_round(base: DataFrame, num_cols: list[str], cat_cols: list[str], prot
 
 def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k_range=range(2, 8),
                       id_col: str = "row_id", gamma: float | None = None, n_init: int = 3,
-                      max_iter: int = 100, seed: int = SEED):
+                      max_iter: int = 100, seed: int = SEED, starts: dict | None = None):
     """Mixed-type k-prototypes for every k: ``(labels (k, id, cluster), [(k, cost, converged)])``.
 
     cost(x, c) = Σ (x_num − c_num)² + γ·#(x_cat ≠ c_cat); γ defaults to half
@@ -334,7 +406,8 @@ def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k
     all k iterate together: each step is one Arrow-batched scan that assigns
     every row under every running start and returns per-cluster sums and category
     counts.  A start has converged when its cost
-    no longer falls; the returned cost belongs to the returned labels.
+    no longer falls; the returned cost belongs to the returned labels.  ``starts``
+    (``(k, i) -> rows as dicts``) replaces the drawn ones.
     Numeric columns must be complete (median-impute first), categorical
     columns complete (fill with 'Otro' or the mode).
     """
@@ -354,10 +427,12 @@ def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k
         return F.least(*opts) if len(opts) > 1 else opts[0]
 
     protos = {}
-    dense = _dense_rows(base, cat_cols, id_col, max(k_range)) if cat_cols else []
+    dense = _dense_rows(base, cat_cols, id_col, max(k_range)) if cat_cols and not starts else []
     for k in k_range:
-        for init in range(n_init):
-            if init == 0 and dense:
+        for init in range(sum(r[0] == k for r in starts) if starts else n_init):
+            if starts:
+                ps = [dict(r) for r in starts[k, init]]
+            elif init == 0 and dense:
                 ps = [dict(r) for r in dense[:k]]
             else:
                 ps = [r.asDict() for r in md5_sample(base, id_col, k, seed + init).collect()]

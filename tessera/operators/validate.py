@@ -98,17 +98,18 @@ def davies_bouldin(df: DataFrame, cols: list[str], cluster_col: str = "cluster")
     return float(np.mean(ratio.max(1)))
 
 
-def nearest_centroid(df: DataFrame, cols: list[str], centers: list[dict], key: str = "cluster",
-                     out: str = "cluster") -> DataFrame:
-    """Assign every row to the nearest centre.
-
-    The k centres are literals; ``least(struct(d², id))`` picks the closest
-    (ties → smaller id).  A projection: no join, no shuffle.
-    """
+def nearest_label(cols: list[str], centers: list[dict], key: str = "cluster") -> Column:
+    """The ``key`` of the nearest centre (ties → smaller): the centres are literals,
+    ``least(struct(d², id))`` picks the closest."""
     opts = [F.struct(sum(((_q(c) - F.lit(float(ct[c]))) ** 2 for c in cols), F.lit(0.0)).alias("d"),
                      F.lit(ct[key]).alias("id")) for ct in centers]
-    best = F.least(*opts) if len(opts) > 1 else opts[0]
-    return df.withColumn(out, best["id"])
+    return (F.least(*opts) if len(opts) > 1 else opts[0])["id"]
+
+
+def nearest_centroid(df: DataFrame, cols: list[str], centers: list[dict], key: str = "cluster",
+                     out: str = "cluster") -> DataFrame:
+    """Assign every row to the nearest centre (J8): a projection, no join, no shuffle."""
+    return df.withColumn(out, nearest_label(cols, centers, key))
 
 
 # ---------------------------------------------------------------------------

@@ -9,18 +9,24 @@ executor loss).
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import encode, latent, quality, ranks, schema, segment, validate
+from tessera.operators import encode, latent, quality, ranks, schema, scoring, segment, validate
 from tessera.operators import report as rp
+from tessera.operators.ward import MICRO
 from tessera.plans import survey_config as cfg
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources import stage
 from tessera.sources.scratch import saved
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class IngestSpec:
@@ -190,20 +196,23 @@ def features(clean: DataFrame, spec: FeatureSpec) -> DataFrame:
         df = df.withColumn(out, encode.nominal_clean(col, replace, valid, upper))
     for out, sc in spec.scores.items():
         df = df.withColumn(out, encode.additive_score(sc))
-    for col, mn, other in spec.lumps:
-        df = encode.lump_rare(df, col, mn, other)
-    return df
+    return encode.lump_many(df, spec.lumps) if spec.lumps else df
 
 
 @dataclass
 class Segmentation:
-    """What the segmentation flow returns; every member is a DataFrame."""
+    """What the segmentation flow returns; tables are DataFrames."""
     assignments: DataFrame      # row_id, method, choice (best / second), k, cluster, name
     metrics: DataFrame          # method, k, sil, db, dunn, n_dunn, cv, min_pct, score
     choice: DataFrame           # method, k_opt, k_second
-    dbscan: DataFrame           # eps, min_pts, n_clusters, noise_pct, viable, sil, min_pct
     loadings: DataFrame         # block, var, factor, loading
     parameters: dict            # name -> table of the fitted parameters
+    sweep: Callable[[], DataFrame]      # the DBSCAN sweep, computed when asked for
+
+    @cached_property
+    def dbscan(self) -> DataFrame:
+        """eps, min_pts, n_clusters, noise_pct, viable, sil, min_pct"""
+        return self.sweep()
 
 
 def dbscan_summary(points: DataFrame, cols: list[str], settings: list[tuple[float, int]],
@@ -225,7 +234,7 @@ def dbscan_summary(points: DataFrame, cols: list[str], settings: list[tuple[floa
 
 
 def segment_respondents(df: DataFrame, factor_blocks: dict, nominal_cols: list[str], id_col: str = "row_id",
-                        k_range=range(2, 8), k_min: int = 3, n_init: int = 30, n_micro: int = 4096,
+                        k_range=range(2, 8), k_min: int = 3, n_init: int = 30, n_micro: int = MICRO,
                         eps_grid: tuple = (0.3, 0.5, 0.7, 0.9, 1.2, 1.5), min_pts_grid: tuple = (5, 10, 15),
                         names: dict | None = None, score_col: str | None = None) -> Segmentation:
     """Segmentation (R21): factor blocks + MCA → quantile-normal + PCA(3) →
@@ -234,30 +243,36 @@ def segment_respondents(df: DataFrame, factor_blocks: dict, nominal_cols: list[s
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts, loadings, parameters = [], None, {}
+    parts, loadings, medians, blocks, knots, modes, mca = [], None, {}, {}, {}, {}, None
     for block, (cols, n_f) in factor_blocks.items():
-        medians = latent.column_medians(df, cols)
-        v = latent.median_impute(df.select(id_col, *cols), cols, medians)
+        own = latent.column_medians(df, cols)
+        v = saved(latent.median_impute(df.select(id_col, *cols), cols, own), "imputed")
         rk = saved(ranks.rank_columns(v, cols, id_col), "ranked")
-        fm = latent.fit_factor_block(rk, cols, n_f, block)
+        try:
+            fm = latent.fit_factor_block(rk, cols, n_f, block)
+        except latent.SingularBlock as e:
+            log.warning("factor block left out: %s", e)
+            continue
+        blocks[block], knots[block] = fm, scoring.rank_knots(v, cols)
+        medians.update(own)
         parts.append(rk.select(id_col, *fm.score_columns()))
         tab = fm.loadings_table(spark)
         loadings = tab if loadings is None else loadings.unionByName(tab)
-        parameters[f"factor_{block}"] = fm.to_table(spark)
-        parameters[f"medians_{block}"] = spark.createDataFrame(
-            [(c, float(medians[c])) for c in cols], "var string, median double")
     if nominal_cols:
-        nom = latent.mode_impute(df.select(id_col, *nominal_cols), nominal_cols)
+        modes = {r["var"]: r["mode"] for r in latent.column_modes(df, nominal_cols).collect()}
+        nom = saved(latent.mode_impute(df.select(id_col, *nominal_cols), nominal_cols, modes=modes), "nominal")
         mca = latent.fit_mca(nom, nominal_cols, 3)
         parts.append(nom.select(id_col, *mca.coord_columns()))
-        parameters["mca"] = mca.to_table(spark)
+    if not parts:
+        raise ValueError("no factor block could be fitted and there are no nominal columns")
+    if loadings is None:
+        loadings = spark.createDataFrame([], "block string, var string, factor int, loading double")
     lat = parts[0]
     for p in parts[1:]:
         lat = lat.join(p, id_col)
     lat = saved(lat, "latent")
     cols = [c for c in lat.columns if c != id_col]
-    scores, pca, grid = latent.latent_space(lat, cols, id_col, 3)
-    parameters["pca"], parameters["quantiles"] = pca.to_table(spark), grid
+    scores, pca, grid = latent.latent_space(lat, cols, id_col, min(3, len(cols)))
     space = saved(scores, "space")
     pcs = [c for c in space.columns if c != id_col]
     km_labels, _, km_centres = segment.kmeans_sweep(space, pcs, k_range, n_init=n_init, id_col=id_col)
@@ -280,20 +295,30 @@ def segment_respondents(df: DataFrame, factor_blocks: dict, nominal_cols: list[s
             part = validate.relabel_by_score(chosen.where((F.col("method") == method) & (F.col("choice") == which)),
                                              "cluster", "_score")
             named = part if named is None else named.unionByName(part)
-    named = named.withColumn("name", encode.name_segments("cluster", names or {}))
-    return Segmentation(named.select(id_col, "method", "choice", "k", "cluster", "name"), metrics, choice,
-                        dbscan_summary(space, pcs, [(e, m) for e in eps_grid for m in min_pts_grid], id_col),
-                        loadings, parameters)
+    named = saved(named.withColumn("name", encode.name_segments("cluster", names or {})), "named")
+    centres = saved(scoring.chosen_centres(space, chosen, named, {"kmeans": km_centres}, pcs, id_col), "centres")
+    return Segmentation(named.select(id_col, "method", "choice", "k", "cluster", "name"), metrics, choice, loadings,
+                        scoring.parameter_tables(spark, medians, blocks, knots, modes, mca, grid, pca, centres),
+                        lambda: dbscan_summary(space, pcs, [(e, m) for e in eps_grid for m in min_pts_grid], id_col))
+
 
+def score_respondents(df: DataFrame, path: str, id_col: str = "row_id") -> DataFrame:
+    """Segments of new respondents by the segmentation saved below ``path`` (R21, S5):
+    ``id, method, choice, k, cluster, name``; nothing is fitted again."""
+    return scoring.score(df, scoring.load(df.sparkSession, f"{path}/parameters"), id_col)
 
-def save_segmentation(result: Segmentation, df: DataFrame, path: str, id_col: str = "row_id") -> str:
+
+def save_segmentation(result: Segmentation, df: DataFrame, path: str, id_col: str = "row_id", sweep: bool = True) -> str:
     """Sinks of the segmentation (S3–S5, S7) below ``path``: the table enriched
-    with the best k-means segment, metrics and loadings as CSV, parameters."""
+    with the best k-means segment, metrics, the DBSCAN ``sweep`` and loadings as CSV,
+    parameters."""
     main = (result.assignments.where("method = 'kmeans' and choice = 'best'")
             .select(id_col, F.col("cluster").alias("segment"), F.col("name").alias("segment_name")))
     stage.write_stage(df.join(main, id_col, "left"), f"{path}/segmented")
     stage.write_csv(result.metrics, f"{path}/metrics_csv")
     stage.write_csv(result.loadings, f"{path}/loadings_csv")
+    if sweep:
+        stage.write_csv(result.dbscan, f"{path}/dbscan_csv")
     stage.save_params(df.sparkSession, result.parameters, f"{path}/parameters")
     return path
 
@@ -319,22 +344,35 @@ class ReportSpec:
 
 
 def report(df: DataFrame, spec: ReportSpec) -> DataFrame:
-    """The report (R22): all sections in one long table."""
-    seg, parts = spec.seg, [rp.distribution(df, spec.seg)]
+    """The report (R22): all sections in one long table.
+
+    The columns it needs are read once; all numeric sections share one scan and
+    one range sort (``report.Summary``).
+    """
+    seg = spec.seg
+    one = [c for c in (seg, spec.score, spec.programme, spec.age, spec.year, spec.mobility, spec.site) if c]
+    many = [c for group in (spec.competences, spec.incidence, spec.binary, spec.satisfaction, spec.history,
+                            spec.answers, spec.categories, list(spec.labelings or ())) for c in group]
+    df = saved(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*one, *many])]), "report")
+    numeric = [*spec.competences, *spec.incidence, *spec.history]
+    numeric += [spec.score, *spec.binary, *spec.satisfaction] if spec.score else []
+    numeric += [c for c in (spec.age, spec.year) if c]
+    s = rp.Summary(df, numeric, seg)
+    parts = [rp.distribution(df, seg)]
     if spec.competences:
-        parts.append(rp.item_profile(df, spec.competences, seg, "competences"))
+        parts.append(rp.item_profile(df, spec.competences, seg, "competences", s))
     if spec.incidence:
-        parts.append(rp.item_profile(df, spec.incidence, seg, "incidence"))
+        parts.append(rp.item_profile(df, spec.incidence, seg, "incidence", s))
     if spec.score:
-        parts.append(rp.wellbeing(df, spec.score, spec.binary, spec.satisfaction, seg))
+        parts.append(rp.wellbeing(df, spec.score, spec.binary, spec.satisfaction, seg, s))
     if spec.programme:
         parts.append(rp.programme(df, spec.programme, seg))
     if spec.age:
-        parts.append(rp.measure(df, spec.age, seg, "age"))
+        parts.append(rp.measure(df, spec.age, seg, "age", s))
     if spec.year:
-        parts.append(rp.measure(df, spec.year, seg, "graduation_year"))
+        parts.append(rp.measure(df, spec.year, seg, "graduation_year", s))
     if spec.history:
-        parts.append(rp.item_profile(df, spec.history, seg, "history"))
+        parts.append(rp.item_profile(df, spec.history, seg, "history", s))
     if spec.answers:
         parts.append(rp.yes_rates(df, spec.answers, seg, "answers"))
     if spec.mobility:

@@ -109,6 +109,13 @@ def embed_points(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
                     *[coordinate(j).alias(f"x{j}") for j in range(dims)])
 
 
+def embed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as 64 columns ``x0..x63`` with the row id."""
+    e = load(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"),
+                    *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(EMBED_DIMS)])
+
+
 def embed_points_sql(dims: int = 3) -> str:
     def coordinate(j):
         return "0.0E0 + " + " + ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(j, EMBED_DIMS, dims))

@@ -231,8 +231,7 @@ _NAMES = {0: "Base", 1: "Intermedio", 2: "Alto"}
 
 def _segmentation(spark, sf_dir):
     f = saved(_features(spark, sf_dir), "features")
-    return f, flows.segment_respondents(f, _BLOCKS, ["cat_program", "site"], "row_id", n_micro=128,
-                                        eps_grid=(0.5, 1.0, 1.5), min_pts_grid=(5, 10), names=_NAMES,
+    return f, flows.segment_respondents(f, _BLOCKS, ["cat_program", "site"], "row_id", names=_NAMES,
                                         score_col="wellbeing")
 
 
@@ -255,6 +254,21 @@ def segment_robustness(spark, sf_dir):
     return rp.robustness(wide, "kmeans", "ward")
 
 
+@register("score_new_rows", f"""WITH {_INGEST_CTE}
+SELECT choice, count(*) AS n_rows, count(*) AS n_same FROM clean, (VALUES ('best'), ('second')) c(choice) GROUP BY choice""")
+def score_new_rows(spark, sf_dir):
+    """The saved segmentation scores rows it has not seen (the answers of all
+    respondents under new ids): each falls into the k-means segment of its answers."""
+    f, result = _segmentation(spark, sf_dir)
+    path = flows.save_segmentation(result, f, scratch_path(spark, f"segmentation-{uuid.uuid4().hex}"), sweep=False)
+    scored = flows.score_respondents(f.withColumn("row_id", -1 - F.col("row_id")), path)
+    own = result.assignments.where("method = 'kmeans'").select("row_id", "choice", F.col("cluster").alias("own"),
+                                                               F.col("name").alias("own_name"))
+    both = (scored.where("method = 'kmeans'").withColumn("row_id", -1 - F.col("row_id")).join(own, ["row_id", "choice"]))
+    return both.groupBy("choice").agg(F.count(F.lit(1)).alias("n_rows"),
+                                      F.count_if(F.expr("cluster = own and name = own_name")).alias("n_same"))
+
+
 @register("enrich_by_id", f"""WITH {_INGEST_CTE}
 SELECT c.row_id, c.seg,
        round(CASE WHEN datediff('day', CAST(o.o_orderdate AS DATE), DATE '2026-01-01') / 365.25E0 BETWEEN 18 AND 80

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import chi2_sf_sql, inv_normal_sql, kmo_label_sql
-from tessera.operators import latent, ranks
+from tessera.operators import latent, profile, ranks
 from tessera.plans.catalog import register, r6, sql_long
-from tessera.plans.proxies import (DOC_COLS, DOC_METRICS_SQL, SURVEY_SQL, doc_metrics, embed_points,
-                                   embed_points_sql, survey)
+from tessera.plans.proxies import (DOC_COLS, DOC_METRICS_SQL, EMBED_DIMS, SURVEY_SQL, doc_metrics, embed_columns,
+                                   embed_points, embed_points_sql, survey)
 from tessera.sources.tables import load
 
 _MED_COLS = ["q1", "q2", "q4"]
@@ -282,17 +281,99 @@ def pca_scores(spark, sf_dir):
     return p.select("row_id", *[r6(c).alias("pc1") for c in m.score_columns()])
 
 
+_DIMS = [f"x{i}" for i in range(EMBED_DIMS)]
+
+
 @register("pca_full")
 def pca_full(spark, sf_dir):
-    """8-d PCA variance table, cumulative %, Kaiser line, n for 85 %."""
-    p = embed_points(spark, sf_dir, 8)
-    cols = [f"x{i}" for i in range(8)]
-    m = latent.fit_pca(p, cols)
-    cum = np.cumsum(m.explained_ratio) * 100
-    n85 = int(np.argmax(cum >= 85.0) + 1) if (cum >= 85.0).any() else len(cols)
-    rows = [(k + 1, float(m.explained_ratio[k] * 100), float(cum[k]), 100.0 / len(cols), n85)
-            for k in range(len(cols))]
-    return spark.createDataFrame(rows, "comp int, pct double, cum_pct double, kaiser_pct double, n_for_85 int")
+    """PCA of all 64 columns: variance table, cumulative %, Kaiser line, n for 85 %."""
+    m = latent.fit_pca(embed_columns(spark, sf_dir), _DIMS)
+    table = spark.createDataFrame([(k + 1, float(v * 100)) for k, v in enumerate(m.explained_ratio)],
+                                  "comp int, pct double")
+    cum, first = profile.cumulative_share(table, "comp", "pct", 85.0)
+    n85 = first.first()["n_for_target"] or len(_DIMS)
+    return cum.select("comp", "pct", F.col("cum").alias("cum_pct"), F.lit(100.0 / len(_DIMS)).alias("kaiser_pct"),
+                      F.lit(int(n85)).alias("n_for_85"))
+
+
+_COV64 = """c AS MATERIALIZED (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM l a JOIN l b ON a.row_id = b.row_id GROUP BY a.i, b.i)"""
+_LONG64 = """l AS MATERIALIZED (SELECT vec_id AS row_id, t.i, CAST(embedding[t.i + 1] AS DOUBLE) AS x FROM embeddings, range(0, 64) t(i))"""
+
+
+@register("pca_invariants", f"""WITH {_LONG64}, {_COV64}
+SELECT (SELECT round(sum(c), 6) FROM c WHERE i = j) AS sum_1, (SELECT round(sum(c * c), 6) FROM c) AS sum_2,
+       (SELECT round(sum(a.c * b.c * d.c), 6) FROM c a JOIN c b ON b.i = a.j JOIN c d ON d.i = b.j AND d.j = a.i) AS sum_3,
+       CAST(64 AS BIGINT) AS n_comp""")
+def pca_invariants(spark, sf_dir):
+    """Power sums of the 64 eigenvalues (the traces of the covariance matrix's powers)."""
+    w = latent.fit_pca(embed_columns(spark, sf_dir), _DIMS).explained_variance
+    return spark.createDataFrame([tuple(round(float((w ** p).sum()), 6) for p in (1, 2, 3)) + (len(w),)],
+                                 "sum_1 double, sum_2 double, sum_3 double, n_comp long")
+
+
+@register("corr_wide", f"""WITH {_LONG64}
+SELECT 'x' || a.i AS var1, 'x' || b.i AS var2, round(corr(a.x, b.x), 6) AS r
+FROM l a JOIN l b ON a.row_id = b.row_id AND a.i < b.i GROUP BY a.i, b.i""")
+def corr_wide(spark, sf_dir):
+    """Correlations of all pairs of 64 columns, one aggregation."""
+    return profile.corr_pairs(embed_columns(spark, sf_dir), _DIMS).select("var1", "var2", r6("r").alias("r"))
+
+
+_MCA2 = ["dear", "urgent"]
+_MCA2_SQL = """b AS (SELECT o_orderkey AS row_id, CAST(o_totalprice > 150000 AS INTEGER) AS u,
+          CAST(substr(o_orderpriority, 1, 1) = '1' AS INTEGER) AS v FROM orders),
+s AS (SELECT avg(u) AS p, avg(v) AS q, corr(u, v) AS phi FROM b),
+-- standardised answers zu, zv: the dimensions are (zu ± zv) / 2 with eigenvalues (1 ± phi) / 2
+d AS (SELECT *, CASE WHEN phi >= 0 THEN 1 ELSE -1 END AS g FROM s),
+-- the largest entry among sqrt((1-p)/2), -sqrt(p/2), ±sqrt((1-q)/2), ∓sqrt(q/2) is positive
+w AS (SELECT *, greatest(1 - p, p) >= greatest(1 - q, q) AS of_u, CASE WHEN 1 - p >= p THEN 1 ELSE -1 END AS su,
+             CASE WHEN 1 - q >= q THEN 1 ELSE -1 END AS sv FROM d),
+e AS (SELECT *, CASE WHEN of_u THEN su ELSE g * sv END AS s1, CASE WHEN of_u THEN su ELSE -g * sv END AS s2 FROM w)"""
+
+
+@register("mca_two_answers", f"""WITH {_MCA2_SQL}
+SELECT row_id, round(s1 * ((u - p) / sqrt(p * (1 - p)) + g * (v - q) / sqrt(q * (1 - q))) / 2, 6) AS acm_dim1,
+       round(s2 * ((u - p) / sqrt(p * (1 - p)) - g * (v - q) / sqrt(q * (1 - q))) / 2, 6) AS acm_dim2,
+       round((1 + abs(phi)) / 2, 6) AS eigenvalue_1, round((1 - abs(phi)) / 2, 6) AS eigenvalue_2,
+       round(100 * (1 + abs(phi)) / 2, 2) AS inertia_pct_1
+FROM b, e""")
+def mca_two_answers(spark, sf_dir):
+    """M10 on two yes/no answers: coordinates and inertia have a closed form."""
+    o = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") > 150000).cast("string").alias("dear"),
+        (F.substring("o_orderpriority", 1, 1) == "1").cast("string").alias("urgent"))
+    m = latent.fit_mca(o, _MCA2, 2)
+    a, b = m.coord_columns()
+    return o.select("row_id", r6(a).alias("acm_dim1"), r6(b).alias("acm_dim2"),
+                    F.lit(round(float(m.eigenvalues[0]), 6)).alias("eigenvalue_1"),
+                    F.lit(round(float(m.eigenvalues[1]), 6)).alias("eigenvalue_2"),
+                    F.lit(float(m.inertia_pct[0])).alias("inertia_pct_1"))
+
+
+# two of three components: what the third leaves out, 1 - λ₃·u₃², is known in closed
+# form and does not change under rotation
+_COMMUNALITY_SQL = f"""WITH {_spearman_cte()},
+ev AS (SELECT *, sqrt((a * a + b * b + c * c) / 3.0E0) AS pp FROM rr),
+ev3 AS (SELECT *, 1.0E0 + 2 * pp * cos((acos(greatest(-1.0E0, least(1.0E0, a * b * c / (pp * pp * pp)))) + 2 * pi()) / 3.0E0)
+                 AS lam FROM ev),
+v AS (SELECT lam, a * c - b * (1 - lam) AS v1, b * a - (1 - lam) * c AS v2, (1 - lam) * (1 - lam) - a * a AS v3 FROM ev3),
+nv AS (SELECT lam, v1 * v1 / s AS u1, v2 * v2 / s AS u2, v3 * v3 / s AS u3
+       FROM (SELECT *, v1 * v1 + v2 * v2 + v3 * v3 AS s FROM v)),
+t AS (SELECT 'n_chars' AS var, 1 - lam * u1 AS h, lam FROM nv UNION ALL SELECT 'n_words', 1 - lam * u2, lam FROM nv
+      UNION ALL SELECT 'n_lines', 1 - lam * u3, lam FROM nv)
+SELECT var, round(h, 6) AS communality, round((3 - lam) / 3 * 100, 6) AS variance_pct FROM t"""
+
+
+@register("factor_communalities", _COMMUNALITY_SQL)
+def factor_communalities(spark, sf_dir):
+    """M8 with two oblimin-rotated factors: communalities and total variance, which no
+    rotation changes."""
+    d = doc_metrics(spark, sf_dir)
+    rk = ranks.rank_columns(latent.median_impute(d, DOC_COLS), DOC_COLS, "row_id")
+    m = latent.fit_factor_block(rk, DOC_COLS, 2, "docs")
+    h = (m.loadings * m.structure).sum(1)
+    rows = [(c, round(float(x), 6), round(float(h.sum() / len(DOC_COLS) * 100), 6)) for c, x in zip(DOC_COLS, h)]
+    return spark.createDataFrame(rows, "var string, communality double, variance_pct double")
 
 
 @register("latent_space")

@@ -204,7 +204,19 @@ _V_SQL = """rv AS (SELECT row_id, seg, site, cat_program, b1, b2, CASE WHEN q1 B
   CAST(CASE b1 WHEN 'Si' THEN 1 WHEN 'No' THEN 0 END AS DOUBLE) AS b1_code,
   coalesce(CASE b1 WHEN 'Si' THEN 1.0E0 WHEN 'No' THEN 0.0E0 END, 0.0E0)
     + coalesce(CASE b2 WHEN 'SI' THEN 1.0E0 WHEN 'no' THEN 0.0E0 END, 0.0E0) AS score,
-  CAST(year(dt) AS DOUBLE) AS year, CASE WHEN q1 BETWEEN 1 AND 5 AND q2 BETWEEN 1 AND 5 THEN q2 - q1 END AS mob FROM survey)"""
+  CAST(year(dt) AS DOUBLE) AS year,
+  CASE WHEN datediff('day', CAST(dt AS DATE), DATE '2026-01-01') / 365.25E0 BETWEEN 18 AND 80
+       THEN datediff('day', CAST(dt AS DATE), DATE '2026-01-01') / 365.25E0 END AS age, CASE WHEN q1 BETWEEN 1 AND 5 AND q2 BETWEEN 1 AND 5 THEN q2 - q1 END AS mob FROM survey)"""
+
+
+def _robustness_rows(cte: str, a: str, b: str) -> str:
+    return f"""SELECT * FROM (WITH c AS (SELECT {a} AS a, {b} AS b, CAST(count(*) AS DOUBLE) AS nij FROM {cte}
+  WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+t AS (SELECT sum(nij * (nij - 1) / 2) AS sij, sum(nij) AS n FROM c),
+ra AS (SELECT sum(ai * (ai - 1) / 2) AS sa FROM (SELECT sum(nij) AS ai FROM c GROUP BY a)),
+cb AS (SELECT sum(bj * (bj - 1) / 2) AS sb FROM (SELECT sum(nij) AS bj FROM c GROUP BY b)),
+r AS (SELECT n, (sij - sa * sb / (n * (n - 1) / 2)) / (0.5 * (sa + sb) - sa * sb / (n * (n - 1) / 2)) AS ari FROM t, ra, cb)
+{_long_rows("r", "robustness", f"'{a} / {b}'", "'TOTAL'", {"n": "n", "ari": "ari"})})"""
 
 
 def _report_table(spark, sf_dir):
@@ -214,17 +226,18 @@ def _report_table(spark, sf_dir):
     b2 = encode.binary_encode("b2", cfg.YES_A, cfg.NO_A)
     s = s.withColumn("b1_code", b1.cast("double")).withColumn("b2_code", b2.cast("double"))
     return saved(s.withColumn("score", encode.additive_score(["b1_code", "b2_code"]))
-                 .withColumn("year", F.year("dt").cast("double"))
+                 .withColumn("year", F.year("dt").cast("double")).withColumn("age", encode.age_years("dt"))
                  .withColumn("mob", encode.change_score("q2", "q1", 1, 5)), "report")
 
 
+_WELLBEING_ROWS = [
+    _measure_rows("rv", "score", "wellbeing_score"),
+    "SELECT * FROM (WITH m AS (SELECT seg, 100.0E0 * avg(b1_code) AS p FROM rv WHERE seg IS NOT NULL "
+    "AND b1_code IS NOT NULL GROUP BY seg) "
+    + _long_rows("m", "wellbeing_yes", "'b1_code'", "seg", {"pct": "p"}) + ")",
+    _profile_rows("rv", ["q1", "q2"], "wellbeing_items")]
 _SECTIONS = {
-    "report_wellbeing": (lambda d: rp.wellbeing(d, "score", ["b1_code"], ["q1", "q2"], "seg"),
-                         [_measure_rows("rv", "score", "wellbeing_score"),
-                          "SELECT * FROM (WITH m AS (SELECT seg, 100.0E0 * avg(b1_code) AS p FROM rv WHERE seg IS NOT NULL "
-                          "AND b1_code IS NOT NULL GROUP BY seg) "
-                          + _long_rows("m", "wellbeing_yes", "'b1_code'", "seg", {"pct": "p"}) + ")",
-                          _profile_rows("rv", ["q1", "q2"], "wellbeing_items")], "R5"),
+    "report_wellbeing": (lambda d: rp.wellbeing(d, "score", ["b1_code"], ["q1", "q2"], "seg"), _WELLBEING_ROWS, "R5"),
     "report_incidence": (lambda d: rp.item_profile(d, ["q3", "q4"], "seg", "incidence"),
                          [_profile_rows("rv", ["q3", "q4"], "incidence")], "R6"),
     "report_programme": (lambda d: rp.programme(d, "cat_program", "seg"), [_programme_rows("rv", "cat_program")], "R7"),
@@ -252,10 +265,12 @@ for _name, (_build, _rows, _ids) in _SECTIONS.items():
     _section_query(_name, _build, _rows, _ids)
 
 _REPORT_SPEC = flows.ReportSpec(seg="seg", competences=["q1", "q2"], incidence=["q3"], programme="cat_program",
+                                score="score", binary=["b1_code"], satisfaction=["q1", "q2"], age="age",
                                 year="year", history=["q4", "mob"], answers=["b1"], mobility="mob",
-                                categories=["cat_program"], site="site")
+                                categories=["cat_program"], site="site", labelings=("seg", "cat_program"))
 _section_query("report_full", lambda d: flows.report(d, _REPORT_SPEC), [
     _dist_rows("rv"), _profile_rows("rv", ["q1", "q2"], "competences"), _profile_rows("rv", ["q3"], "incidence"),
+    *_WELLBEING_ROWS, _measure_rows("rv", "age", "age"), _robustness_rows("rv", "seg", "cat_program"),
     _programme_rows("rv", "cat_program"), _measure_rows("rv", "year", "graduation_year"),
     _profile_rows("rv", ["q4", "mob"], "history"), _answer_rows("rv", ["b1"]), _mobility_rows("rv", "mob"),
     _category_rows("rv", "cat_program", "categorical"), _category_rows("rv", "site", "site_effect")], "R22, R3–R14")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import latent, segment, validate
 from tessera.plans import flows
 from tessera.plans.catalog import register
-from tessera.plans.proxies import embed_points, embed_points_sql, survey
+from tessera.plans.proxies import SURVEY_SQL, embed_points, embed_points_sql, survey
 from tessera.sources.scratch import saved
 
 _X = ["x0", "x1", "x2"]
@@ -203,6 +203,52 @@ def kprototypes(spark, sf_dir):
         "k", "cost", "converged", "sil", "db", "dunn", "n_dunn", "cv", "min_pct", "max_pct", "score")
 
 
+_KP_NUM, _KP_CAT = ["q1", "q2", "q4"], ["cat_program", "t1"]
+
+
+def _kprototypes_sql() -> str:
+    """Rounds of k-prototypes as a recursive query over the prototypes of every k."""
+    cost = """(v.q1 - c.q1) * (v.q1 - c.q1) + (v.q2 - c.q2) * (v.q2 - c.q2) + (v.q4 - c.q4) * (v.q4 - c.q4)
+        + v.g * (CAST(v.cat_program <> c.cat_program AS DOUBLE) + CAST(v.t1 <> c.t1 AS DOUBLE))"""
+    med = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM survey)) AS {c}" for c in _KP_NUM)
+    return f"""WITH RECURSIVE {SURVEY_SQL},
+u AS MATERIALIZED (SELECT row_id, {med}, coalesce(cat_program, 'Otro') AS cat_program, coalesce(t1, 'Otro') AS t1 FROM survey),
+v AS MATERIALIZED (SELECT u.*, g FROM u, (SELECT 0.5E0 * (stddev_samp(q1) + stddev_samp(q2) + stddev_samp(q4)) / 3 AS g FROM u)),
+o AS (SELECT *, row_number() OVER (ORDER BY md5(concat('42', CAST(row_id AS VARCHAR))), row_id) - 1 AS j FROM v),
+st AS (
+  SELECT 0 AS round, k, j, q1, q2, q4, cat_program, t1, CAST(NULL AS DOUBLE) AS tot, false AS done
+  FROM o JOIN range(2, 5) t(k) ON j < k
+  UNION ALL
+  SELECT * FROM (
+    WITH c AS (SELECT * FROM st WHERE NOT done),
+    a AS (SELECT c.k, v.row_id, min(({cost}, c.j)) AS best FROM c JOIN v ON true GROUP BY ALL),
+    s AS (SELECT k, sum(best[1]) AS tot FROM a GROUP BY k),
+    m AS (SELECT a.k, a.best[2] AS j, avg(q1) AS q1, avg(q2) AS q2, avg(q4) AS q4 FROM a JOIN v USING (row_id) GROUP BY ALL),
+    f AS (SELECT a.k, a.best[2] AS j, cat_program, count(*) AS n FROM a JOIN v USING (row_id) GROUP BY ALL),
+    g AS (SELECT a.k, a.best[2] AS j, t1, count(*) AS n FROM a JOIN v USING (row_id) GROUP BY ALL),
+    fm AS (SELECT k, j, arg_min(cat_program, (-n, cat_program)) AS cat_program FROM f GROUP BY ALL),
+    gm AS (SELECT k, j, arg_min(t1, (-n, t1)) AS t1 FROM g GROUP BY ALL),
+    w AS (SELECT DISTINCT k, round, tot AS was FROM c)
+    SELECT w.round + 1, m.k, m.j, m.q1, m.q2, m.q4, fm.cat_program, gm.t1, s.tot,
+           coalesce(w.was - s.tot <= 1e-9 * greatest(1.0, abs(s.tot)), false)
+    FROM m JOIN fm USING (k, j) JOIN gm USING (k, j) JOIN s USING (k) JOIN w USING (k)))
+SELECT CAST(k AS INTEGER) AS k, round(max(tot) FILTER (done), 4) AS cost, bool_or(done) AS converged FROM st GROUP BY k"""
+
+
+@register("kprototypes_fixed_starts", _kprototypes_sql())
+def kprototypes_fixed_starts(spark, sf_dir):
+    """One stated start per k (seeded rows), rounds until the cost no longer falls."""
+    v = latent.median_impute(survey(spark, sf_dir).select("row_id", *_KP_NUM, *_KP_CAT), _KP_NUM)
+    v = saved(v.withColumns({c: F.coalesce(F.col(c), F.lit("Otro")) for c in _KP_CAT}), "answers")
+    first = []
+    for j, r in enumerate(validate.md5_sample(v, "row_id", 4).collect()):
+        first.append({**{c: r[c] for c in [*_KP_NUM, *_KP_CAT]}, "cluster": j})
+    _, costs = segment.kprototypes_sweep(v, _KP_NUM, _KP_CAT, range(2, 5), "row_id",
+                                         starts={(k, 0): first[:k] for k in range(2, 5)})
+    return spark.createDataFrame([(int(k), round(c, 4), bool(done)) for k, c, done in costs],
+                                 "k int, cost double, converged boolean")
+
+
 _EPS_FINE = 0.15
 
 

@@ -2,7 +2,10 @@
 (stratum 41, a 98 %-null column, sentinel 87 and nulls, a stray '128', one exact
 duplicate, one all-null row)."""
 
+import logging
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import flows
@@ -90,3 +93,49 @@ def test_report_has_every_section(spark):
         "graduation_year", "history", "answers", "mobility", "categorical", "site_effect", "robustness"}
     share = [r.value for r in rows if r.section == "distribution" and r.stat == "pct"]
     assert abs(sum(share) - 100) < 1e-9
+
+
+def _respondents(spark, n=160):
+    """Two attitudes that answer alike, a doubled and a constant item."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(n):
+        kind = i % 2
+        a = [float(np.clip(round(2 + 2 * kind + rng.normal(scale=.6)), 1, 5)) if rng.random() > .05 else None for _ in range(4)]
+        rows.append((i, *a, a[0], 3.0, ["rojo", "azul", "verde"][int(rng.integers(0, 2)) + kind],
+                     ["Si", "No"][kind] if rng.random() > .1 else None, float(kind * 10 + rng.integers(0, 3))))
+    return spark.createDataFrame(rows, "row_id long, q1 double, q2 double, q3 double, q4 double, twin double, flat double, "
+                                       "color string, apoyo string, score double")
+
+
+def test_segmentation_is_saved_and_scores_new_rows(spark, tmp_path, caplog):
+    df = _respondents(spark)
+    blocks = {"B1": (["q1", "q2", "q3"], 1), "B2": (["q4", "q1"], 1), "TWIN": (["q1", "twin"], 1), "FLAT": (["q2", "flat"], 1)}
+    with caplog.at_level(logging.WARNING):
+        result = flows.segment_respondents(df, blocks, ["color", "apoyo"], k_range=range(2, 5), n_init=4,
+                                           eps_grid=(0.5, 1.5), min_pts_grid=(5,), names={0: "Bajo"}, score_col="score")
+    assert "TWIN" in caplog.text and "FLAT" in caplog.text and "B1" not in caplog.text
+    assert {r.block for r in result.loadings.collect()} == {"B1", "B2"}
+    own = {(r.method, r.choice, r.row_id): (r.cluster, r.name) for r in result.assignments.collect()}
+    assert len(own) == 4 * df.count()
+    best = [own["kmeans", "best", i] for i in range(160)]
+    low = [n for c, n in best if c == 0]
+    assert set(low) == {"Bajo"} and all(n == f"Arquetipo {c}" for c, n in best if c)
+    means = {}
+    for i, r in enumerate(df.orderBy("row_id").collect()):
+        means.setdefault(best[i][0], []).append(r.score)
+    order = [np.mean(means[c]) for c in sorted(means)]
+    assert order == sorted(order) and sorted(means) == list(range(len(means)))
+
+    path = flows.save_segmentation(result, df, str(tmp_path / "run"))
+    again = {(r.method, r.choice, r.row_id): (r.cluster, r.name)
+             for r in flows.score_respondents(df.withColumn("row_id", F.col("row_id") + 1000), path).collect()}
+    assert len(again) == len(own)
+    for (method, choice, i), v in own.items():
+        if method == "kmeans":
+            assert again[method, choice, i + 1000] == v
+    new = spark.createDataFrame([(1, 9.0, None, 1.5, -3.0, None, None, "nuevo", None, 0.0)], df.schema)
+    assert flows.score_respondents(new, path).where("method = 'kmeans'").count() == 2
+    spark.createDataFrame([(99,)], "version int").write.mode("overwrite").parquet(f"{path}/parameters/version")
+    with pytest.raises(ValueError, match="version 99"):
+        flows.score_respondents(df, path)

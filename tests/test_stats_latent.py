@@ -74,14 +74,114 @@ def test_average_ranks_match_pandas(spark):
     assert np.allclose(rk.x.to_numpy(), pd.Series(x).rank().to_numpy())
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64])
-def test_exact_quantiles_match_numpy(spark, buckets):
+@pytest.mark.parametrize("accuracy,bracket", [(10000, 1 << 16), (20, 1 << 16), (20, 5)])
+def test_exact_quantiles_match_numpy(spark, accuracy, bracket):
+    """Also with brackets much wider than a position, ordered in ranges."""
     rng = np.random.default_rng(11)
-    x = np.concatenate([rng.normal(size=300).round(2), np.full(200, 0.5)])
-    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    groups = {"a": np.concatenate([rng.normal(size=300).round(2), np.full(200, 0.5)]), "b": rng.exponential(size=777),
+              None: np.array([3.0]), "c": np.array([1.0, 2.0]), "d": np.full(50, -1.0)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, val double").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
-    q = ranks.exact_quantiles(ranks.to_long(df, ["x"]), ["var"], probs, buckets=buckets).orderBy("j").collect()
-    assert np.allclose([r.q for r in q], np.percentile(x, [p * 100 for p in probs]), atol=1e-12)
+    got = {(r.g, r.j): r.q for r in ranks.exact_quantiles(df, ["g"], probs, accuracy=accuracy, bracket=bracket).collect()}
+    assert len(got) == len(groups) * len(probs)
+    for g, x in groups.items():
+        assert np.allclose([got[g, j] for j in range(len(probs))], np.percentile(x, [p * 100 for p in probs]), atol=1e-12)
+
+
+def test_group_summary_shares_one_sort(spark):
+    rng = np.random.default_rng(4)
+    rows = [(str(rng.choice(["u", "v", "w"])) if i % 9 else None, float(rng.integers(0, 6)),
+             float(rng.normal()) if i % 4 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(5)
+    stats, tests = ranks.group_summary(df, ["a", "b"], "g")
+    pdf = pd.DataFrame(rows, columns=["g", "a", "b"]).dropna(subset=["g"])
+    got = {(r["var"], r.g): r for r in stats.collect()}
+    for c in ("a", "b"):
+        for g, x in pdf.dropna(subset=[c]).groupby("g")[c]:
+            r = got[c, g]
+            assert r.n == len(x) and np.allclose([r.mean, r.median, r["std"], r.min, r.max],
+                                                 [x.mean(), x.median(), x.std(), x.min(), x.max()])
+    want = {r["var"]: r for r in ranks.kruskal_wallis(df, ["a", "b"], "g").collect()}
+    for r in tests.collect():
+        w = want[r["var"]]
+        assert (r.n, r.n_groups, r.df) == (w.n, w.n_groups, w.df) and abs(r.h - w.h) < 1e-9 and abs(r.p_value - w.p_value) < 1e-9
+
+
+def test_moments_of_many_columns_in_one_aggregate(spark):
+    """109 columns, far from zero, with gaps: numpy's matrices, one aggregation."""
+    from tessera.operators import gram, profile
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 109)) @ rng.normal(size=(109, 109)) * 1e-2 + 1e6
+    x[rng.random(x.shape) < 0.05] = np.nan
+    x[:, 7] = 5.0
+    cols = [f"c{i}" for i in range(109)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols)).repartition(6)
+    m, means, n = gram.moments(df, cols, "corr")
+    want = pd.DataFrame(x).corr().to_numpy()
+    off = ~np.eye(109, dtype=bool)
+    assert np.allclose(m[off], want[off], atol=1e-9, equal_nan=True) and np.isnan(m[7, 8])
+    assert np.allclose(means, np.nanmean(x, axis=0)) and n == 300
+    cov, _, _ = gram.moments(df, cols, "cov")
+    assert np.allclose(cov, pd.DataFrame(x).cov().to_numpy(), rtol=1e-8, atol=1e-9)
+    plan = profile.corr_pairs(df, cols)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate(") == 2                 # one aggregate: partial and final
+
+
+def test_mca_by_subspace_iteration(spark):
+    """More categories than the block has columns; the answers' patterns have structure."""
+    rng = np.random.default_rng(14)
+    trait = rng.normal(size=900)
+    df = pd.DataFrame({c: [f"{c}{int(v)}" for v in np.clip((trait * w + rng.normal(size=900)) * 4 + 15, 0, 30)]
+                       for c, w in (("a", 2.0), ("b", 1.5), ("c", 1.0))})
+    frame = spark.createDataFrame(df.assign(row_id=range(900)))
+    exact = latent.fit_mca(frame, ["a", "b", "c"], 2, block=1000)
+    m = latent.fit_mca(frame, ["a", "b", "c"], 2, block=12)
+    assert len(m.categories) > 60
+    z = pd.get_dummies(df).to_numpy(dtype=float)
+    p = z / z.sum()
+    s = (p - np.outer(p.sum(1), p.sum(0))) / np.sqrt(np.outer(p.sum(1), p.sum(0)))
+    sv = np.linalg.svd(s, compute_uv=False)
+    assert np.allclose(exact.eigenvalues, sv[:2] ** 2, atol=1e-10) and np.allclose(m.eigenvalues, sv[:2] ** 2, atol=1e-9)
+    assert np.allclose(m.cat_scores, exact.cat_scores, atol=1e-4)
+
+
+def test_singular_blocks_are_told(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 60))
+    df = spark.createDataFrame([(i, float(u), float(u), float(v), 1.0) for i, (u, v) in enumerate(zip(a, b))],
+                               "row_id long, a double, twin double, b double, flat double")
+    latent.fit_factor_block(df, ["a", "b"])
+    for cols in (["a", "twin", "b"], ["a", "b", "flat"]):
+        with pytest.raises(latent.SingularBlock):
+            latent.fit_factor_block(df, cols)
+
+
+def test_group_density_equals_the_direct_sum(spark):
+    from tessera.operators import profile
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.normal(size=900) * 3, "b": np.concatenate([rng.exponential(size=300), [40.0]]), "c": np.full(5, 2.0)}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), (None, 1.0)]
+    out = profile.group_density(spark.createDataFrame(rows, "seg string, x double").repartition(4), "x", "seg", 40).collect()
+    every = np.concatenate(list(groups.values()))
+    grid = np.linspace(every.min(), every.max(), 40)
+    assert sorted({r[0] for r in out}) == ["a", "b"] and len(out) == 80
+    for g in ("a", "b"):
+        x = groups[g]
+        h = x.std(ddof=1) * len(x) ** -0.2
+        want = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(1) / np.sqrt(2 * np.pi) / (len(x) * h)
+        got = [r[3] for r in sorted(out, key=lambda r: r[1]) if r[0] == g]
+        assert np.allclose(got, want, rtol=0, atol=1e-8 / h)
+
+
+def test_lumps_share_a_pass(spark):
+    from tessera.operators import encode
+    df = spark.createDataFrame([(i, " a " if i % 2 else "B", None if i % 5 == 0 else f"v{i % 4}") for i in range(40)],
+                               "row_id long, x string, y string")
+    both = encode.lump_many(df, [("x", 25, "Otro"), ("y", 9, "Otro")])
+    one = encode.lump_rare(encode.lump_rare(df, "x", 25), "y", 9)
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    assert {r.x for r in both.collect()} == {"Otro"} and "V1" not in {r.y for r in both.collect()}
 
 
 def test_quantile_normal_matches_reference_algorithm(spark):

@@ -214,11 +214,13 @@ def test_kmeans_leaves_rule_out_only_far_centres():
     rng = np.random.default_rng(3)
     leaves = kmeans.Leaves.__new__(kmeans.Leaves)
     mid = rng.uniform(-3, 3, (300, 2))
-    size = rng.uniform(0, 1, (300, 2))
+    size = rng.uniform(0, .5, (300, 2))
     leaves.lo, leaves.hi = mid - size, mid + size
+    leaves.bounds()
     for _ in range(5):
         c = rng.uniform(-3, 3, (4, 2))
-        near, settled = leaves.nearest(c)
+        near, slack = leaves.nearest(c)
+        settled = slack > 0
         inside = leaves.lo[:, None] + rng.uniform(0, 1, (300, 60, 2)) * (leaves.hi - leaves.lo)[:, None]
         own = ((inside[:, :, None] - c) ** 2).sum(-1).argmin(-1)
         assert (own[settled] == near[settled, None]).all() and 20 < settled.sum() < 300
@@ -449,3 +451,14 @@ def test_ward_chain_with_weights_and_ties():
             assert np.allclose([m[3] for m in merges], heights)
         assert merges[-1][4] == w.sum() and sorted(m[3] for m in merges) == [m[3] for m in merges]
         assert sorted(y for m in merges for y in m[1:3]) == list(range(2 * len(x) - 2))
+
+
+@pytest.mark.parametrize("gap", [0.995, 1.005])
+def test_dense_walls_are_linked_by_splitting(spark, gap):
+    """Two dense walls that face each other just within and just beyond ε."""
+    rng = np.random.default_rng(1)
+    wall = rng.uniform(0, 1.2, (3000, 2))
+    x = np.vstack([np.column_stack([np.zeros(3000), wall]), np.column_stack([np.full(3000, gap), wall + 1e-3])])
+    got = segment.dbscan(_points(spark, x), ["x0", "x1", "x2"], 1.0, 4)
+    n = got.select("cluster").distinct().count()
+    assert n == (1 if gap < 1 else 2) and got.where("cluster < 0").count() == 0
