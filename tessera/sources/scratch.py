@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import get_ident
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import scratch_path
@@ -13,12 +16,35 @@ from tessera.session import scratch_path
 BROADCAST_ROWS = 1 << 20
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Per thread, the paths written within each open :func:`temporary`, outermost first.
+_WRITTEN: dict[int, list[list[str]]] = {}
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what :func:`saved` wrote within, but for tables to ``keep``."""
+    scopes = _WRITTEN.setdefault(get_ident(), [])
+    paths: list[str] = []
+    scopes.append(paths)
+    try:
+        yield
+    finally:
+        scopes.remove(paths)
+        for path in paths:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again.
 
     Later reads neither recompute it nor depend on the executors that made it.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    scopes = _WRITTEN.get(get_ident(), [])
+    scopes = scopes[:-1] if keep else scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
