@@ -54,11 +54,20 @@ def running(df: DataFrame, group: list[str], order: list[str], sums: dict[str, C
                             for n in sums}).drop("_g", *[f"_before_{n}" for n in sums])
 
 
+def neighbour(df: DataFrame, group: list[str], order: str, value: str, out: str, ahead: bool = True) -> DataFrame:
+    """``df`` (``ranged`` by ``group`` and ``order``, or some of its rows) with ``out``:
+    ``value`` of the next row of the group, or of the one before; null at the end."""
+    inside = Window.partitionBy("_part", *group).orderBy(order)
+    shift, pick = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    row = F.struct(*group, F.col(value).alias("_value"))
+    ends = (df.groupBy("_part").agg(pick(row, F.struct(*group, order)).alias("_end"))
+            .select("_part", shift("_end").over(Window.orderBy("_part")).alias("_near")))
+    own = (df.withColumn(out, shift(value).over(inside))
+           .withColumn("_edge", shift(F.lit(1)).over(inside).isNull()).join(F.broadcast(ends), "_part"))
+    return own.withColumn(out, F.when(F.col("_edge"), F.when(_same(group, "_near"), F.col("_near._value")))
+                          .otherwise(F.col(out))).drop("_near", "_edge")
+
+
 def following(df: DataFrame, group: list[str], col: str, out: str) -> DataFrame:
-    """``df`` (``ranged`` by ``group`` and ``col``) with ``out``: ``col`` of the next
-    row of the group, null for its last."""
-    inside = Window.partitionBy("_part", *group).orderBy(col)
-    heads = (df.groupBy("_part").agg(F.min(F.struct(*group, col)).alias("_first"))
-             .select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_next")))
-    own = df.withColumn(out, F.lead(col).over(inside)).join(F.broadcast(heads), "_part")
-    return own.withColumn(out, F.coalesce(out, F.when(_same(group, "_next"), F.col(f"_next.{col}")))).drop("_next")
+    """``neighbour`` of ``col`` itself."""
+    return neighbour(df, group, col, col, out)

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._ranges import neighbour, ranged
 from tessera.sources.scratch import saved
 
 #: The columns of a list's log.
@@ -59,16 +60,17 @@ def url_keys(url: Column, labels: int, depth: int) -> Column:
 def list_intervals(log: DataFrame) -> DataFrame:
     """``list, policy, pattern, valid_from, valid_to`` (null: still valid).
 
-    Changes are reduced to one per entry and instant first; an entry with many
-    changes is sorted in its own group of instants.
+    Changes are reduced to one per entry and instant and sorted over ranges, so
+    that an entry with very many changes lies in many of them; its first and last
+    rows of a range learn their neighbours from one row per range.
     """
     key = ["list", "policy", "pattern"]
     at = (log.where(F.col("changed_at").isNotNull() & F.col("pattern").isNotNull())
           .groupBy(*key, "changed_at").agg(F.max((F.col("change") == "remove").cast("int")).alias("off")))
-    order = Window.partitionBy(*key).orderBy("changed_at")
-    turns = (at.withColumn("was", F.coalesce(F.lag("off").over(order), F.lit(1)))
-             .where("off <> was"))
-    return (turns.withColumn("valid_to", F.lead("changed_at").over(order)).where("off = 0")
+    at = ranged(at, [*key, "changed_at"], "changes")
+    turns = neighbour(at, key, "changed_at", "off", "was", ahead=False).where("off <> coalesce(was, 1)")
+    turns = saved(turns, "turns")
+    return (neighbour(turns, key, "changed_at", "changed_at", "valid_to").where("off = 0")
             .select(*key, F.col("changed_at").alias("valid_from"), "valid_to"))
 
 
