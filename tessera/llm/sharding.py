@@ -1,7 +1,7 @@
 """Reproducible shuffle and shards from a Feistel permutation with cycle walking.
 
-Every row gets a global number 0..N-1 (its place within a hash bucket plus the
-sizes of the buckets before).  A Feistel network over pairs (left, right) with
+Every row gets a global number 0..N-1 (its place within a range of the sorted rows
+plus the sizes of the ranges before; equal rows are dealt over ranges).  A Feistel network over pairs (left, right) with
 left < a, right < b, a * b >= N, permutes 0..a*b-1; a result outside 0..N-1 is
 permuted again until it lies inside, which permutes 0..N-1.  As a * b - N < a,
 walks are rare, and a walk visits each outside value at most once, which bounds
@@ -21,9 +21,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm._ranges import SPREAD, ranged, running, spread
 from tessera.sources.scratch import saved
 
-BUCKETS = 4096
 ROUNDS = 6
 
 
@@ -79,18 +79,10 @@ class Feistel:
 
 
 def number_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` with ``row_number`` 0..N-1; deterministic up to the order of equal
-    rows.  Numbering runs per hash bucket of ``keys``; bucket offsets come from
-    one small count per bucket."""
-    d = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = d.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*keys)
-    # at most BUCKETS rows of offsets
-    return (d.withColumn("_i", F.row_number().over(inside) - 1)
-            .join(F.broadcast(offsets), "_bucket")
-            .withColumn("row_number", F.col("_offset") + F.col("_i")).drop("_bucket", "_i", "_offset"))
+    """``df`` with ``row_number`` 0..N-1 in the order of ``keys``, equal rows in any order."""
+    order = [*keys, SPREAD]
+    rows = running(ranged(spread(df), order, "numbered"), [], order, {"row_number": F.lit(1).cast("long")})
+    return rows.withColumn("row_number", F.col("row_number") - 1).drop("_part", SPREAD)
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 24, seed: int = 0, id_col: str = "doc_id",
