@@ -8,9 +8,11 @@ be cut, so a cut at a class border replaces a piece that would waste more than
 ``WASTE`` of a bin: the border part fills its class without loss and the
 remainder is small, where classes are narrow.
 
-Bins that a group leaves open go on: open bins of a class are numbered once
-more together, and what is then left, fewer than j pieces of each class j, is
-bounded by the capacity alone and filled first-fit in one small task.
+Bins that a group leaves open go on: the pieces of open bins are dealt into groups
+of their class again, level by level, until a class has one group.  A group holds
+``FILL`` bins or more, so a level keeps at most one piece in ``FILL``.  What is then
+left, fewer than j pieces of each class j, is bounded by the capacity alone and
+filled first-fit in one small task.
 
 Defined cases: null and empty texts hold the end token only; repeated rows are
 packed as often as they occur; an empty table gives no pieces.
@@ -32,8 +34,9 @@ from tessera.sources.scratch import saved
 CAPACITY = 2048
 END_ID = 1
 WASTE = 0.01
-#: Pieces that one group of a class numbers.
-GROUP = 1 << 16
+#: Pieces of a group, or bins of one where these take more pieces.
+GROUP = 1 << 10
+FILL = 64
 
 
 def cut(n: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
@@ -128,7 +131,7 @@ def _first_fit(capacity: int):
 KEYS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP, fill: int = FILL) -> DataFrame:
     """Give every piece its ``sequence_id`` and gapless ``offset``.
 
     ``parts`` has the columns of ``pieces`` and is read several times: cut its
@@ -137,39 +140,44 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     names = [c.split()[0] for c in KEYS.split(", ")]
     rows = parts.select(*names).withColumn("class", F.floor(F.lit(capacity) / F.col("length"))) \
         .withColumn("seed", F.xxhash64("doc_id", "start", "ids_crc32"))
-    # classes are as many as the distinct floor(capacity / n): bounded by the capacity
-    groups = rows.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / group).alias("n_groups"))
-    salted = (rows.join(F.broadcast(groups), "class")
-              .withColumn("salt", F.pmod(F.col("seed"), F.col("n_groups"))).drop("n_groups"))
-
-    bits = 61 - capacity.bit_length()
+    # pieces of repeated rows have one seed; the deal spreads them over the groups
+    rows = saved(rows.withColumn("deal", F.monotonically_increasing_id()), "dealt")
 
     def number(level, class_, salt, bin_):
-        """Level, class, group and bin in one positive long, 24 bits for the
-        bins of a group (they hold about ``GROUP`` pieces)."""
-        in_class = F.shiftleft(salt.cast("long"), 24) + bin_
-        return (F.shiftleft(level.cast("long"), 61) + F.shiftleft(class_.cast("long"), bits)
-                + in_class).alias("sequence_id")
+        """Level, class, group and bin in one positive long: 4, 12, 31 and 16 bits."""
+        return (F.shiftleft(F.lit(level).cast("long"), 59) + F.shiftleft(class_.cast("long"), 47)
+                + F.shiftleft(salt.cast("long"), 16) + bin_).alias("sequence_id")
 
     def placed(x: DataFrame, level: int) -> DataFrame:
         before = (Window.partitionBy("class", "salt", "bin").orderBy("place")
                   .rowsBetween(Window.unboundedPreceding, -1))
         return x.select(*names, "class", F.lit(level).alias("level"),
-                        number(F.lit(level), F.col("class"), F.col("salt"), F.col("bin")),
+                        number(level, F.col("class"), F.col("salt"), F.col("bin")),
                         F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
 
-    first = _fill(salted, ["class", "salt"])
-    open_ = first.where(~F.col("full")).drop("bin", "place", "full").withColumn("salt", F.lit(0))
-    second = _fill(open_, ["class"])
+    out, level, left = None, 0, rows
+    while True:
+        level += 1
+        # classes are as many as the distinct floor(capacity / n): bounded by the capacity
+        size = F.greatest(F.lit(group), fill * F.col("class"))
+        groups = left.groupBy("class").agg(F.count(F.lit(1)).alias("n")).select(
+            "class", F.greatest(F.floor(F.col("n") / size), F.lit(1)).alias("n_groups"))
+        groups = saved(groups, "groups")
+        more = groups.agg(F.max("n_groups")).first()[0] or 1
+        salted = (left.join(F.broadcast(groups), "class")
+                  .withColumn("salt", F.pmod(F.xxhash64("seed", "deal", F.lit(level)), F.col("n_groups"))).drop("n_groups"))
+        filled = saved(_fill(salted, ["class", "salt"]), "filled")
+        part = placed(filled.where("full"), level)
+        out = part if out is None else out.unionByName(part)
+        left = filled.where(~F.col("full")).drop("bin", "place", "full", "salt")
+        if more == 1:
+            break
     # fewer than j pieces of each class j: bounded by the capacity
-    rest = second.where(~F.col("full")).select(*names, "class", "seed", F.lit(3).alias("level"))
+    rest = left.select(*names, "class", "seed", F.lit(15).alias("level"))
     last = rest.groupBy("level").applyInArrow(
         _first_fit(capacity), f"{KEYS}, class long, seed long, level int, bin long, offset long")
-    last = last.select(*names, "class", "level",
-                       number(F.lit(3), F.lit(0), F.lit(0), F.col("bin")), "offset")
-    out = (placed(first.where("full"), 1).unionByName(placed(second.where("full"), 2))
-           .unionByName(last))
-    return out.select(*names, "sequence_id", "offset", "class", "level")
+    last = last.select(*names, "class", "level", number(15, F.lit(0), F.lit(0), F.col("bin")), "offset")
+    return out.unionByName(last).select(*names, "sequence_id", "offset", "class", "level")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

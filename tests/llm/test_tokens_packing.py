@@ -75,6 +75,18 @@ def test_packing_round_trip(spark, monkeypatch):
     assert sorted(map(str, (r.ids for r in parts.collect() if r.doc_id == 0))) != []
 
 
+def test_open_bins_go_through_levels(spark):
+    """One class with very many equal pieces: groups are small, little is left."""
+    parts = spark.range(40_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0L AS start", "1L AS length", "7L AS ids_crc32",
+                                           "1L AS doc_tokens").repartition(6)
+    out = packing.pack(parts, capacity=16, group=64, fill=8).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append(r.offset)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert len(by) == 2500 and max(r.level for r in out) <= 15 and len({r.level for r in out}) > 2
+
+
 def test_packing_empty(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
