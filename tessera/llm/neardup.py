@@ -1,8 +1,8 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 1. Every document's set of distinct word shingles gives ``k`` MinHash
-   coordinates.  Documents with equal sets form a class; from here on a class is
-   its smallest document.
+   coordinates.  Documents with equal sets form a class, which gets a number of
+   its own, so that documents without an id take part like any other.
 2. Classes are posted under each (coordinate, value).  Pairs that agree in at
    least ``m`` of ``k`` coordinates are wanted, so two such classes share a
    posting among any ``k - m + 1`` of their coordinates (the prefix).  Prefixes
@@ -28,10 +28,10 @@
 similarity 0.75 is missed with probability below 1e-5, a closer one far less.
 
 Defined cases: texts without words have an empty set and link with nothing;
-a null id is never a representative, its row joins the group of a document with
-the same set and else stays alone (``component_id`` null, kept); rows that share
-an id are one node with the links of all their texts; repeated rows get equal
-results.
+rows with a null id are linked like others, ``component_id`` is the least id of
+the group that is not null, and null for a group without ids; rows that share an
+id are linked by their texts alone.  ``first`` marks one row of each group, of the
+least id if there is one: the document that stays.
 """
 
 from __future__ import annotations
@@ -40,9 +40,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from tessera.llm import _text
 from tessera.sources.scratch import saved, small
@@ -61,6 +60,16 @@ def distinct_shingles(words: _text.Words, width: int) -> Iterator[np.ndarray]:
         yield np.unique(sh[offsets[i]:offsets[i + 1]])
 
 
+def set_names(every: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two longs per text that name its set of shingles."""
+    names = []
+    for salt in (1, 2):
+        mixed = _text.mix64(every + np.uint64(salt * 0x51ED270B))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+        names.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
+    return names
+
+
 def profile_sets(docs: DataFrame, id_col: str, text_col: str, k: int, width: int) -> DataFrame:
     """``doc_id, text_key, n_shingles, set_a, set_b, signature`` per row; the two
     longs name the set."""
@@ -74,11 +83,7 @@ def profile_sets(docs: DataFrame, id_col: str, text_col: str, k: int, width: int
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 every = np.concatenate(sets)
                 sig = hasher.signatures(every, offsets)
-                names = []
-                for salt in (1, 2):
-                    mixed = _text.mix64(every + np.uint64(salt * 0x51ED270B))
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-                    names.append((sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64))
+                names = set_names(every, offsets)
                 part = batch.slice(at, w.n)
                 at += w.n
                 yield pa.RecordBatch.from_arrays(
@@ -125,19 +130,23 @@ def prefix_postings(reps: DataFrame, k: int, matches: int) -> DataFrame:
             .select("rep", "weight", F.col("x.token").alias("token")))
 
 
-@F.arrow_udf(IntegerType())
-def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
+def agreement(a: str, b: str) -> Column:
     """Equal coordinates of two signatures."""
-    if len(a) == 0:
-        return pa.array([], pa.int32())
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint32).reshape(len(b), -1)
-    return pa.array((x == y).sum(axis=1).astype(np.int32))
+    @F.arrow_udf("int")
+    def equal(a: pa.Array, b: pa.Array) -> pa.Array:
+        if len(a) == 0:
+            return pa.array([], pa.int32())
+        x = np.frombuffer(b"".join(a.to_pylist()), np.uint32).reshape(len(a), -1)
+        y = np.frombuffer(b"".join(b.to_pylist()), np.uint32).reshape(len(b), -1)
+        return pa.array((x == y).sum(axis=1).astype(np.int32))
+
+    return equal(a, b)
 
 
 def shingle_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``rep, shingles`` (sorted distinct hashes) of the documents named in ``reps``
-    (``rep, text_key``)."""
+    (``rep, doc_id, text_key, copies``: rows of that id and text); one of several
+    equal rows is taken."""
     @F.arrow_udf("array<bigint>")
     def shingles(col: pa.Array) -> pa.Array:
         sets = [s.view(np.int64) for w in _text.word_groups(col, lower=True)
@@ -147,11 +156,17 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, w
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
     text = F.col(text_col).cast("string")
-    d = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(text).alias("text_key"),
-                    text.alias("text"))
-    named = (d.join(small(reps), ["rep", "text_key"], "left_semi")
-             .select("rep", shingles("text").alias("shingles")))
-    return named
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
+
+    def having(which: str) -> DataFrame:
+        named = small(reps.where(which).drop("copies"))
+        return d.join(named, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key"))).select(
+            "rep", "text")
+
+    found = having("copies = 1")
+    if not reps.where("copies > 1").isEmpty():
+        found = found.unionByName(having("copies > 1").groupBy("rep").agg(F.first("text").alias("text")))
+    return found.select("rep", shingles("text").alias("shingles"))
 
 
 def star_overlaps(stars: DataFrame, sets: DataFrame) -> DataFrame:
@@ -281,17 +296,21 @@ def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K,
                     matches: int = MATCHES, similarity_pct: int = SIMILARITY_PCT,
                     width: int = _text.SHINGLE) -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id, kept`` per input row."""
-    rows = saved(profile_sets(docs, id_col, text_col, k, width), "shingles")
+    """``doc_id, text_key, n_shingles, component_id, kept, first`` per input row."""
+    rows = profile_sets(docs, id_col, text_col, k, width)
+    rows = saved(rows.withColumn("rid", F.monotonically_increasing_id()), "shingles")
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    reps = saved(full.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "set_a", "set_b"])
-                 .dropDuplicates(["rep", "set_a", "set_b"])
-                 .select("rep", "text_key", "n_shingles", "signature"), "classes")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rid", "signature", "n_shingles")
+    classes = full.groupBy("set_a", "set_b").agg(F.min(least).alias("m"))
+    # a row's number names its class: the table is written, so it stays
+    reps = saved(classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "m.doc_id", "m.text_key",
+                                F.col("m.rid").alias("first_rid"), "m.n_shingles", "m.signature"), "classes")
     posts = saved(prefix_postings(reps, k, matches), "postings")
-    sets = saved(shingle_sets(docs, saved(posts.select("rep").distinct()
-                                          .join(reps.select("rep", "text_key"), "rep"), "named"),
-                              id_col, text_col, width), "sets")
+    named = reps.join(posts.select("rep").distinct(), "rep").select("rep", "doc_id", "text_key")
+    copies = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("copies"))
+    named = saved(named.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+                  .drop("_id", "_key"), "named")
+    sets = saved(shingle_sets(docs, named, id_col, text_col, width), "sets")
 
     leaders = posts.groupBy("token").agg(
         F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
@@ -306,12 +325,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = saved(confirm(rest, reps, sets, matches, similarity_pct), "links")
     groups = components(links.unionByName(more))
 
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("signature").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    member = (reps.select("rep", "set_a", "set_b", "doc_id", "first_rid").join(groups.withColumnRenamed("node", "rep"),
+                                                                             "rep", "left")
+              .withColumn("c", F.coalesce("component", "rep")))
+    heads = member.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(
+        F.struct(F.col("doc_id").isNull(), "doc_id", "first_rid")).alias("m")).select(
+        "c", "component_id", F.col("m.first_rid").alias("head"))
+    of = member.select("set_a", "set_b", "c").join(heads, "c").drop("c")
+    out = rows.drop("signature").join(of, ["set_a", "set_b"], "left")
+    empty = F.col("n_shingles") == 0
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("component_id"))
+    first_row = empty | (F.col("rid") == F.col("head"))
     return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, first_row).alias("kept"), first_row.alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -320,7 +346,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated row stays once."""
     text = F.xxhash64(F.col(text_col).cast("string"))
     decided = saved(near_duplicates(docs, id_col, text_col, **options)
-                    .groupBy("doc_id", "text_key").agg(F.max("kept").alias("kept"),
+                    .groupBy("doc_id", "text_key").agg(F.max("first").alias("kept"),
                                                        F.count(F.lit(1)).alias("n")), "kept")
     keep = saved(decided.where("kept").select("doc_id", "text_key", "n"), "keep")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
