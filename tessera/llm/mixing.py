@@ -13,7 +13,9 @@ order: with c full copies and a remainder, every document is taken c times and
 the first documents of the seeded order once more until the remainder is met.
 The order's prefix sums need no window over a source: documents fall into
 hash buckets, bucket totals find the one bucket in which the
-remainder ends, and only that bucket is sorted.
+remainder ends, and only that bucket is sorted.  A document's place in the order
+follows from its id, its text and, among rows that share both and their sources,
+from a number, so that rows of one id (or of none) are not taken or left together.
 
 Defined cases: a null source is a source of its own, after all others; null and
 empty texts have size 0 and are taken 0 words; repeated rows count as often as
@@ -26,9 +28,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from tessera.llm import _text
+from tessera.llm._ranges import SPREAD, ranged, running, spread
 from tessera.operators.graph import components
 from tessera.sources.scratch import saved
 
@@ -39,20 +41,23 @@ MAX_COPIES = 2
 BUCKET_DIGITS = 3
 
 
-@F.arrow_udf(LongType())
-def word_count(text: pa.Array) -> pa.Array:
+def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in each whole text; null: 0."""
-    data, offsets = _text.text_buffers(text)
+    @F.arrow_udf("long")
+    def count(col: pa.Array) -> pa.Array:
+        data, offsets = _text.text_buffers(col)
 
-    def starts(part, rel):
-        is_word = _text._IS_WORD[part]
-        first = is_word.copy()
-        first[1:] &= ~is_word[:-1]
-        edges = rel[rel < len(part)]
-        first[edges] = is_word[edges]
-        return first
+        def starts(part, rel):
+            is_word = _text._IS_WORD[part]
+            first = is_word.copy()
+            first[1:] &= ~is_word[:-1]
+            edges = rel[rel < len(part)]
+            first[edges] = is_word[edges]
+            return first
 
-    return pa.array(_text.per_text(data, offsets, starts), pa.int64())
+        return pa.array(_text.per_text(data, offsets, starts), pa.int64())
+
+    return count(text)
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
@@ -167,18 +172,44 @@ def route(patterns: DataFrame, targets: DataFrame, copies: int = MAX_COPIES) ->
     return keyed.join(solved, "pid").select("pattern", "size", "routed")
 
 
-def _key(row_key: Column, seed: int) -> Column:
+def _key(seed: int) -> Column:
     """The seeded order of documents: 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_key.cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("row_key").cast("string"), F.lit("")),
+                             F.col("text_key"), F.col("again").cast("string")))
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+_SAME = ["row_key", "text_key", "pattern"]
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The ``row_key, text_key, pattern`` that several rows share."""
+    many = rows.groupBy(*_SAME).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return saved(many.select(*[F.col(c).alias(f"_{c}") for c in _SAME]), "repeated")
+
+
+def _numbered(rows: DataFrame, many: DataFrame) -> DataFrame:
+    """``rows`` with ``again``: 0, 1, .. among rows that share a line of ``many``; only
+    these are sorted, over ranges."""
+    if many.isEmpty():
+        return rows.withColumn("again", F.lit(0).cast("long"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _SAME]
+    once = rows.join(many, on, "left_anti").withColumn("again", F.lit(0).cast("long"))
+    again = ranged(spread(rows.join(many, on, "left_semi")), [*_SAME, SPREAD], "repeated")
+    again = running(again, _SAME, [SPREAD], {"again": F.lit(1).cast("long")})
+    return once.unionByName(again.withColumn("again", F.col("again") - 1).drop("_part", SPREAD))
 
 
 def borders(docs: DataFrame, routed: DataFrame, seed: int = 0) -> DataFrame:
     """``pattern, full, border``: every document of the pattern is taken ``full``
     times, and those whose key is at most ``border`` once more.
 
-    ``docs``: ``row_key, pattern, size``.  Documents with one key stay together.
+    ``docs``: ``row_key, text_key, again, pattern, size``.
     """
-    keyed = docs.select(_key(F.col("row_key"), seed).alias("key"), "pattern", "size")
+    keyed = docs.select(_key(seed).alias("key"), "pattern", "size")
     keyed = keyed.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     plan = routed.withColumn("full", F.when(F.col("size") > 0, F.floor(F.col("routed") / F.col("size")))
                              .otherwise(0))
@@ -204,30 +235,30 @@ def borders(docs: DataFrame, routed: DataFrame, seed: int = 0) -> DataFrame:
             .select("pattern", "full", "border"))
 
 
-def _copies(row_key: Column, seed: int) -> Column:
-    once = F.coalesce(_key(row_key, seed) <= F.col("border"), F.lit(False))
-    return F.col("full") + once.cast("long")
+def _copies(seed: int) -> Column:
+    return F.col("full") + F.coalesce(_key(seed) <= F.col("border"), F.lit(False)).cast("long")
 
 
 def _solve(docs: DataFrame, members: Column, id_col: str, text_col: str, seed: int):
-    """(sizes, targets, borders) of a table; the text is read once."""
-    sized = saved(docs.select(F.col(id_col).alias("row_key"), members.alias("pattern"),
-                              word_count(F.col(text_col)).alias("size")), "sizes")
+    """(sizes, targets, borders, repeated rows) of a table; the text is read once."""
+    sized = saved(docs.select(F.col(id_col).alias("row_key"), _text_key(F.col(text_col)).alias("text_key"),
+                              members.alias("pattern"), word_count(F.col(text_col)).alias("size")), "sizes")
+    many = _repeated(sized)
+    sized = _numbered(sized, many)
     by_source = (sized.select(F.explode("pattern").alias("source"), "size")
                  .groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = saved(source_targets(by_source), "targets")
     patterns = sized.groupBy("pattern").agg(F.sum("size").alias("size"))
-    return sized, targets, saved(borders(sized, route(patterns, targets), seed), "borders")
+    return sized, targets, saved(borders(sized, route(patterns, targets), seed), "borders"), many
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source", seed: int = 0) -> DataFrame:
     """Per document: ``doc_id, source, size, source_size, target, copies, taken``."""
-    sized, targets, ends = _solve(docs, F.array(source_col), id_col, text_col, seed)
+    sized, targets, ends, _ = _solve(docs, F.array(source_col), id_col, text_col, seed)
     per_source = ends.join(targets, F.col("pattern")[0].eqNullSafe(F.col("source"))).drop("pattern")
-    one = sized.select("row_key", "size", F.col("pattern")[0].alias("_s"))
-    return (one.join(per_source, F.col("_s").eqNullSafe(F.col("source")))
-            .withColumn("copies", _copies(F.col("row_key"), seed))
+    one = sized.select("row_key", "text_key", "again", "size", F.col("pattern")[0].alias("_s"))
+    return (one.join(per_source, F.col("_s").eqNullSafe(F.col("source"))).withColumn("copies", _copies(seed))
             .select(F.col("row_key").alias("doc_id"), "source", "size", "source_size", "target",
                     "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
@@ -239,9 +270,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``members`` gives a document's sources where it has several (an array).
     """
     pattern = F.array(source_col) if members is None else members
-    _, _, ends = _solve(docs, pattern, id_col, text_col, seed)
+    _, _, ends, many = _solve(docs, pattern, id_col, text_col, seed)
+    ends = ends.withColumnRenamed("pattern", "_pattern")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(row.alias("row"), F.col(id_col).alias("row_key"), pattern.alias("_p"))
-    taken = (packed.join(ends, F.col("_p").eqNullSafe(F.col("pattern")))
-             .withColumn("n", _copies(F.col("row_key"), seed)).where("n > 0"))
+    packed = _numbered(docs.select(row.alias("row"), F.col(id_col).alias("row_key"),
+                                   _text_key(F.col(text_col)).alias("text_key"), pattern.alias("pattern")), many)
+    taken = (packed.join(ends, F.col("pattern").eqNullSafe(F.col("_pattern")))
+             .withColumn("n", _copies(seed)).where("n > 0"))
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

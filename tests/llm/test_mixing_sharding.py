@@ -50,6 +50,27 @@ def test_mix_of_repeated_rows_and_null_ids(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("none", [.3, .5, .7, 1.0])
+def test_mix_meets_its_target_without_ids(spark, none):
+    """Equal texts, many of them without an id: taken within one document of the target."""
+    rows = [(None if i < none * 1000 else i, "w " * 100, "s", "") for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = mixing.plan_mix(df).collect()
+    assert len(got) == 1000 and abs(sum(r.taken for r in got) - 150_000) <= 100
+    assert abs(mixing.mix(df).count() - 1500) <= 1
+    again = mixing.plan_mix(df.repartition(7)).groupBy("doc_id", "copies").count().collect()
+    want = {}
+    for r in got:
+        want[r.doc_id, r.copies] = want.get((r.doc_id, r.copies), 0) + 1
+    assert {(r.doc_id, r.copies): r["count"] for r in again} == want
+
+
+def test_equal_rows_are_numbered_in_many_tasks(spark):
+    df = spark.createDataFrame([(None, None)] * 600 + [(i, "x") for i in range(600)], "doc_id long, text string").repartition(4)
+    rows = sharding.number_rows(df, ["doc_id", "text"])
+    assert sorted(r.row_number for r in rows.collect()) == list(range(1200))
+
+
 def test_flow_routes_overlapping_sources(spark):
     patterns = spark.createDataFrame([(["a"], 100), (["a", "b"], 100), (["b"], 50), (["z"], 10)],
                                      "pattern array<string>, size long")
