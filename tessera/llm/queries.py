@@ -123,7 +123,8 @@ def op3(spark, sf_dir):
 
 @query("op4_fingerprints")
 def op4(spark, sf_dir):
-    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.fingerprint_edits(docs, links=fingerprint.band_groups(docs))
 
 
 PROBE_TEXT = "</s>[INST] ok [/INST]"
@@ -176,7 +177,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.doc_id = w.do
 
 @query("op6_near_duplicates", OP6_SQL)
 def op6(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "first")
 
 
 @query("op7_quality")
@@ -191,7 +192,8 @@ def op8(spark, sf_dir):
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+                  md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || ':'
+                      || (row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source ORDER BY doc_id) - 1)) AS k FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
               CAST([5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS DOUBLE) AS w
        FROM d GROUP BY source),

@@ -3,6 +3,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import fingerprint, neardup
 from tessera.operators.graph import components
 
@@ -78,11 +80,29 @@ def test_null_and_repeated_ids(spark):
                                 (None, "alone here"), (9, None), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 7, False), (7, 7, True), (7, 7, True), (3, 3, True), (None, None, True),
-                          (None, None, True), (9, 9, True), (None, None, True)], key=str)
+                          (None, None, False), (9, 9, True), (None, None, True)], key=str)
     kept = [tuple(r) for r in neardup.drop_near_duplicates(df).collect()]
     assert sorted(kept, key=str) == sorted([(7, long), (3, other), (None, "alone here"), (9, None), (None, None)], key=str)
 
 
+def test_near_copies_without_ids_leave_one(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+
+    def variant():
+        w = list(base)
+        w[rng.randrange(200)] = f"e{rng.randint(0, 10 ** 9)}"
+        return " ".join(w)
+
+    rows = [(None, variant()) for _ in range(5)] + [(i, " ".join(f"u{i}x{j}" for j in range(40))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = neardup.drop_near_duplicates(df).collect()
+    assert sum(r.doc_id is None for r in kept) == 1 and sorted(r.doc_id for r in kept if r.doc_id is not None) == [0, 1, 2, 3]
+    # one id for two similar texts: one row of the group stays
+    both = spark.createDataFrame([(5, variant()), (5, variant()), (9, variant())], "doc_id long, text string")
+    assert [r.doc_id for r in neardup.drop_near_duplicates(both).collect()] == [5]
+
+
 def test_near_duplicates_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
@@ -123,6 +143,30 @@ def test_fingerprint_edits(spark, ranges):
             assert r.edited_fingerprint == r.fingerprint
 
 
+@pytest.mark.parametrize("ranges", [2, 16])
+def test_fingerprint_of_repeated_ids_and_equal_rows(spark, ranges):
+    """A third of the rows without an id, a third all equal: ranges stay even, and
+    every row is compared with the one after it."""
+    rows = [(None, f"no id {i}") for i in range(200)] + [(7, "the same text")] * 200 + [(i, f"text {i} é") for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fingerprint.fingerprint_edits(df, ranges=ranges)
+    parts = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) <= 2.2 * 600 / ranges
+    out = got.collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, _ in rows)
+    texts = {i: t for i, t in rows if i is not None}
+    order = sorted(set(texts), reverse=True)
+    follows = {i: texts[j] for i, j in zip(order, order[1:])}
+    for r in out:
+        if r.doc_id in texts and r.doc_id != 7:
+            own, half = texts[r.doc_id], len(texts[r.doc_id]) // 2
+            edited = own[:len(own) - half] + follows[r.doc_id][:half]
+            assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    # of the equal rows all but the last are followed by an equal one
+    assert sum(r.near_next == 1.0 for r in out if r.doc_id == 7) == 199
+    assert sum(r.near_next == 1.0 for r in out if r.doc_id is None) == 0
+
+
 def test_fingerprint_edges(spark):
     one = spark.createDataFrame([(4, "a b c d e f")], "doc_id long, text string")
     r = fingerprint.fingerprint_edits(one, ranges=8).first()
@@ -147,3 +191,33 @@ def test_band_links(spark):
         if s and s in first:
             assert i in linked
         first.setdefault(s, i)
+
+
+def test_band_pairs_that_no_leader_settles(spark):
+    rng = random.Random(12)
+    # chains of variants of one core, many of them too far from the least id of their band
+    core = [f"c{i}" for i in range(300)]
+
+    def variant(base, at, n):
+        return base[:at] + [f"e{rng.randint(0, 10 ** 9)}" for _ in range(n)] + base[at + n:]
+
+    texts = {}
+    for i in range(40):
+        texts[i] = " ".join(variant(core, (i * 7) % 250, 25))
+    for i in range(40, 60, 2):
+        w = variant(variant(core, (i * 11) % 120, 30), 150 + (i * 5) % 100, 30)
+        texts[i], texts[i + 1] = " ".join(w), " ".join(w[:-1] + [f"z{i}"])
+    assert {i: g for i, g in groups(texts).items() if g != i}
+    texts[99] = None
+    df = spark.createDataFrame(list(texts.items()) + [(None, texts[0])], "doc_id long, text string")
+    want = groups(texts)
+    out = fingerprint.fingerprint_edits(df, ranges=4, links=fingerprint.band_groups(df)).collect()
+    assert len(out) == len(texts) + 1
+    got = {r.doc_id: r for r in out}
+    assert {i: got[i].group_id for i in texts} == want and got[None].group_id is None
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    for i in texts:
+        if got[i].leader is not None:
+            assert want[i] <= got[i].leader < i
+            a, b = sets[i], sets[got[i].leader]
+            assert abs(got[i].jaccard - len(a & b) / len(a | b)) < 1e-12 and got[i].jaccard >= 0.75

@@ -19,7 +19,7 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "events", "conversations"):
+    for t in ("documents", "pages", "events", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
