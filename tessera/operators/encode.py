@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.plans import survey_config as cfg
 from tessera.sources.scratch import BROADCAST_ROWS, saved
 
 
@@ -133,7 +134,7 @@ def lump_many(df: DataFrame, lumps: list[tuple[str, int, str]], salt: int = 32)
     return out if few else out.drop("_salt")
 
 
-def lump_rare(df: DataFrame, col: str, min_count: int, other: str = "Otro",
+def lump_rare(df: DataFrame, col: str, min_count: int = cfg.RARE_CATEGORY_MIN, other: str = cfg.RARE_CATEGORY_LABEL,
               out: str | None = None, salt: int = 32) -> DataFrame:
     """:func:`lump_many` for one column, written to ``out``."""
     if out is None or out == col:
@@ -147,7 +148,7 @@ def additive_score(cols: list[str]) -> Column:
     return sum((F.coalesce(c, F.lit(0.0)) for c in present), F.lit(0.0))
 
 
-def name_segments(c, names: dict, prefix: str = "Arquetipo ") -> Column:
+def name_segments(c, names: dict, prefix: str = cfg.SEGMENT_NAME_PREFIX) -> Column:
     """Segment code → name, default ``prefix + code``."""
     col = _q(c)
     return F.coalesce(map_values(col, names), F.concat(F.lit(prefix), col.cast("string")))

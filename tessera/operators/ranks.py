@@ -242,11 +242,11 @@ def group_histogram(df: DataFrame, cols: list[str], group_col: str) -> DataFrame
     """``(var, group, val, cg)`` value counts per variable and group.
 
     The one scan of the source that rank tests and group means share;
-    checkpointed because it is read more than once.
+    written because it is read more than once.
     """
     long = (to_long(df, cols, [group_col])
             .where(F.col(group_col).isNotNull()))
-    return long.groupBy("var", group_col, "val").agg(F.count(F.lit(1)).alias("cg")).checkpoint()
+    return saved(long.groupBy("var", group_col, "val").agg(F.count(F.lit(1)).alias("cg")), "histogram")
 
 
 def group_means_from_histogram(gh: DataFrame, group_col: str) -> DataFrame:

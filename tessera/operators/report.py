@@ -150,6 +150,29 @@ def eda(df: DataFrame, items: list[str], top: int = 5, low: float = 2.0) -> Data
                                                                   "mean_abs_r": F.col("mean_abs_r")})))
 
 
+def modelling(df: DataFrame, items: list[str], seg: str, target: float = 85.0, n: int = 3) -> DataFrame:
+    """The variance table of the items' principal components with the number
+    that reaches ``target`` %, the segments' centroids on the first two, and the
+    strongest and weakest ``n`` items of every segment."""
+    from tessera.operators import latent, validate
+
+    spark = df.sparkSession
+    model = latent.fit_pca(df, items)
+    table = spark.createDataFrame([(k + 1, float(v * 100)) for k, v in enumerate(model.explained_ratio)], "comp int, pct double")
+    cum, first = profile.cumulative_share(table, "comp", "pct", target)
+    two = latent.PCAModel(model.cols, model.means, model.components[:, :2], model.explained_variance, model.explained_ratio)
+    pcs = [f"pc{k + 1}" for k in range(two.components.shape[1])]
+    centres = validate.centroids(df.select(_q(seg).alias("g"), *two.score_columns()).where("g is not null"), pcs, "g")
+    extremes = profile.mean_extremes(df, items, seg, n)
+    return (_stats(cum, "model_pca", F.concat(F.lit("pc"), F.col("comp").cast("string")), TOTAL,
+                   {"pct": F.col("pct"), "cum_pct": F.col("cum"), "kaiser_pct": F.lit(100.0 / len(items))})
+            .unionByName(_stats(first, "model_pca", "components", TOTAL, {"n_for_target": F.col("n_for_target")}))
+            .unionByName(_stats(centres, "model_projection", seg, F.col("g"), {"n": F.col("n"), **{c: F.col(c) for c in pcs}}))
+            .unionByName(_stats(extremes, "model_strengths", F.col("var"), F.col(seg), {
+                "top": F.when(F.col("side") == "top", F.col("rank")), "bottom": F.when(F.col("side") == "bottom", F.col("rank")),
+                "mean": F.col("mean")}).where("value is not null")))
+
+
 def compare_studies(a: DataFrame, b: DataFrame, a_item: str, b_item: str, a_seg: str, b_seg: str) -> DataFrame:
     """Two studies' segments side by side by the rank of an item's mean (full outer join)."""
     from pyspark.sql import Window as W

@@ -35,15 +35,15 @@ class IngestSpec:
     index_col: str = "Unnamed: 0"
     id_col: str = "row_id"
     sentinel_col: str | None = None
-    sentinel_value: float = 87.0
-    sparse_threshold: float = 0.95
-    incomplete_threshold: float = 0.90
+    sentinel_value: float = cfg.SENTINEL_VALUE
+    sparse_threshold: float = cfg.SPARSE_COLUMN_THRESHOLD_A
+    incomplete_threshold: float = cfg.INCOMPLETE_ROW_THRESHOLD
     likert_cols: list[str] = field(default_factory=list)
-    likert_range: tuple = (1, 5)
+    likert_range: tuple = cfg.LIKERT_RANGE
     binary_cols: list[str] = field(default_factory=list)
     binary_values: tuple = ("Si", "No")
     stratum_cols: list[str] = field(default_factory=list)
-    stratum_range: tuple = (1, 6)
+    stratum_range: tuple = cfg.STRATUM_RANGE
 
 
 def ingest(raw: DataFrame, spec: IngestSpec) -> tuple[DataFrame, DataFrame]:

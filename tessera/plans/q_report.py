@@ -9,8 +9,8 @@ from tessera.operators import report as rp
 from tessera.plans import flows
 from tessera.plans import survey_config as cfg
 from tessera.plans.catalog import register, r6, sql_long
-from tessera.plans.proxies import (B_COLUMNS, B_SALARY, B_SCALES, SURVEY_ITEMS, SURVEY_SQL, line_items, scale_sql,
-                                   survey, survey_b, survey_b_sql)
+from tessera.plans.proxies import (B_COLUMNS, B_SALARY, B_SCALES, SURVEY_ITEMS, SURVEY_SQL, embed_points,
+                                   embed_points_sql, line_items, scale_sql, survey, survey_b, survey_b_sql)
 from tessera.plans.q_stats import _kw_sql
 from tessera.sources.scratch import saved
 
@@ -294,3 +294,33 @@ UNION ALL {_long_rows("a", "eda_pairs", "'all'", "'TOTAL'", {"mean_r": "m", "mea
 def report_eda(spark, sf_dir):
     """Item statistics, low shares, strongest correlations and their mean."""
     return rp.eda(line_items(spark, sf_dir), _EDA).withColumn("value", r6("value"))
+
+
+# two items: the components have a closed form
+_MODEL_SQL = f"""WITH {embed_points_sql(2)},
+cv AS (SELECT covar_samp(x0, x0) AS a, covar_samp(x0, x1) AS b, covar_samp(x1, x1) AS d, avg(x0) AS m0, avg(x1) AS m1 FROM pts),
+ev AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS l1 FROM cv),
+v AS (SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS u0, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS u1 FROM ev),
+sg AS (SELECT *, CASE WHEN (CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) < 0 THEN -1 ELSE 1 END AS s FROM v),
+c2 AS (SELECT *, s * u0 AS a0, s * u1 AS a1, -s * u1 AS b0, s * u0 AS b1 FROM sg),
+c3 AS (SELECT *, CASE WHEN (CASE WHEN abs(b0) >= abs(b1) THEN b0 ELSE b1 END) < 0 THEN -1 ELSE 1 END AS t FROM c2),
+comp AS (SELECT 'pc1' AS item, 100 * l1 / (a + d) AS pct, 100 * l1 / (a + d) AS cum, 50.0E0 AS kaiser FROM ev
+         UNION ALL SELECT 'pc2', 100 - 100 * l1 / (a + d), 100.0E0, 50.0E0 FROM ev),
+tgt AS (SELECT CASE WHEN 100 * l1 / (a + d) >= 85 THEN 1 ELSE 2 END AS k FROM ev),
+pr AS (SELECT label AS seg, count(*) AS n, avg(a0 * (x0 - m0) + a1 * (x1 - m1)) AS pc1,
+              avg(t * (b0 * (x0 - m0) + b1 * (x1 - m1))) AS pc2 FROM pts, c3 GROUP BY label),
+m AS (SELECT label AS seg, unnest(['x0', 'x1']) AS var, unnest([avg(x0), avg(x1)]) AS mean FROM pts GROUP BY label),
+r AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY mean DESC, var) AS rt,
+             row_number() OVER (PARTITION BY seg ORDER BY mean, var) AS rb FROM m)
+SELECT section, item, segment, stat, round(value, 6) AS value FROM (
+{_long_rows("comp", "model_pca", "item", "'TOTAL'", {"pct": "pct", "cum_pct": "cum", "kaiser_pct": "kaiser"})}
+UNION ALL {_long_rows("tgt", "model_pca", "'components'", "'TOTAL'", {"n_for_target": "k"})}
+UNION ALL {_long_rows("pr", "model_projection", "'label'", "CAST(seg AS VARCHAR)", {"n": "n", "pc1": "pc1", "pc2": "pc2"})}
+UNION ALL {_long_rows("r", "model_strengths", "var", "CAST(seg AS VARCHAR)", {"top": "rt", "mean": "mean"})}
+UNION ALL {_long_rows("r", "model_strengths", "var", "CAST(seg AS VARCHAR)", {"bottom": "rb", "mean": "mean"})})"""
+
+
+@register("report_modelling", _MODEL_SQL)
+def report_modelling(spark, sf_dir):
+    """Components, projection of the segments, strengths, as one long table."""
+    return rp.modelling(embed_points(spark, sf_dir, 2), ["x0", "x1"], "label").withColumn("value", r6("value"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import latent, segment, validate
-from tessera.plans import flows
+from tessera.plans import flows, q_latent
 from tessera.plans.catalog import register
 from tessera.plans.proxies import SURVEY_SQL, embed_points, embed_points_sql, survey
 from tessera.sources.scratch import saved
@@ -190,13 +190,15 @@ def dbscan_grid(spark, sf_dir):
 
 @register("kprototypes")
 def kprototypes(spark, sf_dir):
-    """K-prototypes for k = 2..7 on survey items (median-imputed) and nominal answers (gaps 'Otro')."""
+    """K-prototypes for k = 2..7 on survey items (median-imputed) and nominal answers (gaps 'Otro');
+    the metrics are those of the labels on the latent table."""
     s = survey(spark, sf_dir)
     num, cat = ["q1", "q2", "q4"], ["cat_program", "t1"]
     v = latent.median_impute(s.select("row_id", *num, *cat), num)
     v = v.withColumns({c: F.coalesce(F.col(c), F.lit("Otro")) for c in cat})
     labels, costs = segment.kprototypes_sweep(v, num, cat, range(2, 8), "row_id")
-    met = validate.metrics_table(v.select("row_id", *num), num, labels, "row_id", ("k",))
+    space = saved(q_latent.latent_space(spark, sf_dir), "space")
+    met = validate.metrics_table(space, [c for c in space.columns if c != "row_id"], labels, "row_id", ("k",))
     cost = spark.createDataFrame([(int(k), float(c), bool(done)) for k, c, done in costs],
                                  "k int, cost double, converged boolean")
     return met.withColumn("k", F.col("k").cast("int")).join(cost, "k").select(
