@@ -2,9 +2,10 @@
 
 ``encoder(path)`` serves a byte-level BPE ``tokenizers`` file.  The ids come
 from ``tiktoken`` over the file's own vocabulary, which is several times faster
-and gives the same ids (held by a test); a text that contains one of the file's
-added tokens, which ``tokenizers`` finds before it splits, goes to
-``tokenizers`` itself.  Nothing is trained and no file is copied.
+and gives the same ids (held by a test).  To ``tokenizers`` itself go texts that
+contain one of the file's added tokens, which it finds before it splits, and all
+texts if the file asks for another split or model than ``tiktoken`` is set up for.
+Texts of any length are encoded whole.  Nothing is trained and no file is copied.
 """
 
 from __future__ import annotations
@@ -29,6 +30,16 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def plain_bytes(spec: dict) -> bool:
+    """Whether a tokenizer file describes what ``tiktoken`` does with ``PATTERN``: no
+    normaliser, byte-level split by the usual expression, plain BPE merges."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+            and not split.get("add_prefix_space") and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix",
+                                               "byte_fallback", "ignore_merges")))
+
+
 class Encoder:
     def __init__(self, path: str):
         import tiktoken
@@ -40,6 +51,9 @@ class Encoder:
         self._exact = Tokenizer.from_file(path)
         self._exact.no_truncation()
         self._exact.no_padding()
+        self._fast = None
+        if not plain_bytes(spec):
+            return
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()
                  if token not in self.added}
@@ -50,7 +64,7 @@ class Encoder:
         """Ids of a whole text without special tokens; null is empty."""
         if not text:
             return []
-        if any(t in text for t in self.added):
+        if self._fast is None or any(t in text for t in self.added):
             return self._exact.encode(text, add_special_tokens=False).ids
         return self._fast.encode_ordinary(text)
 

@@ -167,6 +167,20 @@ def test_fingerprint_of_repeated_ids_and_equal_rows(spark, ranges):
     assert sum(r.near_next == 1.0 for r in out if r.doc_id is None) == 0
 
 
+def test_fingerprint_of_a_text_longer_than_a_group(spark):
+    from tessera.llm import _text
+    long = " ".join(f"w{i}" for i in range(150_000))
+    assert len(long) > _text.GROUP_BYTES
+    rows = [(3, long), (2, "a b c d e f g"), (1, long.replace("w77 ", "x ")), (0, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint.fingerprint_edits(df, ranges=3, links=fingerprint.band_groups(df)).collect()}
+    assert got[3].n_chars == len(long) and got[3].group_id == got[1].group_id is not None and got[3].leader == 1
+    a, b = shingle_set(long), shingle_set(rows[2][1])
+    assert abs(got[3].jaccard - len(a & b) / len(a | b)) < 1e-12
+    edited = rows[2][1][:len(rows[2][1]) - len(rows[2][1]) // 2] + "one"
+    assert got[1].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_fingerprint_edges(spark):
     one = spark.createDataFrame([(4, "a b c d e f")], "doc_id long, text string")
     r = fingerprint.fingerprint_edits(one, ranges=8).first()

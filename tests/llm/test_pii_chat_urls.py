@@ -30,6 +30,24 @@ def test_base_spans_match_brute_force(spark):
             assert all(t[s.start:s.end] == s.value for s in got[i][k])
 
 
+def test_query_names_all_spans(spark, tmp_path):
+    """The digest of the base spans and the list of all of them, read from a table."""
+    from tessera.llm.queries import QUERIES
+    texts = hard_texts()[:200] + ["IBAN DE89 3704 0044 0532 0130 00, mail a@b.co, ip 10.0.0.1"]
+    texts = [t for t in texts if t is None or len(t) < 20000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op2_pii"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        named = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert set(named) <= set(got[i].spans.split(","))
+        for k in pii.BASE_KINDS:
+            assert got[i][f"n_{k}"] == sum(x[0] == k for x in base)
+    last = got[len(texts) - 1].spans.split(",")
+    assert any(x.startswith("iban:5:") for x in last) and len(last) == 3
+
+
 def test_added_kinds_need_checksum_or_context(spark):
     df = spark.createDataFrame([
         (0, "DE89 3704 0044 0532 0130 00"), (1, "DE88 3704 0044 0532 0130 00"), (2, "GB82WEST12345698765432 x"),

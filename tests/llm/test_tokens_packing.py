@@ -35,6 +35,36 @@ def test_ids_of_test_table(spark):
     assert [enc.ids(t) for t in texts] == reference_ids(texts)
 
 
+def test_another_split_goes_to_the_tokenizer(tmp_path):
+    """A file that splits otherwise is not read by the fast path."""
+    import json
+    spec = json.load(open(tokens.default_path(), encoding="utf-8"))
+    assert tokens.plain_bytes(spec)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert not tokens.plain_bytes(spec)
+    other, plain = tokens.encoder(str(path)), tokens.encoder(tokens.default_path())
+    want = tokenizers.Tokenizer.from_file(str(path)).encode("hello there", add_special_tokens=False).ids
+    assert other.ids("hello there") == want != plain.ids("hello there")
+
+
+def test_texts_longer_than_a_group(spark):
+    """One text of several groups' length among short ones."""
+    from tessera.llm import _text
+    long = " ".join(f"word{i % 5000}" for i in range(120_000))
+    assert len(long) > 2 * _text.GROUP_BYTES
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, None)], "doc_id long, text string").repartition(2)
+    n = {i: len(x) for i, x in zip((1, 2, 3), reference_ids([long, "short", None]))}
+    hist = {r["length"]: r.n_docs for r in lengths.length_histogram(df).collect()}
+    assert hist == {x: 1 for x in n.values()}
+    out = packing.pack_documents(df).collect()
+    for i in n:
+        own = sorted((r.start, r.length) for r in out if r.doc_id == i)
+        assert [a for a, _ in own] == [sum(x for _, x in own[:k]) for k in range(len(own))]
+        assert sum(x for _, x in own) == n[i] + 1
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 700, 1024, 1025, 1500, 2047, 2048, 2049, 5000])
 def test_cut_covers_and_wastes_little(n):
     parts = packing.cut(n)
