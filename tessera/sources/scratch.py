@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -22,7 +23,8 @@ _WRITTEN: dict[int, list[list[str]]] = {}
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what :func:`saved` wrote within, but for tables to ``keep``."""
+    """Removes at its end what :func:`saved` wrote within, but for tables to ``keep``,
+    and has Spark's cleaner drop the shuffle files of plans that nobody holds any more."""
     scopes = _WRITTEN.setdefault(get_ident(), [])
     paths: list[str] = []
     scopes.append(paths)
@@ -33,6 +35,8 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         for path in paths:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()            # Python's handles on plans, then the JVM's
+        spark._jvm.System.gc()
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
