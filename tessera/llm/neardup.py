@@ -147,13 +147,15 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, w
     """``rep, shingles`` (sorted distinct hashes) of the documents named in ``reps``
     (``rep, doc_id, text_key, copies``: rows of that id and text); one of several
     equal rows is taken."""
-    @F.arrow_udf("array<bigint>")
-    def shingles(col: pa.Array) -> pa.Array:
-        sets = [s.view(np.int64) for w in _text.word_groups(col, lower=True)
-                for s in distinct_shingles(w, width)]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch for every group of texts: sets are larger than their texts."""
+        for batch in batches:
+            for w in _text.word_groups(batch.column(1), lower=True):
+                sets = [s.view(np.int64) for s in distinct_shingles(w, width)]
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(w.first, w.n),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["rep", "shingles"])
 
     text = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
@@ -166,7 +168,7 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, w
     found = having("copies = 1")
     if not reps.where("copies > 1").isEmpty():
         found = found.unionByName(having("copies > 1").groupBy("rep").agg(F.first("text").alias("text")))
-    return found.select("rep", shingles("text").alias("shingles"))
+    return found.mapInArrow(run, "rep long, shingles array<bigint>")
 
 
 def star_overlaps(stars: DataFrame, sets: DataFrame) -> DataFrame:
