@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -89,27 +90,40 @@ def average_ranks(long: DataFrame, keys: list[str], val: str = "val",
                     (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("avg_rank"))
 
 
+def _lookup(col: str, values: np.ndarray, ranks: np.ndarray) -> Column:
+    """The rank of a column's value in a table sorted by value; others are null."""
+    @F.arrow_udf("double")
+    def rank(v: pa.Array) -> pa.Array:
+        x = v.to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(values, x), max(len(values) - 1, 0))
+        if not len(values):
+            return pa.nulls(len(x), pa.float64())
+        found = values[at] == x
+        return pa.array(ranks[at], mask=~(found | (np.isnan(values[at]) & np.isnan(x))) | v.is_null().to_numpy(zero_copy_only=False))
+
+    return rank(F.col(f"`{col}`").try_cast("double"))
+
+
 def rank_columns(df: DataFrame, cols: list[str], id_col: str = "row_id",
                  suffix: str = "", buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """Replace each column by its average rank (M3), keyed by ``id_col``.
 
     The rank table has one row per distinct value.  While it is small (checked)
-    every column looks its ranks up in place, without a shuffle of the rows;
-    beyond that the long form is joined and pivoted back.  Nulls stay null and
+    it goes to the tasks and every column looks its ranks up in place: one
+    projection for any number of columns, no join and no shuffle of the rows.
+    Beyond that the long form is joined and pivoted back.  Nulls stay null and
     every row stays, also one whose columns are all null.
     """
     long = to_long(df, cols, [id_col])
     table = saved(average_ranks(long, ["var"], buckets=buckets).select("var", "val", "avg_rank"), "ranks")
-    ids = df.select(id_col, *[F.col(f"`{c}`").try_cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
     if table.count() <= BROADCAST_ROWS:
-        for i, c in enumerate(cols):
-            lookup = table.where(F.col("var") == c).select(F.col("val").alias(f"_x{i}"),
-                                                           F.col("avg_rank").alias(f"_r{i}"))
-            ids = ids.join(F.broadcast(lookup), F.col(f"_v{i}") == F.col(f"_x{i}"), "left")
-        return ids.select(id_col, *[F.col(f"_r{i}").alias(c + suffix) for i, c in enumerate(cols)])
+        of = dict(list(table.toPandas().sort_values("val").groupby("var")))
+        none = pd.DataFrame({"val": np.zeros(0), "avg_rank": np.zeros(0)})
+        return df.select(id_col, *[_lookup(c, t["val"].to_numpy(float), t["avg_rank"].to_numpy(float)).alias(c + suffix)
+                                   for c in cols for t in [of.get(c, none)]])
     wide = (long.join(table, ["var", "val"]).groupBy(id_col).pivot("var", list(cols))
             .agg(F.first("avg_rank")))
-    return ids.select(id_col).join(wide, id_col, "left").select(
+    return df.select(id_col).join(wide, id_col, "left").select(
         id_col, *[F.col(c).alias(c + suffix) for c in cols])
 
 

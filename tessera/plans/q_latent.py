@@ -250,6 +250,30 @@ def quantile_normal(spark, sf_dir):
     return t.select("o_orderkey", r6("price_qn").alias("price_qn"), r6("prio_qn").alias("prio_qn"))
 
 
+# two latent columns: quantile → normal as above, then components in closed form
+_LATENT2_SQL = _QN_SQL[:_QN_SQL.rindex("SELECT s.o_orderkey")].rstrip() + """,
+pts AS (SELECT s.o_orderkey AS row_id, a.z AS x0, b.z AS x1
+        FROM src s JOIN z a ON a.var = 'price' AND a.val = s.price JOIN z b ON b.var = 'prio' AND b.val = s.prio),
+cv AS (SELECT covar_samp(x0, x0) AS a, covar_samp(x0, x1) AS b, covar_samp(x1, x1) AS d, avg(x0) AS m0, avg(x1) AS m1 FROM pts),
+ev AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS l1 FROM cv),
+v AS (SELECT *, b / sqrt(b * b + (l1 - a) * (l1 - a)) AS u0, (l1 - a) / sqrt(b * b + (l1 - a) * (l1 - a)) AS u1 FROM ev),
+sg AS (SELECT *, CASE WHEN (CASE WHEN abs(u0) >= abs(u1) THEN u0 ELSE u1 END) < 0 THEN -1 ELSE 1 END AS s FROM v),
+c2 AS (SELECT *, s * u0 AS a0, s * u1 AS a1, -s * u1 AS b0, s * u0 AS b1 FROM sg),
+c3 AS (SELECT *, CASE WHEN (CASE WHEN abs(b0) >= abs(b1) THEN b0 ELSE b1 END) < 0 THEN -1 ELSE 1 END AS t FROM c2)
+SELECT row_id, round(a0 * (x0 - m0) + a1 * (x1 - m1), 5) AS pc1, round(t * (b0 * (x0 - m0) + b1 * (x1 - m1)), 5) AS pc2
+FROM pts, c3"""
+
+
+@register("latent_space_2d", _LATENT2_SQL)
+def latent_space_2d(spark, sf_dir):
+    """Quantile → normal and principal components of two columns (closed form)."""
+    src = load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").cast("double").alias("price"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"))
+    scores, _, _ = latent.latent_space(src, ["price", "prio"], "row_id", 2)
+    return scores.select("row_id", F.round("pc1", 5).alias("pc1"), F.round("pc2", 5).alias("pc2"))
+
+
 _PCA2_CTE = f"""{embed_points_sql(2)},
 cv AS (SELECT covar_samp(x0, x0) AS a, covar_samp(x0, x1) AS b, covar_samp(x1, x1) AS d,
               avg(x0) AS m0, avg(x1) AS m1 FROM pts),
