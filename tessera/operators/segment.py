@@ -331,6 +331,12 @@ def dbscan(df: DataFrame, cols: list[str], eps: float, min_pts: int, id_col: str
 # k-prototypes
 # ---------------------------------------------------------------------------
 
+def _hashes(df: DataFrame, values: list[str]) -> list[int]:
+    """Spark's hashes of category names."""
+    one = df.sparkSession.range(1).select(*[F.xxhash64(F.lit(v)).alias(f"h{i}") for i, v in enumerate(values)])
+    return list(one.first())
+
+
 def _dense_rows(base: DataFrame, cat_cols: list[str], id_col: str, k: int) -> list:
     """``k`` starting rows by category density: the first has the most frequent
     categories, each further one the largest density times distance to the
@@ -354,44 +360,53 @@ def _dense_rows(base: DataFrame, cat_cols: list[str], id_col: str, k: int) -> li
     return chosen
 
 
-def _mixed_round(base: DataFrame, num_cols: list[str], cat_cols: list[str], protos: dict, runs: list, gamma: float):
+def _mixed_round(base: DataFrame, names: DataFrame, num_cols: list[str], cat_cols: list[str], protos: dict, runs: list,
+                 gamma: float):
     """One pass for every running start: sizes, costs and means of the clusters
     (collected: runs × clusters rows) and the modes of their categories (counted
-    in Spark, the modes collected)."""
-    b = base.sparkSession.sparkContext.broadcast({runs.index(r): ps for r, ps in protos.items()})
-    p = len(num_cols)
+    in Spark by the categories' hashes, named by ``names``, the modes collected)."""
+    p, c = len(num_cols), len(cat_cols)
+    held = [(runs.index(r), np.array([[q[x] for x in num_cols] for q in ps], float).reshape(len(ps), p),
+             np.array([[q[f"_h_{x}"] for x in cat_cols] for q in ps], np.int64).reshape(len(ps), c),
+             [q["cluster"] for q in ps]) for r, ps in protos.items()]
+    b = base.sparkSession.sparkContext.broadcast(held)
+    hashes = [f"_h_{x}" for x in cat_cols]
 
     def fn(it):
+        sums, seen = {}, {}
         for pdf in it:
-            x = pdf[num_cols].to_numpy(dtype=float)
-            cats = [pdf[c].to_numpy(dtype=object) for c in cat_cols]
-            rows = []
-            for run, ps in b.value.items():
-                d = np.stack([sum(((x[:, j] - q[c]) ** 2 for j, c in enumerate(num_cols)), np.zeros(len(x)))
-                              + gamma * sum(((v != q[c]).astype(float) for v, c in zip(cats, cat_cols)),
-                                            np.zeros(len(x))) for q in ps], axis=1)
+            x = pdf[num_cols].to_numpy(dtype=float).reshape(len(pdf), p)
+            h = pdf[hashes].to_numpy(dtype=np.int64).reshape(len(pdf), c)
+            for run, pn, pc, ids in b.value:
+                d = ((x[:, None, :] - pn[None]) ** 2).sum(-1) + gamma * (h[:, None, :] != pc[None]).sum(-1)
                 near = d.argmin(1)
                 best = d[np.arange(len(x)), near]
-                for j, q in enumerate(ps):
-                    m = near == j
-                    if m.any():
-                        rows.append((run, q["cluster"], None, None,
-                                     [float(m.sum()), float(best[m].sum()), *x[m].sum(0).tolist()]))
-                        for v, c in zip(cats, cat_cols):
-                            for val, n in zip(*np.unique(v[m].astype(str), return_counts=True)):
-                                rows.append((run, q["cluster"], c, str(val), [float(n)]))
-            if rows:
-                yield pd.DataFrame(rows, columns=["run", "cluster", "var", "val", "v"])
-
-    part = base.select(*num_cols, *cat_cols).mapInPandas(
-        fn, "run int, cluster int, var string, val string, v array<double>")
-    sums = saved(part.groupBy("run", "cluster", "var", "val").agg(
+                part = np.column_stack([np.bincount(near, weights=w, minlength=len(ids))
+                                        for w in (np.ones(len(x)), best, *x.T)])
+                sums[run] = sums[run] + part if run in sums else part
+                for j in range(c):
+                    pairs, n = np.unique(np.column_stack([near, h[:, j]]), axis=0, return_counts=True)
+                    for (k, code), m in zip(pairs.tolist(), n.tolist()):
+                        key = (run, ids[k], j, code)
+                        seen[key] = seen.get(key, 0) + m
+        rows = [(run, ids[k], None, None, row.tolist()) for run, _, _, ids in b.value if run in sums
+                for k, row in enumerate(sums[run]) if row[0]]
+        rows += [(*key, [float(n)]) for key, n in seen.items()]
+        if rows:
+            run, cluster, var, code, v = zip(*rows)
+            # nullable integers: a hash does not survive a detour through floats
+            yield pd.DataFrame({"run": run, "cluster": cluster, "var": pd.array(var, "Int32"),
+                                "code": pd.array(code, "Int64"), "v": v})
+
+    part = base.select(*num_cols, *hashes).mapInPandas(
+        fn, "run int, cluster int, var int, code long, v array<double>")
+    sums = saved(part.groupBy("run", "cluster", "var", "code").agg(
         *[F.sum(F.get("v", F.lit(j))).alias(f"s{j}") for j in range(p + 2)]), "round")
     num = [{"run": r["run"], "cluster": r["cluster"], "cost": r["s1"],
             "mean": [r[f"s{j + 2}"] / r["s0"] for j in range(p)]} for r in sums.where("var is null").collect()]
-    modes = {(r["run"], r["cluster"], r["var"]): r["mode"] for r in
-             sums.where("var is not null").groupBy("run", "cluster", "var").agg(
-                 F.min_by("val", F.struct(-F.col("s0"), F.col("val"))).alias("mode")).collect()}
+    named = sums.where("var is not null").join(small(names), ["var", "code"])
+    modes = {(r["run"], r["cluster"], cat_cols[r["var"]]): r["m"] for r in named.groupBy("run", "cluster", "var").agg(
+        F.min_by(F.struct("val", "code"), F.struct(-F.col("s0"), F.col("val"))).alias("m")).collect()}
     return num, modes
 
 
@@ -412,7 +427,12 @@ def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k
     columns complete (fill with 'Otro' or the mode).
     """
     base = saved(df.select(id_col, *[_q(c).cast("double").alias(c) for c in num_cols],
-                           *[_q(c).cast("string").alias(c) for c in cat_cols]), "mixed")
+                           *[_q(c).cast("string").alias(c) for c in cat_cols],
+                           *[F.xxhash64(_q(c).cast("string")).alias(f"_h_{c}") for c in cat_cols]), "mixed")
+    items = F.array(*[F.struct(F.lit(i).alias("var"), F.col(f"_h_{c}").alias("code"), F.col(c).alias("val"))
+                      for i, c in enumerate(cat_cols)]) if cat_cols else None
+    names = (saved(base.select(F.explode(items).alias("x")).select("x.*").distinct(), "categories") if cat_cols else
+             base.sparkSession.createDataFrame([], "var int, code long, val string"))
     if gamma is None:
         st = base.agg(*[F.stddev_samp(c).alias(c) for c in num_cols]).first()
         gamma = 0.5 * float(np.mean([st[c] or 0.0 for c in num_cols])) if num_cols else 1.0
@@ -431,7 +451,8 @@ def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k
     for k in k_range:
         for init in range(sum(r[0] == k for r in starts) if starts else n_init):
             if starts:
-                ps = [dict(r) for r in starts[k, init]]
+                ps = [dict(r, **{f"_h_{c}": h for c, h in zip(cat_cols, _hashes(base, [r[c] for c in cat_cols]))})
+                      for r in starts[k, init]]
             elif init == 0 and dense:
                 ps = [dict(r) for r in dense[:k]]
             else:
@@ -445,7 +466,7 @@ def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k
     for _ in range(max_iter + 1):
         if not active:
             break
-        num, modes = _mixed_round(base, num_cols, cat_cols, {r: protos[r] for r in active}, runs, gamma)
+        num, modes = _mixed_round(base, names, num_cols, cat_cols, {r: protos[r] for r in active}, runs, gamma)
         still = []
         for run in active:
             i = runs.index(run)
@@ -462,7 +483,7 @@ def kprototypes_sweep(df: DataFrame, num_cols: list[str], cat_cols: list[str], k
             for r in sorted(rows, key=lambda r: r["cluster"]):
                 p = {"cluster": r["cluster"], **dict(zip(num_cols, r["mean"]))}
                 for c in cat_cols:
-                    p[c] = modes.get((i, r["cluster"], c))
+                    p[c], p[f"_h_{c}"] = modes[i, r["cluster"], c]
                 new.append(p)
             protos[run] = new
             still.append(run)
