@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _text, neardup
 from tessera.operators.graph import components
-from tessera.sources.scratch import saved, temporary
+from tessera.sources.scratch import saved, small, temporary
 
 K = 128
 SEED = 4
@@ -273,7 +273,9 @@ def band_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select("a", "b", common.alias("c"), (F.size("set_a") + F.size("set_b")).alias("n"))
             .where(100 * F.col("c") >= pct * (F.col("n") - F.col("c")))
             .select("a", "b", (F.col("c") / (F.col("n") - F.col("c"))).alias("jaccard")))
-    copies = (full.join(by_set.agg(F.min("doc_id").alias("b")), ["set_a", "set_b"]).where("doc_id <> b")
+    # classes of several documents; as few as these are, their rows need no shuffle
+    several = by_set.agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).where("b <> last").drop("last")
+    copies = (full.join(small(saved(several, "several")), ["set_a", "set_b"]).where("doc_id <> b")
               .select(F.col("doc_id").alias("a"), "b", F.lit(1.0).alias("jaccard")))
     return (links.unionByName(more).unionByName(copies)
             .groupBy(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("leader"))

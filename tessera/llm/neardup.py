@@ -302,9 +302,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = profile_sets(docs, id_col, text_col, k, width)
     rows = saved(rows.withColumn("rid", F.monotonically_increasing_id()), "shingles")
     full = rows.where("n_shingles > 0")
-    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rid", "signature", "n_shingles")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "text_key", "signature", "n_shingles")
     classes = full.groupBy("set_a", "set_b").agg(F.min(least).alias("m"))
-    # a row's number names its class: the table is written, so it stays
+    # classes are numbered in the order of their first documents, so that of equally
+    # central ones the earliest leads; the table is written, so the numbers stay
+    order = ["m.none", "m.doc_id", "m.rid"]
+    classes = classes.repartitionByRange(*order).sortWithinPartitions(*order)
     reps = saved(classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "m.doc_id", "m.text_key",
                                 F.col("m.rid").alias("first_rid"), "m.n_shingles", "m.signature"), "classes")
     posts = saved(prefix_postings(reps, k, matches), "postings")
