@@ -177,17 +177,18 @@ def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float], val: s
         j = data.withColumns({"n": F.lit(one["n"]), "_e": F.array(*[F.lit(x) for x in one["_e"] or [0.0] * len(ends)])})
     v = F.col(val)
     lo, hi = (lambda i: F.col("_e")[2 * i]), (lambda i: F.col("_e")[2 * i + 1])
-    inside = saved(
-        j.select(*keys, val, F.explode(F.array_compact(F.array(*[
-            F.when((v >= lo(i)) & (v <= hi(i)), F.lit(i)) for i in range(len(probs))]))).alias("j"))
-        .groupBy(*keys, "j", val).agg(F.count(F.lit(1)).alias("cnt")), "bracket")
-    around = j.groupBy(*keys).agg(F.first("n").alias("n"), *[f for i in range(len(probs)) for f in (
-        F.count_if(v < lo(i)).alias(f"below{i}"), F.max(F.when(v < lo(i), v)).alias(f"under{i}"),
-        F.min(F.when(v > hi(i), v)).alias(f"over{i}"))])
-    around = around.select(*keys, "n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("j"), F.lit(float(p)).alias("p"), F.col(f"below{i}").alias("below"),
-                 F.col(f"under{i}").alias("under"), F.col(f"over{i}").alias("over"))
-        for i, p in enumerate(probs)])).alias("t")).select(*keys, "n", "t.*")
+    # one pass: per group and probability the rows below, the values within, the rows above
+    side = [F.struct(F.lit(i).alias("j"), F.when(v < lo(i), -1).when(v > hi(i), 1).otherwise(0).alias("side"),
+                     F.when((v >= lo(i)) & (v <= hi(i)), v).alias("at")) for i in range(len(probs))]
+    seen = saved(j.select(*keys, val, "n", F.explode(F.array(*side)).alias("x")).groupBy(*keys, "x.j", "x.side", "x.at").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min(val).alias("least"), F.max(val).alias("most"), F.first("n").alias("n")),
+        "bracket")
+    inside = seen.where("side = 0").select(*keys, "j", F.col("at").alias(val), "cnt")
+    around = seen.groupBy(*keys, "j").agg(
+        F.first("n").alias("n"), F.coalesce(F.sum(F.when(F.col("side") == -1, F.col("cnt"))), F.lit(0)).alias("below"),
+        F.max(F.when(F.col("side") == -1, F.col("most"))).alias("under"),
+        F.min(F.when(F.col("side") == 1, F.col("least"))).alias("over"))
+    around = around.withColumn("p", F.array(*[F.lit(float(p)) for p in probs])[F.col("j")])
     longest = inside.groupBy(*keys, "j").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
     if longest <= bracket:
         w = W.partitionBy(*keys, "j").orderBy(val).rowsBetween(W.unboundedPreceding, -1)
