@@ -24,6 +24,12 @@ _DEFAULTS = {
 }
 
 
+# Runtime settings that are filled in where neither launcher nor caller set them.
+# Texts have no common length, so Arrow batches are bounded by bytes, not by rows
+# alone: Spark's own 256 MB would meet a task's memory several times over.
+_RUNTIME = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def get_session(master: str | None = None, app: str = "tessera",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
@@ -49,6 +55,11 @@ def get_session(master: str | None = None, app: str = "tessera",
     return spark
 
 
+def _set_by_caller(spark: SparkSession) -> dict:
+    """What was set in this session after its start."""
+    return {k: v for k, v in spark.conf.getAll.items() if k in _RUNTIME}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory of the session.
 
@@ -57,6 +68,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     private scratch folder is created; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
+    for key, value in _RUNTIME.items():
+        if sc.getConf().get(key) is None and key not in _set_by_caller(spark):
+            spark.conf.set(key, value)
     current = sc.getCheckpointDir()
     if current:
         return current
