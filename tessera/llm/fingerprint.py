@@ -124,8 +124,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = keys.groupBy("part").agg(F.min(F.struct(*order)).alias("m")).select("m.*").orderBy(*order).collect()
     cuts = [np.array([r[c] for r in first[1:]], t) for c, t in zip(order, (np.int64, np.int64, np.float64))]
 
-    @F.arrow_udf("int")
-    def range_of(key: pa.Array, hash_: pa.Array, deal: pa.Array) -> pa.Array:
+    def ranges_of(key: pa.Array, hash_: pa.Array, deal: pa.Array) -> pa.Array:
         rows = [c.to_numpy(zero_copy_only=False) for c in (key, hash_, deal)]
         return pa.array(_not_after(cuts, rows).astype(np.int32))
 
@@ -140,11 +139,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                .agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "h").collect()}
     alone = {k: to for k, to in goes.items() if k not in several}
 
-    @F.arrow_udf("array<int>")
-    def also_in(key: pa.Array, hash_: pa.Array) -> pa.Array:
-        """The ranges that a first row follows."""
+    @F.arrow_udf("struct<range:int,also:array<int>>")
+    def placed(key: pa.Array, hash_: pa.Array, deal: pa.Array) -> pa.Array:
+        """A row's range, and the ranges that it follows as their first row."""
         pairs = zip(key.to_pylist(), hash_.to_pylist())
-        return pa.array([alone.get(p) for p in pairs], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([ranges_of(key, hash_, deal), pa.array(
+            [alone.get(p) for p in pairs], pa.list_(pa.int32()))], ["range", "also"])
+
+    @F.arrow_udf("array<int>")
+    def spanned(key: pa.Array) -> pa.Array:
+        """The ranges that hold rows of an id."""
+        ends = [ranges_of(key, pa.array(np.full(len(key), h)), pa.array(np.full(len(key), d))).to_pylist()
+                for h, d in ((LEAST_HASH, 0.0), (LAST, 1.0))]
+        return pa.array([list(range(a, b + 1)) for a, b in zip(*ends)], pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _text.MinHasher(k, seed)
@@ -172,9 +179,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield _compare(chunk, hasher)
 
     rows = docs.select(*place, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("range", range_of(*order)).withColumn("also", also_in("key", "hash"))
-    here = F.array(F.struct("range", F.lit(False).alias("copy")))
-    there = F.transform(F.coalesce("also", F.array().cast("array<int>")),
+    rows = rows.withColumn("at", placed(*order))
+    here = F.array(F.struct("at.range", F.lit(False).alias("copy")))
+    there = F.transform(F.coalesce("at.also", F.array().cast("array<int>")),
                         lambda r: F.struct(r.alias("range"), F.lit(True).alias("copy")))
     none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in LINKED.split(", ")]
     own = ["key", "hash", "deal", "doc_id", "text"]
@@ -188,10 +195,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                              F.explode("to").alias("range"), F.lit(True).alias("copy"), *none))
     if links is not None:
         at = F.bitwise_not("doc_id")
-        low, high = F.lit(LEAST_HASH), F.lit(LAST)
-        linked = links.select(at.alias("key"), low.alias("hash"), F.lit(0.0).alias("deal"), "doc_id",
-                              F.lit(None).cast("string").alias("text"),
-                              F.explode(F.sequence(range_of(at, low, F.lit(0.0)), range_of(at, high, F.lit(1.0)))).alias("range"),
+        linked = links.select(at.alias("key"), F.lit(LEAST_HASH).alias("hash"), F.lit(0.0).alias("deal"), "doc_id",
+                              F.lit(None).cast("string").alias("text"), F.explode(spanned(at)).alias("range"),
                               F.lit(False).alias("copy"), "leader", "jaccard", "group_id")
         rows = rows.unionByName(linked)
     sorted_ = (rows.repartitionById(max(len(first), 1), F.col("range"))
