@@ -219,33 +219,31 @@ def band_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows, pct = k // bands, 100 * similarity
 
-    @F.arrow_udf("struct<n:bigint,set_a:bigint,set_b:bigint,bands:array<bigint>>")
-    def profile(text: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _text.MinHasher(k, seed)
-        sizes, names, keys = [], ([], []), []
-        for w in _text.word_groups(text, lower=True):
-            sets = list(neardup.distinct_shingles(w, _text.SHINGLE))
-            sizes.append(np.array([len(s) for s in sets], np.int64))
-            offsets = np.concatenate([[0], np.cumsum(sizes[-1])])
-            every = np.concatenate(sets)
-            for to, x in zip(names, neardup.set_names(every, offsets)):
-                to.append(x)
-            sig = hasher.signatures(every, offsets).astype(np.uint64)
-            acc = np.tile(np.arange(bands, dtype=np.uint64), (w.n, 1))
-            for j in range(rows):
-                acc = _text.mix64(acc + sig[:, j::rows][:, :bands])
-            keys.append(acc.view(np.int64).reshape(-1))
-        n, a, b, flat = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (sizes, *names, keys))
-        ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * np.int32(bands))
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(a), pa.array(b),
-                                           pa.ListArray.from_arrays(ends, pa.array(flat))],
-                                          ["n", "set_a", "set_b", "bands"])
+        for batch in batches:
+            for w in _text.word_groups(batch.column(2), lower=True):
+                sets = list(neardup.distinct_shingles(w, _text.SHINGLE))
+                sizes = np.array([len(s) for s in sets], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                every = np.concatenate(sets)
+                sig = hasher.signatures(every, offsets).astype(np.uint64)
+                acc = np.tile(np.arange(bands, dtype=np.uint64), (w.n, 1))
+                for j in range(rows):
+                    acc = _text.mix64(acc + sig[:, j::rows][:, :bands])
+                ends = pa.array(np.arange(w.n + 1, dtype=np.int32) * np.int32(bands))
+                part = batch.slice(w.first, w.n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sizes),
+                     *(pa.array(x) for x in neardup.set_names(every, offsets)),
+                     pa.ListArray.from_arrays(ends, pa.array(acc.view(np.int64).reshape(-1)))],
+                    ["doc_id", "text_key", "n", "set_a", "set_b", "bands"])
 
     text = F.col(text_col).cast("string")
-    full = saved(docs.where(F.col(id_col).isNotNull())
-                 .select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
-                         profile(text).alias("p"))
-                 .select("doc_id", "text_key", "p.*").where("n > 0"), "profiles")
+    full = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    full = saved(full.mapInArrow(run, "doc_id long, text_key long, n long, set_a long, set_b long, bands array<bigint>")
+                 .where("n > 0"), "profiles")
     by_set = full.groupBy("set_a", "set_b")
     tokens = (by_set.agg(F.min(F.struct("doc_id", "bands")).alias("m"))
               .select(F.col("m.doc_id").alias("rep"), F.explode("m.bands").alias("token")))
