@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import kmeans, segment, validate, ward
 
@@ -462,3 +463,31 @@ def test_dense_walls_are_linked_by_splitting(spark, gap):
     got = segment.dbscan(_points(spark, x), ["x0", "x1", "x2"], 1.0, 4)
     n = got.select("cluster").distinct().count()
     assert n == (1 if gap < 1 else 2) and got.where("cluster < 0").count() == 0
+
+
+def test_kmeans_rounds_have_no_list_of_leaves_in_their_plans(spark, monkeypatch):
+    """Thousands of literals took ten seconds a round; equal rows count by their number."""
+    def refused(*_):
+        raise AssertionError("a list of leaves in a plan")
+
+    monkeypatch.setattr(type(F.col("x")), "isin", refused)
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(400, 3)), rng.integers(1, 5, 400), axis=0)
+    start = x[[0, 300, 600]]
+    fitted = segment.kmeans_fit(_points(spark, x), ["x0", "x1", "x2"], [3], n_micro=32, starts={(3, 0): start})
+    want = _lloyd_brute(x, start, 1e-4 * float(np.mean(x.var(0))))[1]
+    assert abs(fitted[3][1] - want) < 1e-6 and fitted[3][2]
+
+
+def test_eps_neighbours_are_joined_without_broadcast(spark, monkeypatch):
+    """Points times neighbour cells looked as small as the points and went through the driver."""
+    monkeypatch.setattr(segment, "CELL_POINTS", 16)        # boxes are split
+    x = np.random.default_rng(3).normal(size=(500, 3)) * 0.6
+    got = segment.eps_neighbor_counts(_points(spark, np.vstack([x, x[:50]])), ["x0", "x1", "x2"], 0.4)
+    rows = got.orderBy("row_id").toPandas()
+    every = np.vstack([x, x[:50]])
+    d = np.sqrt(((every[:, None] - every[None]) ** 2).sum(-1))
+    assert rows.n_neighbors.tolist() == (d <= 0.4).sum(1).tolist()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    labels = segment.dbscan(_points(spark, x), ["x0", "x1", "x2"], 0.25, 4).orderBy("row_id").toPandas().cluster
+    assert np.array_equal(labels.to_numpy(), _dbscan_brute(x, 0.25, 4)[0])
