@@ -491,3 +491,25 @@ def test_eps_neighbours_are_joined_without_broadcast(spark, monkeypatch):
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     labels = segment.dbscan(_points(spark, x), ["x0", "x1", "x2"], 0.25, 4).orderBy("row_id").toPandas().cluster
     assert np.array_equal(labels.to_numpy(), _dbscan_brute(x, 0.25, 4)[0])
+
+
+def test_kprototypes_rounds_read_equal_answers_once(spark, monkeypatch):
+    """A round sorted all rows once for each start and column; equal answers are one row."""
+    seen, was = [], segment._mixed_round
+
+    def counted(base, *rest):
+        seen.append(base.count())
+        return was(base, *rest)
+
+    monkeypatch.setattr(segment, "_mixed_round", counted)
+    rng = np.random.default_rng(8)
+    num, cat = rng.integers(1, 4, 300).astype(float), rng.integers(0, 3, 300)
+    df = spark.createDataFrame([(i, float(a), "abc"[b]) for i, (a, b) in enumerate(zip(num, cat))], "row_id long, n double, c string")
+    labels, cost = segment.kprototypes(df, ["n"], ["c"], 3, gamma=0.7)
+    assert set(seen) == {len({*zip(num, cat)})}
+    got = labels.orderBy("row_id").toPandas().cluster.to_numpy()
+    total = 0.0
+    for k in set(got):
+        x, c = num[got == k], cat[got == k]
+        total += ((x - x.mean()) ** 2).sum() + 0.7 * (len(c) - np.bincount(c).max())
+    assert abs(total - cost) < 1e-6
