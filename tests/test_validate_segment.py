@@ -513,3 +513,11 @@ def test_kprototypes_rounds_read_equal_answers_once(spark, monkeypatch):
         x, c = num[got == k], cat[got == k]
         total += ((x - x.mean()) ** 2).sum() + 0.7 * (len(c) - np.bincount(c).max())
     assert abs(total - cost) < 1e-6
+
+
+def test_silhouette_sums_a_few_distances_at_a_time():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(70, 3)), rng.normal(size=(90, 3))
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)).sum(1)
+    for cells in (1, 200, 1 << 17):
+        assert np.allclose(validate.distance_sums(x, y, cells), want, rtol=1e-12)
