@@ -521,3 +521,19 @@ def test_silhouette_sums_a_few_distances_at_a_time():
     want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)).sum(1)
     for cells in (1, 200, 1 << 17):
         assert np.allclose(validate.distance_sums(x, y, cells), want, rtol=1e-12)
+
+
+def test_box_summary_leaves_values_where_they_are(spark):
+    """The fences go to the values; joined by a shuffle all values of a column met in one task."""
+    from tessera.operators import profile
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        b = profile.box_summary(spark.createDataFrame([(float(i),) for i in [*range(1, 101), 900]], "v double"), ["v"])
+        row = b.first()
+        assert (row["n"], row["n_outliers"], row["median"]) == (101, 1, 51.0)
+        assert "BroadcastHashJoin" in b._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
