@@ -227,6 +227,61 @@ def test_kmeans_leaves_rule_out_only_far_centres():
         assert (own[settled] == near[settled, None]).all() and 20 < settled.sum() < 300
 
 
+def test_kmeans_open_leaves_wait_until_centres_have_moved():
+    """An open leaf is not looked at in every round, and the sums stay those of the settled leaves."""
+    rng = np.random.default_rng(5)
+    leaves = kmeans.Leaves.__new__(kmeans.Leaves)
+    mid, size = rng.uniform(-3, 3, (400, 2)), rng.uniform(0, .4, (400, 2)) * (rng.random((400, 1)) < .8)
+    leaves.lo, leaves.hi, leaves.n = mid - size, mid + size, rng.integers(1, 9, 400).astype(float)
+    leaves.s, leaves.q = mid * leaves.n[:, None], (mid ** 2 + size ** 2) * leaves.n[:, None]
+    leaves.features = [leaves.n, *leaves.s.T]
+    leaves.bounds()
+    looked, nearest = [], leaves.nearest
+    leaves.nearest = lambda c, which=slice(None): (looked.append(len(which)), nearest(c, which))[1]
+    start = kmeans._Start(rng.uniform(-3, 3, (4, 2)), leaves)
+    for _ in range(12):
+        got = start.look()
+        near, slack = nearest(start.centers)
+        want = (slack > 0) | leaves.point
+        assert not (start.settled & ~want).any() and (start.near == near)[start.settled].all()
+        for k in range(4):
+            at = start.settled & (near == k)
+            cost = (leaves.q - 2 * start.centers[k] * leaves.s + start.centers[k] ** 2 * leaves.n[:, None])[at].sum()
+            assert np.allclose(got[k], [leaves.n[at].sum(), *leaves.s[at].sum(0), cost])
+        assert np.array_equal(start.look(cost=False)[:, :-1], got[:, :-1])
+        start.move(start.centers + rng.normal(scale=.002, size=(4, 2)))
+    leaves.nearest(start.centers, np.arange(400))
+    assert 20 < (~start.settled).sum() and max(looked[1:-1]) < (~start.settled).sum() / 2
+
+
+def test_kmeans_sums_of_few_tasks_are_those_of_the_shuffle(spark):
+    x, lab = _blobs(200, seed=8)
+    rows = _points(spark, x, lab).select(F.col("cluster").cast("long").alias("_micro"), F.lit(2).cast("long").alias("_w"),
+                                         "x0", "x1", "x2").repartition(5)
+    cols = ["x0", "x1", "x2"]
+    leaves = kmeans.Leaves(rows, cols)
+    rng = np.random.default_rng(1)
+    centers = {(k, 0): rng.uniform(0, 3, (k, 3)) for k in (2, 4)}
+    open_ = {(2, 0): np.array([True, False, True]), (4, 0): np.array([True, True, True])}
+    a, b = (kmeans._scan(rows, cols, leaves, centers, open_, few) for few in (True, False))
+    for run, c in centers.items():
+        some = x[np.isin(lab, np.flatnonzero(open_[run]))]
+        near = ((some[:, None] - c) ** 2).sum(-1).argmin(1)
+        assert np.allclose(a[run], b[run])
+        assert np.array_equal(a[run][:, 0], 2 * np.bincount(near, minlength=len(c)))
+
+
+def test_tree_reads_count_cells_by_sketches(spark, monkeypatch):
+    """One binary value for each depth, not hundreds of columns."""
+    def no(*_):
+        raise AssertionError("counted with columns")
+
+    monkeypatch.setattr(F, "approx_count_distinct", no)
+    x, _ = _blobs(300, seed=4)
+    _, c, w = ward.micro_clusters(_points(spark, x), ["x0", "x1", "x2"], n_micro=40, cells=64)
+    assert len(c) == 40 and w.sum() == 300
+
+
 @pytest.mark.parametrize("n", [130, 3000])
 def test_dbscan_follows_long_chains(spark, n):
     x = np.column_stack([np.arange(n) * 0.9, np.zeros(n), np.zeros(n)])
