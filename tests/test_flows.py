@@ -139,3 +139,27 @@ def test_segmentation_is_saved_and_scores_new_rows(spark, tmp_path, caplog):
     spark.createDataFrame([(99,)], "version int").write.mode("overwrite").parquet(f"{path}/parameters/version")
     with pytest.raises(ValueError, match="version 99"):
         flows.score_respondents(df, path)
+
+
+def test_segmentation_labels_points_not_rows(spark, monkeypatch):
+    """Equal answers are labelled once for every method and k; what is written per row
+    has no row per labeling."""
+    df = _respondents(spark)
+    df = df.unionByName(df.withColumn("row_id", F.col("row_id") + 1000)).unionByName(
+        df.withColumn("row_id", F.col("row_id") + 2000))
+    sizes = {}
+
+    def counted(table, name, *args):
+        out = flows_saved(table, name, *args)
+        sizes[name] = out.count()
+        return out
+
+    flows_saved = flows.saved
+    monkeypatch.setattr(flows, "saved", counted)
+    result = flows.segment_respondents(df, {"B1": (["q1", "q2", "q3"], 1)}, ["color"], k_range=range(2, 5), n_init=2,
+                                       eps_grid=(0.5,), min_pts_grid=(5,), score_col="score")
+    assert sizes["points"] <= df.count() / 3 and sizes["labelled"] == 6 * sizes["points"]
+    assert max(n for name, n in sizes.items() if name != "labelled") <= df.count()
+    assert result.assignments.count() == 4 * df.count()
+    got = {(r.method, r.choice, r.row_id): r.cluster for r in result.assignments.collect()}
+    assert all(c == got[m, w, i % 1000] for (m, w, i), c in got.items())

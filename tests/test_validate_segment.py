@@ -592,3 +592,53 @@ def test_box_summary_leaves_values_where_they_are(spark):
         assert "BroadcastHashJoin" in b._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(key, was)
+
+
+def test_weighted_points_count_as_their_rows(spark):
+    """Metrics, k-means, Ward and DBSCAN of weighted points are those of the rows."""
+    from pyspark.sql import functions as F
+    from tessera.plans import flows
+    cols = ["x0", "x1", "x2"]
+    x, lab = _blobs(60, seed=5)
+    w = np.random.default_rng(0).integers(1, 6, len(x))
+    rows = _points(spark, np.repeat(x, w, axis=0), np.repeat(lab, w))
+    schema = "row_id long, x0 double, x1 double, x2 double, cluster long, _w long"
+    first = np.r_[0, np.cumsum(w)[:-1]]
+    points = spark.createDataFrame([(int(i), *map(float, p), int(c), int(n)) for i, p, c, n in zip(first, x, lab, w)], schema)
+
+    one = rows.select(F.lit(3).alias("k"), "row_id", "cluster")
+    of_rows = validate.metrics_table(rows.drop("cluster"), cols, one, "row_id", ("k",)).first()
+    long = points.select(F.lit(3).alias("k"), "cluster", *cols, "_w")
+    assert validate.labelled_metrics(long, cols, long, ["k"], "_w").drop("n_dunn").first() == tuple(
+        of_rows[c] for c in of_rows.__fields__ if c != "n_dunn")
+
+    starts = {(3, 0): x[:3]}
+    a = segment.kmeans_fit(rows, cols, [3], starts=dict(starts))[3]
+    b = segment.kmeans_fit(points, cols, [3], starts=dict(starts), weight="_w")[3]
+    assert np.allclose(a[0], b[0]) and abs(a[1] - b[1]) < 1e-9
+
+    for n_micro in (4096, 20):
+        leaves_of, cuts, merges, m = segment.ward_fit(points, cols, [3], n_micro, weight="_w")
+        labels, of_all, used = segment.ward_micro(rows, cols, [3], n_micro)
+        assert m == used and np.allclose([r[3:] for r in merges], [tuple(r)[3:] for r in of_all.orderBy("step").collect()])
+        got = leaves_of(rows).withColumn("cluster", segment.leaf_label(cuts[3])).select("row_id", "cluster")
+        assert sorted(map(tuple, got.collect())) == sorted((r.row_id, r.cluster) for r in labels.collect())
+
+    grid = [(0.6, 5), (1.5, 12)]
+    want = flows.dbscan_summary(rows.drop("cluster"), cols, grid).orderBy("eps").collect()
+    assert flows.dbscan_summary(points.drop("cluster"), cols, grid, "row_id", "_w").orderBy("eps").collect() == want
+
+
+def test_tree_reads_look_cells_up_at_once(spark, monkeypatch):
+    """The cells below all nodes are found by one search, not by one for every node."""
+    from tessera.operators import ward
+    calls, search = [], np.searchsorted
+
+    def counted(a, v, *args, **options):
+        calls.append(np.size(v))
+        return search(a, v, *args, **options)
+
+    x, _ = _blobs(400, seed=1)
+    monkeypatch.setattr(ward.np, "searchsorted", counted)
+    ward.leaf_tree(_points(spark, x), ["x0", "x1", "x2"], n_micro=60, cells=64)
+    assert len(calls) < 60
