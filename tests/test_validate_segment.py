@@ -642,3 +642,40 @@ def test_tree_reads_look_cells_up_at_once(spark, monkeypatch):
     monkeypatch.setattr(ward.np, "searchsorted", counted)
     ward.leaf_tree(_points(spark, x), ["x0", "x1", "x2"], n_micro=60, cells=64)
     assert len(calls) < 60
+
+
+@pytest.mark.parametrize("held", [4, 1 << 19])
+def test_nearby_edges_are_contracted_where_they_are(spark, monkeypatch, held):
+    """Chains within partitions reach the star rounds only by the nodes that partitions share."""
+    from tessera.operators import graph
+    n, parts = 400, 4
+    chain = [(i, i + 1) for i in range(n - 1) if i != 250] + [(n, n)]
+    edges = spark.createDataFrame(chain, "a long, b long").coalesce(1).repartitionByRange(parts, "a")
+    asked, whole = [], graph.components
+
+    def counted(links):
+        asked.append(links.count())
+        return whole(links)
+
+    monkeypatch.setattr(graph, "components", counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r.node: r.component for r in graph.components_nearby(edges, held).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: 0 if i <= 250 else 251 if i < n else n for i in range(n + 1)}
+    assert (asked[0] < parts) == (held > n)
+
+
+def test_dbscan_meets_every_pair_of_cells_once(spark, monkeypatch):
+    """Of an offset and its opposite one is followed; edges between cells are not written."""
+    full, partial = segment._offsets(3, 1 / (2 * 3 ** 0.5) * segment._INSIDE)
+    for offsets in (full, partial):
+        half = segment._half(offsets)
+        assert set(half) | {tuple(-v for v in o) for o in half} == {o for o in offsets if any(o)}
+        assert len(half) == sum(any(o) for o in offsets) // 2
+    names, write = [], segment.saved
+    monkeypatch.setattr(segment, "saved", lambda df, name: (names.append(name), write(df, name))[1])
+    x = _blobs(150, seed=4)[0]
+    got = segment.dbscan(_points(spark, x), ["x0", "x1", "x2"], 0.5, 4).orderBy("row_id").toPandas().cluster
+    assert np.array_equal(got, _dbscan_brute(x, 0.5, 4)[0]) and "edges" not in names
